@@ -6,16 +6,15 @@ from collections.abc import Callable, Iterator, Sequence
 from hashlib import md5
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cairnlake.functions.arrays import bag
 from cairnlake.functions.params import SEARCH_LIMIT
 from cairnlake.functions.text import half_even, tokens
 
-Embedder = Callable[[Column], Column]
+Encoder = Callable[[Sequence], np.ndarray]
 
 # Rows of one block of the block join; 8192 x 384 doubles are about 25 MB per side.
 BLOCK_ROWS = 8192
@@ -139,38 +138,46 @@ def mean_vectors(vectors: DataFrame, key: str = "wing") -> DataFrame:
     return means.groupBy(F.col(key).alias("query_id")).agg(F.transform(ordered, lambda e: e["value"]).alias("embedding"))
 
 
-def hashed_embedder(dimensions: int = 384) -> Embedder:
-    """Deterministic bag-of-words embedder for when no model is at hand.
+def hash_tokens(dimensions: int) -> Encoder:
+    """Encoder over token lists for when no model is at hand.
 
     The first eight hex digits of a token's MD5 pick the element, the ninth its
-    sign; the summed vector is scaled to unit length. Tokens are counted in the
-    JVM and only distinct tokens travel to the Arrow batch.
+    sign; the summed vector is scaled to unit length.
     """
 
-    @F.pandas_udf("array<float>")
-    def project(words: pd.Series, counts: pd.Series) -> pd.Series:
+    def encode(rows: Sequence[Sequence[str]]) -> np.ndarray:
         known: dict[str, tuple[int, int]] = {}
-
-        def vector(row_words: Sequence[str], row_counts: Sequence[int]) -> np.ndarray:
-            out = np.zeros(dimensions)
-            for word, count in zip(row_words, row_counts):
+        out = np.zeros((len(rows), dimensions))
+        for vector, words in zip(out, rows):
+            for word in words or ():
                 if word not in known:
                     digest = md5(word.encode()).hexdigest()
                     known[word] = (int(digest[:8], 16) % dimensions, 1 if int(digest[8], 16) < 8 else -1)
                 at, sign = known[word]
-                out[at] += sign * count
-            length = np.sqrt(np.square(out).sum())
-            return out / length if length > 0 else out
+                vector[at] += sign
+        length = np.sqrt(np.square(out).sum(axis=1, keepdims=True))
+        return np.divide(out, length, out=out, where=length > 0)
 
-        return pd.Series([vector(w, c) for w, c in zip(words, counts)])
+    return encode
 
-    def build(text: Column) -> Column:
-        counts = bag(tokens(text))
-        return project(F.map_keys(counts), F.map_values(counts))
 
-    return build
+def embed(df: DataFrame, text: str = "text", encoder: Encoder | None = None, dimensions: int = 384) -> DataFrame:
+    """Add ``embedding``; ``encoder`` turns a list of texts into one vector per text.
 
+    Any sentence model fits the encoder slot and is called once per Arrow batch. The
+    default hashes tokens, which are cut in the JVM.
+    """
+    encode = encoder or hash_tokens(dimensions)
+    prepared = df.withColumn("_input", F.col(text) if encoder else tokens(F.col(text)))
 
-def embed(df: DataFrame, text: str = "text", embedder: Embedder | None = None) -> DataFrame:
-    """Add ``embedding`` with the given embedder: any function from a text column to ``array<float>``."""
-    return df.withColumn("embedding", (embedder or hashed_embedder())(F.col(text)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            encoded = np.asarray(encode(batch.column("_input").to_pylist()), dtype=np.float32)
+            width = encoded.shape[1] if batch.num_rows else 0
+            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * width)
+            vectors = pa.ListArray.from_arrays(offsets, pa.array(encoded.reshape(-1)))
+            kept = [name for name in batch.schema.names if name != "_input"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(name) for name in kept), vectors], names=[*kept, "embedding"])
+
+    schema = T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
+    return prepared.mapInArrow(run, schema)

@@ -135,7 +135,7 @@ def vector_knn_batch(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def embedded_search(spark: SparkSession, folder: str) -> DataFrame:
-    stored = vectors.embed(src.drawers(spark, folder), embedder=vectors.hashed_embedder(64))
+    stored = vectors.embed(src.drawers(spark, folder).select("id", "wing", "text"), dimensions=64)
     return vectors.vector_search(stored, PROBE_VECTOR, limit=10)
 
 
