@@ -68,3 +68,17 @@ def containment(query_tokens: Column, text_tokens: Column) -> Column:
 def last_n(values: Column, n: int) -> Column:
     """Last ``n`` elements, or all of them when there are fewer."""
     return F.slice(values, F.greatest(F.size(values) - (n - 1), F.lit(1)), n)
+
+
+def groups_from(values: Column, starts: Column) -> Column:
+    """Cut an array at the given zero-based start positions: ``array<array>``."""
+    return F.transform(
+        starts,
+        lambda at, i: F.slice(values, at + 1, F.coalesce(F.get(starts, i + 1), F.size(values)) - at),
+    )
+
+
+def positions(values: Column, test) -> Column:
+    """Zero-based positions of the elements that pass ``test``."""
+    marked = F.transform(values, lambda value, i: F.when(test(value), i))
+    return F.filter(marked, lambda i: i.isNotNull())
