@@ -43,13 +43,13 @@ def ambiguous_words(people: DataFrame, common_words: Iterable[str] = lex.COMMON_
 
 
 def context_scores(word: Column, context: Column) -> tuple[Column, Column]:
-    """How many person and how many concept patterns fit the word in its context."""
-    quoted = F.concat(F.lit(r"\Q"), F.lower(word), F.lit(r"\E"))
+    """How many person and how many concept patterns fit the word; both arguments in lower case."""
+    quoted = F.concat(F.lit(r"\Q"), word, F.lit(r"\E"))
 
     def hits(templates: list[str]) -> Column:
         fits = [
-            F.rlike(F.lower(context), F.concat(F.lit("(?iUmd)"), F.replace(F.lit(t), F.lit("{name}"), quoted))).cast("int")
-            for t in templates
+            F.rlike(context, F.concat(F.lit("(?Umd)"), F.replace(F.lit(template), F.lit("{name}"), quoted))).cast("int")
+            for template in templates
         ]
         return reduce(lambda a, b: a + b, fits)
 
@@ -58,18 +58,22 @@ def context_scores(word: Column, context: Column) -> tuple[Column, Column]:
 
 def disambiguate(word: Column, context: Column) -> Column:
     """``struct<type, confidence>`` decided by the context, NULL on a tie."""
-    person, concept = context_scores(word, context)
-
-    def decide(score: Column) -> Column:
-        return F.when(
-            score["person"] > score["concept"],
-            F.struct(F.lit("person").alias("type"), half_even(F.least(F.lit(0.95), 0.7 + score["person"] * 0.1), 6).alias("confidence")),
-        ).when(
-            score["concept"] > score["person"],
-            F.struct(F.lit("concept").alias("type"), half_even(F.least(F.lit(0.90), 0.7 + score["concept"] * 0.1), 6).alias("confidence")),
+
+    def score(lowered: Column) -> Column:
+        person, concept = context_scores(F.lower(word), lowered)
+        return F.struct(person.alias("person"), concept.alias("concept"))
+
+    def verdict(kind: str, hits: Column, most: float) -> Column:
+        sure = half_even(F.least(F.lit(most), 0.7 + hits * 0.1), 6)
+        return F.struct(F.lit(kind).alias("type"), sure.alias("confidence"))
+
+    def decide(found: Column) -> Column:
+        person, concept = found["person"], found["concept"]
+        return F.when(person > concept, verdict("person", person, 0.95)).when(
+            concept > person, verdict("concept", concept, 0.90)
         )
 
-    return let(F.struct(person.alias("person"), concept.alias("concept")), decide)
+    return let(let(F.lower(context), score), decide)
 
 
 def lookup(
@@ -78,12 +82,15 @@ def lookup(
     projects: DataFrame,
     research: DataFrame,
     ambiguous: DataFrame,
+    contexts: DataFrame | None = None,
     common_words: Iterable[str] = lex.COMMON_WORDS,
 ) -> DataFrame:
-    """Type of every ``(word, context)``: person, then project, then confirmed research, else unknown.
+    """Type of every word: person, then project, then confirmed research, else unknown.
 
-    An ambiguous person name with a context is first judged by the context, and so is
-    a researched person whose name is an everyday word.
+    ``words`` has ``word`` and, with ``contexts`` ``(context_id, context)``, a
+    ``context_id``. An ambiguous person name is first judged by its context, and so is a
+    researched person whose name is an everyday word. Only those few words are joined
+    with their context, so the texts are not repeated for every word.
     """
     names = people.select(
         F.explode(F.array_distinct(F.transform(F.concat(F.array("name"), "aliases"), F.lower))).alias("_key"),
@@ -96,68 +103,81 @@ def lookup(
         .agg(F.min(F.struct("word", "type", "confidence")).alias("_research"))
     )
     flagged = ambiguous.select(F.col("word").alias("_key"), F.lit(True).alias("_flag")).distinct()
-    joined = (
-        words.withColumn("_key", F.lower("word"))
-        .join(names, "_key", "left")
+    # Few distinct words make many rows: each is resolved once and the result joined back.
+    distinct = words.select(F.lower("word").alias("_key")).distinct()
+    is_person = F.col("_person").isNotNull()
+    is_project = ~is_person & F.col("_project").isNotNull()
+    is_research = ~is_person & F.col("_project").isNull() & F.col("_research").isNotNull()
+    doubtful = (is_person & F.col("_flag").isNotNull()) | (
+        is_research & (F.lower("_research.type") == "person") & F.col("_key").isin(list(common_words))
+    )
+    known = (
+        distinct.join(names, "_key", "left")
         .join(project_names, "_key", "left")
         .join(confirmed, "_key", "left")
         .join(flagged, "_key", "left")
+        .select(
+            "_key",
+            F.when(is_person, "person").when(is_project, "project").when(is_research, F.col("_research.type")).otherwise("unknown").alias("_type"),
+            F.when(is_person, F.col("_person.confidence")).when(is_project, 1.0).when(is_research, F.col("_research.confidence")).otherwise(0.0).alias("_confidence"),
+            F.when(is_person, F.col("_person.source")).when(is_project, "onboarding").when(is_research, "wiki").otherwise("none").alias("_source"),
+            F.when(is_person, F.col("_person.name")).when(is_project, F.col("_project")).alias("_name"),
+            doubtful.alias("_doubtful"),
+        )
     )
-    has_context = ~is_blank(F.coalesce("context", F.lit("")))
-    is_person = F.col("_person").isNotNull()
-    is_research = ~is_person & F.col("_project").isNull() & F.col("_research").isNotNull()
-    judged_person = is_person & F.col("_flag").isNotNull() & has_context
-    judged_research = (
-        is_research & (F.lower("_research.type") == "person") & F.col("_key").isin(list(common_words)) & has_context
-    )
-    verdict = F.when(judged_person | judged_research, disambiguate(F.col("word"), F.col("context")))
-    judged = joined.withColumn("_verdict", verdict)
+    found = words.withColumn("_key", F.lower("word")).join(known, "_key")
+    if contexts is None:
+        judged = found.withColumn("_verdict", F.lit(None).cast("struct<type:string,confidence:double>"))
+    else:
+        asked = found.where("_doubtful").select("context_id", "_key").distinct()
+        texts = contexts.where(~is_blank(F.col("context")))
+        verdicts = asked.join(texts, "context_id").select(
+            "context_id", "_key", disambiguate(F.col("_key"), F.col("context")).alias("_verdict")
+        )
+        judged = found.join(verdicts, ["context_id", "_key"], "left")
     sure = F.col("_verdict").isNotNull()
-    concept = F.col("_verdict.type") == "concept"
     return judged.select(
         *words.columns,
-        F.coalesce(
-            "_verdict.type",
-            F.when(is_person, "person").when(F.col("_project").isNotNull(), "project").when(is_research, F.col("_research.type")).otherwise("unknown"),
-        ).alias("type"),
-        F.coalesce(
-            "_verdict.confidence",
-            F.when(is_person, F.col("_person.confidence")).when(F.col("_project").isNotNull(), 1.0).when(is_research, F.col("_research.confidence")).otherwise(0.0),
-        ).alias("confidence"),
-        F.when(sure & concept, "context_disambiguated")
-        .when(is_person, F.col("_person.source"))
-        .when(F.col("_project").isNotNull(), "onboarding")
-        .when(is_research, "wiki")
-        .otherwise("none")
-        .alias("source"),
-        F.when(~sure & is_person, F.col("_person.name"))
-        .when(~sure & F.col("_project").isNotNull(), F.col("_project"))
-        .otherwise(F.col("word"))
-        .alias("name"),
+        F.coalesce("_verdict.type", "_type").alias("type"),
+        F.coalesce("_verdict.confidence", "_confidence").alias("confidence"),
+        F.when(F.col("_verdict.type") == "concept", "context_disambiguated").otherwise(F.col("_source")).alias("source"),
+        F.when(sure, F.col("word")).otherwise(F.coalesce("_name", "word")).alias("name"),
     )
 
 
 def people_in_queries(queries: DataFrame, people: DataFrame, ambiguous: DataFrame) -> DataFrame:
     """People whose name or alias occurs in ``(query_id, query)`` as whole words, in registry order.
 
-    The first word of a name is looked up among the words of the query, so the join is
-    an equi join; the whole name is verified afterwards. Ambiguous names must be judged
-    persons by the query itself.
+    Names of one word are matched against the words of the query in an equi join of
+    narrow rows; a longer name is matched by its first word and then verified in the
+    text. Ambiguous names must be judged persons by the query itself. Only queries with
+    something to verify or judge are joined with their text again.
     """
     first_word = r"(?U)\w+"
-    names = people.select(
-        "ord", "name", F.explode(F.concat(F.array("name"), "aliases")).alias("spelling")
-    ).withColumn("_word", F.lower(F.regexp_extract("spelling", first_word, 0)))
+    spellings = people.select("ord", "name", F.explode(F.concat(F.array("name"), "aliases")).alias("spelling"))
+    flagged = ambiguous.select(F.col("word").alias("_key"), F.lit(True).alias("_flag")).distinct()
+    names = (
+        spellings.withColumn("_key", F.lower("spelling"))
+        .withColumn("_word", F.regexp_extract("_key", first_word, 0))
+        .join(flagged, "_key", "left")
+        .select("ord", "name", "_key", "_word", F.coalesce("_flag", F.lit(False)).alias("_flag"), (F.col("_key") != F.col("_word")).alias("_long"))
+    )
     asked = queries.select(
-        "query_id", "query", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit(first_word), F.lit(0)))).alias("_word")
+        "query_id",
+        F.explode(F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit(first_word), F.lit(0)))).alias("_word"),
     )
-    whole = F.rlike("query", F.concat(F.lit(r"(?iU)\b\Q"), F.col("spelling"), F.lit(r"\E\b")))
-    flagged = ambiguous.select(F.col("word").alias("_flag"))
-    found = asked.join(names, "_word").where(whole).join(flagged, F.lower("spelling") == F.col("_flag"), "left")
-    judged = F.col("_flag").isNull() | F.coalesce(
-        disambiguate(F.col("spelling"), F.col("query"))["type"] == "person", F.lit(False)
+    met = asked.join(names, "_word").drop("_word")
+    open_question = F.col("_flag") | F.col("_long")
+    lowered = F.lower("query")
+    whole = ~F.col("_long") | F.rlike(lowered, F.concat(F.lit(r"(?U)\b\Q"), F.col("_key"), F.lit(r"\E\b")))
+    person = ~F.col("_flag") | F.coalesce(disambiguate(F.col("_key"), F.col("query"))["type"] == "person", F.lit(False))
+    verified = met.where(open_question).join(queries, "query_id").where(whole & person)
+    columns = ["query_id", "name", "ord"]
+    return (
+        met.where(~open_question).select(columns).unionByName(verified.select(columns))
+        .groupBy("query_id", "name")
+        .agg(F.min("ord").alias("ord"))
     )
-    return found.where(judged).groupBy("query_id", "name").agg(F.min("ord").alias("ord"))
 
 
 def unknown_words(

@@ -81,7 +81,7 @@ def get_drawers(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def lexical_search(spark: SparkSession, folder: str) -> DataFrame:
-    hits = search.lexical_search(src.drawers(spark, folder), SEARCH_TEXT, limit=25)
+    hits = search.lexical_search(src.drawers(spark, folder, heavy=True), SEARCH_TEXT, limit=25)
     return hits.select("id", "wing", "room", "source_file", "similarity")
 
 
@@ -93,25 +93,25 @@ def lexical_search_wing_room(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def search_memories(spark: SparkSession, folder: str) -> DataFrame:
-    pages = src.drawers(spark, folder).withColumn("source_file", F.concat(F.lit("/data/notes/"), "source_file", F.lit(".txt")))
+    pages = src.drawers(spark, folder, heavy=True).withColumn("source_file", F.concat(F.lit("/data/notes/"), "source_file", F.lit(".txt")))
     return search.search_memories(pages, SEARCH_TEXT, limit=10)
 
 
 @query
 def search_rendered(spark: SparkSession, folder: str) -> DataFrame:
-    hits = search.search_memories(src.drawers(spark, folder), SEARCH_TEXT)
+    hits = search.search_memories(src.drawers(spark, folder, heavy=True), SEARCH_TEXT)
     return search.render_search(hits, SEARCH_TEXT)
 
 
 @query
 def check_duplicate(spark: SparkSession, folder: str) -> DataFrame:
-    return search.check_duplicate(src.drawers(spark, folder), "The and of in on is that with", threshold=0.9)
+    return search.check_duplicate(src.drawers(spark, folder, heavy=True), "The and of in on is that with", threshold=0.9)
 
 
 @query
 def check_duplicate_batch(spark: SparkSession, folder: str) -> DataFrame:
     asked = src.table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return search.check_duplicate_batch(asked, src.drawers(spark, folder))
+    return search.check_duplicate_batch(asked, src.drawers(spark, folder, heavy=True))
 
 
 # --- vectors --------------------------------------------------------------
@@ -135,7 +135,7 @@ def vector_knn_batch(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def embedded_search(spark: SparkSession, folder: str) -> DataFrame:
-    stored = vectors.embed(src.drawers(spark, folder).select("id", "wing", "text"), dimensions=64)
+    stored = vectors.embed(src.drawers(spark, folder, heavy=True).select("id", "wing", "text"), dimensions=64)
     return vectors.vector_search(stored, PROBE_VECTOR, limit=10)
 
 
@@ -165,18 +165,18 @@ def dedup_scope(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def dedup_pivot_cosine(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = duplicates.pivot_similarity(src.drawers(spark, folder))
+    pairs = duplicates.pivot_similarity(src.drawers(spark, folder, heavy=True))
     return pairs.withColumn("similarity", F.round("similarity", 6))
 
 
 @query
 def dedup_greedy(spark: SparkSession, folder: str) -> DataFrame:
-    return duplicates.greedy_cleanup(src.drawers(spark, folder))
+    return duplicates.greedy_cleanup(src.drawers(spark, folder, heavy=True))
 
 
 @query
 def dedup_result(spark: SparkSession, folder: str) -> DataFrame:
-    return duplicates.cleanup_result(duplicates.greedy_cleanup(src.drawers(spark, folder), threshold=0.75))
+    return duplicates.cleanup_result(duplicates.greedy_cleanup(src.drawers(spark, folder, heavy=True), threshold=0.75))
 
 
 # --- room graph -----------------------------------------------------------

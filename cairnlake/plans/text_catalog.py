@@ -98,13 +98,13 @@ def iso_dates(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def token_estimates(spark: SparkSession, folder: str) -> DataFrame:
-    docs = src.table(spark, folder, "documents")
+    docs = src.texts(spark, folder, "documents")
     return docs.select("doc_id", tx.estimated_tokens(F.col("text")).alias("tokens"), F.size(tx.token_set(F.col("text"))).alias("distinct_tokens"))
 
 
 @query
 def spellcheck_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    docs = src.table(spark, folder, "documents")
+    docs = src.texts(spark, folder, "documents")
     return docs.select("doc_id", spelling.correct_text(F.col("text"), KNOWN_NAMES, CORRECTIONS).alias("text"))
 
 
@@ -219,7 +219,7 @@ def save_triggers(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def text_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    docs = src.table(spark, folder, "documents").select("doc_id", "text")
+    docs = src.texts(spark, folder, "documents").select("doc_id", "text")
     return chunking.chunk_text(docs)
 
 
@@ -232,13 +232,13 @@ def exchange_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def paragraph_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    docs = src.table(spark, folder, "documents").select("doc_id", "text")
+    docs = src.texts(spark, folder, "documents").select("doc_id", "text")
     return chunking.explode_chunks(docs, chunking.exchange_chunks(F.col("text"))).drop("text")
 
 
 @query
 def session_split(spark: SparkSession, folder: str) -> DataFrame:
-    docs = src.table(spark, folder, "documents")
+    docs = src.texts(spark, folder, "documents")
     path = F.concat(F.lit("in/doc "), F.col("doc_id").cast("string"), F.lit(".txt"))
     found = splitting.split_sessions(docs.select(path.alias("path"), F.col("text").alias("content")), SESSION_MARK, min_lines=4, people=[])
     return found.select("path", "sessions_found", "number", "line_count", "file_name", F.md5("content").alias("digest"))
@@ -249,7 +249,7 @@ def session_split(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def conversation_rooms(spark: SparkSession, folder: str) -> DataFrame:
-    docs = src.table(spark, folder, "documents")
+    docs = src.texts(spark, folder, "documents")
     return docs.select("doc_id", rooms.conversation_room(F.col("text"), TOPICS).alias("room"))
 
 
@@ -265,32 +265,32 @@ def _project_path() -> Column:
 
 @query
 def project_rooms(spark: SparkSession, folder: str) -> DataFrame:
-    docs = src.table(spark, folder, "documents")
+    docs = src.texts(spark, folder, "documents")
     return docs.select("doc_id", rooms.project_room(_project_path(), F.col("text"), ROOMS).alias("room"))
 
 
 @query
 def memory_scores(spark: SparkSession, folder: str) -> DataFrame:
-    docs = src.table(spark, folder, "documents")
+    docs = src.texts(spark, folder, "documents")
     return docs.select("doc_id", extraction.memory_scores(F.lower("text"), MARKERS).alias("score")).select("doc_id", "score.*")
 
 
 @query
 def memory_types(spark: SparkSession, folder: str) -> DataFrame:
-    docs = src.table(spark, folder, "documents").select("doc_id", "text")
+    docs = src.texts(spark, folder, "documents").select("doc_id", "text")
     return extraction.extract_memories(docs, markers=MARKERS, positive=POSITIVE, negative=NEGATIVE)
 
 
 @query
 def code_line_filter(spark: SparkSession, folder: str) -> DataFrame:
-    docs = src.table(spark, folder, "documents")
+    docs = src.texts(spark, folder, "documents")
     lines = tx.lines_of(F.col("text"))
     return docs.select("doc_id", F.size(F.filter(lines, extraction.is_code_line)).alias("code_lines"), F.length(extraction.prose(F.col("text"))).alias("prose_chars"))
 
 
 @query
 def sentiment(spark: SparkSession, folder: str) -> DataFrame:
-    docs = src.table(spark, folder, "documents")
+    docs = src.texts(spark, folder, "documents")
     return docs.select("doc_id", extraction.sentiment(F.col("text"), POSITIVE, NEGATIVE).alias("sentiment"))
 
 
@@ -325,18 +325,18 @@ def ignored_paths(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def entity_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    return entities.candidate_counts(src.table(spark, folder, "documents"))
+    return entities.candidate_counts(src.texts(spark, folder, "documents"))
 
 
 @query
 def pronoun_lines(spark: SparkSession, folder: str) -> DataFrame:
-    docs = src.table(spark, folder, "documents")
+    docs = src.texts(spark, folder, "documents")
     return docs.select("doc_id", F.size(entities.near_pronoun(tx.lines_of(F.col("text")))).alias("lines"))
 
 
 @query
 def detected_names(spark: SparkSession, folder: str) -> DataFrame:
-    docs = src.table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = src.texts(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
     found = entities.detect_names(docs)
     return found.select("id", "name", "frequency", "person_score", "project_score", "type", "confidence", joined("signals").alias("signals"))
 
@@ -385,25 +385,25 @@ def registry_people(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def registry_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    words = (
-        src.table(spark, folder, "documents")
-        .select("doc_id", F.col("text").alias("context"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?U)\b[A-Z][a-z]{1,19}\b"), F.lit(0)))).alias("word"))
-    )
-    found = registry.lookup(words, *_registry(spark, folder), common_words=COMMON)
-    return found.select("doc_id", "word", "type", F.round("confidence", 4).alias("confidence"), "source", "name")
+    docs = src.texts(spark, folder, "documents")
+    capitalized = F.regexp_extract_all("text", F.lit(r"(?U)\b[A-Z][a-z]{1,19}\b"), F.lit(0))
+    words = docs.select(F.col("doc_id").alias("context_id"), F.explode(F.array_distinct(capitalized)).alias("word"))
+    contexts = docs.select(F.col("doc_id").alias("context_id"), F.col("text").alias("context"))
+    found = registry.lookup(words, *_registry(spark, folder), contexts=contexts, common_words=COMMON)
+    return found.select(F.col("context_id").alias("doc_id"), "word", "type", F.round("confidence", 4).alias("confidence"), "source", "name")
 
 
 @query
 def people_in_queries(spark: SparkSession, folder: str) -> DataFrame:
     people, _, _, ambiguous = _registry(spark, folder)
-    asked = src.table(spark, folder, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    asked = src.texts(spark, folder, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
     return registry.people_in_queries(asked, people, ambiguous)
 
 
 @query
 def unknown_words(spark: SparkSession, folder: str) -> DataFrame:
     people, projects, research, _ = _registry(spark, folder)
-    asked = src.table(spark, folder, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    asked = src.texts(spark, folder, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
     return registry.unknown_words(asked, people, projects, research, COMMON)
 
 
@@ -443,37 +443,37 @@ def payload_types(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def shorthand_entities(spark: SparkSession, folder: str) -> DataFrame:
-    docs = src.table(spark, folder, "documents")
+    docs = src.texts(spark, folder, "documents")
     configured = shorthand.entity_codes(F.col("text"), {"Therin": "THR", "There": "TRE", "ander": "AND"}, ("rein",))
     return docs.select("doc_id", joined(shorthand.entity_codes(F.col("text"))).alias("codes"), joined(configured).alias("configured"))
 
 
 @query
 def shorthand_topics(spark: SparkSession, folder: str) -> DataFrame:
-    return src.table(spark, folder, "documents").select("doc_id", joined(shorthand.topics(F.col("text"))).alias("topics"))
+    return src.texts(spark, folder, "documents").select("doc_id", joined(shorthand.topics(F.col("text"))).alias("topics"))
 
 
 @query
 def shorthand_signals(spark: SparkSession, folder: str) -> DataFrame:
-    docs = src.table(spark, folder, "documents")
+    docs = src.texts(spark, folder, "documents")
     table = {"the": "ART", "tion": "NOM", "la ": "ART", "ción": "NOM", "und": "CON", "eau": "ROOT", "en ": "PRE"}
     return docs.select("doc_id", joined(shorthand.signals(F.col("text"), table)).alias("signals"))
 
 
 @query
 def shorthand_key_sentence(spark: SparkSession, folder: str) -> DataFrame:
-    docs = src.table(spark, folder, "documents")
+    docs = src.texts(spark, folder, "documents")
     return docs.select("doc_id", shorthand.key_sentence(F.col("text"), ["the", "tion", "ción", "eau", "und"]).alias("sentence"))
 
 
 @query
 def shorthand_compress(spark: SparkSession, folder: str) -> DataFrame:
-    return shorthand.compress(src.drawers(spark, folder))
+    return shorthand.compress(src.drawers(spark, folder, heavy=True))
 
 
 @query
 def compression_totals(spark: SparkSession, folder: str) -> DataFrame:
-    return shorthand.compression_totals(shorthand.compress(src.drawers(spark, folder)))
+    return shorthand.compression_totals(shorthand.compress(src.drawers(spark, folder, heavy=True)))
 
 
 # --- layers -----------------------------------------------------------------
@@ -657,7 +657,7 @@ def metadata_projection(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _project_files(spark: SparkSession, folder: str) -> DataFrame:
-    docs = src.table(spark, folder, "documents")
+    docs = src.texts(spark, folder, "documents")
     path = F.concat(_project_path(), F.lit("."), F.col("doc_id").cast("string"))
     return docs.select(
         path.alias("path"), F.concat(F.lit("/p/"), path).alias("source_file"), F.col("doc_id").alias("source_mtime"), F.col("text").alias("content")

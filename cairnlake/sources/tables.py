@@ -16,8 +16,27 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def drawers(spark: SparkSession, folder: str, labelled: bool = False) -> DataFrame:
-    """``documents`` as drawers; ``labelled`` adds the columns that need the ``labels`` join."""
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small scan one partition per core before expensive text work.
+
+    A scan that already has as many partitions as the cluster has cores, as any large
+    one, is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table whose text columns are about to be processed."""
+    return spread(table(spark, folder, name))
+
+
+def drawers(spark: SparkSession, folder: str, labelled: bool = False, heavy: bool = False) -> DataFrame:
+    """``documents`` as drawers.
+
+    ``labelled`` adds the columns that need the ``labels`` join; ``heavy`` spreads a small
+    table over all cores because its text will be processed.
+    """
     slot = F.col("doc_id") % 13
     room = (
         F.when(slot == 0, F.lit("general"))
@@ -25,7 +44,7 @@ def drawers(spark: SparkSession, folder: str, labelled: bool = False) -> DataFra
         .otherwise(F.concat(F.lit("room_shared_"), slot.cast("string")))
     )
     docs = (
-        table(spark, folder, "documents")
+        (texts if heavy else table)(spark, folder, "documents")
         .withColumn("room", room)
         .withColumn("date", F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")), "yyyy-MM-dd"))
         .select(
