@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairnlake.functions.arrays import groups_from, positions
+from cairnlake.functions.partitions import posexplode_rows
 from cairnlake.functions.text import is_blank, let, lines_of, trim, trim_start
 
 # Fixed sizes.
@@ -127,4 +128,4 @@ def exchange_chunks(content: Column) -> Column:
 
 def explode_chunks(df: DataFrame, chunks: Column) -> DataFrame:
     """One row per chunk with its position among the emitted ones."""
-    return df.select("*", F.posexplode(chunks).alias("chunk_index", "content"))
+    return posexplode_rows(df, chunks, "chunk_index", "content", "*")

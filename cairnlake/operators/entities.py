@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnlake.functions import lexicons as lex
-from cairnlake.functions.text import half_even, lines_of, stem, string_array
+from cairnlake.functions.arrays import bag
+from cairnlake.functions.partitions import explode_rows
+from cairnlake.functions.text import half_even, let, lines_of, stem, string_array
 
 # Fixed rules.
 MIN_FREQUENCY = 3
@@ -24,10 +26,10 @@ def name_candidates(
     text: Column, stopwords: Iterable[str] = lex.NAME_STOPWORDS, camel_case: bool = True
 ) -> Column:
     """Every occurrence of a capitalised word, phrase or joined word that is not a stopword."""
-    stop = string_array(stopwords)
+    stop = list(stopwords)
 
     def known(word: Column) -> Column:
-        return F.array_contains(stop, F.lower(word))
+        return F.lower(word).isin(stop)
 
     def all_of(pattern: str) -> Column:
         return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -49,7 +51,7 @@ def candidate_counts(
 ) -> DataFrame:
     """``(keys, name, frequency)`` of names seen at least ``minimum`` times, combined before the shuffle."""
     keys = list(keys)
-    names = texts.select(*keys, F.explode(name_candidates(F.col(text), list(stopwords), camel_case)).alias("name"))
+    names = explode_rows(texts, name_candidates(F.col(text), list(stopwords), camel_case), "name", *keys)
     return names.groupBy(*keys, "name").agg(F.count("*").alias("frequency")).where(F.col("frequency") >= minimum)
 
 
@@ -59,14 +61,19 @@ def near_pronoun(lines: Column) -> Column:
     The frame starts two lines above, but never before the first line, and always
     spans five lines.
     """
-    marks = F.transform(lines, lambda line: line.rlike("(?iU)" + lex.PRONOUNS))
-    inside = F.transform(
-        lines,
-        lambda line, i: F.when(
-            F.exists(F.slice(marks, F.greatest(i - 2, F.lit(0)) + 1, F.lit(5)), lambda m: m), F.lower(line)
+
+    def frame(marks: Column, lowered: Column) -> Column:
+        def keep(line: Column, i: Column) -> Column:
+            return F.array_contains(F.slice(marks, F.greatest(i - 2, F.lit(0)) + 1, F.lit(5)), True)
+
+        return F.filter(lowered, keep)
+
+    return let(
+        F.transform(lines, F.lower),
+        lambda lowered: let(
+            F.transform(lowered, lambda line: line.rlike("(?U)" + lex.PRONOUNS)), lambda marks: frame(marks, lowered)
         ),
     )
-    return F.filter(inside, lambda line: line.isNotNull())
 
 
 # How a template is read without knowing the name: where the name stands and what must follow.
@@ -81,9 +88,9 @@ def _slot_pattern(template: str) -> str:
     head, tail = template.split("{name}")
     if head in (r"\b", "^", r"^>\s*", r"^\[", '"'):
         tail = tail.removeprefix(r"\b")
-        return f"(?iUmd){head}(\\w+)(?={tail})" if tail else f"(?iUmd){head}(\\w+)"
+        return f"(?Umd){head}(\\w++)(?={tail})" if tail else f"(?Umd){head}(\\w++)"
     lead, space = re.fullmatch(r"(.*?)(\\s\+)", head).groups()
-    return f"(?iUmd){lead}(?={space}(\\w+){tail if tail != chr(92) + 'b' else ''})"
+    return f"(?Umd){lead}(?={space}(\\w++){tail if tail != chr(92) + 'b' else ''})"
 
 
 SIGNALS = [
@@ -98,26 +105,26 @@ SIGNALS = [
 
 def _version_slots(text: Column) -> Column:
     """Words before a hyphen, and every beginning of a word that is followed by ``v`` and more."""
-    hyphen = F.regexp_extract_all(text, F.lit(r"(?iU)\b(\w+)(?=-\w)"), F.lit(1))
-    joined = F.regexp_extract_all(text, F.lit(r"(?iU)\b\w+v\w+"), F.lit(0))
+    hyphen = F.regexp_extract_all(text, F.lit(r"(?U)\b(\w++)(?=-\w)"), F.lit(1))
+    joined = F.regexp_extract_all(text, F.lit(r"(?U)\b\w+v\w+"), F.lit(0))
 
     def beginnings(word: Column) -> Column:
         places = F.sequence(F.lit(2), F.length(word) - 1)
-        cut = F.filter(places, lambda at: F.lower(F.substring(word, at, F.lit(1))) == "v")
+        cut = F.filter(places, lambda at: F.substring(word, at, F.lit(1)) == "v")
         return F.transform(cut, lambda at: F.substring(word, F.lit(1), at - 1))
 
     return F.concat(hyphen, F.flatten(F.transform(joined, beginnings)))
 
 
 def signal_words(text: Column) -> Column:
-    """For every signal, the lower-cased words standing in its name slot: ``array<array<string>>``."""
+    """For every signal, the words of a lower-case text standing in its name slot: ``array<array<string>>``."""
     found = [
         _version_slots(text)
         if kind == "versioned"
         else F.regexp_extract_all(text, F.lit(_slot_pattern(template)), F.lit(1))
         for kind, template, _ in SIGNALS
     ]
-    return F.array(*[F.transform(words, F.lower) for words in found])
+    return F.array(*found)
 
 
 def _phrase_hits(text: Column, name: Column) -> Column:
@@ -144,21 +151,26 @@ def score_names(
     Returns ``(key, name, frequency, person_score, project_score, person_signals,
     project_signals)``. One pass per pattern collects the words in its name slot, so the
     cost of a text does not grow with its number of names; only names of several words
-    are looked up one by one.
+    are looked up one by one. Everything happens inside the row of a text: no shuffle.
     """
-    stop = list(stopwords)
-    counted = candidate_counts(texts.select(key, text), text, [key], stop, camel_case, minimum)
-    scanned = texts.select(
-        key,
-        F.col(text).alias("_text"),
-        signal_words(F.col(text)).alias("_slots"),
-        near_pronoun(lines_of(F.col(text))).alias("_framed"),
+    counts = F.map_entries(bag(name_candidates(F.col(text), list(stopwords), camel_case)))
+    named = texts.select(
+        key, F.col(text).alias("_text"), F.filter(counts, lambda e: e["value"] >= minimum).alias("_names")
+    )
+    any_name = F.size("_names") > 0
+    scanned = named.select(
+        "*",
+        F.when(any_name, signal_words(F.lower("_text"))).alias("_slots"),
+        F.when(any_name, near_pronoun(lines_of(F.col("_text")))).alias("_framed"),
+    )
+    counted = explode_rows(scanned, F.col("_names"), "_name", key, "_text", "_slots", "_framed").select(
+        "*", F.col("_name.key").alias("name"), F.col("_name.value").alias("frequency")
     )
     lowered = F.lower("name")
     single = F.transform(F.col("_slots"), lambda words: F.size(F.filter(words, lambda w: w == lowered)))
     hits = F.when(F.col("name").rlike(r"\s"), _phrase_hits(F.col("_text"), F.col("name"))).otherwise(single)
     pronouns = F.size(F.filter(F.col("_framed"), lambda line: F.contains(line, lowered)))
-    scored = counted.join(scanned, key).select(key, "name", "frequency", hits.alias("hits"), pronouns.alias("pronouns"))
+    scored = counted.select(key, "name", "frequency", hits.alias("hits"), pronouns.alias("pronouns"))
 
     labels = {
         "dialogue": lambda n: F.format_string("dialogue marker (%dx)", n),

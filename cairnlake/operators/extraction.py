@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cairnlake.functions import lexicons as lex
 from cairnlake.functions.arrays import groups_from, positions
+from cairnlake.functions.partitions import posexplode_rows
 from cairnlake.functions.text import let, lines_of, string_array, trim
 from cairnlake.operators.chunking import line_groups, paragraphs
 
@@ -161,4 +162,4 @@ def extract_memories(
         F.transform(segments(F.col(text)), lambda s: memory_of(s, markers, positive, negative)),
         lambda m: m.isNotNull() & (m["confidence"] >= min_confidence),
     )
-    return df.select(*kept, F.posexplode(found).alias("chunk_index", "memory")).select(*kept, "chunk_index", "memory.*")
+    return posexplode_rows(df, found, "chunk_index", "memory", *kept).select(*kept, "chunk_index", "memory.*")

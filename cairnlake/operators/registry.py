@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnlake.functions import lexicons as lex
+from cairnlake.functions.partitions import explode_rows, keep_wide
 from cairnlake.functions.text import half_even, is_blank, let
 
 
@@ -129,7 +130,7 @@ def lookup(
     if contexts is None:
         judged = found.withColumn("_verdict", F.lit(None).cast("struct<type:string,confidence:double>"))
     else:
-        asked = found.where("_doubtful").select("context_id", "_key").distinct()
+        asked = keep_wide(found.where("_doubtful").select("context_id", "_key").distinct(), "context_id")
         texts = contexts.where(~is_blank(F.col("context")))
         verdicts = asked.join(texts, "context_id").select(
             "context_id", "_key", disambiguate(F.col("_key"), F.col("context")).alias("_verdict")
@@ -162,16 +163,14 @@ def people_in_queries(queries: DataFrame, people: DataFrame, ambiguous: DataFram
         .join(flagged, "_key", "left")
         .select("ord", "name", "_key", "_word", F.coalesce("_flag", F.lit(False)).alias("_flag"), (F.col("_key") != F.col("_word")).alias("_long"))
     )
-    asked = queries.select(
-        "query_id",
-        F.explode(F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit(first_word), F.lit(0)))).alias("_word"),
-    )
+    words = F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit(first_word), F.lit(0)))
+    asked = explode_rows(queries, words, "_word", "query_id")
     met = asked.join(names, "_word").drop("_word")
     open_question = F.col("_flag") | F.col("_long")
     lowered = F.lower("query")
     whole = ~F.col("_long") | F.rlike(lowered, F.concat(F.lit(r"(?U)\b\Q"), F.col("_key"), F.lit(r"\E\b")))
     person = ~F.col("_flag") | F.coalesce(disambiguate(F.col("_key"), F.col("query"))["type"] == "person", F.lit(False))
-    verified = met.where(open_question).join(queries, "query_id").where(whole & person)
+    verified = keep_wide(met.where(open_question), "query_id").join(queries, "query_id").where(whole & person)
     columns = ["query_id", "name", "ord"]
     return (
         met.where(~open_question).select(columns).unionByName(verified.select(columns))
@@ -188,10 +187,8 @@ def unknown_words(
     common_words: Iterable[str] = lex.COMMON_WORDS,
 ) -> DataFrame:
     """Distinct capitalised words of ``(query_id, query)`` that no table knows."""
-    words = queries.select(
-        "query_id",
-        F.explode(F.array_distinct(F.regexp_extract_all("query", F.lit(r"(?U)\b[A-Z][a-z]{2,15}\b"), F.lit(0)))).alias("word"),
-    ).where(~F.lower("word").isin(list(common_words)))
+    capitalized = F.array_distinct(F.regexp_extract_all("query", F.lit(r"(?U)\b[A-Z][a-z]{2,15}\b"), F.lit(0)))
+    words = explode_rows(queries, capitalized, "word", "query_id").where(~F.lower("word").isin(list(common_words)))
     known = (
         people.select(F.explode(F.concat(F.array("name"), "aliases")).alias("name"))
         .unionByName(projects.select("name"))

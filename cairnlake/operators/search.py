@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from cairnlake.functions.arrays import containment
 from cairnlake.functions.params import DUPLICATE_THRESHOLD, SEARCH_LIMIT, clamp_positive, clamp_threshold
-from cairnlake.functions.text import basename, ellipsis, half_even, one_line, token_set, trim
+from cairnlake.functions.partitions import explode_rows
+from cairnlake.functions.text import basename, ellipsis, half_even, one_line, token_set, tokens, trim
 
 DUPLICATE_MATCHES = 5
 
@@ -38,12 +39,11 @@ def lexical_search(
     A query without tokens matches every drawer with similarity zero.
     """
     wanted = query_tokens(query)
-    scored = get_drawers(drawers, wing, room).withColumn("similarity", containment(wanted, token_set(F.col("text"))))
-    return (
-        scored.where((F.col("similarity") > 0) | (F.size(wanted) == 0))
-        .orderBy(F.desc("similarity"), "source_file", "id")
-        .limit(limit)
-    )
+    scored = get_drawers(drawers, wing, room).withColumn("similarity", containment(wanted, tokens(F.col("text"))))
+    # The best rows come first, so dropping the misses after the limit gives the same
+    # result and the score is computed once per row.
+    best = scored.orderBy(F.desc("similarity"), "source_file", "id").limit(limit)
+    return best.where((F.col("similarity") > 0) | (F.size(wanted) == 0))
 
 
 def search_memories(
@@ -88,10 +88,10 @@ def check_duplicate(drawers: DataFrame, content: str, threshold: float = DUPLICA
     """Stored drawers that contain at least ``threshold`` of the tokens of ``content``."""
     wanted = query_tokens(content)
     return (
-        drawers.withColumn("score", containment(wanted, token_set(F.col("text"))))
-        .where(F.col("score") >= clamp_threshold(threshold))
+        drawers.withColumn("score", containment(wanted, tokens(F.col("text"))))
         .orderBy(F.desc("score"), "id")
         .limit(DUPLICATE_MATCHES)
+        .where(F.col("score") >= clamp_threshold(threshold))
         .select("id", "wing", "room", half_even(F.col("score"), 3).alias("similarity"), ellipsis(F.col("text"), 200, 200).alias("content"))
     )
 
@@ -110,12 +110,10 @@ def containment_join(
     """
     if threshold <= 0:
         raise ValueError("containment_join needs a positive threshold")
-    wanted = queries.select("query_id", token_set(F.col("query")).alias("query_tokens")).where(
-        F.size("query_tokens") > 0
-    )
+    wanted = queries.select("query_id", token_set(F.col("query")).alias("query_tokens"))
     stored = drawers.select("id", token_set(F.col("text")).alias("tokens"))
-    postings = stored.select("id", F.explode("tokens").alias("token"))
-    lookups = wanted.select("query_id", F.size("query_tokens").alias("n"), F.explode("query_tokens").alias("token"))
+    postings = explode_rows(stored, F.col("tokens"), "token", "id")
+    lookups = explode_rows(wanted, F.col("query_tokens"), "token", "query_id", F.size("query_tokens").alias("n"))
 
     frequency = (
         postings.join(lookups.select("token").distinct(), "token", "left_semi")

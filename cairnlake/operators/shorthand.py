@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnlake.functions import lexicons as lex
-from cairnlake.functions.text import estimated_tokens, half_even, is_blank, let, stem, string_array, trim
+from cairnlake.functions.text import estimated_tokens, half_even, is_blank, let, stem, trim
 
 # Short description of the notation for readers of compressed text.
 NOTATION = (
@@ -28,9 +28,9 @@ def entity_codes(
     """
     words = F.split(trim(text), r"(?U)\s+", -1)
     clean = F.transform(words, lambda word, i: F.when(i > 0, F.regexp_replace(word, "[^a-zA-Z]", "")))
-    stop = string_array(lex.SHORTHAND_STOPWORDS)
     names = F.filter(
-        clean, lambda word: word.isNotNull() & word.rlike("^[A-Z][a-z]+$") & ~F.array_contains(stop, F.lower(word))
+        clean,
+        lambda word: word.isNotNull() & word.rlike("^[A-Z][a-z]+$") & ~F.lower(word).isin(lex.SHORTHAND_STOPWORDS),
     )
     guessed = F.slice(F.array_distinct(F.transform(names, lambda word: F.upper(F.substring(word, 1, 3)))), 1, 3)
     configured = [
@@ -51,7 +51,6 @@ def entity_codes(
 
 def topics(text: Column, stopwords: list[str] = lex.SHORTHAND_STOPWORDS, limit: int = 3) -> Column:
     """Heaviest words: one point per use, two more per capitalised use and per joined or camel-case use."""
-    stop = string_array(stopwords)
     weighted = F.transform(
         F.regexp_extract_all(text, F.lit("[a-zA-Z][a-zA-Z_-]{2,}"), F.lit(0)),
         lambda word: F.struct(
@@ -63,7 +62,7 @@ def topics(text: Column, stopwords: list[str] = lex.SHORTHAND_STOPWORDS, limit:
             ).alias("weight"),
         ),
     )
-    useful = F.array_sort(F.filter(weighted, lambda w: ~F.array_contains(stop, w["word"])))
+    useful = F.array_sort(F.filter(weighted, lambda w: ~w["word"].isin(stopwords)))
 
     def rank(ordered: Column) -> Column:
         # Equal words are adjacent, so a word's weight is the sum over one run.

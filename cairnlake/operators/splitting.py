@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairnlake.functions import lexicons as lex
 from cairnlake.functions.arrays import groups_from, positions
+from cairnlake.functions.partitions import posexplode_rows
 from cairnlake.functions.text import let, lines_of, stem, string_array, trim
 
 # Fixed rules.
@@ -105,10 +106,10 @@ def split_sessions(
     # A trailing line break ends the last line, it does not open another.
     lines = lines_of(F.regexp_replace("content", r"\r?\n\z", ""))
     cut = files.select("path", F.transform(lines, lambda line: F.rtrim(line, F.lit("\r"))).alias("lines"))
-    found = cut.withColumn("starts", session_starts(F.col("lines"), mark)).where(F.size("starts") >= min_sessions)
-    sessions = found.select(
-        "path", F.size("starts").alias("sessions_found"), F.posexplode(groups_from(F.col("lines"), F.col("starts"))).alias("i", "part")
-    ).where(F.size("part") >= min_lines)
+    found = cut.withColumn("starts", session_starts(F.col("lines"), mark))
+    parts = F.when(F.size("starts") >= min_sessions, groups_from(F.col("lines"), F.col("starts")))
+    opened = F.size("starts").alias("sessions_found")
+    sessions = posexplode_rows(found, parts, "i", "part", "path", opened).where(F.size("part") >= min_lines)
     named = sessions.withColumn("people", session_people(F.col("part"), people, usernames))
     return named.select(
         "path",

@@ -12,6 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairnlake.functions.partitions import keep_wide
 from cairnlake.functions.text import is_blank, let, lines_of, trim
 from cairnlake.operators.spelling import correct_text, correct_transcript, quote_lines
 
@@ -80,19 +81,19 @@ def _json_lines(content: Column) -> Column:
     return F.filter(F.transform(lines, F.try_parse_json), _is_object)
 
 
-def typed_lines_messages(content: Column) -> Column:
-    """JSON lines ``{type: human|user|assistant, message: {content}}``."""
+def typed_lines_messages(entries: Column) -> Column:
+    """JSON line objects ``{type: human|user|assistant, message: {content}}``."""
 
     def read(entry: Column) -> Column:
         kind = _string(entry, "$.type")
         role = F.when(kind.isin("human", "user"), "user").when(kind == "assistant", "assistant")
         return _message(role, content_text(_field(entry, "$.message.content")))
 
-    return _at_least_two(_usable(F.transform(_json_lines(content), read)))
+    return let(_usable(F.transform(entries, read)), _at_least_two)
 
 
-def event_lines_messages(content: Column) -> Column:
-    """JSON lines with a ``session_meta`` line and ``event_msg`` payloads."""
+def event_lines_messages(entries: Column) -> Column:
+    """JSON line objects with a ``session_meta`` line and ``event_msg`` payloads."""
 
     def read(entry: Column) -> Column:
         kind = _string(entry, "$.payload.type")
@@ -100,11 +101,8 @@ def event_lines_messages(content: Column) -> Column:
         event = _string(entry, "$.type") == "event_msg"
         return _message(F.when(event, role), trim(F.coalesce(_string(entry, "$.payload.message"), F.lit(""))))
 
-    def with_meta(entries: Column) -> Column:
-        opened = F.exists(entries, lambda e: F.coalesce(_string(e, "$.type") == "session_meta", F.lit(False)))
-        return F.when(opened, _at_least_two(_usable(F.transform(entries, read))))
-
-    return let(_json_lines(content), with_meta)
+    opened = F.exists(entries, lambda e: F.coalesce(_string(e, "$.type") == "session_meta", F.lit(False)))
+    return F.when(opened, let(_usable(F.transform(entries, read)), _at_least_two))
 
 
 def role_list_messages(data: Column) -> Column:
@@ -128,7 +126,7 @@ def role_list_messages(data: Column) -> Column:
         )
         return F.transform(F.when(nested, inner).otherwise(items), read)
 
-    return _at_least_two(_usable(let(root, collect)))
+    return let(_usable(let(root, collect)), _at_least_two)
 
 
 def node_tree_messages(content: Column) -> Column:
@@ -167,7 +165,7 @@ def node_tree_messages(content: Column) -> Column:
         return let(F.try_parse_json(F.try_element_at(nodes, key)["message"]), parsed)
 
     found = let(mapping, lambda nodes: F.transform(walk(nodes), lambda key: read(nodes, key)))
-    return _at_least_two(F.filter(found, lambda m: m["role"].isNotNull() & (m["text"] != "")))
+    return let(F.filter(found, lambda m: m["role"].isNotNull() & (m["text"] != "")), _at_least_two)
 
 
 def channel_messages(data: Column) -> Column:
@@ -186,18 +184,19 @@ def channel_messages(data: Column) -> Column:
         F.transform(_items(data), read), lambda m: ~is_blank(m["speaker"]) & ~is_blank(m["text"])
     )
 
-    def assign(rows: Column) -> Column:
-        order = F.transform(rows, lambda m: m["speaker"])
-
+    def roles_of(order: Column) -> Column:
         def add(roles: Column, speaker: Column) -> Column:
             before = F.get(order, (F.array_position(order, speaker) - 2).cast("int"))
             role = F.when(F.try_element_at(roles, before) == "user", "assistant").otherwise("user")
             return F.map_concat(roles, F.create_map(speaker, role))
 
-        roles = F.aggregate(F.array_distinct(order), F.create_map().cast("map<string,string>"), add)
+        return F.aggregate(F.array_distinct(order), F.create_map().cast("map<string,string>"), add)
+
+    def assign(rows: Column) -> Column:
+        roles = let(F.transform(rows, lambda m: m["speaker"]), roles_of)
         return let(roles, lambda r: F.transform(rows, lambda m: _message(F.try_element_at(r, m["speaker"]), m["text"])))
 
-    return _at_least_two(let(said, assign))
+    return let(let(said, assign), _at_least_two)
 
 
 def messages_to_transcript(messages: Column, known_names: Iterable[str] = ()) -> Column:
@@ -224,18 +223,17 @@ def normalize_content(content: Column, extension: Column | None = None, known_na
     suffix = F.lower(extension) if extension is not None else F.lit("")
     first = F.substring(trim(content), 1, 1)
     looks_json = suffix.isin(".json", ".jsonl") | first.isin("{", "[")
-    parsed = F.coalesce(
-        typed_lines_messages(content),
-        event_lines_messages(content),
-        let(F.try_parse_json(content), role_list_messages),
-        node_tree_messages(content),
-        let(F.try_parse_json(content), channel_messages),
+    entries = _json_lines(content)
+    by_line = let(entries, lambda e: F.coalesce(typed_lines_messages(e), event_lines_messages(e)))
+    by_document = let(
+        F.try_parse_json(content),
+        lambda data: F.coalesce(role_list_messages(data), node_tree_messages(content), channel_messages(data)),
     )
-    from_json = let(parsed, lambda found: messages_to_transcript(found, names))
+    rendered = let(F.coalesce(by_line, by_document), lambda found: messages_to_transcript(found, names))
     return (
         F.when(is_blank(content), content)
         .when(quote_lines(content) >= 3, correct_transcript(content, names))
-        .when(looks_json, F.coalesce(F.when(~is_blank(from_json), from_json), content))
+        .when(looks_json, let(rendered, lambda text: F.when(is_blank(text), content).otherwise(text)))
         .otherwise(content)
     )
 
@@ -250,7 +248,7 @@ def normalize(files: DataFrame, known_names: Iterable[str] = ()) -> DataFrame:
 def conversation_messages(messages: DataFrame) -> DataFrame:
     """Message rows gathered per conversation in turn order."""
     ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    return messages.groupBy("conv_id").agg(
+    return keep_wide(messages, "conv_id").groupBy("conv_id").agg(
         F.transform(ordered, lambda m: _message(m["role"], m["text"])).alias("messages")
     )
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnlake.functions import text as tx
+from cairnlake.functions.partitions import explode_rows
 from cairnlake.operators import (
     chunking,
     entities,
@@ -362,8 +363,8 @@ def _registry(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, D
     )
     aliases = people.where(F.length("name") == 2).select(F.concat("name", F.lit("eth")).alias("alias"), "name")
     seeded = registry.seed_people(people, aliases)
-    documents = src.table(spark, folder, "documents")
-    projects = documents.select(F.initcap(F.regexp_extract("text", r"(\w+)\.\s*$", 1)).alias("name")).where(
+    documents = src.texts(spark, folder, "documents")
+    projects = documents.select(F.initcap(F.regexp_extract("text", r"(?<!\w)(\w++)\.\s*$", 1)).alias("name")).where(
         F.col("name").rlike("^[A-Z][a-z]{2,6}$")
     ).groupBy("name").agg(F.count("*").alias("ord"))
     research = documents.select(F.initcap(F.regexp_extract("text", r"^\w+ (\w+)", 1)).alias("word")).where(
@@ -387,7 +388,7 @@ def registry_people(spark: SparkSession, folder: str) -> DataFrame:
 def registry_lookup(spark: SparkSession, folder: str) -> DataFrame:
     docs = src.texts(spark, folder, "documents")
     capitalized = F.regexp_extract_all("text", F.lit(r"(?U)\b[A-Z][a-z]{1,19}\b"), F.lit(0))
-    words = docs.select(F.col("doc_id").alias("context_id"), F.explode(F.array_distinct(capitalized)).alias("word"))
+    words = explode_rows(docs, F.array_distinct(capitalized), "word", F.col("doc_id").alias("context_id"))
     contexts = docs.select(F.col("doc_id").alias("context_id"), F.col("text").alias("context"))
     found = registry.lookup(words, *_registry(spark, folder), contexts=contexts, common_words=COMMON)
     return found.select(F.col("context_id").alias("doc_id"), "word", "type", F.round("confidence", 4).alias("confidence"), "source", "name")

@@ -10,22 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnlake.functions import text as tx
+from cairnlake.functions.partitions import spread
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small scan one partition per core before expensive text work.
-
-    A scan that already has as many partitions as the cluster has cores, as any large
-    one, is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table whose text columns are about to be processed."""
     return spread(table(spark, folder, name))
