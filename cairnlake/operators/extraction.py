@@ -68,8 +68,12 @@ def prose(text: Column) -> Column:
 
     Cutting at the fence lines leaves the parts outside fences at the even places.
     """
-    parts = F.split(text, r"(?m)^[^\S\n]*```[^\n]*$", -1)
-    outside = F.filter(F.transform(parts, lambda part, i: F.when(i % 2 == 0, part)), lambda part: part.isNotNull())
+    parts = F.split(text, r"(?m)^[^\S\n]*```[^\n]*(?:\n|\z)", -1)
+    # A part that a fence closes ends with the line break of its last line.
+    outside = F.filter(
+        F.transform(parts, lambda part, i: F.when(i % 2 == 0, F.regexp_replace(part, r"\n\z", ""))),
+        lambda part: part.isNotNull() & (part != ""),
+    )
     kept = F.filter(F.flatten(F.transform(outside, lines_of)), lambda line: ~is_code_line(line))
     return let(trim(F.array_join(kept, "\n")), lambda found: F.when(F.length(found) > 0, found).otherwise(text))
 

@@ -96,7 +96,7 @@ def timeline(triples: DataFrame, entities: DataFrame, entity: str | None = None,
     for side in ("subject", "object"):
         facts = facts.join(known.withColumnRenamed("id", side), side, "left_semi")
     order = [F.asc_nulls_last("valid_from"), F.asc("subject"), F.asc("predicate"), F.asc("object")]
-    return _shown(_named(facts.orderBy(*order).limit(limit), entities))
+    return _shown(_named(facts.orderBy(*order).limit(limit), entities).orderBy(*order))
 
 
 def stats(triples: DataFrame, entities: DataFrame) -> DataFrame:

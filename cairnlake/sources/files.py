@@ -2,40 +2,84 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import os
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairnlake.functions import lexicons as lex
+from cairnlake.functions.partitions import keep_wide
 from cairnlake.functions.text import trim
+from cairnlake.session import cut_lineage
 
 # Fixed value: larger project files are not read.
 MAX_PROJECT_BYTES = 10 * 1024 * 1024
 IGNORE_FILE = ".gitignore"
 
 
-def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """``(path, absolute_path, size, mtime)`` below a folder, path relative to it.
+def _file_system(folder: str) -> tuple[fs.FileSystem, str]:
+    """File system and root of a path or URI; runs inside tasks."""
+    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), os.path.abspath(folder))
 
-    Only file status columns are selected, so no content is read.
-    """
-    root = folder.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    absolute = F.regexp_replace("path", r"^file:/*", "/")
-    relative = F.element_at(F.split(absolute, f"\\Q{root}\\E/", 2), 2)
-    return files.select(
-        relative.alias("path"), absolute.alias("absolute_path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime")
-    )
 
+def list_files(
+    spark: SparkSession, folder: str, pruned: Iterable[str] = (), kept: Iterable[str] = ()
+) -> DataFrame:
+    """``(path, absolute_path, size, mtime)`` of all files below a folder, path relative to it.
 
-def read_contents(spark: SparkSession, folder: str, paths: DataFrame) -> DataFrame:
-    """Add ``content`` to listed files; a leading byte order mark is dropped."""
-    root = folder.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    content = F.regexp_replace(F.decode("content", "utf-8"), "^﻿", "")
-    texts = files.select(F.regexp_replace("path", r"^file:/*", "/").alias("absolute_path"), content.alias("content"))
-    return paths.join(texts, "absolute_path")
+    Hidden files count, symbolic links do not. The tree is listed level by level, the
+    folders of a level in parallel; a folder named in ``pruned`` is not entered unless
+    it lies on the way to or below one of ``kept``.
+    """
+    pruned, kept = list(pruned), list(kept)
+
+    def children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, root = _file_system(folder)
+        for batch in batches:
+            rows = []
+            for parent in batch["path"]:
+                base = f"{root}/{parent}" if parent else root
+                for info in system.get_file_info(fs.FileSelector(base)):
+                    if isinstance(system, fs.LocalFileSystem) and os.path.islink(info.path):
+                        continue
+                    name = f"{parent}/{info.base_name}" if parent else info.base_name
+                    is_folder = info.type == fs.FileType.Directory
+                    rows.append((name, info.path, is_folder, info.size or 0, (info.mtime_ns or 0) // 1_000_000))
+            yield pd.DataFrame(rows, columns=["path", "absolute_path", "is_folder", "size", "mtime"])
+
+    schema = "path string, absolute_path string, is_folder boolean, size long, mtime long"
+    level = spark.createDataFrame([("",)], "path string")
+    levels: list[DataFrame] = []
+    name = F.substring_index("path", "/", -1)
+    skipped = (name.isin(pruned) | name.endswith(".egg-info")) & ~included(F.col("path"), kept)
+    while True:
+        listed = cut_lineage(level.mapInPandas(children, schema))
+        levels.append(listed.where(~F.col("is_folder")).drop("is_folder"))
+        level = listed.where(F.col("is_folder") & (~skipped if pruned else F.lit(True))).select("path")
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, levels)
+        level = keep_wide(level, "path")
+
+
+def read_contents(folder: str, paths: DataFrame) -> DataFrame:
+    """Add ``content`` to listed files, read inside the tasks; a leading byte order mark is dropped."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, _ = _file_system(folder)
+        for batch in batches:
+            # One file at a time leaves the task, so a batch of large files is never held whole.
+            for _, row in batch.iterrows():
+                with system.open_input_stream(row["absolute_path"]) as stream:
+                    text = stream.read().decode("utf-8", errors="replace")
+                yield pd.DataFrame([{**row, "content": text.removeprefix("\ufeff")}])
+
+    schema = T.StructType([*paths.schema.fields, T.StructField("content", T.StringType())])
+    return keep_wide(paths, "absolute_path").mapInPandas(read, schema)
 
 
 def _folders(path: Column) -> Column:
@@ -159,13 +203,14 @@ def scan_project(
     spark: SparkSession, folder: str, respect_ignore: bool = True, force_included: Iterable[str] = ()
 ) -> DataFrame:
     """Project files of a folder with the ignore files found in it."""
-    listed = list_files(spark, folder)
+    forced = [part.strip().strip("/") for part in force_included if part.strip().strip("/")]
+    listed = list_files(spark, folder, lex.SKIPPED_FOLDERS, forced)
     rules = None
     if respect_ignore:
         found = listed.where(F.substring_index("path", "/", -1) == IGNORE_FILE)
         holder = F.array_join(_folders(F.col("path")), "/")
-        rules = ignore_rules(read_contents(spark, folder, found).select(holder.alias("folder"), "content"))
-    return project_files(listed, rules, force_included)
+        rules = ignore_rules(read_contents(folder, found).select(holder.alias("folder"), "content"))
+    return project_files(listed, rules, forced)
 
 
 def read_sessions(spark: SparkSession, folder: str) -> DataFrame:

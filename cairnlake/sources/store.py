@@ -52,15 +52,16 @@ class Collections:
         self._shaped(fresh).write.insertInto(self.name(collection))
 
     def replace(self, collection: str, drawers: DataFrame) -> None:
-        """Write a whole new version beside the table, then swap the names."""
-        fresh, old = f"{collection}__next", f"{collection}__old"
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name(fresh)}")
-        self._shaped(drawers).write.partitionBy("wing").format("parquet").saveAsTable(self.name(fresh))
-        if self.exists(collection):
-            self.spark.sql(f"DROP TABLE IF EXISTS {self.name(old)}")
-            self.spark.sql(f"ALTER TABLE {self.name(collection)} RENAME TO {self.name(old)}")
-        self.spark.sql(f"ALTER TABLE {self.name(fresh)} RENAME TO {self.name(collection)}")
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name(old)}")
+        """Replace all rows. They are written to a side table first, as they usually derive from the old ones.
+
+        If the overwrite is lost half-way, the side table still holds the whole new version.
+        """
+        self.ensure(collection)
+        side = self.name(f"{collection}__next")
+        self.spark.sql(f"DROP TABLE IF EXISTS {side}")
+        self._shaped(drawers).write.format("parquet").saveAsTable(side)
+        self.spark.table(side).write.insertInto(self.name(collection), overwrite=True)
+        self.spark.sql(f"DROP TABLE {side}")
 
     def delete(self, collection: str, ids: DataFrame) -> None:
         self.replace(collection, mutations.delete_ids(self.read(collection), ids))
