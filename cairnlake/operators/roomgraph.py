@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairnlake.functions.arrays import last_n
 from cairnlake.functions.params import HOPS_LIMIT, clamp_positive
 from cairnlake.functions.text import is_blank
 from cairnlake.session import cut_lineage
@@ -25,27 +26,25 @@ def graph_rows(drawers: DataFrame) -> DataFrame:
 def room_nodes(drawers: DataFrame) -> DataFrame:
     """``(room, wings, halls, n, dates, first_id)`` with sorted distinct arrays, dates cut to the last five.
 
-    ``first_id`` is the smallest drawer id and stands for discovery order.
+    ``first_id`` is the smallest drawer id and stands for discovery order. One scan feeds
+    a combined count per room, wing, hall and day; a room then holds only its distinct
+    names and calendar days.
     """
-    rows = graph_rows(drawers)
-    nodes = rows.groupBy("room").agg(
-        F.array_sort(F.collect_set("wing")).alias("wings"),
-        F.array_sort(F.collect_set(F.when(~is_blank(F.col("hall")), F.col("hall")))).alias("halls"),
-        F.count("*").alias("n"),
-        F.min("id").alias("first_id"),
+    combined = (
+        graph_rows(drawers)
+        .groupBy("room", "wing", "hall", "date")
+        .agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
     )
-    newest = F.row_number().over(Window.partitionBy("room").orderBy(F.desc("date")))
-    dates = (
-        rows.where(~is_blank(F.col("date")))
-        .select("room", "date")
-        .distinct()
-        .withColumn("age", newest)
-        .where(F.col("age") <= RECENT_DATES)
-        .groupBy("room")
-        .agg(F.array_sort(F.collect_list("date")).alias("dates"))
-    )
-    return nodes.join(dates, "room", "left").withColumn(
-        "dates", F.coalesce("dates", F.array().cast("array<string>"))
+
+    def distinct(column: str) -> Column:
+        return F.array_sort(F.collect_set(F.when(~is_blank(F.col(column)), F.col(column))))
+
+    return combined.groupBy("room").agg(
+        distinct("wing").alias("wings"),
+        distinct("hall").alias("halls"),
+        F.sum("n").alias("n"),
+        last_n(distinct("date"), RECENT_DATES).alias("dates"),
+        F.min("first_id").alias("first_id"),
     )
 
 

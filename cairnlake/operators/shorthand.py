@@ -189,10 +189,9 @@ def assign_codes(names: list[str]) -> dict[str, str]:
         if not name or name in codes:
             continue
         taken = set(codes.values())
-        width = min(len(name), 3)
-        code = name[:width].upper()
-        while code in taken and width < len(name):
-            width += 1
-            code = name[:width].upper()
-        codes[name] = f"{code}{len(codes) + 1}" if code in taken else code
+        # Three letters, then longer beginnings; the whole of a long name is not tried.
+        widest = max(len(name) - 1, min(len(name), 4))
+        options = [name[:width].upper() for width in (3, *range(min(len(name), 4), widest + 1))]
+        free = [code for code in options if code not in taken]
+        codes[name] = free[0] if free else f"{options[-1]}{len(codes) + 1}"
     return codes

@@ -213,6 +213,11 @@ def scan_project(
     return project_files(listed, rules, forced)
 
 
+def write_sessions(sessions: DataFrame, folder: str) -> None:
+    """Write each split session as text below a folder named after its file name."""
+    sessions.select("file_name", "content").write.mode("overwrite").partitionBy("file_name").text(folder)
+
+
 def read_sessions(spark: SparkSession, folder: str) -> DataFrame:
     """Top-level text files as ``(path, content)``."""
     texts = spark.read.text(f"{folder.rstrip('/')}/*.txt", wholetext=True)
