@@ -131,10 +131,13 @@ def containment_join(
     )
     salted = postings.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
     pairs = probes.join(salted, ["token", "salt"]).select("query_id", "id").distinct()
+    # Only drawers with a candidate query are read and tokenised for the full score.
+    candidates = drawers.select("id", "text").join(pairs.select("id").distinct(), "id", "left_semi")
+    verified = candidates.select("id", tokens(F.col("text")).alias("tokens"))
     score = containment(F.col("query_tokens"), F.col("tokens"))
     return (
         pairs.join(wanted, "query_id")
-        .join(stored, "id")
+        .join(verified, "id")
         .select("query_id", "id", score.alias("score"))
         .where(F.col("score") >= threshold)
     )

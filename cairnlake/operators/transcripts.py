@@ -12,11 +12,13 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairnlake.functions.ordered import next_value
 from cairnlake.functions.partitions import keep_wide
 from cairnlake.functions.text import is_blank, let, lines_of, trim
 from cairnlake.operators.spelling import correct_text, correct_transcript, quote_lines
 
 MAX_FILE_BYTES = 500 * 1024 * 1024
+TURN_BLOCK = 4096
 MESSAGES = "array<struct<role:string,text:string>>"
 # Fixed value: marks a message that only carries a command.
 COMMAND_MARK = "<command-message>"
@@ -245,8 +247,29 @@ def normalize(files: DataFrame, known_names: Iterable[str] = ()) -> DataFrame:
     return accepted.withColumn("transcript", normalize_content(F.col("content"), extension, known_names))
 
 
-def conversation_messages(messages: DataFrame) -> DataFrame:
-    """Message rows gathered per conversation in turn order."""
+def transcript_lines(messages: DataFrame) -> DataFrame:
+    """Transcript of message rows, turn by turn: ``(conv_id, turn, line)``.
+
+    Joined in turn order, without the last line break, the lines are the transcript.
+    Nothing is gathered, so this form suits conversations of any length.
+    """
+    block = F.floor(F.col("turn") / TURN_BLOCK)
+    following = next_value(messages, ["conv_id"], ["turn"], block, "role", "_next_role")
+    user = F.col("role") == "user"
+    paired = user & F.coalesce(F.col("_next_role") == "assistant", F.lit(False))
+    said = F.when(user, F.concat(F.lit("> "), correct_text(F.col("text")))).otherwise(F.col("text"))
+    return following.select("conv_id", "turn", F.concat(said, F.when(paired, "\n").otherwise("\n\n")).alias("line"))
+
+
+def conversation_messages(messages: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """Message rows gathered per conversation in turn order.
+
+    A conversation becomes one row, so one above the size limit of a transcript file is
+    rejected like such a file; sizes are summed before anything is gathered.
+    """
+    sizes = messages.groupBy("conv_id").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    accepted = sizes.where(F.col("bytes") <= max_bytes).select("conv_id")
+    messages = messages.join(accepted, "conv_id", "left_semi")
     ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
     return keep_wide(messages, "conv_id").groupBy("conv_id").agg(
         F.transform(ordered, lambda m: _message(m["role"], m["text"])).alias("messages")

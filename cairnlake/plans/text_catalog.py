@@ -175,6 +175,11 @@ def transcript_render(spark: SparkSession, folder: str) -> DataFrame:
     return gathered.select("conv_id", transcripts.messages_to_transcript(F.col("messages")).alias("transcript"))
 
 
+@query
+def transcript_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return transcripts.transcript_lines(src.messages(spark, folder))
+
+
 @query
 def transcript_normalize(spark: SparkSession, folder: str) -> DataFrame:
     normal = transcripts.normalize(_raw_files(spark, folder))

@@ -99,6 +99,8 @@ rendered AS (SELECT conv_id, any_value(n) AS n, string_agg(CASE WHEN role = 'use
         CASE WHEN role = 'user' AND next_role = 'assistant' THEN chr(10) ELSE chr(10) || chr(10) END, '' ORDER BY turn) AS t FROM m GROUP BY 1),
 transcripts AS (SELECT conv_id, n, t[:-2] AS transcript FROM rendered)"""
 ORACLES["transcript_render"] = f"WITH {MESSAGES.strip()} SELECT conv_id, transcript FROM transcripts"
+ORACLES["transcript_lines"] = f"""WITH {MESSAGES.strip()} SELECT conv_id, turn, CASE WHEN role = 'user' THEN '> ' || text ELSE text END ||
+CASE WHEN role = 'user' AND next_role = 'assistant' THEN chr(10) ELSE chr(10) || chr(10) END AS line FROM m"""
 ORACLES["transcript_normalize"] = f"WITH {MESSAGES.strip()} SELECT conv_id, transcript FROM transcripts WHERE n >= 2"
 ORACLES["turn_pairs"] = f"""WITH {MESSAGES.strip()} SELECT conv_id, turn, text AS question,
 CASE WHEN next_role = 'assistant' THEN next_text ELSE '' END AS answer FROM m WHERE role = 'user'"""
