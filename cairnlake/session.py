@@ -42,6 +42,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(configured)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder under the checkpoint folder for tables that a job writes and reads again."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Persist ``df`` in the reliable checkpoint folder so later rounds do not replay its plan."""
     ensure_checkpoint_dir(df.sparkSession)
