@@ -4,16 +4,53 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlake.llm import lines, mixing
+from cairnlake.llm import bpe, digests, lines, mixing, personal, secrets
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = F.col("_spans")
+    base = F.filter(found, lambda s: s["kind"].isin(*secrets.KINDS))
+    return secrets.find_secrets(docs, secrets.learn_formats(docs)).select(
+        "doc_id",
+        *[secrets.count_of(found, kind).alias(f"n_{kind}") for kind in secrets.KINDS],
+        F.sha2(personal.joined(base), 256).alias("base_sha256"),
+        personal.joined(found).alias("spans"),
+    )
+
+
+def op3_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = F.col("_spans")
+    return personal.find_personal(docs).select(
+        "doc_id",
+        *[F.size(personal.of_kinds(found, kind)).cast("long").alias(f"n_{kind}") for kind in personal.BASE_KINDS],
+        F.sha2(personal.joined(personal.of_kinds(found, *personal.BASE_KINDS)), 256).alias("base_sha256"),
+        personal.joined(found).alias("spans"),
+    )
+
+
+def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return bpe.encode(docs, VOCABULARY).select(
+        "doc_id",
+        F.col("_n_tokens").alias("n_tokens"),
+        F.sha2(F.col("_ids"), 256).alias("ids_sha256"),
+        F.sha2(F.col("_decoded"), 256).alias("decoded_sha256"),
+    )
+
+
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return lines.dedup_lines(docs, min_docs=10, min_chars=1).select(
@@ -24,6 +61,23 @@ def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    ordered = digests.with_next(digests.fingerprints(docs), ["text", "_print"])
+    changed = ordered.withColumn("_edited", digests.edited(F.col("text"), F.col("_next_text"))).withColumn(
+        "_edited_print", digests.fingerprint(F.col("_edited"))
+    )
+    return changed.select(
+        "doc_id",
+        F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"),
+        F.sha2(F.col("_edited"), 256).alias("edited_sha256"),
+        F.col("_print").alias("fingerprint"),
+        F.col("_edited_print").alias("edited_fingerprint"),
+        digests.closeness(F.col("_print"), F.col("_edited_print")).alias("near_edited"),
+        digests.closeness(F.col("_print"), F.col("_next__print")).alias("near_next"),
+    )
+
+
 def op8_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
     return mixing.plan_mix(docs).select(
@@ -36,6 +90,10 @@ def op8_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
+    "op3_personal_data": op3_personal_data,
+    "op4_bpe": op4_bpe,
     "op6_line_dedup": op6_line_dedup,
+    "op7_fingerprints": op7_fingerprints,
     "op8_source_mix": op8_source_mix,
 }
