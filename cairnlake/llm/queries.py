@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlake.llm import bpe, digests, lines, mixing, personal, secrets
+from cairnlake.llm import bpe, digests, lines, mixing, near_vectors, personal, secrets
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -89,6 +89,10 @@ def op8_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, folder, "embeddings"), cosine=0.98)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op3_personal_data": op3_personal_data,
@@ -96,4 +100,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_dedup": op6_line_dedup,
     "op7_fingerprints": op7_fingerprints,
     "op8_source_mix": op8_source_mix,
+    "op9_near_vectors": op9_near_vectors,
 }
