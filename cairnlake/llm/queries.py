@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlake.llm import bpe, digests, lines, mixing, near_vectors, personal, secrets
+from cairnlake.llm import bpe, digests, lines, mixing, near_texts, near_vectors, personal, quality, secrets
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -51,6 +51,14 @@ def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    model = quality.train(docs, table(spark, folder, "labels"))
+    return quality.score_documents(docs, model).select(
+        "doc_id", F.round("_score", 6).alias("score"), quality.accepted(F.col("_score")).alias("kept")
+    )
+
+
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return lines.dedup_lines(docs, min_docs=10, min_chars=1).select(
@@ -93,12 +101,23 @@ def op9_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors.near_vectors(table(spark, folder, "embeddings"), cosine=0.98)
 
 
+def op10_near_texts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    groups = near_texts.near_groups(docs).withColumnRenamed("doc_id", "_id")
+    group = F.coalesce("group_id", "doc_id")
+    return docs.select("doc_id").join(groups, F.col("doc_id") == F.col("_id"), "left").select(
+        "doc_id", group.alias("group_id"), F.coalesce(F.col("doc_id") == group, F.lit(True)).alias("kept")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op3_personal_data": op3_personal_data,
     "op4_bpe": op4_bpe,
+    "op5_quality": op5_quality,
     "op6_line_dedup": op6_line_dedup,
     "op7_fingerprints": op7_fingerprints,
     "op8_source_mix": op8_source_mix,
     "op9_near_vectors": op9_near_vectors,
+    "op10_near_texts": op10_near_texts,
 }
