@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,3 +53,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Persist ``df`` in the reliable checkpoint folder so later rounds do not replay its plan."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let the driver drop shuffle files of finished steps now instead of at its next periodic collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
