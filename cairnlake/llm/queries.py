@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlake.llm import bpe, digests, lines, mixing, near_texts, near_vectors, personal, quality, secrets
+from cairnlake.llm import bpe, digests, lines, mixing, near_texts, near_vectors, personal, quality, secrets, suffixes
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,6 +30,17 @@ def op1_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return suffixes.dedup_repeats(docs).select(
+        "doc_id",
+        F.col("_n_bytes").alias("n_bytes"),
+        F.col("_n_removed").alias("n_removed"),
+        F.size("_removed").cast("long").alias("n_spans"),
+        F.sha2(F.col("_kept"), 256).alias("kept_sha256"),
+    )
+
+
 def op3_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = F.col("_spans")
@@ -112,6 +123,7 @@ def op10_near_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_personal_data": op3_personal_data,
     "op4_bpe": op4_bpe,
     "op5_quality": op5_quality,
