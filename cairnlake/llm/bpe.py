@@ -10,7 +10,7 @@ file demands (BPE with word ends); tokens of the same word are encoded once per
 kept in a table of bounded size. Whole texts are encoded, whatever their length.
 
 Defined results: a null or empty text has no tokens and decodes to the empty text; other
-columns pass through untouched.
+columns pass through, but for those whose name starts with an underscore.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from cairnlake.llm.frames import plain
+
 #: Code points that Python lower-cases, composes and splits as the tokenizer's own rules do.
 UNUSUAL = re.compile("[^\\x00-\\x1b\\x20-\\u024f]")
 WHITE = re.compile(r"\s+")
@@ -198,7 +200,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         return pa.StructArray.from_arrays([ids, pa.array([row[1] for row in rows], pa.string())], ["ids", "decoded"])
 
     return (
-        docs.withColumn("_encoded", encoded(F.col("text")))
+        plain(docs)
+        .withColumn("_encoded", encoded(F.col("text")))
         .withColumn("_ids", F.col("_encoded.ids"))
         .withColumn("_decoded", F.col("_encoded.decoded"))
         .withColumn("_n_tokens", F.floor(F.length("_ids") / 4).cast("long"))

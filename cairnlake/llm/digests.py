@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cairnlake.llm.frames import plain
+
 BUCKETS = 128
 PATTERNS = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
 STEP = np.array([0, 1, 2, 6], dtype=np.int64)
@@ -90,7 +92,7 @@ def closeness(left: pa.Array, right: pa.Array) -> pa.Array:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``docs`` with the digest of each text as ``_print``."""
-    return docs.withColumn("_print", fingerprint(F.col("text")))
+    return plain(docs).withColumn("_print", fingerprint(F.col("text")))
 
 
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:

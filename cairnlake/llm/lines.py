@@ -8,7 +8,7 @@ whose key the runs settle leave every document.
 
 Defined results: a null or empty text is one empty line; keys shorter than ``min_chars``
 stay; each row counts as one document, also when ids repeat or are null; other columns
-pass through untouched; an empty table gives an empty result.
+pass through, but for those whose name starts with an underscore; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairnlake.llm.frames import plain
 from cairnlake.session import cut_lineage
 
 BLANK = " \t\n\x0b\x0c\r"
@@ -103,6 +104,7 @@ def dedup_lines(
     The hashes of frequent lines come back to a document as one short list keyed by its
     id; a list may hold lines of another row with that id, which are frequent as well.
     """
+    docs = plain(docs)
     runs = LineRuns(min_docs, min_chars, fanout)
     for part in batches_of(docs.select("doc_id", "text"), batches):
         runs.add(part)

@@ -6,7 +6,8 @@ more with a probability equal to the fraction, decided by a hash of its id.
 
 Defined results: a null or empty text has size 0 and takes nothing; null sources form one
 source, last in order; a source without any word has target 0; rows with one id share
-their decision; other columns pass through untouched; an empty table gives an empty mix.
+their decision; other columns pass through,
+but for those whose name starts with an underscore; an empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairnlake.llm.frames import plain
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -80,6 +83,7 @@ def chance(doc_id: Column, text: Column, seed: int) -> Column:
 
 def plan_mix(docs: DataFrame, seed: int = 7, **targets) -> DataFrame:
     """``docs`` with ``_size``, ``_source_size``, ``_target`` and the number of ``_copies`` the mix takes."""
+    docs = plain(docs)
     sized = docs.withColumn("_size", word_count(F.col("text"))).withColumn(
         "_chance", chance(F.col("doc_id"), F.col("text"), seed)
     )
@@ -100,6 +104,7 @@ def plan_mix(docs: DataFrame, seed: int = 7, **targets) -> DataFrame:
 
 def mix(docs: DataFrame, seed: int = 7, **targets) -> DataFrame:
     """The rows of the mix, with the columns of ``docs``: each document as often as it is taken."""
+    docs = plain(docs)
     planned = plan_mix(docs, seed, **targets).where(F.col("_copies") > 0)
     copies = F.explode(F.sequence(F.lit(1), F.col("_copies")))
     return planned.select(*[F.col(f"`{c}`") for c in docs.columns], copies.alias("_copy")).drop("_copy")

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnlake.llm.components import components
+from cairnlake.llm.frames import plain
 from cairnlake.llm.hashing import U, mix, shingles, word_hashes
 from cairnlake.session import cut_lineage
 
@@ -252,6 +253,7 @@ def near_groups(
 
 def mark_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with ``_group`` and ``_kept``; documents outside any group stand for themselves."""
+    docs = plain(docs)
     groups = near_groups(docs, **settings).select(F.col("doc_id").alias("_id"), F.col("group_id").alias("_group"))
     group = F.coalesce("_group", "doc_id")
     return (

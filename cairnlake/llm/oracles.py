@@ -81,4 +81,68 @@ WITH {MIX.format(docs="documents")}
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(copies * size AS BIGINT) AS taken FROM copied
 """
 
-ORACLES: dict[str, str] = {"op6_line_dedup": OP6, "op8_source_mix": OP8}
+REACH = """
+reach AS (
+    SELECT node, node AS other FROM nodes
+    UNION
+    SELECT reach.node, links.b AS other FROM reach JOIN links ON reach.other = links.a
+),
+parts AS (SELECT node, min(other) AS part FROM reach GROUP BY node)"""
+
+OP9 = f"""
+WITH RECURSIVE valid AS (
+    SELECT vec_id AS node, label, CAST(embedding AS DOUBLE[]) AS e
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+nodes AS (SELECT node FROM valid),
+links AS (
+    SELECT l.node AS a, r.node AS b
+    FROM valid l JOIN valid r ON l.label = r.label AND l.node <> r.node AND len(l.e) = len(r.e)
+    WHERE list_cosine_similarity(l.e, r.e) >= 0.98
+),{REACH},
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(part, vec_id) AS component_id,
+       coalesce(vec_id = coalesce(part, vec_id), false) AS kept
+FROM embeddings LEFT JOIN parts ON vec_id = parts.node LEFT JOIN counts ON vec_id = counts.a
+"""
+
+OP10 = f"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \\x09-\\x0D]+'), lambda w: w <> '') AS w
+    FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+),
+sequences AS (SELECT min(doc_id) AS node, w FROM words WHERE len(w) > 0 GROUP BY w),
+nodes AS (SELECT node FROM sequences),
+bags AS (
+    SELECT node, shingle, count(*) AS n
+    FROM (
+        SELECT node, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: w[i : i + 4])) AS shingle FROM sequences
+    )
+    GROUP BY node, shingle
+),
+sizes AS (SELECT node, sum(n) AS size FROM bags GROUP BY node),
+shared AS (
+    SELECT l.node AS a, r.node AS b, sum(least(l.n, r.n)) AS common
+    FROM bags l JOIN bags r ON l.shingle = r.shingle AND l.node <> r.node
+    GROUP BY l.node, r.node
+),
+links AS (
+    SELECT a, b FROM shared JOIN sizes sa ON sa.node = a JOIN sizes sb ON sb.node = b
+    WHERE 5 * common >= 4 * (sa.size + sb.size - common)
+),{REACH}
+SELECT d.doc_id, coalesce(part, d.doc_id) AS group_id, coalesce(d.doc_id = coalesce(part, d.doc_id), true) AS kept
+FROM documents d
+LEFT JOIN words USING (doc_id)
+LEFT JOIN sequences s ON s.w = words.w
+LEFT JOIN parts ON parts.node = s.node
+"""
+
+ORACLES: dict[str, str] = {
+    "op6_line_dedup": OP6,
+    "op8_source_mix": OP8,
+    "op9_near_vectors": OP9,
+    "op10_near_texts": OP10,
+}

@@ -7,8 +7,8 @@ isbn) lowers it. Emails, addresses, cards and phones that pass their rule are al
 bank accounts, national phone numbers and social security numbers must reach ``least``
 and may not overlap a kept span.
 
-Defined results: a null or empty text has no span; other columns, also clashing ones, pass
-through untouched; rows are judged one by one, so repeated rows repeat their result.
+Defined results: a null or empty text has no span; other columns pass through,
+but for those whose name starts with an underscore; rows are judged one by one, so repeated rows repeat their result.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnlake.llm import spans
+from cairnlake.llm.frames import plain
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 EXTRA_KINDS = ("iban", "ssn", "tel")
@@ -100,7 +101,7 @@ def find_personal(docs: DataFrame, reach: int = 40, least: float = 0.6) -> DataF
             ARROW_SPANS,
         )
 
-    return docs.withColumn("_spans", found(F.col("text")))
+    return plain(docs).withColumn("_spans", found(F.col("text")))
 
 
 def joined(found: Column) -> Column:

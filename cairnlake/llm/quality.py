@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairnlake.llm.frames import plain
 from cairnlake.llm.hashing import MARKS, U, word_hashes
 
 WORDS = 1 << 20
@@ -226,7 +227,7 @@ def train(
     others = ids.join(known, "doc_id", "left_anti").orderBy(order, "doc_id").limit(pool).withColumn("_target", F.lit(-1.0))
     # At most labelled + pool rows of an id and a number.
     wanted = F.broadcast(chosen.unionByName(others).dropDuplicates(["doc_id"]))
-    rows = _views(docs.join(wanted, "doc_id")).select("doc_id", "_target", "_views").orderBy(order, "doc_id").collect()
+    rows = _views(plain(docs).join(wanted, "doc_id")).select("doc_id", "_target", "_views").orderBy(order, "doc_id").collect()
     learned, free = [r for r in rows if r["_target"] >= 0], [r for r in rows if r["_target"] < 0]
     target = np.array([r["_target"] for r in learned])
     if len(target) < 50 or not 0 < target.mean() < 1:
@@ -236,6 +237,7 @@ def train(
 
 def score_documents(docs: DataFrame, model: CoTrained | None) -> DataFrame:
     """``docs`` with ``_score``, the chance that a document is acceptable."""
+    docs = plain(docs)
     if model is None:
         return docs.withColumn("_score", F.lit(1.0))
 

@@ -12,7 +12,8 @@ Bounds of the training sample (documented parameters): ``sample_docs`` documents
 ``per_label`` values per label. With fewer than ``fewest`` values a label gets no
 automaton; with none at all only base spans are found.
 
-Defined results: a null or empty text has no span; other columns pass through untouched.
+Defined results: a null or empty text has no span; other columns pass through,
+but for those whose name starts with an underscore.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnlake.llm import spans
+from cairnlake.llm.frames import plain
 
 KINDS = ("assign", "access", "hex")
 TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}+")
@@ -226,7 +228,7 @@ def find_secrets(docs: DataFrame, formats: Formats | None) -> DataFrame:
             [[dict(zip(names, span, strict=True)) for span in secret_spans(t.as_py(), formats)] for t in texts], ARROW_SPANS
         )
 
-    return docs.withColumn("_spans", found(F.col("text")))
+    return plain(docs).withColumn("_spans", found(F.col("text")))
 
 
 def redact(docs: DataFrame, formats: Formats | None, mark: str = "[secret]") -> DataFrame:

@@ -35,6 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairnlake.llm.frames import plain
 from cairnlake.llm.hashing import U, prefix_hashes, range_hashes
 from cairnlake.session import cut_lineage, free_shuffles
 
@@ -548,7 +549,7 @@ def with_places(docs: DataFrame) -> DataFrame:
 
 def dedup_repeats(docs: DataFrame, length: int = LENGTH, run_rows: int = RUN_ROWS) -> DataFrame:
     """``docs`` with ``_kept`` (bytes left), ``_n_bytes``, ``_n_removed``, and ``_removed`` (spans, end exclusive)."""
-    placed = with_places(docs)
+    placed = with_places(plain(docs))
     narrow = with_places(docs.select("doc_id", "text")).select("_doc", "_tag", "_data")
     spans = repeated_spans(narrow, length, run_rows)
     listed = spans.groupBy("_doc", "_tag").agg(F.collect_set(F.struct("_from", "_to")).alias("_spans"))
