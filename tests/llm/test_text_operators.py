@@ -136,7 +136,7 @@ class TestPersonal:
             "email": [m.span() for m in re.finditer(email, text)],
             "ip": [m.span() for m in re.finditer(r"(?<![0-9])[0-9]+(\.[0-9]+){3}", text) if parts(m)],
             "card": list(cards(text)),
-            "phone": [m.span() for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub(r"\D", "", m[0])) <= 15],
+            "phone": [m.span() for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(re.sub(r"\D", "", m[0])) <= 15],
         }
 
     @pytest.mark.parametrize("text", PERSONAL)
