@@ -489,10 +489,20 @@ MONTHS = (
 SHELL_PROMPTS = r"(?i)^(\./|cd |ls |python|bash|git |cat |source |export |claude|./activate)"
 KNOWN_PEOPLE = "Alice Ben Riley Max Sam Devon Jordan".split()
 
-# Function words that never name anything; pass your own list to entity detection for a larger one.
+# Words that are never a name.
 NAME_STOPWORDS = (
     "the a an and or but in on at to for of with by from as is was are were be been being have has had do does did "
     "will would could should may might must shall can this that these those it its they them their we our you your i "
     "my me he she his her who what when where why how which if then so not no yes ok okay just very really also "
-    "already still even only here there now too up out about like hey hi hello thanks thank right let well want"
+    "already still even only here there now too up out about like use get got make made take put come go see know "
+    "think return print def class import step usage run check find add set list args dict str int bool path file type "
+    "name note example option result error warning info every each more less next last first second stack layer mode "
+    "test stop start copy move source target output input data item key value returns raises yields self cls kwargs "
+    "world well want topic choose human humans people things something nothing everything anything someone everyone "
+    "anyone way time day life place thing part kind sort case point idea fact sense question answer reason number "
+    "version system hey hi hello thanks thank right let click hit press tap drag drop open close save load launch "
+    "install download upload scroll select enter submit cancel confirm delete paste write read search show hide "
+    "desktop documents downloads users home library applications preferences settings terminal actor vector remote "
+    "control duration fetch agents tools others guards ethics regulation learning thinking memory language "
+    "intelligence technology society culture future history science model models network networks training inference"
 ).split()

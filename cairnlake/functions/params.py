@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import DataFrame
+
 # Fixed limits: (default, maximum).
 SEARCH_LIMIT = (5, 25)
 DIARY_LIMIT = (10, 100)
@@ -34,3 +36,8 @@ def parse_switch(value: str | None) -> bool | None:
     if word in ("0", "false", "no", "off"):
         return False
     return None
+
+
+def first_rows(ordered: DataFrame, limit: int | None) -> DataFrame:
+    """The first ``limit`` rows of an ordered frame; ``None`` keeps all."""
+    return ordered if limit is None else ordered.limit(limit)

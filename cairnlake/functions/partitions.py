@@ -6,23 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+SPREAD = "spark.cairnlake.spread"
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Give a small scan one partition per core before expensive text work.
+    """Deal a scan over the number of partitions that the session sets in ``spark.cairnlake.spread``.
 
-    A scan that already has as many partitions as the cluster has cores, as any large
-    one, is left alone.
+    Meant for tables of a single small file; without the setting the splits of the reader
+    (``spark.sql.files.maxPartitionBytes``) stay as they are.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    parts = int(df.sparkSession.conf.get(SPREAD, "0"))
+    return df.repartition(parts) if parts > 0 else df
 
 
 def keep_wide(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition by ``keys`` into the configured number of shuffle partitions.
+    """Hash-partition by ``keys``; joins and groupings on the keys reuse the partitioning.
 
-    An explicit number keeps adaptive execution from merging partitions that are small
-    in bytes but heavy in work; joins and groupings on the keys reuse the partitioning.
+    The number of partitions is left to the session and to adaptive execution.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return df.repartition(*keys)
 
 
 def explode_rows(df: DataFrame, values: Column, name: str, *kept: str | Column) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnlake.functions.arrays import bag, bag_cosine, bag_norm
-from cairnlake.functions.params import CLEANUP_MIN_GROUP, CLEANUP_THRESHOLD
+from cairnlake.functions.params import CLEANUP_MIN_GROUP, CLEANUP_THRESHOLD, first_rows
 from cairnlake.functions.text import is_blank, tokens, trim
 from cairnlake.session import cut_lineage
 
@@ -37,8 +37,9 @@ def source_groups(drawers: DataFrame, min_group: int = CLEANUP_MIN_GROUP) -> Dat
     )
 
 
-def largest_groups(groups: DataFrame) -> DataFrame:
-    return groups.orderBy(F.desc("n"), "source_file").limit(LARGEST_GROUPS)
+def largest_groups(groups: DataFrame, limit: int | None = LARGEST_GROUPS) -> DataFrame:
+    """The ``limit`` largest groups, or all of them in order."""
+    return first_rows(groups.orderBy(F.desc("n"), "source_file"), limit)
 
 
 def cleanup_stats(drawers: DataFrame, min_group: int = CLEANUP_MIN_GROUP) -> DataFrame:
@@ -99,6 +100,7 @@ def greedy_cleanup(
     threshold: float = CLEANUP_THRESHOLD,
     min_group: int = CLEANUP_MIN_GROUP,
     salts: int = 16,
+    compared: int = KEPT_COMPARED,
 ) -> DataFrame:
     """Decision per drawer of every large enough source: ``(source_file, id, kept)``.
 
@@ -114,12 +116,12 @@ def greedy_cleanup(
     )
     remaining = members.where(F.col("trimmed") >= MIN_TEXT).select("id", "source_file", "length", "bag", "norm")
     pivots_found: list[DataFrame] = []
-    for _ in range(KEPT_COMPARED):
+    for _ in range(compared):
         pivots = _first_per_source(remaining)
-        compared = _compared(remaining, pivots, salts)
+        paired = _compared(remaining, pivots, salts)
         pivots_found.append(pivots.select("source_file", F.col("pivot.id").alias("id")))
         remaining = cut_lineage(
-            compared.where((F.col("id") != F.col("pivot.id")) & (F.col("similarity") < threshold)).drop("pivot", "similarity")
+            paired.where((F.col("id") != F.col("pivot.id")) & (F.col("similarity") < threshold)).drop("pivot", "similarity")
         )
     kept = remaining.select("source_file", "id")
     for pivots in pivots_found:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnlake.functions import lexicons as lex
@@ -15,7 +16,6 @@ from cairnlake.functions.text import half_even, let, lines_of, stem, string_arra
 
 # Fixed rules.
 MIN_FREQUENCY = 3
-HEAD_CHARS = 5000
 CAPS = {"person": 15, "project": 10, "uncertain": 8}
 WORD_NAME = r"(?U)\b[A-Z][a-z]{1,19}\b"
 PHRASE_NAME = r"(?U)\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b"
@@ -138,7 +138,7 @@ def _phrase_hits(text: Column, name: Column) -> Column:
     )
 
 
-def score_names(
+def _name_hits(
     texts: DataFrame,
     text: str = "text",
     key: str = "id",
@@ -146,12 +146,11 @@ def score_names(
     camel_case: bool = True,
     minimum: int = MIN_FREQUENCY,
 ) -> DataFrame:
-    """Person and project evidence per text and name.
+    """Signal counts per text and name: ``(key, name, frequency, hits, pronouns)``.
 
-    Returns ``(key, name, frequency, person_score, project_score, person_signals,
-    project_signals)``. One pass per pattern collects the words in its name slot, so the
-    cost of a text does not grow with its number of names; only names of several words
-    are looked up one by one. Everything happens inside the row of a text: no shuffle.
+    One pass per pattern collects the words in its name slot, and one map of their counts
+    is looked up for every name; only names of several words are matched one by one.
+    Everything happens inside the row of a text: no shuffle.
     """
     counts = F.map_entries(bag(name_candidates(F.col(text), list(stopwords), camel_case)))
     named = texts.select(
@@ -160,18 +159,30 @@ def score_names(
     any_name = F.size("_names") > 0
     scanned = named.select(
         "*",
-        F.when(any_name, signal_words(F.lower("_text"))).alias("_slots"),
+        F.when(any_name, F.transform(signal_words(F.lower("_text")), bag)).alias("_slots"),
         F.when(any_name, near_pronoun(lines_of(F.col("_text")))).alias("_framed"),
     )
     counted = explode_rows(scanned, F.col("_names"), "_name", key, "_text", "_slots", "_framed").select(
         "*", F.col("_name.key").alias("name"), F.col("_name.value").alias("frequency")
     )
     lowered = F.lower("name")
-    single = F.transform(F.col("_slots"), lambda words: F.size(F.filter(words, lambda w: w == lowered)))
+    single = F.transform(F.col("_slots"), lambda counts: F.coalesce(F.try_element_at(counts, lowered), F.lit(0)).cast("int"))
     hits = F.when(F.col("name").rlike(r"\s"), _phrase_hits(F.col("_text"), F.col("name"))).otherwise(single)
     pronouns = F.size(F.filter(F.col("_framed"), lambda line: F.contains(line, lowered)))
-    scored = counted.select(key, "name", "frequency", hits.alias("hits"), pronouns.alias("pronouns"))
+    return counted.select(key, "name", "frequency", hits.alias("hits"), pronouns.alias("pronouns"))
+
+
+def score_names(texts: DataFrame, text: str = "text", key: str = "id", **options) -> DataFrame:
+    """Person and project evidence per text and name.
+
+    Returns ``(key, name, frequency, person_score, project_score, person_signals,
+    project_signals)``; options are those of the candidates and their ``minimum``.
+    """
+    return _weighed(_name_hits(texts, text, key, **options), key)
+
 
+def _weighed(scored: DataFrame, *keys: str) -> DataFrame:
+    """Scores and signal texts of counted hits."""
     labels = {
         "dialogue": lambda n: F.format_string("dialogue marker (%dx)", n),
         "action": lambda n: F.format_string("'%s ...' action (%dx)", F.col("name"), n),
@@ -198,7 +209,7 @@ def score_names(
     project, project_signals = weigh(("project", "versioned", "code"))
     nearby = F.when(F.col("pronouns") > 0, F.format_string("pronoun nearby (%dx)", F.col("pronouns")))
     return scored.select(
-        key,
+        *keys,
         "name",
         "frequency",
         (spoken + F.col("pronouns") * 2 + addressed).alias("person_score"),
@@ -246,15 +257,43 @@ def classify_names(scores: DataFrame) -> DataFrame:
     )
 
 
-def detect_names(texts: DataFrame, text: str = "text", key: str = "id", capped: bool = True, **options) -> DataFrame:
-    """Classified names per text; ``capped`` keeps the fixed number of best ones per type."""
-    found = classify_names(score_names(texts, text, key, **options))
-    if not capped:
+def detect_names(texts: DataFrame, text: str = "text", key: str = "id", **options) -> DataFrame:
+    """Every classified name of each text."""
+    return classify_names(score_names(texts, text, key, **options))
+
+
+def detect_corpus_names(
+    texts: DataFrame, text: str = "text", caps: dict[str, int] | None = None, minimum: int = MIN_FREQUENCY, **options
+) -> DataFrame:
+    """Names classified over all texts together.
+
+    Each text is scored in its row for the names it holds; evidence and frequencies are
+    then summed per name, combined before the shuffle, so a name that stands once in
+    each of many texts is found. ``caps`` (``CAPS`` for a report) keeps so many of the
+    best names per type; by default all are returned.
+    """
+    hits = _name_hits(texts.withColumn("_key", F.lit(0)), text, "_key", minimum=1, **options)
+    summed = (
+        hits.groupBy("name")
+        .agg(
+            F.sum("frequency").alias("frequency"),
+            F.array(*[F.sum(F.get("hits", F.lit(i))) for i in range(len(SIGNALS))]).alias("hits"),
+            F.sum("pronouns").alias("pronouns"),
+        )
+        .where(F.col("frequency") >= minimum)
+    )
+    found = classify_names(_weighed(summed))
+    if caps is None:
         return found
     measure = F.when(F.col("type") == "uncertain", F.col("frequency").cast("double")).otherwise(F.col("confidence"))
-    rank = F.row_number().over(Window.partitionBy(key, "type").orderBy(F.desc(measure), F.desc("frequency"), "name"))
-    cap = F.element_at(F.create_map(*[F.lit(x) for pair in CAPS.items() for x in pair]), F.col("type"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= cap)
+    best = [found.where(F.col("type") == kind).orderBy(F.desc(measure), F.desc("frequency"), "name").limit(n) for kind, n in caps.items()]
+    return reduce(DataFrame.unionByName, best)
+
+
+def people_and_projects(found: DataFrame) -> DataFrame:
+    """Distinct ``name`` values of everything classified as a person or a project."""
+    kind = F.col("type")
+    return found.where(kind == "person").select("name").unionByName(found.where(kind == "project").select("name")).distinct()
 
 
 def detection_score(path: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairnlake.functions.params import first_rows
 from cairnlake.functions.text import entity_id, predicate_id
 
 TIMELINE_ROWS = 100
@@ -66,9 +67,25 @@ def query_entity(
 
 
 def _named(triples: DataFrame, entities: DataFrame) -> DataFrame:
-    subjects = entities.select(F.col("id").alias("subject"), F.col("name").alias("subject_label"))
-    objects = entities.select(F.col("id").alias("object"), F.col("name").alias("object_label"))
-    return triples.join(subjects, "subject").join(objects, "object")
+    """Facts with the names of both ends.
+
+    Of the entities only those that the facts mention take part, found from distinct
+    ends, so a few heavily used objects make a small side that needs no shuffle of facts.
+    """
+
+    def names(end: str) -> DataFrame:
+        used = triples.select(F.col(end).alias("id")).distinct()
+        return entities.join(used, "id", "left_semi").select(F.col("id").alias(end), F.col("name").alias(f"{end}_label"))
+
+    return triples.join(names("subject"), "subject").join(names("object"), "object")
+
+
+def _with_entities(triples: DataFrame, entities: DataFrame) -> DataFrame:
+    """Facts whose ends both have an entity row; the usually few ends without one are looked up, not the facts."""
+    ends = triples.select(F.explode(F.array("subject", "object")).alias("id")).distinct()
+    missing = ends.join(entities.select("id"), "id", "left_anti")
+    subjects, objects = missing.select(F.col("id").alias("subject")), missing.select(F.col("id").alias("object"))
+    return triples.join(subjects, "subject", "left_anti").join(objects, "object", "left_anti")
 
 
 def _shown(facts: DataFrame) -> DataFrame:
@@ -82,14 +99,17 @@ def query_relationship(triples: DataFrame, entities: DataFrame, predicate: str,
     return _shown(_named(facts, entities))
 
 
-def timeline(triples: DataFrame, entities: DataFrame, entity: str | None = None, limit: int = TIMELINE_ROWS) -> DataFrame:
+def timeline(triples: DataFrame, entities: DataFrame, entity: str | None = None, limit: int | None = TIMELINE_ROWS) -> DataFrame:
     """Oldest facts first, undated last; facts whose endpoints have no entity row do not count."""
     facts = triples
     if entity:
         wanted = entity_id(F.lit(entity))
         facts = facts.where((F.col("subject") == wanted) | (F.col("object") == wanted))
     order = [F.asc_nulls_last("valid_from"), F.asc("subject"), F.asc("predicate"), F.asc("object")]
-    return _shown(_named(facts, entities).orderBy(*order).limit(limit))
+    first = first_rows(_with_entities(facts, entities).orderBy(*order), limit)
+    subjects = entities.select(F.col("id").alias("subject"), F.col("name").alias("subject_label"))
+    objects = entities.select(F.col("id").alias("object"), F.col("name").alias("object_label"))
+    return _shown(first.join(subjects, "subject").join(objects, "object").orderBy(*order))
 
 
 def stats(triples: DataFrame, entities: DataFrame) -> DataFrame:
@@ -196,13 +216,15 @@ def change_outcomes(triples: DataFrame, entities: DataFrame, requests: DataFrame
     """
     key = ["subject", "predicate", "object"]
     names = entities.select(F.col("id").alias("object"), F.col("name").alias("stored_name"))
-    open_facts = triples.where(is_current()).select(key).distinct().join(names, "object")
     asked = requests.select(
         "*",
         entity_id(F.col("subject_name")).alias("subject"),
         predicate_id(F.col("predicate")).alias("predicate_id"),
         entity_id(F.col("object_name")).alias("object"),
     )
+    wanted = asked.select("subject", F.col("predicate_id").alias("predicate"), "object").distinct()
+    # Only facts that some request names go on to the names.
+    open_facts = triples.where(is_current()).select(key).join(wanted, key, "left_semi").distinct().join(names, "object")
     found = F.col("stored_name").isNotNull()
     if strict_spelling:
         found = found & (F.col("stored_name") == F.col("object_name"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnlake.functions.params import DIARY_LIMIT, clamp_positive
+from cairnlake.functions.params import DIARY_LIMIT, clamp_positive, first_rows
 from cairnlake.functions.text import agent_wing, basename, ellipsis, one_line, trim
 from cairnlake.operators.search import get_drawers
 
@@ -21,15 +21,11 @@ def identity(text: str | None) -> str:
     return text.strip() if text is not None else IDENTITY_DEFAULT
 
 
-def story_rows(drawers: DataFrame, wing: str | None = None) -> DataFrame:
-    """The most important drawers, as bullet lines ordered by room and importance."""
+def story_rows(drawers: DataFrame, wing: str | None = None, limit: int | None = STORY_DRAWERS) -> DataFrame:
+    """The ``limit`` most important drawers, as bullet lines ordered by room and importance."""
     score = F.coalesce("importance", "emotional_weight", "weight", F.lit(DEFAULT_IMPORTANCE))
-    top = (
-        get_drawers(drawers, wing)
-        .select("id", "room", "source_file", "text", score.alias("score"))
-        .orderBy(F.desc("score"), "id")
-        .limit(STORY_DRAWERS)
-    )
+    scored = get_drawers(drawers, wing).select("id", "room", "source_file", "text", score.alias("score"))
+    top = first_rows(scored.orderBy(F.desc("score"), "id"), limit)
     source = basename(F.col("source_file"))
     line = F.concat(
         F.lit("  - "),
@@ -39,8 +35,8 @@ def story_rows(drawers: DataFrame, wing: str | None = None) -> DataFrame:
     return top.select("id", "room", "score", line.alias("line"))
 
 
-def story_budget(rows: DataFrame) -> DataFrame:
-    """Rows that fit the character budget; room headings count. At most fifteen rows come in."""
+def story_budget(rows: DataFrame, chars: int = STORY_CHARS) -> DataFrame:
+    """Rows that fit the budget of ``chars``; room headings count. Only the few rows of a digest come in."""
     order = [F.asc("room"), F.desc("score"), F.asc("id")]
     so_far = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     opens = F.row_number().over(Window.partitionBy("room").orderBy(*order[1:])) == 1
@@ -49,7 +45,7 @@ def story_budget(rows: DataFrame) -> DataFrame:
         rows.withColumn("opens", opens)
         .withColumn("used", F.sum(size).over(so_far))
         .withColumn("place", F.row_number().over(Window.orderBy(*order)))
-        .withColumn("fits", F.col("used") <= STORY_CHARS)
+        .withColumn("fits", F.col("used") <= chars)
     )
 
 

@@ -13,6 +13,9 @@ from cairnlake.functions.params import DUPLICATE_THRESHOLD
 from cairnlake.functions.text import agent_wing, clean_content, content_id, diary_id, display_name, slug
 from cairnlake.operators.search import containment_join
 
+#: Matches that a duplicate check reports.
+MATCHES = 5
+
 
 def new_drawers(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Incoming rows whose id is not stored yet; one row per id."""
@@ -89,17 +92,19 @@ def drawer_requests(requests: DataFrame) -> DataFrame:
     return cleaned.withColumn("id", content_id(F.col("wing"), F.col("room"), F.col("source_file"), F.col("text")))
 
 
-def add_outcomes(stored: DataFrame, requests: DataFrame, threshold: float = DUPLICATE_THRESHOLD) -> DataFrame:
+def add_outcomes(
+    stored: DataFrame, requests: DataFrame, threshold: float = DUPLICATE_THRESHOLD, most: int | None = MATCHES
+) -> DataFrame:
     """What adding each cleaned request does: noop (id exists), duplicate, or inserted.
 
     ``matches`` counts stored drawers that contain enough of the request's tokens, at
-    most five as the check reports them. Requests are judged against the stored table.
+    most ``most`` as the check reports them. Requests are judged against the stored table.
     """
     asked = requests.dropDuplicates(["id"])
     existing = asked.join(stored.select("id"), "id", "left_semi").select("id", F.lit(True).alias("exists"))
     queries = asked.select(F.col("id").alias("query_id"), F.col("text").alias("query"))
     matches = containment_join(queries, stored.select("id", "text"), threshold).groupBy(F.col("query_id").alias("id")).agg(
-        F.least(F.count("*"), F.lit(5)).alias("matches")
+        (F.count("*") if most is None else F.least(F.count("*"), F.lit(most))).alias("matches")
     )
     return (
         asked.join(existing, "id", "left")

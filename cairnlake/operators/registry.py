@@ -269,9 +269,14 @@ def confirmed_people(research: DataFrame) -> DataFrame:
     )
 
 
-def summary(people: DataFrame, projects: DataFrame, ambiguous: DataFrame, research: DataFrame) -> DataFrame:
-    """Counts with a preview of the first eight people."""
-    first = people.orderBy("ord", F.col("canonical").isNotNull(), "name").limit(8)
+PREVIEW = 8
+
+
+def summary(
+    people: DataFrame, projects: DataFrame, ambiguous: DataFrame, research: DataFrame, preview_rows: int = PREVIEW
+) -> DataFrame:
+    """Counts with a preview of the first ``preview_rows`` people."""
+    first = people.orderBy("ord", F.col("canonical").isNotNull(), "name").limit(preview_rows)
     preview = first.agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("ord", F.col("canonical").isNotNull().alias("alias"), "name"))), lambda p: p["name"]),

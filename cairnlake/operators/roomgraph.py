@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnlake.functions.arrays import last_n
-from cairnlake.functions.params import HOPS_LIMIT, clamp_positive
+from cairnlake.functions.params import HOPS_LIMIT, clamp_positive, first_rows
 from cairnlake.functions.text import is_blank
 from cairnlake.session import cut_lineage
 
@@ -69,28 +69,26 @@ def graph_stats(nodes: DataFrame) -> DataFrame:
     )
 
 
-def find_tunnels(nodes: DataFrame, wing_a: str | None = None, wing_b: str | None = None) -> DataFrame:
+def find_tunnels(
+    nodes: DataFrame, wing_a: str | None = None, wing_b: str | None = None, limit: int | None = TUNNEL_ROWS
+) -> DataFrame:
+    """Rooms of two or more wings, the fullest ``limit`` first."""
     tunnels = nodes.where(F.size("wings") >= 2)
     for wing in (wing_a, wing_b):
         if wing is not None:
             tunnels = tunnels.where(F.array_contains("wings", wing))
-    return (
-        tunnels.orderBy(F.desc("n"), "first_id")
-        .limit(TUNNEL_ROWS)
-        .select("room", "wings", "halls", "n", F.coalesce(F.try_element_at("dates", F.lit(-1)), F.lit("")).alias("recent"))
+    return first_rows(tunnels.orderBy(F.desc("n"), "first_id"), limit).select(
+        "room", "wings", "halls", "n", F.coalesce(F.try_element_at("dates", F.lit(-1)), F.lit("")).alias("recent")
     )
 
 
-def top_tunnels(nodes: DataFrame) -> DataFrame:
-    return (
-        nodes.where(F.size("wings") >= 2)
-        .orderBy(F.desc(F.size("wings")), "room")
-        .limit(TOP_TUNNELS)
-        .select("room", "wings", "n")
-    )
+def top_tunnels(nodes: DataFrame, limit: int | None = TOP_TUNNELS) -> DataFrame:
+    """Rooms of the most wings."""
+    shared = nodes.where(F.size("wings") >= 2).orderBy(F.desc(F.size("wings")), "room")
+    return first_rows(shared, limit).select("room", "wings", "n")
 
 
-def suggest_rooms(nodes: DataFrame, query: str) -> DataFrame:
+def suggest_rooms(nodes: DataFrame, query: str, limit: int | None = SUGGESTIONS) -> DataFrame:
     """Rooms whose name contains the query (1.0) or one of its dash-separated words (0.5)."""
     wanted = query.lower()
     name = F.lower("room")
@@ -99,15 +97,13 @@ def suggest_rooms(nodes: DataFrame, query: str) -> DataFrame:
     for word in words:
         partial = partial | F.contains(name, F.lit(word))
     score = F.when(F.contains(name, F.lit(wanted)), 1.0).when(partial, 0.5).otherwise(0.0)
-    return (
-        nodes.select("room", score.alias("score"))
-        .where(F.col("score") > 0)
-        .orderBy(F.desc("score"), "room")
-        .limit(SUGGESTIONS)
-    )
+    scored = nodes.select("room", score.alias("score")).where(F.col("score") > 0)
+    return first_rows(scored.orderBy(F.desc("score"), "room"), limit)
 
 
-def traverse(nodes: DataFrame, start_room: str, max_hops: int | None = None) -> DataFrame:
+def traverse(
+    nodes: DataFrame, start_room: str, max_hops: int | None = None, limit: int | None = TRAVERSAL_ROWS
+) -> DataFrame:
     """Breadth-first walk through shared wings: ``(room, wings, halls, n, hop, connected_via)``.
 
     A room's discovery rank is the path of ``first_id`` values that leads to it, so the
@@ -146,12 +142,7 @@ def traverse(nodes: DataFrame, start_room: str, max_hops: int | None = None) ->
         )
         found = found.unionByName(frontier)
     parents = nodes.select(F.col("room").alias("parent"), F.col("wings").alias("parent_wings"))
-    return (
-        found.join(nodes, "room")
-        .join(parents, "parent", "left")
-        .orderBy("hop", F.desc("n"), "rank")
-        .limit(TRAVERSAL_ROWS)
-        .select(
-            "room", "wings", "halls", "n", "hop", F.array_sort(F.array_intersect("wings", "parent_wings")).alias("connected_via")
-        )
+    ordered = found.join(nodes, "room").join(parents, "parent", "left").orderBy("hop", F.desc("n"), "rank")
+    return first_rows(ordered, limit).select(
+        "room", "wings", "halls", "n", "hop", F.array_sort(F.array_intersect("wings", "parent_wings")).alias("connected_via")
     )

@@ -9,11 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnlake.functions import lexicons as lex
+from cairnlake.functions.params import first_rows
 from cairnlake.functions.text import count_occurrences, let, stem
 
 GENERAL = "general"
-PROJECT_HEAD = 2000
-CONVERSATION_HEAD = 3000
 
 
 class Room(NamedTuple):
@@ -43,8 +42,14 @@ def _best(scores: list[tuple[Column, str]]) -> Column:
     return let(F.struct(*[score.alias(f"s{i}") for i, (score, _) in enumerate(scores)]), pick)
 
 
-def conversation_room(content: Column, topics: dict[str, list[str]] = lex.TOPIC_KEYWORDS) -> Column:
-    """Topic with the most keywords present in the head of the text."""
+def _head(content: Column, chars: int | None) -> Column:
+    return F.lower(content if chars is None else F.substring(content, 1, chars))
+
+
+def conversation_room(
+    content: Column, topics: dict[str, list[str]] = lex.TOPIC_KEYWORDS, head_chars: int | None = None
+) -> Column:
+    """Topic with the most keywords present in the text, or in its first ``head_chars`` characters."""
 
     def score(head: Column) -> Column:
         present = [
@@ -53,15 +58,15 @@ def conversation_room(content: Column, topics: dict[str, list[str]] = lex.TOPIC_
         ]
         return F.coalesce(_best(present), F.lit(GENERAL))
 
-    return let(F.lower(F.substring(content, 1, CONVERSATION_HEAD)), score)
+    return let(_head(content, head_chars), score)
 
 
-def project_room(path: Column, content: Column, rooms: list[Room]) -> Column:
+def project_room(path: Column, content: Column, rooms: list[Room], head_chars: int | None = None) -> Column:
     """Room of a project file.
 
     A folder of the path that contains, or is contained in, a room name or keyword
     decides first; then the file name against the room names; then keyword counts in
-    the head of the content.
+    the content, or in its first ``head_chars`` characters.
     """
     if not rooms:
         return F.lit(GENERAL)
@@ -95,7 +100,7 @@ def project_room(path: Column, content: Column, rooms: list[Room]) -> Column:
             ]
         )
 
-    counted = let(F.lower(F.substring(content, 1, PROJECT_HEAD)), by_content)
+    counted = let(_head(content, head_chars), by_content)
     return F.coalesce(by_folder, by_name, counted, F.lit(GENERAL))
 
 
@@ -144,8 +149,13 @@ def rooms_from_folders(
     )
 
 
-def rooms_from_file_names(paths: DataFrame, folder_rooms: dict[str, str] = lex.FOLDER_ROOMS) -> DataFrame:
-    """Rooms whose key words occur in at least two file names, the six most frequent.
+FILE_NAME_ROOMS = 6
+
+
+def rooms_from_file_names(
+    paths: DataFrame, folder_rooms: dict[str, str] = lex.FOLDER_ROOMS, limit: int | None = FILE_NAME_ROOMS
+) -> DataFrame:
+    """Rooms whose key words occur in at least two file names, the ``limit`` most frequent.
 
     A file counts once per matching key word.
     """
@@ -153,10 +163,5 @@ def rooms_from_file_names(paths: DataFrame, folder_rooms: dict[str, str] = lex.F
     hits = paths.select(name.alias("name")).select(
         F.explode(F.filter(F.map_entries(_mapping(folder_rooms)), lambda e: F.contains(F.col("name"), e["key"]))).alias("hit")
     )
-    return (
-        hits.groupBy(F.col("hit.value").alias("room"))
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") >= 2)
-        .orderBy(F.desc("n"), "room")
-        .limit(6)
-    )
+    counted = hits.groupBy(F.col("hit.value").alias("room")).agg(F.count("*").alias("n")).where(F.col("n") >= 2)
+    return first_rows(counted.orderBy(F.desc("n"), "room"), limit)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnlake.functions.arrays import containment
-from cairnlake.functions.params import DUPLICATE_THRESHOLD, SEARCH_LIMIT, clamp_positive, clamp_threshold
+from cairnlake.functions.params import DUPLICATE_THRESHOLD, SEARCH_LIMIT, clamp_positive, clamp_threshold, first_rows
 from cairnlake.functions.partitions import explode_rows
 from cairnlake.functions.text import basename, ellipsis, half_even, one_line, token_set, tokens, trim
 
@@ -84,13 +84,14 @@ def render_search(hits: DataFrame, query: str) -> DataFrame:
     )
 
 
-def check_duplicate(drawers: DataFrame, content: str, threshold: float = DUPLICATE_THRESHOLD) -> DataFrame:
-    """Stored drawers that contain at least ``threshold`` of the tokens of ``content``."""
+def check_duplicate(
+    drawers: DataFrame, content: str, threshold: float = DUPLICATE_THRESHOLD, limit: int | None = DUPLICATE_MATCHES
+) -> DataFrame:
+    """The ``limit`` best stored drawers that contain at least ``threshold`` of the tokens of ``content``."""
     wanted = query_tokens(content)
+    scored = drawers.withColumn("score", containment(wanted, tokens(F.col("text"))))
     return (
-        drawers.withColumn("score", containment(wanted, tokens(F.col("text"))))
-        .orderBy(F.desc("score"), "id")
-        .limit(DUPLICATE_MATCHES)
+        first_rows(scored.orderBy(F.desc("score"), "id"), limit)
         .where(F.col("score") >= clamp_threshold(threshold))
         .select("id", "wing", "room", half_even(F.col("score"), 3).alias("similarity"), ellipsis(F.col("text"), 200, 200).alias("content"))
     )

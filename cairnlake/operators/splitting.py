@@ -36,8 +36,13 @@ def _first_match(lines: Column, pattern: str, group: int) -> Column:
     )
 
 
-def session_time(lines: Column) -> Column:
-    """``yyyy-mm-dd_hmmAM`` of the first clock line among the first fifty, NULL when there is none."""
+def _head(lines: Column, count: int | None) -> Column:
+    return lines if count is None else F.slice(lines, 1, count)
+
+
+def session_time(lines: Column, head_lines: int | None = None) -> Column:
+    """``yyyy-mm-dd_hmmAM`` of the first clock line, NULL when there is none; ``head_lines`` looks at the first ones only."""
+    # Fixed value: how a clock line looks.
     pattern = r"(\d{1,2}:\d{2}\s+[AP]M)\s+\w+,\s+(\w+)\s+(\d{1,2}),\s+(\d{4})"
 
     def render(hit: Column) -> Column:
@@ -51,11 +56,16 @@ def session_time(lines: Column) -> Column:
             F.concat(part(4), F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(part(3), 2, "0"), F.lit("_"), clock),
         )
 
-    return let(_first_match(F.slice(lines, 1, 50), pattern, 0), render)
+    return let(_first_match(_head(lines, head_lines), pattern, 0), render)
 
 
-def session_people(lines: Column, people: list[str] = lex.KNOWN_PEOPLE, usernames: dict[str, str] | None = None) -> Column:
-    """Known people named in the first hundred lines, plus the owner of the first home path, sorted."""
+def session_people(
+    lines: Column,
+    people: list[str] = lex.KNOWN_PEOPLE,
+    usernames: dict[str, str] | None = None,
+    head_lines: int | None = None,
+) -> Column:
+    """Known people named in the lines, or the first ``head_lines`` of them, plus the owner of the first home path, sorted."""
 
     def find(text: Column) -> Column:
         named = [
@@ -69,7 +79,7 @@ def session_people(lines: Column, people: list[str] = lex.KNOWN_PEOPLE, username
 
     if not people and not usernames:
         return F.array().cast("array<string>")
-    return let(F.array_join(F.slice(lines, 1, 100), "\n"), find)
+    return let(F.array_join(_head(lines, head_lines), "\n"), find)
 
 
 def session_subject(lines: Column) -> Column:

@@ -19,6 +19,8 @@ from cairnlake.operators.spelling import correct_text, correct_transcript, quote
 
 MAX_FILE_BYTES = 500 * 1024 * 1024
 TURN_BLOCK = 4096
+# Turns that one task gathers at most; even, so that question and answer stay together.
+PART_TURNS = 10_000
 MESSAGES = "array<struct<role:string,text:string>>"
 # Fixed value: marks a message that only carries a command.
 COMMAND_MARK = "<command-message>"
@@ -240,11 +242,20 @@ def normalize_content(content: Column, extension: Column | None = None, known_na
     )
 
 
-def normalize(files: DataFrame, known_names: Iterable[str] = ()) -> DataFrame:
-    """Add ``transcript`` to ``(path, content)``; files above the size limit are rejected."""
+def normalize(files: DataFrame, known_names: Iterable[str] = (), max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """Add ``transcript``, ``status`` and ``reason`` to ``(path, content)``.
+
+    Every file stays a row: one above ``max_bytes`` is ``rejected`` with its reason and has
+    no transcript, all others are ``read``.
+    """
     extension = F.concat(F.lit("."), F.substring_index("path", ".", -1))
-    accepted = files.where(F.octet_length("content") <= MAX_FILE_BYTES)
-    return accepted.withColumn("transcript", normalize_content(F.col("content"), extension, known_names))
+    size = F.octet_length("content")
+    rejected = size > max_bytes
+    return (
+        files.withColumn("status", F.when(rejected, "rejected").otherwise("read"))
+        .withColumn("reason", F.when(rejected, F.format_string(f"file has %d bytes, the limit is {max_bytes}", size)))
+        .withColumn("transcript", F.when(~rejected, normalize_content(F.col("content"), extension, known_names)))
+    )
 
 
 def transcript_lines(messages: DataFrame) -> DataFrame:
@@ -261,17 +272,16 @@ def transcript_lines(messages: DataFrame) -> DataFrame:
     return following.select("conv_id", "turn", F.concat(said, F.when(paired, "\n").otherwise("\n\n")).alias("line"))
 
 
-def conversation_messages(messages: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """Message rows gathered per conversation in turn order.
+def conversation_messages(messages: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
+    """Message rows gathered in turn order: ``(conv_id, part, messages)``.
 
-    A conversation becomes one row, so one above the size limit of a transcript file is
-    rejected like such a file; sizes are summed before anything is gathered.
+    A conversation is one row as long as it has at most ``part_turns`` turns; a longer one
+    comes in numbered parts of so many turns, so no task gathers more and no row is lost.
     """
-    sizes = messages.groupBy("conv_id").agg(F.sum(F.octet_length("text")).alias("bytes"))
-    accepted = sizes.where(F.col("bytes") <= max_bytes).select("conv_id")
-    messages = messages.join(accepted, "conv_id", "left_semi")
+    part = F.floor(F.col("turn") / part_turns).cast("int").alias("part")
     ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    return keep_wide(messages, "conv_id").groupBy("conv_id").agg(
+    numbered = messages.select("conv_id", part, "turn", "role", "text")
+    return keep_wide(numbered, "conv_id", "part").groupBy("conv_id", "part").agg(
         F.transform(ordered, lambda m: _message(m["role"], m["text"])).alias("messages")
     )
 

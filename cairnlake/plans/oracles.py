@@ -336,9 +336,9 @@ ORACLES["kg_outgoing"] = f"{KG} {_outgoing(CUSTOMER)}"
 ORACLES["kg_incoming"] = f"{KG} {_incoming(REGION)}"
 ORACLES["kg_both"] = f"{KG} {_outgoing(NATION)} UNION ALL {_incoming(NATION)}"
 ORACLES["kg_as_of"] = f"{KG} {_outgoing(CUSTOMER, VALID)}"
-ORACLES["kg_as_of_batch"] = f"""{KG}, p AS (SELECT subject, max(valid_from) AS day FROM triples WHERE predicate = 'placed' GROUP BY 1)
+ORACLES["kg_as_of_batch"] = f"""{KG}, p AS (SELECT subject, max(valid_from) AS day FROM triples GROUP BY 1 HAVING max(valid_from) IS NOT NULL)
 SELECT t.subject, day, count(*) AS facts FROM triples t JOIN p ON p.subject = t.subject
-WHERE predicate = 'placed' AND (valid_from IS NULL OR valid_from <= day) AND (valid_to IS NULL OR valid_to >= day) GROUP BY ALL"""
+WHERE (valid_from IS NULL OR valid_from <= day) AND (valid_to IS NULL OR valid_to >= day) GROUP BY ALL"""
 ORACLES["kg_relationship"] = f"{KG} {NAMED} WHERE predicate = 'placed' AND {VALID}"
 ORACLES["kg_timeline"] = f"{KG} {NAMED} {CHRONOLOGICAL}"
 ORACLES["kg_entity_timeline"] = f"{KG} {NAMED} WHERE t.subject = 'user#7' OR t.object = 'user#7' {CHRONOLOGICAL}"
@@ -364,3 +364,10 @@ ORACLES["kg_change_outcomes"] = f"""{KG}, r AS (
 SELECT operation, subject_name, predicate, object_name,
   CASE WHEN operation = 'kg_add' AND found THEN 'already_exists' WHEN operation <> 'kg_add' AND NOT found THEN 'already_invalidated' ELSE '' END AS reason,
   CASE WHEN (operation = 'kg_add') = found THEN 'noop' ELSE 'success' END AS phase FROM r"""
+ORACLES["kg_change_outcomes_strict"] = f"""{KG}, r AS (
+  SELECT CASE WHEN o_orderpriority LIKE '1%' THEN 'kg_add' ELSE 'kg_invalidate' END AS operation, c_name AS subject_name, 'placed' AS predicate,
+         CASE WHEN o_orderkey % 2 = 0 THEN 'Order#' ELSE 'ORDER#' END || o_orderkey AS object_name, o_orderstatus = 'O' AND o_orderkey % 2 = 0 AS found
+  FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT operation, subject_name, predicate, object_name,
+  CASE WHEN operation = 'kg_add' AND found THEN 'already_exists' WHEN operation <> 'kg_add' AND NOT found THEN 'already_invalidated' ELSE '' END AS reason,
+  CASE WHEN (operation = 'kg_add') = found THEN 'noop' ELSE 'success' END AS phase FROM r"""

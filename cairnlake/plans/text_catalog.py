@@ -1,7 +1,8 @@
 """Named queries of the text operators, registered into the catalog.
 
-The prose of the tables is synthetic, so where a lexicon decides the result the query
-passes its own word lists; the built-in lexicons are covered by the tests.
+The prose of the tables is synthetic, so where a lexicon decides the result a query passes
+its own word lists; the ``*_default`` queries run the built-in lexicons over the same
+texts with a phrase of the lexicons put behind each.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairnlake.functions import lexicons as lex
 from cairnlake.functions import text as tx
 from cairnlake.functions.partitions import explode_rows
 from cairnlake.operators import (
@@ -60,6 +62,30 @@ ROOMS = [
 FOLDERS = {"en": "english", "fr": "french", "es": "spanish", "tag": "labels"}
 SESSION_MARK = "Re"
 COMMON = ["the", "that", "with", "this", "and"]
+PLANTED = [
+    "We decided to go with the new framework because the trade-off is better.",
+    "I prefer tabs and never use spaces, please always use snake_case instead of camelCase.",
+    "It works! We finally figured it out, fixed the build and shipped version 2.",
+    "The bug is a crash: the root cause was a broken config and it keeps failing.",
+    "I feel so happy and proud, I love you and I'm sorry, it was wonderful.",
+    "The fix was simple, the problem is resolved and patched, what a relief.",
+    "Terrible failure, I am angry, worried and sad about the awful mess.",
+    "The database schema and the api endpoint need a test before the deploy.",
+]
+SPOKEN = [
+    "Riley said hello. Riley asked him why. Riley told them so.",
+    "> Ada: well\nAda wrote it. She thanks Ada, hey Ada.",
+    "building Zetabase and launching Zetabase. import Zetabase, see Zetabase.py",
+    "Ada Lovelace smiled. Ada Lovelace decided. Ada Lovelace wants more",
+    "Nothing named here.",
+    "the Orbital pipeline, Orbital v2, Orbital-core; Orbital laughed at her",
+]
+
+
+def _planted(phrases: list[str]) -> Column:
+    """The text of a document with one of the phrases behind it."""
+    chosen = F.element_at(F.array(*map(F.lit, phrases)), (F.col("doc_id") % len(phrases) + 1).cast("int"))
+    return F.concat("text", F.lit("\n\n"), chosen)
 
 
 # --- scalar rules -----------------------------------------------------------
@@ -184,8 +210,8 @@ def transcript_lines(spark: SparkSession, folder: str) -> DataFrame:
 def transcript_normalize(spark: SparkSession, folder: str) -> DataFrame:
     normal = transcripts.normalize(_raw_files(spark, folder))
     # A file with a single message has no transcript and passes unchanged.
-    changed = normal.where(F.col("transcript") != F.col("content"))
-    return changed.select("conv_id", "transcript")
+    same = F.col("transcript") == F.col("content")
+    return normal.select("conv_id", "status", F.when(~same, F.col("transcript")).otherwise("").alias("transcript"))
 
 
 @query
@@ -250,6 +276,14 @@ def session_split(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("path", "sessions_found", "number", "line_count", "file_name", F.md5("content").alias("digest"))
 
 
+@query
+def session_people(spark: SparkSession, folder: str) -> DataFrame:
+    docs = src.texts(spark, folder, "documents")
+    owned = F.concat(F.lit("C:/Users/"), "source", F.lit("/notes\n"), _planted(SPOKEN))
+    people = splitting.session_people(tx.lines_of(owned), ["Riley", "Ada", "Max"], {"src1": "Owner", "src7": "Guest"})
+    return docs.select("doc_id", joined(people).alias("people"))
+
+
 # --- rooms and memories -----------------------------------------------------
 
 
@@ -287,6 +321,30 @@ def memory_types(spark: SparkSession, folder: str) -> DataFrame:
     return extraction.extract_memories(docs, markers=MARKERS, positive=POSITIVE, negative=NEGATIVE)
 
 
+@query
+def memory_scores_default(spark: SparkSession, folder: str) -> DataFrame:
+    docs = src.texts(spark, folder, "documents")
+    return docs.select("doc_id", extraction.memory_scores(F.lower(_planted(PLANTED))).alias("score")).select("doc_id", "score.*")
+
+
+@query
+def memory_types_default(spark: SparkSession, folder: str) -> DataFrame:
+    docs = src.texts(spark, folder, "documents").select("doc_id", _planted(PLANTED).alias("text"))
+    return extraction.extract_memories(docs)
+
+
+@query
+def sentiment_default(spark: SparkSession, folder: str) -> DataFrame:
+    docs = src.texts(spark, folder, "documents")
+    return docs.select("doc_id", extraction.sentiment(_planted(PLANTED)).alias("sentiment"))
+
+
+@query
+def conversation_rooms_default(spark: SparkSession, folder: str) -> DataFrame:
+    docs = src.texts(spark, folder, "documents")
+    return docs.select("doc_id", rooms.conversation_room(_planted(PLANTED)).alias("room"))
+
+
 @query
 def code_line_filter(spark: SparkSession, folder: str) -> DataFrame:
     docs = src.texts(spark, folder, "documents")
@@ -310,6 +368,15 @@ def rooms_from_folders(spark: SparkSession, folder: str) -> DataFrame:
     return rooms.rooms_from_folders(_url_paths(spark, folder), FOLDERS)
 
 
+@query
+def rooms_from_folders_default(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages below the folders that the built-in table knows, one folder per page in turn."""
+    names = sorted(lex.FOLDER_ROOMS)
+    folder_of = F.element_at(F.array(*map(F.lit, names)), (F.col("page_id") % len(names) + 1).cast("int"))
+    pages = src.table(spark, folder, "pages").select(F.concat(folder_of, F.lit("/page"), F.col("page_id").cast("string"), F.lit(".md")).alias("path"))
+    return rooms.rooms_from_folders(pages)
+
+
 @query
 def rooms_from_file_names(spark: SparkSession, folder: str) -> DataFrame:
     names = src.table(spark, folder, "documents").select(F.concat("lang", F.lit("-"), "source", F.lit(".md")).alias("path"))
@@ -347,6 +414,34 @@ def detected_names(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("id", "name", "frequency", "person_score", "project_score", "type", "confidence", joined("signals").alias("signals"))
 
 
+@query
+def spoken_names(spark: SparkSession, folder: str) -> DataFrame:
+    docs = src.texts(spark, folder, "documents").select(F.col("doc_id").alias("id"), _planted(SPOKEN).alias("text"))
+    found = entities.detect_names(docs)
+    return found.select("id", "name", "frequency", "person_score", "project_score", "type", "confidence", joined("signals").alias("signals"))
+
+
+def _corpus_names(spark: SparkSession, folder: str) -> DataFrame:
+    return entities.detect_corpus_names(src.texts(spark, folder, "documents").select(_planted(SPOKEN).alias("text")))
+
+
+@query
+def corpus_names(spark: SparkSession, folder: str) -> DataFrame:
+    found = _corpus_names(spark, folder)
+    return found.select("name", "frequency", "person_score", "project_score", "type", "confidence", joined("signals").alias("signals"))
+
+
+@query
+def people_and_projects(spark: SparkSession, folder: str) -> DataFrame:
+    return entities.people_and_projects(_corpus_names(spark, folder))
+
+
+@query
+def learned_people(spark: SparkSession, folder: str) -> DataFrame:
+    people, projects, _, _ = _registry(spark, folder)
+    return registry.learn_people(_corpus_names(spark, folder), people, projects).select("name", "confidence", "frequency")
+
+
 @query
 def detection_scores(spark: SparkSession, folder: str) -> DataFrame:
     listed = src.table(spark, folder, "pages").select(
@@ -370,14 +465,14 @@ def _registry(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, D
     seeded = registry.seed_people(people, aliases)
     documents = src.texts(spark, folder, "documents")
     projects = documents.select(F.initcap(F.regexp_extract("text", r"(?<!\w)(\w++)\.\s*$", 1)).alias("name")).where(
-        F.col("name").rlike("^[A-Z][a-z]{2,6}$")
+        F.col("name").rlike("^[A-Z][a-z]+$")
     ).groupBy("name").agg(F.count("*").alias("ord"))
     research = documents.select(F.initcap(F.regexp_extract("text", r"^\w+ (\w+)", 1)).alias("word")).where(
-        F.col("word").rlike("^[A-Z][a-z]{1,6}$")
+        F.col("word").rlike("^[A-Z][a-z]+$")
     ).distinct().select(
         "word",
         F.when(F.length("word") % 2 == 0, "place").otherwise("person").alias("type"),
-        (F.length("word") / 10.0).alias("confidence"),
+        (F.least(F.length("word"), F.lit(9)) / 10.0).alias("confidence"),
         (F.length("word") > 3).alias("confirmed"),
     )
     return seeded, projects, research, registry.ambiguous_words(seeded, COMMON)
@@ -539,7 +634,7 @@ def _requests(spark: SparkSession, folder: str) -> DataFrame:
     asked = src.table(spark, folder, "benchmark").select(
         F.lit("New Wing").alias("wing"), F.lit("Inbox/Bench").alias("room"), F.col("text").alias("content"), F.lit("bench.txt").alias("source_file")
     )
-    repeats = src.table(spark, folder, "documents").where(F.col("lang") == "de").select(
+    repeats = src.table(spark, folder, "documents").select(
         F.col("lang").alias("wing"), F.lit("stored").alias("room"), F.col("text").alias("content"), F.col("source").alias("source_file")
     )
     both = asked.unionByName(repeats).withColumn("added_by", F.lit(None).cast("string"))
@@ -577,9 +672,8 @@ def delete_outcomes(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def delete_by_source(spark: SparkSession, folder: str) -> DataFrame:
-    gone = src.table(spark, folder, "documents").where(F.col("lang") == "es").select(F.upper("source").alias("source_file"))
-    big = gone.groupBy("source_file").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source_file").limit(7)
-    return mutations.delete_sources(src.drawers(spark, folder), big).select("id", "source_file")
+    sizes = src.table(spark, folder, "documents").groupBy(F.upper("source").alias("source_file")).agg(F.sum(F.length("text")).alias("chars"))
+    return mutations.delete_sources(src.drawers(spark, folder), sizes.where(F.col("chars") % 2 == 0)).select("id", "source_file")
 
 
 def _timed(spark: SparkSession, folder: str) -> DataFrame:
@@ -604,8 +698,8 @@ def repair_order(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def compressed_upsert(spark: SparkSession, folder: str) -> DataFrame:
     drawers = src.drawers(spark, folder)
-    older = drawers.select("id", "wing", F.lit("old").alias("text"))
-    newer = shorthand.compress(drawers, WING).select("id", "wing", F.lit("new").alias("text"))
+    older = drawers.select("id", "wing", F.md5("text").alias("text"))
+    newer = shorthand.compress(src.drawers(spark, folder, heavy=True), WING).select("id", "wing", F.col("compressed").alias("text"))
     return mutations.upsert(older, newer)
 
 

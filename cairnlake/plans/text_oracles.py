@@ -12,9 +12,11 @@ from cairnlake.plans.text_catalog import (
     MARKERS,
     NEGATIVE,
     NOW,
+    PLANTED,
     POSITIVE,
     ROOMS,
     SESSION_MARK,
+    SPOKEN,
     TOPICS,
 )
 from cairnlake.plans.catalog import WING
@@ -101,7 +103,8 @@ transcripts AS (SELECT conv_id, n, t[:-2] AS transcript FROM rendered)"""
 ORACLES["transcript_render"] = f"WITH {MESSAGES.strip()} SELECT conv_id, transcript FROM transcripts"
 ORACLES["transcript_lines"] = f"""WITH {MESSAGES.strip()} SELECT conv_id, turn, CASE WHEN role = 'user' THEN '> ' || text ELSE text END ||
 CASE WHEN role = 'user' AND next_role = 'assistant' THEN chr(10) ELSE chr(10) || chr(10) END AS line FROM m"""
-ORACLES["transcript_normalize"] = f"WITH {MESSAGES.strip()} SELECT conv_id, transcript FROM transcripts WHERE n >= 2"
+ORACLES["transcript_normalize"] = f"""WITH {MESSAGES.strip()} SELECT conv_id, 'read' AS status, CASE WHEN n >= 2 THEN transcript ELSE '' END AS transcript
+FROM transcripts"""
 ORACLES["turn_pairs"] = f"""WITH {MESSAGES.strip()} SELECT conv_id, turn, text AS question,
 CASE WHEN next_role = 'assistant' THEN next_text ELSE '' END AS answer FROM m WHERE role = 'user'"""
 ORACLES["hook_user_counts"] = """SELECT conv_id AS session, count_if(role = 'user' AND turn % 3 <> 0 AND turn <> 7)::BIGINT AS human_messages
@@ -172,15 +175,29 @@ SELECT 'in/doc ' || doc_id || '.txt' AS path, found::INTEGER AS sessions_found,
   'doc_' || doc_id || '_part' || lpad(number::VARCHAR, 2, '0') || '_unknown_session.txt' AS file_name, md5(content) AS digest FROM g WHERE line_count >= 4"""
 
 
-def _topic_room(text: str) -> str:
-    head = f"lower(({text})[:3000])"
-    scores = {name: " + ".join(f"contains({head}, {quoted(w)})::INT" for w in words) for name, words in TOPICS.items()}
+def planted(phrases: list[str]) -> str:
+    """The text of a document with one of the phrases behind it."""
+    return f"(text || chr(10) || chr(10) || {listed(phrases)}[doc_id % {len(phrases)} + 1])"
+
+
+ORACLES["session_people"] = f"""
+WITH t AS (SELECT doc_id, source, {plain(planted(SPOKEN))} AS t FROM documents)
+SELECT doc_id, array_to_string(list_sort(list_filter([
+  {', '.join(f"CASE WHEN regexp_matches(t, {quoted(f'(?i){chr(92)}b{person}{chr(92)}b')}) THEN {quoted(person)} END" for person in ('Riley', 'Ada', 'Max'))},
+  CASE source WHEN 'src1' THEN 'Owner' WHEN 'src7' THEN 'Guest' END], lambda x: x IS NOT NULL)), ',') AS people FROM t"""
+
+
+def _topic_room(text: str, topics: dict[str, list[str]] = TOPICS) -> str:
+    head = f"lower({text})"
+    scores = {name: " + ".join(f"contains({head}, {quoted(w)})::INT" for w in words) for name, words in topics.items()}
     best = f"greatest({', '.join(scores.values())})"
     cases = " ".join(f"WHEN {score} = {best} THEN {quoted(name)}" for name, score in scores.items())
     return f"CASE WHEN {best} = 0 THEN 'general' {cases} END"
 
 
 ORACLES["conversation_rooms"] = f"SELECT doc_id, {_topic_room('text')} AS room FROM documents"
+ORACLES["conversation_rooms_default"] = f"""WITH p AS (SELECT doc_id, {planted(PLANTED)} AS t FROM documents)
+SELECT doc_id, {_topic_room('t', lex.TOPIC_KEYWORDS)} AS room FROM p"""
 
 PATH = """CASE doc_id % 4 WHEN 0 THEN 'Texts/' || lang || '/' || source || '.md' WHEN 1 THEN 'misc/' || source || '.md'
   WHEN 2 THEN 'misc/joiners_' || source || '.txt' ELSE source || '.txt' END"""
@@ -202,7 +219,7 @@ def _project_room(text: str) -> str:
     by_folder = f"list_filter(list_transform({folders}, lambda part: {of('part')}), lambda r: r IS NOT NULL)[1]"
     stem = r"lower(regexp_replace(split_part(path, '/', -1), '\.[^.]*$', ''))"
     by_name = "CASE " + " ".join(f"WHEN {mutual(stem, room.name)} THEN {quoted(room.name)}" for room in ROOMS) + " END"
-    head = f"lower(({text})[:2000])"
+    head = f"lower({text})"
 
     def hits(word: str) -> str:
         return f"(len({head}) - len(replace({head}, {quoted(word)}, ''))) // {len(word)}"
@@ -238,13 +255,19 @@ def prose(text: str) -> str:
     return f"CASE WHEN len({kept}) > 0 THEN {kept} ELSE {text} END"
 
 
-def mood(text: str) -> str:
+def mood(text: str, positive: list[str] = POSITIVE, negative: list[str] = NEGATIVE) -> str:
     words = f"list_distinct(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{Mn}}\\p{{Nd}}\\p{{Pc}}]+'))"
-    good, bad = (f"len(list_intersect({words}, {listed(v)}))" for v in (POSITIVE, NEGATIVE))
+    good, bad = (f"len(list_intersect({words}, {listed(v)}))" for v in (positive, negative))
     return f"CASE WHEN {good} > {bad} THEN 'positive' WHEN {bad} > {good} THEN 'negative' ELSE 'neutral' END"
 
 
-def _memories(source: str) -> str:
+def _default_score(text: str, kind: str) -> str:
+    """Hits of the built-in patterns of a memory type in a text."""
+    lowered = plain(f"lower({text})")
+    return "(" + " + ".join(f"len(regexp_extract_all({lowered}, {quoted(marker)}))" for marker in lex.MEMORY_MARKERS[kind]) + ")::INTEGER"
+
+
+def _memories(source: str, built_in: bool = False) -> str:
     """CTEs ending in ``memories(k, chunk_index, content, memory_type, confidence)`` over ``(k, body)``."""
     speaker = r"regexp_matches({0}, '^>\s|^(?i:human|user|q)\s*:|^(?i:assistant|ai|a|claude|chatgpt)\s*:')".format(trimmed("line"))
     best = "greatest(decision, preference, milestone, problem, emotional)"
@@ -262,8 +285,8 @@ seg AS (SELECT k, e AS ord, string_agg(line, chr(10) ORDER BY i) AS s FROM mnum
   UNION ALL SELECT k, unnest(range(len(ps))), unnest(ps) FROM mpara WHERE NOT (len(ps) <= 1 AND lines > 20)),
 pr AS MATERIALIZED (SELECT k, ord, s, {prose('s')} AS p FROM seg WHERE len({trimmed('s')}) >= 20),
 tk AS (SELECT *, {tokens('p')} AS toks FROM pr),
-sc AS (SELECT k, ord, s, p, {', '.join(f"{_score('toks', kind)} AS {kind}" for kind in MARKERS)} FROM tk),
-bs AS (SELECT *, {best} AS best, {kind} AS kind, {mood('p')} AS mood, regexp_matches({plain('lower(p)')}, {quoted(resolved)}) AS resolved FROM sc),
+sc AS (SELECT k, ord, s, p, {', '.join(f"{_default_score('p', kind) if built_in else _score('toks', kind)} AS {kind}" for kind in MARKERS)} FROM tk),
+bs AS (SELECT *, {best} AS best, {kind} AS kind, {mood('p', lex.POSITIVE_WORDS, lex.NEGATIVE_WORDS) if built_in else mood('p')} AS mood, regexp_matches({plain('lower(p)')}, {quoted(resolved)}) AS resolved FROM sc),
 cf AS (SELECT *, least(1.0::DOUBLE, (best + CASE WHEN len(s) > 500 THEN 2 WHEN len(s) > 200 THEN 1 ELSE 0 END) / 5.0::DOUBLE) AS confidence,
   CASE WHEN kind = 'problem' AND resolved THEN CASE WHEN emotional > 0 AND mood = 'positive' THEN 'emotional' ELSE 'milestone' END
        WHEN kind = 'problem' AND mood = 'positive' AND milestone > 0 THEN 'milestone'
@@ -272,6 +295,12 @@ memories AS (SELECT k, (row_number() OVER (PARTITION BY k ORDER BY ord) - 1)::IN
   FROM cf WHERE confidence >= 0.3)"""
 
 
+ORACLES["memory_scores_default"] = f"""WITH t AS (SELECT doc_id, {planted(PLANTED)} AS t FROM documents)
+SELECT doc_id, {', '.join(f"{_default_score('t', kind)} AS {kind}" for kind in lex.MEMORY_MARKERS)} FROM t"""
+ORACLES["memory_types_default"] = f"""WITH {_memories(f'SELECT doc_id AS k, {planted(PLANTED)} AS body FROM documents', True).strip()}
+SELECT k AS doc_id, chunk_index, content, memory_type, confidence FROM memories"""
+ORACLES["sentiment_default"] = f"""WITH t AS (SELECT doc_id, {planted(PLANTED)} AS t FROM documents)
+SELECT doc_id, {mood('t', lex.POSITIVE_WORDS, lex.NEGATIVE_WORDS)} AS sentiment FROM t"""
 ORACLES["memory_types"] = f"""WITH {_memories('SELECT doc_id AS k, text AS body FROM documents').strip()}
 SELECT k AS doc_id, chunk_index, content, memory_type, confidence FROM memories"""
 ORACLES["code_line_filter"] = f"""SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: {code_line('x')}))::INTEGER AS code_lines,
@@ -287,6 +316,13 @@ r AS (SELECT level, folder, CASE {' '.join(f"WHEN replace(lower(folder), '-', '_
    WHERE NOT list_contains({listed(lex.SKIPPED_FOLDERS)}, folder))
 SELECT room, arg_min(folder, (level, folder)) AS folder, coalesce(nullif(list_position({listed(lex.ROOM_ORDER)}, room), 0) - 1, 2147483647)::INTEGER AS rank,
   min(level)::INTEGER AS level FROM r WHERE room IS NOT NULL GROUP BY room"""
+ORACLES["rooms_from_folders_default"] = f"""
+WITH m(k, room) AS (VALUES {', '.join(f'({quoted(k)}, {quoted(v)})' for k, v in lex.FOLDER_ROOMS.items())}),
+f AS (SELECT DISTINCT {listed(sorted(lex.FOLDER_ROOMS))}[page_id % {len(lex.FOLDER_ROOMS)} + 1] AS folder FROM pages),
+r AS (SELECT folder, coalesce(room, CASE WHEN len(folder) > 2 AND regexp_matches(folder, '^\\p{{L}}') THEN replace(replace(lower(folder), '-', '_'), ' ', '_') END) AS room
+   FROM f LEFT JOIN m ON k = replace(lower(folder), '-', '_') WHERE NOT list_contains({listed(lex.SKIPPED_FOLDERS)}, folder))
+SELECT room, min(folder) AS folder, coalesce(nullif(list_position({listed(lex.ROOM_ORDER)}, room), 0) - 1, 2147483647)::INTEGER AS rank, 1 AS level
+FROM r WHERE room IS NOT NULL GROUP BY room"""
 FILE_ROOMS = {**FOLDERS, "src1": "ones", "src_": "never", "fr_src": "french"}
 ORACLES["rooms_from_file_names"] = f"""
 WITH m(k, room) AS (VALUES {', '.join(f'({quoted(k)}, {quoted(v)})' for k, v in FILE_ROOMS.items())})
@@ -312,6 +348,74 @@ w AS (SELECT unnest(regexp_extract_all(t, '\b[A-Z][a-z]{{1,19}}\b')) AS name, 1
 SELECT name, count(*) AS frequency FROM w
 WHERE len(list_intersect(CASE WHEN f = 2 THEN string_split_regex(lower(name), ' +') ELSE [lower(name)] END, {listed(lex.NAME_STOPWORDS)})) = 0
 GROUP BY 1 HAVING count(*) >= 3"""
+NAME_SIGNALS = [
+    *[("spoken", "'dialogue marker (' || {n} || 'x)'", template, 3) for template in lex.DIALOGUE_SLOTS],
+    *[("spoken", "chr(39) || name || ' ...' || chr(39) || ' action (' || {n} || 'x)'", template, 2) for template in lex.ACTION_SLOTS],
+    *[("addressed", "'addressed directly (' || {n} || 'x)'", template, 4) for template in lex.ADDRESS_SLOTS],
+    *[("project", "'project verb (' || {n} || 'x)'", template, 2) for template in lex.PROJECT_SLOTS],
+    *[("project", "'versioned/hyphenated (' || {n} || 'x)'", template, 3) for template in lex.VERSION_SLOTS],
+    *[("project", "'code file reference (' || {n} || 'x)'", template, 3) for template in lex.CODE_FILE_SLOTS],
+]
+
+
+def _name_scores(body: str, corpus: bool) -> str:
+    """CTEs ending in ``named``: classified names per document, or over all of them."""
+    hits = ", ".join(
+        f"len(regexp_extract_all(t, replace({quoted('(?im)' + template)}, '{{name}}', name)))" for _, _, template, _ in NAME_SIGNALS
+    )
+
+    def total(*parts: str) -> str:
+        return " + ".join(f"h[{i + 1}] * {weight}" for i, (part, _, _, weight) in enumerate(NAME_SIGNALS) if part in parts)
+
+    def texts(part: str) -> list[str]:
+        return [
+            f"CASE WHEN h[{i + 1}] > 0 THEN {label.format(n=f'h[{i + 1}]')} END" for i, (kind, label, _, _) in enumerate(NAME_SIGNALS) if kind == part
+        ]
+
+    def first_three(items: list[str]) -> str:
+        return f"list_filter([{', '.join(items)}], lambda x: x IS NOT NULL)[1:3]"
+
+    person = [*texts("spoken"), "CASE WHEN pronouns > 0 THEN 'pronoun nearby (' || pronouns || 'x)' END", *texts("addressed")]
+    sums = ", ".join(f"sum(h[{i + 1}])::BIGINT" for i in range(len(NAME_SIGNALS)))
+    counted = (
+        f"SELECT 0 AS id, name, sum(f)::BIGINT AS frequency, [{sums}] AS h, sum(pronouns)::BIGINT AS pronouns FROM hits GROUP BY name HAVING sum(f) >= 3"
+        if corpus
+        else "SELECT id, name, f AS frequency, h, pronouns FROM hits WHERE f >= 3"
+    )
+    kinds = " + ".join(f"(len(list_filter(ps, lambda x: contains(x, '{word}'))) > 0)::INT" for word in ("dialogue", "action", "pronoun", "addressed"))
+    number = "BIGINT" if corpus else "INTEGER"
+    return rf"""
+body AS (SELECT doc_id AS id, {plain(body)} AS t, string_split({body}, chr(10)) AS l FROM documents),
+w AS (SELECT id, unnest(regexp_extract_all(t, '\b[A-Z][a-z]{{1,19}}\b')) AS name, 1 AS f FROM body
+  UNION ALL SELECT id, unnest(regexp_extract_all(t, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b')), 2 FROM body
+  UNION ALL SELECT id, unnest(regexp_extract_all(t, '\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b')), 3 FROM body),
+kept AS (SELECT id, name FROM w
+  WHERE len(list_intersect(CASE WHEN f = 2 THEN string_split_regex(lower(name), ' +') ELSE [lower(name)] END, {listed(lex.NAME_STOPWORDS)})) = 0),
+c AS (SELECT id, name, count(*) AS f FROM kept GROUP BY ALL {'' if corpus else 'HAVING count(*) >= 3'}),
+frames AS (SELECT id, l, list_transform(l, lambda x: regexp_matches({plain('lower(x)')}, {quoted(lex.PRONOUNS)})) AS m FROM body),
+framed AS (SELECT id, list_filter(list_transform(l, lambda x, i: CASE WHEN list_bool_or(m[greatest(i - 3, 0) + 1 : greatest(i - 3, 0) + 5]) THEN lower(x) END), lambda x: x IS NOT NULL) AS framed FROM frames),
+hits AS (SELECT c.id, name, f, [{hits}] AS h, len(list_filter(framed, lambda x: contains(x, lower(name)))) AS pronouns
+  FROM c JOIN body ON body.id = c.id JOIN framed ON framed.id = c.id),
+counted AS ({counted}),
+scored AS (SELECT id, name, frequency, ({total('spoken', 'addressed')} + pronouns * 2)::{number} AS person_score, ({total('project')})::{number} AS project_score,
+  {first_three(person)} AS ps, {first_three(texts('project'))} AS js FROM counted),
+ratioed AS (SELECT *, person_score + project_score AS total, person_score / (person_score + project_score)::DOUBLE AS ratio, {kinds} AS kinds FROM scored),
+named AS (SELECT *, CASE WHEN total = 0 THEN 'uncertain' WHEN ratio >= 0.7 AND kinds >= 2 AND person_score >= 5 THEN 'person' WHEN ratio >= 0.7 THEN 'uncertain'
+    WHEN ratio <= 0.3 THEN 'project' ELSE 'uncertain' END AS type,
+  CASE WHEN total = 0 THEN {half_even('least(0.4::DOUBLE, frequency / 50.0::DOUBLE)', 2)} WHEN ratio >= 0.7 AND kinds >= 2 AND person_score >= 5 THEN {half_even('least(0.99::DOUBLE, 0.5 + ratio * 0.5)', 2)}
+    WHEN ratio >= 0.7 THEN 0.4::DOUBLE WHEN ratio <= 0.3 THEN {half_even('least(0.99::DOUBLE, 0.5 + (1 - ratio) * 0.5)', 2)} ELSE 0.5::DOUBLE END AS confidence,
+  CASE WHEN total = 0 THEN ['appears ' || frequency || 'x, no strong type signals'] WHEN ratio >= 0.7 AND kinds >= 2 AND person_score >= 5 THEN ps
+    WHEN ratio >= 0.7 THEN list_append(ps, 'appears ' || frequency || 'x — pronoun-only match')
+    WHEN ratio <= 0.3 THEN CASE WHEN len(js) > 0 THEN js ELSE ['appears ' || frequency || 'x'] END
+    ELSE list_append(list_concat(ps, js)[1:3], 'mixed signals — needs review') END AS signals FROM ratioed)"""
+
+
+NAMED_COLUMNS = "name, frequency, person_score, project_score, type, confidence, array_to_string(signals, ',') AS signals"
+ORACLES["detected_names"] = f"WITH {_name_scores('text', False).strip()} SELECT id, {NAMED_COLUMNS} FROM named"
+ORACLES["spoken_names"] = f"WITH {_name_scores(planted(SPOKEN), False).strip()} SELECT id, {NAMED_COLUMNS} FROM named"
+CORPUS_NAMES = _name_scores(planted(SPOKEN), True).strip()
+ORACLES["corpus_names"] = f"WITH {CORPUS_NAMES} SELECT {NAMED_COLUMNS} FROM named"
+ORACLES["people_and_projects"] = f"WITH {CORPUS_NAMES} SELECT DISTINCT name FROM named WHERE type IN ('person', 'project')"
 ORACLES["pronoun_lines"] = f"""
 WITH m AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: regexp_matches({plain('lower(x)')}, {quoted(lex.PRONOUNS)})) AS m FROM documents)
 SELECT doc_id, len(list_filter(m, lambda x, i: list_bool_or(m[greatest(i - 3, 0) + 1 : greatest(i - 3, 0) + 5])))::INTEGER AS lines FROM m"""
@@ -325,10 +429,13 @@ first_words AS (SELECT min(item_id) AS ord, {capitalized("regexp_extract(text, '
 people AS (SELECT ord, name, CASE WHEN len(name) = 2 THEN name || 'eth' END AS alias, '' AS canonical FROM first_words
   UNION ALL SELECT ord, name || 'eth', name, name FROM first_words WHERE len(name) = 2),
 projects AS (SELECT name, count(*) AS ord FROM (SELECT {capitalized(r"regexp_extract(text, '(\w+)\.\s*$', 1)")} AS name FROM documents)
-  WHERE regexp_full_match(name, '[A-Z][a-z]{{2,6}}') GROUP BY 1),
-research AS (SELECT DISTINCT word, CASE WHEN len(word) % 2 = 0 THEN 'place' ELSE 'person' END AS type, len(word) / 10.0::DOUBLE AS confidence, len(word) > 3 AS confirmed
-  FROM (SELECT {capitalized(r"regexp_extract(text, '^\w+ (\w+)', 1)")} AS word FROM documents) WHERE regexp_full_match(word, '[A-Z][a-z]{{1,6}}')),
+  WHERE regexp_full_match(name, '[A-Z][a-z]+') GROUP BY 1),
+research AS (SELECT DISTINCT word, CASE WHEN len(word) % 2 = 0 THEN 'place' ELSE 'person' END AS type, least(len(word), 9) / 10.0::DOUBLE AS confidence, len(word) > 3 AS confirmed
+  FROM (SELECT {capitalized(r"regexp_extract(text, '^\w+ (\w+)', 1)")} AS word FROM documents) WHERE regexp_full_match(word, '[A-Z][a-z]+')),
 spelled AS (SELECT lower(name) AS key, name, ord, canonical FROM people UNION ALL SELECT lower(alias), name, ord, canonical FROM people WHERE alias IS NOT NULL)"""
+ORACLES["learned_people"] = f"""WITH {CORPUS_NAMES},{REGISTRY}
+SELECT name, confidence, frequency FROM named WHERE type = 'person' AND confidence >= 0.75 AND name NOT IN (SELECT name FROM people)
+  AND lower(name) NOT IN (SELECT lower(name) FROM projects)"""
 ORACLES["registry_people"] = f"""WITH {REGISTRY.strip()} SELECT ord, name, coalesce(alias, '') AS aliases, canonical, 'onboarding' AS source, 1.0::DOUBLE AS confidence FROM people"""
 
 
@@ -486,7 +593,7 @@ ORACLES["stack_status"] = "SELECT count(*) AS total_drawers, 15 AS story_drawers
 CHANGES = f"""WITH stored AS MATERIALIZED (SELECT DISTINCT 'drawer_' || lang || '_stored_' || {digest('lang', "'stored'", 'source', trimmed('text'))} AS id, {trimmed('text')} AS text FROM documents),
 asked AS MATERIALIZED (SELECT DISTINCT 'drawer_new_wing_inbox_bench_' || {digest("'new_wing'", "'inbox_bench'", "'bench.txt'", trimmed('text'))} AS id, 'new_wing' AS wing, 'inbox_bench' AS room,
     'bench.txt' AS source_file, {trimmed('text')} AS text FROM benchmark
-  UNION SELECT DISTINCT 'drawer_' || lang || '_stored_' || {digest('lang', "'stored'", 'source', trimmed('text'))}, lang, 'stored', source, {trimmed('text')} FROM documents WHERE lang = 'de'),
+  UNION SELECT DISTINCT 'drawer_' || lang || '_stored_' || {digest('lang', "'stored'", 'source', trimmed('text'))}, lang, 'stored', source, {trimmed('text')} FROM documents),
 q AS (SELECT id AS qid, {token_set('text')} AS q FROM asked WHERE id NOT IN (SELECT id FROM stored)),
 t AS (SELECT id, {token_set('text')} AS t FROM stored),
 hit AS (SELECT qid, least(count(*), 5) AS matches FROM q JOIN t ON {containment('q', 't')} >= 0.9 WHERE len(q) > 0 GROUP BY 1),
@@ -499,7 +606,7 @@ ORACLES["new_drawers"] = f"{CHANGES} SELECT id, wing, room, source_file FROM ask
 ORACLES["delete_outcomes"] = f"{CHANGES} SELECT id, CASE WHEN id IN (SELECT id FROM stored) THEN 'success' ELSE 'not_found' END AS outcome FROM asked"
 ORACLES["delete_by_source"] = over_drawers(
     """SELECT id, source_file FROM drawers WHERE upper(source_file) NOT IN (
-SELECT upper(source) FROM documents WHERE lang = 'es' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 7)"""
+SELECT upper(source) FROM documents GROUP BY 1 HAVING sum(len(text)) % 2 = 0)"""
 )
 ORACLES["file_states"] = over_drawers(
     """+ first AS (SELECT lower(source_file || '/' || wing) AS key, arg_min(doc_id % 11 <> 0, id) AS timed FROM drawers GROUP BY 1),
@@ -508,7 +615,7 @@ SELECT source_file, CASE WHEN timed THEN 'current' ELSE 'stale' END AS state FRO
 UNION ALL SELECT source_file || 'x', 'new' FROM f"""
 )
 ORACLES["repair_order"] = over_drawers("SELECT id, wing, room FROM drawers")
-ORACLES["compressed_upsert"] = over_drawers(f"SELECT id, wing, CASE WHEN wing = '{WING}' THEN 'new' ELSE 'old' END AS text FROM drawers")
+ORACLES["compressed_upsert"] = f"""{COMPRESSED} SELECT id, wing, CASE WHEN wing = '{WING}' THEN compressed ELSE md5(text) END AS text FROM notation"""
 MOVED = """+ moved AS (SELECT id, text, CASE WHEN doc_id % 9 <> 0 THEN wing ELSE ' ' END AS wing, room, source_file, doc_id::INTEGER AS chunk_index, doc_id AS source_mtime,
   (doc_id * 2)::INTEGER AS original_tokens, CASE WHEN doc_id % 2 = 1 THEN 'True' ELSE 'False' END AS topic, coalesce(trunc(importance), -1.0)::DOUBLE AS importance, -1.0::DOUBLE AS weight
   FROM drawers WHERE doc_id % 10 <> 0 AND trim(text) <> '')"""

@@ -169,6 +169,7 @@ def project_files(
     rules: DataFrame | None = None,
     force_included: Iterable[str] = (),
     suffixes: list[str] = lex.PROJECT_SUFFIXES,
+    max_bytes: int = MAX_PROJECT_BYTES,
 ) -> DataFrame:
     """Readable project files of a listing: suffix, size, skipped folders and ignore rules applied."""
     forced = [part.strip().strip("/") for part in force_included if part.strip().strip("/")]
@@ -180,7 +181,7 @@ def project_files(
     )
     named = F.substring_index(path, "/", -1).isin(lex.SKIPPED_FILES)
     kept = files.where(
-        (F.col("size") <= MAX_PROJECT_BYTES)
+        (F.col("size") <= max_bytes)
         & (is_forced | (~skipped & ~named))
         & (_suffix(path).isin(suffixes) | exact)
     )
@@ -190,6 +191,16 @@ def project_files(
     return kept.join(gone, "path", "left_anti")
 
 
+def rejected_files(files: DataFrame, max_bytes: int = MAX_PROJECT_BYTES) -> DataFrame:
+    """Listed files that a project leaves out for their size: ``(path, size, status, reason)``."""
+    return files.where(F.col("size") > max_bytes).select(
+        "path",
+        "size",
+        F.lit("rejected").alias("status"),
+        F.format_string(f"file has %d bytes, the limit is {max_bytes}", "size").alias("reason"),
+    )
+
+
 def conversation_files(files: DataFrame) -> DataFrame:
     """Transcript files of a listing."""
     path = F.col("path")
