@@ -18,6 +18,7 @@ from cairnlake.operators import (
     splitting,
     transcripts,
 )
+from cairnlake.sources import files as file_source
 
 CHATS = {
     "session.jsonl": "\n".join(
@@ -274,6 +275,49 @@ def test_name_scores_equal_the_per_name_rule(spark):
     assert (plain["type"], plain["confidence"]) == ("uncertain", 0.06)
 
 
+def test_corpus_names_sum_over_texts(spark):
+    texts = [f"note {i}: Quillon said he would come." for i in range(4)] + ["building Voxtar. Import Voxtar and install Voxtar"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = {r["name"]: r for r in entities.detect_corpus_names(df).collect()}
+    assert (found["Quillon"]["frequency"], found["Quillon"]["type"]) == (4, "person")
+    assert found["Voxtar"]["type"] == "project"
+    single = entities.detect_names(df.selectExpr("uuid() AS id", "text"))
+    assert "Quillon" not in {r["name"] for r in single.collect()}
+    assert {r["name"] for r in entities.people_and_projects(entities.detect_corpus_names(df)).collect()} == {"Quillon", "Voxtar"}
+    one = entities.detect_corpus_names(df, caps={"person": 0, "project": 1, "uncertain": 0}).collect()
+    assert [r["name"] for r in one] == ["Voxtar"]
+
+
+def test_names_are_not_capped_by_default(spark):
+    text = " ".join(f"Name{chr(97 + a)}{chr(97 + b)} " * 3 for a in range(4) for b in range(10))
+    text = text.replace("Name", "Zor")
+    df = spark.createDataFrame([("t", text)], "id string, text string")
+    assert entities.detect_names(df).count() == 40
+
+
+def test_stopwords_are_complete():
+    assert len(lex.NAME_STOPWORDS) == len(set(lex.NAME_STOPWORDS)) > 260
+
+
+def test_long_conversations_come_in_parts(spark):
+    rows = [(1, t, "user" if t % 2 == 0 else "assistant", f"m{t}") for t in range(25)] + [(2, 0, "user", "hi")]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+    parts = transcripts.conversation_messages(df, part_turns=10).orderBy("conv_id", "part").collect()
+    assert [(r["conv_id"], r["part"], len(r["messages"])) for r in parts] == [(1, 0, 10), (1, 1, 10), (1, 2, 5), (2, 0, 1)]
+    assert [m["text"] for r in parts[:3] for m in r["messages"]] == [f"m{t}" for t in range(25)]
+
+
+def test_oversized_files_are_reported(spark):
+    df = spark.createDataFrame([("a.txt", "short"), ("b.txt", "long " * 100)], "path string, content string")
+    rows = {r["path"]: r for r in transcripts.normalize(df, max_bytes=100).collect()}
+    assert (rows["a.txt"]["status"], rows["a.txt"]["transcript"], rows["a.txt"]["reason"]) == ("read", "short", None)
+    assert (rows["b.txt"]["status"], rows["b.txt"]["transcript"]) == ("rejected", None)
+    assert "500 bytes" in rows["b.txt"]["reason"]
+    listed = spark.createDataFrame([("x/a.md", 10), ("x/b.md", 11 << 20)], "path string, size long")
+    assert [r["path"] for r in file_source.rejected_files(listed).collect()] == ["x/b.md"]
+    assert [r["path"] for r in file_source.project_files(listed).collect()] == ["x/a.md"]
+
+
 def test_candidates_skip_camel_case_on_request(spark):
     df = spark.createDataFrame([("MemBank MemBank MemBank",)], "text string")
     assert entities.candidate_counts(df, camel_case=False).count() == 0
