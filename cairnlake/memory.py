@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnlake.functions.params import DUPLICATE_THRESHOLD, SEARCH_LIMIT, clamp_positive
@@ -23,7 +23,8 @@ class Memory:
     """Tools over the drawers and the knowledge graph of one catalog database.
 
     Reads return DataFrames; changes take DataFrames of requests, so a call handles one
-    request or millions alike. With ``journal`` every change is logged there first.
+    request or millions alike. With ``journal`` every change is logged there, its intent
+    before anything happens and its result afterwards.
     """
 
     def __init__(self, spark: SparkSession, database: str = "default", journal: str | None = None) -> None:
@@ -34,6 +35,11 @@ class Memory:
     def _now(self) -> str:
         return datetime.now(UTC).isoformat()
 
+    def _log(self, rows: DataFrame, operation: str, phase: str | Column) -> None:
+        if self.journal:
+            told = F.lit(phase) if isinstance(phase, str) else phase
+            append_journal(mutations.journal_phase(rows, operation, told, self._now()), self.journal)
+
     def _drawers(self) -> DataFrame:
         return self.store.read(DRAWERS)
 
@@ -116,37 +122,59 @@ class Memory:
     # Changing
 
     def add_drawer(self, requests: DataFrame) -> DataFrame:
-        """Insert what is neither stored nor a duplicate; returns one outcome per request."""
-        asked = mutations.drawer_requests(requests)
+        """Insert what is neither stored nor a duplicate; returns one outcome per request.
+
+        Requests that break a rule are not changed to fit: their outcome is ``rejected``.
+        """
+        judged = mutations.judged_requests(requests)
+        asked = mutations.drawer_requests(judged.where("status = 'accepted'"))
+        self._log(asked.dropDuplicates(["id"]), "add_drawer", "intent")
         # The outcomes describe the table before the insert, so they are fixed first.
         outcomes = cut_lineage(mutations.add_outcomes(self._drawers(), asked))
-        if self.journal:
-            append_journal(mutations.journal_entries(outcomes, "add_drawer", self._now()), self.journal)
         accepted = asked.join(outcomes.where("outcome = 'inserted'").select("id"), "id", "left_semi")
         self.store.add(DRAWERS, accepted.select("*", F.lit(0).alias("chunk_index"), F.lit(self._now()).alias("filed_at")))
-        return outcomes
+        result = F.when(F.col("outcome") == "inserted", "success").otherwise(F.col("outcome"))
+        self._log(outcomes, "add_drawer", result)
+        refused = judged.where("status = 'rejected'").select(
+            F.lit(None).cast("string").alias("id"), "wing", "room", F.col("status").alias("outcome"), F.lit(0).cast("long").alias("matches"), "reason"
+        )
+        return outcomes.unionByName(refused, allowMissingColumns=True)
 
     def delete_drawer(self, ids: DataFrame) -> DataFrame:
         outcomes = cut_lineage(mutations.delete_outcomes(self._drawers(), ids))
+        self._log(outcomes, "delete_drawer", "intent")
         self.store.delete(DRAWERS, ids)
+        self._log(outcomes, "delete_drawer", F.col("outcome"))
         return outcomes
 
     def diary_write(self, requests: DataFrame) -> None:
-        self.store.add(DRAWERS, mutations.diary_entries(requests, self._now()))
+        entries = mutations.diary_entries(requests, self._now())
+        self._log(entries, "diary_write", "intent")
+        self.store.add(DRAWERS, entries)
+        self._log(entries, "diary_write", "success")
 
     def kg_add(self, facts: DataFrame) -> None:
         """Add ``(subject_name, predicate, object_name, valid_from, ord)`` facts and their missing endpoints."""
         triples = self._triples()
         columns = ["subject", "predicate", "object", "valid_from", "valid_to", "confidence"]
         fresh = knowledge.add_triples(triples, facts).withColumn("confidence", F.lit(1.0)).select(columns)
+        named = facts.select(F.concat_ws("|", "subject_name", "predicate", "object_name").alias("id"))
+        self._log(named, "kg_add", "intent")
         self._rewrite("entities", knowledge.add_missing_endpoints(self._entities(), facts))
         self._rewrite("triples", triples.select(columns).unionByName(fresh))
+        self._log(named, "kg_add", "success")
 
     def kg_add_entity(self, entities: DataFrame) -> None:
+        named = entities.select(F.col("name").alias("id"))
+        self._log(named, "kg_add_entity", "intent")
         self._rewrite("entities", knowledge.upsert_entities(self._entities(), entities))
+        self._log(named, "kg_add_entity", "success")
 
     def kg_invalidate(self, ended: DataFrame) -> None:
+        named = ended.select(F.concat_ws("|", "subject_name", "predicate", "object_name").alias("id"))
+        self._log(named, "kg_invalidate", "intent")
         self._rewrite("triples", knowledge.invalidate(self._triples(), ended))
+        self._log(named, "kg_invalidate", "success")
 
     def compress(self, wing: str | None = None) -> DataFrame:
         """Write the notation of all drawers to the compressed collection; returns the totals."""
@@ -155,7 +183,9 @@ class Memory:
             "id", F.col("compressed").alias("text"), F.col("ratio").alias("compression_ratio"), "original_tokens", "compressed_tokens"
         )
         kept = self._drawers().drop("text", "compression_ratio", "original_tokens", "compressed_tokens")
+        self._log(kept, "compress", "intent")
         self.store.upsert(COMPRESSED, kept.join(figures, "id"))
+        self._log(kept, "compress", "success")
         return shorthand.compression_totals(compressed)
 
     def repair(self) -> None:

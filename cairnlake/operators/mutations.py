@@ -80,6 +80,36 @@ def repair_order(stored: DataFrame, partitions: int | None = None) -> DataFrame:
     return ranged.sortWithinPartitions("id")
 
 
+# Fixed limits on the characters of a request's fields.
+MOST_CHARS = {"wing": 80, "room": 80, "content": 200_000, "source_file": 1024, "added_by": 160}
+REQUIRED = ("wing", "room", "content")
+
+
+def request_problem() -> Column:
+    """Why a ``(wing, room, content, source_file, added_by)`` request is rejected, NULL when it is fine.
+
+    Fields are measured as they would be stored, never cut: a required one may not be
+    missing, none may be too long, and a wing or room needs a usable character.
+    """
+    checks = []
+    for field, most in MOST_CHARS.items():
+        value = F.coalesce(clean_content(F.col(field)), F.lit(""))
+        if field in REQUIRED:
+            checks.append(F.when(value == "", F.lit(f"{field} is missing")))
+        checks.append(F.when(F.length(value) > most, F.lit(f"{field} has more than {most} characters")))
+        if field in ("wing", "room"):
+            checks.append(F.when(slug(F.col(field)) == "", F.lit(f"{field} has no usable characters")))
+    return F.coalesce(*checks)
+
+
+def judged_requests(requests: DataFrame) -> DataFrame:
+    """Requests with ``status`` (``accepted`` or ``rejected``) and ``reason``."""
+    reason = request_problem()
+    return requests.withColumn("reason", reason).withColumn(
+        "status", F.when(F.col("reason").isNull(), "accepted").otherwise("rejected")
+    )
+
+
 def drawer_requests(requests: DataFrame) -> DataFrame:
     """Cleaned ``(wing, room, content, source_file, added_by)`` requests with their content id."""
     cleaned = requests.select(
@@ -142,6 +172,17 @@ def diary_entries(requests: DataFrame, now: str) -> DataFrame:
     )
 
 
+def journal_phase(rows: DataFrame, operation: str, phase: Column, now: str) -> DataFrame:
+    """One log line per row of ``(id, wing, room)``; missing columns are logged as NULL."""
+    named = [(F.col(c) if c in rows.columns else F.lit(None)).cast("string") for c in ("id", "wing", "room")]
+    return rows.select(
+        F.lit(now).alias("timestamp"),
+        F.lit(operation).alias("operation"),
+        phase.alias("phase"),
+        *[column.alias(name) for column, name in zip(named, ("drawer_id", "wing", "room"), strict=True)],
+    )
+
+
 def journal_entries(outcomes: DataFrame, operation: str, now: str) -> DataFrame:
     """Append-only log lines of a batch: one intent and one result per request."""
     result = F.when(F.col("outcome") == "inserted", "success").otherwise(F.col("outcome"))

@@ -649,6 +649,21 @@ def _stored(spark: SparkSession, folder: str) -> DataFrame:
     return mutations.drawer_requests(docs).dropDuplicates(["id"])
 
 
+@query
+def request_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as requests, some with unusable, missing or too long fields."""
+    number = F.col("doc_id") % 6
+    requests = src.table(spark, folder, "documents").select(
+        "doc_id",
+        F.when(number == 1, F.lit(" *** ")).when(number == 2, F.repeat("lang", F.lit(41))).otherwise(F.col("lang")).alias("wing"),
+        F.when(number == 3, F.lit(" ")).otherwise("stored").alias("room"),
+        F.when(number == 4, F.lit(None)).when(number == 5, F.repeat("text", F.lit(100))).otherwise(F.col("text")).alias("content"),
+        F.col("source").alias("source_file"),
+        F.lit(None).cast("string").alias("added_by"),
+    )
+    return mutations.judged_requests(requests).select("doc_id", "status", F.coalesce("reason", F.lit("")).alias("reason"))
+
+
 @query
 def add_drawer_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     return mutations.add_outcomes(_stored(spark, folder), _requests(spark, folder))

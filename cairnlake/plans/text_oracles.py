@@ -600,6 +600,11 @@ hit AS (SELECT qid, least(count(*), 5) AS matches FROM q JOIN t ON {containment(
 outcomes AS (SELECT asked.id, wing, room, CASE WHEN asked.id IN (SELECT id FROM stored) THEN 'noop' WHEN matches > 0 THEN 'duplicate' ELSE 'inserted' END AS outcome,
   coalesce(matches, 0)::BIGINT AS matches FROM asked LEFT JOIN hit ON qid = asked.id)"""
 ORACLES["add_drawer_outcomes"] = f"{CHANGES} SELECT * FROM outcomes"
+ORACLES["request_rules"] = f"""
+WITH r AS (SELECT doc_id, CASE doc_id % 6 WHEN 1 THEN 'wing has no usable characters' WHEN 2 THEN 'wing has more than 80 characters' WHEN 3 THEN 'room is missing'
+  WHEN 4 THEN 'content is missing' WHEN 5 THEN CASE WHEN len({trimmed('repeat(text, 100)')}) > 200000 THEN 'content has more than 200000 characters' ELSE '' END
+  ELSE '' END AS reason FROM documents)
+SELECT doc_id, CASE reason WHEN '' THEN 'accepted' ELSE 'rejected' END AS status, reason FROM r"""
 ORACLES["journal_counts"] = f"""{CHANGES} SELECT 'add_drawer' AS operation, phase, count(*) AS n FROM (SELECT 'intent' AS phase FROM outcomes
 UNION ALL SELECT CASE outcome WHEN 'inserted' THEN 'success' ELSE outcome END FROM outcomes) GROUP BY ALL"""
 ORACLES["new_drawers"] = f"{CHANGES} SELECT id, wing, room, source_file FROM asked WHERE id NOT IN (SELECT id FROM stored)"

@@ -9,6 +9,9 @@ from cairnlake.operators import mutations
 from cairnlake.schema import DRAWER_SCHEMA
 
 
+OVERWRITE = "spark.sql.sources.partitionOverwriteMode"
+
+
 class Collections:
     """Named drawer tables of one catalog database."""
 
@@ -49,7 +52,42 @@ class Collections:
         """Append the drawers whose id is not stored yet."""
         self.ensure(collection)
         fresh = mutations.new_drawers(self.read(collection), drawers)
-        self._shaped(fresh).write.insertInto(self.name(collection))
+        self._clustered(self._shaped(fresh)).write.insertInto(self.name(collection))
+
+    @staticmethod
+    def _clustered(shaped: DataFrame) -> DataFrame:
+        """Rows gathered per wing, a large wing over several tasks, so that a wing gets few files."""
+        return shaped.hint("rebalance", "wing")
+
+    def _side(self, collection: str, rows: DataFrame) -> str:
+        """Write rows that derive from a table to a side table, so that the table may be overwritten."""
+        side = self.name(f"{collection}__next")
+        self.spark.sql(f"DROP TABLE IF EXISTS {side}")
+        self._shaped(rows).write.format("parquet").saveAsTable(side)
+        return side
+
+    def _rewrite_wings(self, collection: str, touched: DataFrame, rows: DataFrame) -> None:
+        """Replace the wings named in ``touched`` by ``rows``; files of other wings stay as they are.
+
+        Each wing is swapped as one partition overwrite, and a wing without rows is dropped.
+        Wings are catalog partitions, so their names are few enough for the driver.
+        """
+        wings = {row["wing"] for row in touched.select("wing").distinct().collect()}
+        if not wings:
+            return
+        side = self._side(collection, rows)
+        filled = {row["wing"] for row in self.spark.table(side).select("wing").distinct().collect()}
+        # A table insert takes the mode from the session only.
+        mode = self.spark.conf.get(OVERWRITE)
+        self.spark.conf.set(OVERWRITE, "dynamic")
+        try:
+            self._clustered(self.spark.table(side)).write.insertInto(self.name(collection), overwrite=True)
+        finally:
+            self.spark.conf.set(OVERWRITE, mode)
+        for wing in sorted(wings - filled):
+            quoted = wing.replace("\\", "\\\\").replace("'", "\\'")
+            self.spark.sql(f"ALTER TABLE {self.name(collection)} DROP IF EXISTS PARTITION (wing = '{quoted}')")
+        self.spark.sql(f"DROP TABLE {side}")
 
     def replace(self, collection: str, drawers: DataFrame) -> None:
         """Replace all rows. They are written to a side table first, as they usually derive from the old ones.
@@ -57,24 +95,41 @@ class Collections:
         If the overwrite is lost half-way, the side table still holds the whole new version.
         """
         self.ensure(collection)
-        side = self.name(f"{collection}__next")
-        self.spark.sql(f"DROP TABLE IF EXISTS {side}")
-        self._shaped(drawers).write.format("parquet").saveAsTable(side)
-        self.spark.table(side).write.insertInto(self.name(collection), overwrite=True)
+        side = self._side(collection, drawers)
+        self._clustered(self.spark.table(side)).write.insertInto(self.name(collection), overwrite=True)
         self.spark.sql(f"DROP TABLE {side}")
 
     def delete(self, collection: str, ids: DataFrame) -> None:
-        self.replace(collection, mutations.delete_ids(self.read(collection), ids))
+        """Remove drawers; only the wings that hold one of them are rewritten."""
+        stored = self.read(collection)
+        touched = stored.join(ids.select("id"), "id", "left_semi").select("wing").distinct()
+        self._rewrite_wings(collection, touched, mutations.delete_ids(stored.join(touched, "wing", "left_semi"), ids))
 
     def delete_sources(self, collection: str, sources: DataFrame) -> None:
-        self.replace(collection, mutations.delete_sources(self.read(collection), sources))
+        """Remove the drawers of sources; only the wings that hold one of them are rewritten."""
+        stored = self.read(collection)
+        keys = sources.select(F.lower("source_file").alias("_key")).distinct()
+        touched = stored.withColumn("_key", F.lower("source_file")).join(keys, "_key", "left_semi").select("wing").distinct()
+        self._rewrite_wings(
+            collection, touched, mutations.delete_sources(stored.join(touched, "wing", "left_semi"), sources)
+        )
 
     def upsert(self, collection: str, drawers: DataFrame) -> None:
+        """Insert or replace drawers; only wings that lose or gain one are rewritten."""
         self.ensure(collection)
-        self.replace(collection, mutations.upsert(self.read(collection), drawers))
+        stored, incoming = self.read(collection), drawers
+        touched = (
+            stored.join(incoming.select("id"), "id", "left_semi").select("wing").unionByName(incoming.select("wing")).distinct()
+        )
+        self._rewrite_wings(collection, touched, mutations.upsert(stored.join(touched, "wing", "left_semi"), incoming))
 
     def repair(self, collection: str) -> None:
-        self.replace(collection, mutations.repair_order(self.read(collection)))
+        """Rewrite everything with the drawers of a wing in id order."""
+        self.ensure(collection)
+        side = self._side(collection, self.read(collection))
+        ordered = self.spark.table(side).repartitionByRange("wing", "id").sortWithinPartitions("wing", "id")
+        ordered.write.insertInto(self.name(collection), overwrite=True)
+        self.spark.sql(f"DROP TABLE {side}")
 
 
 def read_json_collection(spark: SparkSession, path: str) -> DataFrame:

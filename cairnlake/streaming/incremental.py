@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from cairnlake.plans.ingest import pending_files, refreshed
+from cairnlake.plans.ingest import pending_files
 from cairnlake.session import cut_lineage
 from cairnlake.sources.store import Collections
 
@@ -17,7 +17,8 @@ Miner = Callable[[DataFrame], DataFrame]
 def follow(files: DataFrame, store: Collections, collection: str, mine: Miner, checkpoint: str, by_time: bool = True) -> StreamingQuery:
     """Start a query that mines every micro batch of ``(path, source_file, source_mtime, content)`` rows.
 
-    A batch replayed after a failure finds its files current and changes nothing.
+    Only wings that hold a stale file are rewritten; new drawers are appended. A batch
+    replayed after a failure finds finished files current and does the others again.
     """
 
     def apply(batch: DataFrame, _: int) -> None:
@@ -25,7 +26,9 @@ def follow(files: DataFrame, store: Collections, collection: str, mine: Miner, c
         stored = store.read(collection)
         pending = cut_lineage(pending_files(stored, batch, by_time))
         if not pending.isEmpty():
-            store.replace(collection, refreshed(stored, pending, mine(pending)))
+            mined = cut_lineage(mine(pending))
+            store.delete_sources(collection, pending.where("state = 'stale'"))
+            store.add(collection, mined)
 
     return (
         files.writeStream.foreachBatch(apply)
