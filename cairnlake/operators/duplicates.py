@@ -16,6 +16,8 @@ MIN_TEXT = 20
 LARGE_GROUP = 20
 ESTIMATED_SHARE = 0.4
 LARGEST_GROUPS = 15
+# Drawers of one source that share a copy of its pivot.
+SALT_ROWS = 2048
 
 
 def cleanup_scope(drawers: DataFrame, wing: str | None = None, source_pattern: str | None = None) -> DataFrame:
@@ -74,22 +76,23 @@ def _first_per_source(candidates: DataFrame) -> DataFrame:
     """
     order = F.struct((-F.col("length")).alias("rank"), "id")
     winners = candidates.groupBy("source_file").agg(F.min(order).alias("first")).select(F.col("first.id").alias("id"))
-    return candidates.join(winners, "id").select("source_file", F.struct("id", "bag", "norm").alias("pivot"))
+    return candidates.join(winners, "id").select("source_file", "n", F.struct("id", "bag", "norm").alias("pivot"))
 
 
-def _compared(candidates: DataFrame, pivots: DataFrame, salts: int) -> DataFrame:
-    """Join each candidate with its source's pivot; a large source is spread over ``salts`` keys."""
-    spread = pivots.select("source_file", "pivot", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    salted = candidates.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+def _compared(candidates: DataFrame, pivots: DataFrame, salt_rows: int) -> DataFrame:
+    """Join each candidate with its source's pivot; a source gets one key per ``salt_rows`` of its ``n`` drawers."""
+    salts = F.ceil(F.col("n") / salt_rows).cast("int")
+    spread = pivots.select("source_file", "pivot", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    salted = candidates.withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int"))
     cosine = bag_cosine(F.col("bag"), F.col("norm"), F.col("pivot.bag"), F.col("pivot.norm"))
     return salted.join(spread, ["source_file", "salt"]).withColumn("similarity", cosine).drop("salt")
 
 
-def pivot_similarity(drawers: DataFrame, min_group: int = CLEANUP_MIN_GROUP, salts: int = 16) -> DataFrame:
+def pivot_similarity(drawers: DataFrame, min_group: int = CLEANUP_MIN_GROUP, salt_rows: int = SALT_ROWS) -> DataFrame:
     """Cosine of every drawer with the longest usable drawer of its source."""
-    members = _with_bags(drawers).join(source_groups(drawers, min_group).select("source_file"), "source_file", "left_semi")
+    members = _with_bags(drawers).join(source_groups(drawers, min_group), "source_file")
     usable = members.where(F.col("trimmed") >= MIN_TEXT)
-    compared = _compared(usable, _first_per_source(usable), salts)
+    compared = _compared(usable, _first_per_source(usable), salt_rows)
     return compared.where(F.col("id") != F.col("pivot.id")).select(
         "source_file", "id", F.col("pivot.id").alias("pivot_id"), "similarity"
     )
@@ -99,7 +102,7 @@ def greedy_cleanup(
     drawers: DataFrame,
     threshold: float = CLEANUP_THRESHOLD,
     min_group: int = CLEANUP_MIN_GROUP,
-    salts: int = 16,
+    salt_rows: int = SALT_ROWS,
     compared: int = KEPT_COMPARED,
 ) -> DataFrame:
     """Decision per drawer of every large enough source: ``(source_file, id, kept)``.
@@ -111,14 +114,14 @@ def greedy_cleanup(
     close to it, repeat. A round is one aggregate and one salted join, however large a
     source is; whatever outlives the fifth round is kept.
     """
-    members = cut_lineage(
-        _with_bags(drawers).join(source_groups(drawers, min_group).select("source_file"), "source_file", "left_semi")
-    )
-    remaining = members.where(F.col("trimmed") >= MIN_TEXT).select("id", "source_file", "length", "bag", "norm")
+    members = cut_lineage(_with_bags(drawers).join(source_groups(drawers, min_group), "source_file"))
+    remaining = members.where(F.col("trimmed") >= MIN_TEXT).select("id", "source_file", "n", "length", "bag", "norm")
     pivots_found: list[DataFrame] = []
     for _ in range(compared):
+        if remaining.isEmpty():
+            break
         pivots = _first_per_source(remaining)
-        paired = _compared(remaining, pivots, salts)
+        paired = _compared(remaining, pivots, salt_rows)
         pivots_found.append(pivots.select("source_file", F.col("pivot.id").alias("id")))
         remaining = cut_lineage(
             paired.where((F.col("id") != F.col("pivot.id")) & (F.col("similarity") < threshold)).drop("pivot", "similarity")

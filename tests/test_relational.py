@@ -104,7 +104,7 @@ def test_greedy_cleanup_equals_the_sequential_rule(spark):
         rows.append((f"id{i:03}", text, source))
     df = spark.createDataFrame(rows, "id string, text string, source_file string")
     for threshold in (0.5, 0.7, 0.95):
-        decided = duplicates.greedy_cleanup(df, threshold, 5, salts=3).collect()
+        decided = duplicates.greedy_cleanup(df, threshold, 5, salt_rows=3).collect()
         assert {r["id"] for r in decided if r["kept"]} == greedy(rows, threshold, 5)
         large = {s for s, n in Counter(r[2] for r in rows).items() if n >= 5}
         assert {r["id"] for r in decided} == {r[0] for r in rows if r[2] in large}
