@@ -523,9 +523,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, run_rows: int = RUN_RO
     )
     free_shuffles(spark)
     triples = named(sample_triples(variants), ["_triple"], [*WHERE, "_offset", "_base"])
-    ranks = named(name_triples(triples), ["_n0", "_n1", "_n2"], [*WHERE, "_offset"])
+    ranks = cut_lineage(named(name_triples(triples), ["_n0", "_n1", "_n2"], [*WHERE, "_offset"]))
+    free_shuffles(spark)
     order = ["_rest", "_symbol", "_name", *WHERE, "_offset"]
-    ordered = cut_lineage(suffix_rows(variants, ranks, length)).repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = suffix_rows(variants, ranks, length).repartitionByRange(*order).sortWithinPartitions(*order)
     compared = cut_lineage(compare_neighbours(ordered, length, run_rows))
     free_shuffles(spark)
     windows = compared.where(F.col("_window").isNotNull())
