@@ -8,12 +8,18 @@ two texts agree in a place with a probability equal to their weighted Jaccard si
 Processes run only up to a time by which all places are expected to be filled.
 
 Signatures are cut into bands. Documents that share a band are candidates: each is first
-verified against the smallest document of the bucket by exact multiset overlap; what then
-still lies in different components of one bucket is verified pair by pair, so every link
-between candidates that could join two components is tested.
-
-Texts with the same words are one node. Hot buckets are reduced to their minimum before
-they are shuffled, verification salts documents with many partners, and no bucket is
+paired with the center of the bucket, its member that shares most buckets with others, as
+an original does with its edited copies; what then still lies in different components of
+one bucket is paired with each other, so every link between candidates that could join two
+components is tested. A pair is verified by exact multiset overlap unless
+the sizes of the texts, or 512 bits of their signatures, rule it out: a pair at the
+required similarity differs by more bits than the limit of five standard deviations with a
+probability of 3e-7. Before different components are paired, the shingles that a text
+shares with no other open text are counted: they bound its overlap with any partner, which
+rules out most pairs of differently edited copies exactly.
+
+Texts with the same words are one node. Hot buckets are counted and their centers chosen by
+combined aggregates, verification salts documents with many partners, and no bucket is
 gathered. With 64 bands of 8 places a pair at similarity 0.8 is missed with probability
 below 1e-5, one above 0.85 below 2e-9.
 
@@ -28,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnlake.llm.components import components
@@ -40,6 +46,8 @@ SHINGLE = 5
 BANDS = 64
 PLACES = 8
 PARTNERS = 256
+BITS = 512
+WORDS = [f"_b{n}" for n in range(BITS // 64)]
 ROWS_AT_ONCE = 1 << 14
 
 
@@ -110,6 +118,19 @@ def band_hashes(signed: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return total.view(np.int64)
 
 
+def sketch(signed: np.ndarray) -> np.ndarray:
+    """One bit of each of the first places, as 64-bit words; missing places are 0."""
+    bits = np.zeros(BITS, dtype=np.uint8)
+    bits[: min(BITS, len(signed))] = (signed[:BITS] & U(1)).astype(np.uint8)
+    return np.packbits(bits).view(">i8").astype(np.int64)
+
+
+def fewest_equal(places: int, least: float) -> int:
+    """Equal bits that a pair at similarity ``least`` has, but for five standard deviations."""
+    equal, used = (1 + least) / 2, min(BITS, places)
+    return int(BITS - used + used * equal - 5 * (used * equal * (1 - equal)) ** 0.5)
+
+
 def sequence_key(words: np.ndarray) -> tuple[int, int]:
     """128 bits of a word sequence."""
     place = np.arange(len(words), dtype=U)
@@ -131,30 +152,45 @@ def text_shingles(text: str | None, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sign(docs: DataFrame, size: int, bands: int, places: int) -> DataFrame:
-    """``(_doc, _k1, _k2, _bands)`` for every document with words."""
+    """``(_doc, _k1, _k2, _size, _b0 .. _b3, _bands)`` for every document with words."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys, hashes = [], [], []
+            ids, keys, hashes, sizes, bits = [], [], [], [], []
             for number, text in enumerate(batch.column("text")):
                 words = word_hashes(text.as_py())
                 if len(words):
                     ids.append(number)
                     keys.append(sequence_key(words))
-                    hashes.append(band_hashes(signature(*shingles(words, size), bands * places), bands))
+                    marks = signature(*shingles(words, size), bands * places)
+                    hashes.append(band_hashes(marks, bands))
+                    sizes.append(max(1, len(words) - size + 1))
+                    bits.append(sketch(marks))
+            columns = np.array(bits, dtype=np.int64).reshape(-1, len(WORDS))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").take(pa.array(ids, pa.int64())),
                     pa.array([k[0] for k in keys], pa.int64()),
                     pa.array([k[1] for k in keys], pa.int64()),
+                    pa.array(sizes, pa.int64()),
+                    *[pa.array(columns[:, n]) for n in range(len(WORDS))],
                     pa.array(hashes, pa.list_(pa.int64())),
                 ],
-                names=["_doc", "_k1", "_k2", "_bands"],
+                names=["_doc", "_k1", "_k2", "_size", *WORDS, "_bands"],
             )
 
     present = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-    return present.mapInArrow(signed, f"_doc {kind}, _k1 bigint, _k2 bigint, _bands array<bigint>")
+    words = ", ".join(f"{w} bigint" for w in WORDS)
+    return present.mapInArrow(signed, f"_doc {kind}, _k1 bigint, _k2 bigint, _size bigint, {words}, _bands array<bigint>")
+
+
+def likely(left: str, right: str, fewest: int, least: float) -> Column:
+    """Sizes and sketches of two rows (struct columns) do not rule the pair out."""
+    a, b = F.col(left), F.col(right)
+    different = sum((F.bit_count(a[w].bitwiseXOR(b[w])) for w in WORDS), F.lit(0))
+    similar_size = F.least(a["_size"], b["_size"]) >= F.greatest(a["_size"], b["_size"]) * (least - 1e-9)
+    return similar_size & (different <= BITS - fewest)
 
 
 def verify(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
@@ -202,6 +238,42 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataF
     )
 
 
+def own_shingles(texts: DataFrame, size: int) -> DataFrame:
+    """``(_rep, _own)``: how many shingles of a text no other of ``texts`` has."""
+    kind = dict(texts.dtypes)["doc_id"]
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                bags = [text_shingles(text.as_py(), size) for text in batch.column("text")]
+                rows = np.repeat(np.arange(len(bags)), [len(values) for values, _ in bags])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").take(pa.array(rows)),
+                        pa.array(np.concatenate([values for values, _ in bags]).view(np.int64)),
+                        pa.array(np.concatenate([counts for _, counts in bags]).astype(np.int64)),
+                    ],
+                    names=["_rep", "_shingle", "_count"],
+                )
+
+    spelled = texts.select("doc_id", "text").mapInArrow(spell, f"_rep {kind}, _shingle bigint, _count bigint")
+    return (
+        spelled.groupBy("_shingle")
+        .agg(F.count("*").alias("_n"), F.min("_rep").alias("_rep"), F.sum("_count").alias("_count"))
+        .where("_n = 1")
+        .groupBy("_rep")
+        .agg(F.sum("_count").alias("_own"))
+    )
+
+
+def overlap_allows(least: float) -> Column:
+    """Whether what two texts may share at most can reach ``least``."""
+    sizes = F.col("_facts._size") + F.col("_stray_facts._size")
+    most = F.least(F.col("_facts._size") - F.col("_own"), F.col("_stray_facts._size") - F.col("_stray_own"))
+    return most >= (sizes - most) * least - 1e-9
+
+
 def near_groups(
     docs: DataFrame, least: float = 0.8, size: int = SHINGLE, bands: int = BANDS, places: int = PLACES
 ) -> DataFrame:
@@ -209,14 +281,34 @@ def near_groups(
     docs = docs.select("doc_id", "text")
     signed = cut_lineage(sign(docs, size, bands, places))
     keys = ["_k1", "_k2"]
-    nodes = signed.groupBy(*keys).agg(F.min("_doc").alias("_rep"), F.first("_bands").alias("_bands"))
+    facts = F.struct("_size", *WORDS)
+    nodes = signed.groupBy(*keys).agg(
+        F.min("_doc").alias("_rep"), F.first(facts).alias("_facts"), F.first("_bands").alias("_bands")
+    )
+    fewest = fewest_equal(bands * places, least)
     postings = nodes.select("_rep", F.explode("_bands").alias("_bucket"))
-    shared = postings.groupBy("_bucket").agg(F.min("_rep").alias("_center"), F.count("*").alias("_n")).where("_n > 1")
-    buckets = cut_lineage(postings.join(shared.drop("_n"), "_bucket"))
+    shared = postings.groupBy("_bucket").agg(F.count("*").alias("_n")).where("_n > 1")
+    buckets = cut_lineage(postings.join(shared, "_bucket"))
+    degree = buckets.groupBy("_rep").agg(F.sum("_n").alias("_degree"))
+    centers = (
+        buckets.join(degree, "_rep")
+        .groupBy("_bucket")
+        .agg(F.max(F.struct("_degree", "_rep")).alias("_top"))
+        .select("_bucket", F.col("_top._rep").alias("_center"))
+    )
     wanted = buckets.select("_rep").distinct()
     texts = cut_lineage(docs.join(wanted, F.col("doc_id") == F.col("_rep"), "left_semi"))
 
-    first = buckets.where("_rep <> _center").select(F.col("_rep").alias("_member"), "_center").distinct()
+    known = cut_lineage(nodes.join(wanted, "_rep", "left_semi").select("_rep", "_facts"))
+    starred = cut_lineage(
+        buckets.join(centers, "_bucket").where("_rep <> _center").select(F.col("_rep").alias("_member"), "_center").distinct()
+    )
+    first = (
+        starred.join(known.select(F.col("_rep").alias("_member"), F.col("_facts").alias("_left")), "_member")
+        .join(known.select(F.col("_rep").alias("_center"), F.col("_facts").alias("_right")), "_center")
+        .where(likely("_left", "_right", fewest, least))
+        .select("_member", "_center")
+    )
     links = cut_lineage(verify(first, texts, size, least).distinct())
 
     placed = buckets.join(components(links, "_member", "_center"), F.col("_rep") == F.col("_node"), "left").select(
@@ -229,20 +321,32 @@ def near_groups(
         .where("_parts > 1")
         .drop("_parts")
     )
-    open_rows = cut_lineage(placed.join(mixed, "_bucket"))
+    open_places = cut_lineage(placed.join(mixed, "_bucket"))
+    opened = open_places.select("_rep").distinct()
+    own = own_shingles(texts.join(opened, F.col("doc_id") == F.col("_rep"), "left_semi"), size)
+    facts_of = opened.join(known, "_rep").join(own, "_rep", "left").select("_rep", "_facts", F.coalesce("_own", F.lit(0)).alias("_own"))
+    alike = F.col("_facts._size") - F.col("_own") >= F.col("_facts._size") * least - 1e-9
+    open_rows = cut_lineage(open_places.join(facts_of.where(alike), "_rep"))
     strays = open_rows.where("_part <> _main").select(
-        "_bucket", F.col("_rep").alias("_stray"), F.col("_part").alias("_stray_part")
+        F.col("_bucket").alias("_shared"),
+        F.col("_own").alias("_stray_own"),
+        F.col("_rep").alias("_stray"),
+        F.col("_part").alias("_stray_part"),
+        F.col("_facts").alias("_stray_facts"),
     )
+    tested = starred.select(
+        F.greatest("_member", "_center").alias("_member"), F.least("_member", "_center").alias("_center")
+    ).distinct()
+    met = (F.col("_part") != F.col("_stray_part")) & overlap_allows(least) & likely("_facts", "_stray_facts", fewest, least)
     second = (
-        strays.join(open_rows, "_bucket")
-        .where("_part <> _stray_part")
+        open_rows.join(strays, (F.col("_bucket") == F.col("_shared")) & met)
         .select(F.greatest("_stray", "_rep").alias("_member"), F.least("_stray", "_rep").alias("_center"))
         .distinct()
-        .join(first, ["_member", "_center"], "left_anti")
+        .join(tested, ["_member", "_center"], "left_anti")
     )
     more = verify(second, texts, size, least).distinct()
     groups = components(links.unionByName(more), "_member", "_center")
-    named = nodes.drop("_bands").join(groups, F.col("_rep") == F.col("_node"), "left")
+    named = nodes.drop("_bands", "_facts").join(groups, F.col("_rep") == F.col("_node"), "left")
     return (
         signed.select("_doc", *keys)
         .join(named.select(*keys, F.coalesce("_component", "_rep").alias("group_id")), keys)
