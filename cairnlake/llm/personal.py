@@ -4,8 +4,9 @@ A proposal starts with the score of its kind. A validator (Luhn for cards, mod-9
 accounts, ranges for addresses) raises it or drops the proposal; a context word of the
 kind within ``reach`` characters raises it, a word that speaks against it (order, version,
 isbn) lowers it. Emails, addresses, cards and phones that pass their rule are always kept;
-bank accounts, national phone numbers and social security numbers must reach ``least``
-and may not overlap a kept span.
+bank accounts, national phone numbers and social security numbers must reach ``least``.
+National phone and social security numbers may not overlap a kept span; an account that
+mod-97 confirms stays beside the card or phone whose digits it shares.
 
 Defined results: a null or empty text has no span; other columns pass through,
 but for those whose name starts with an underscore; rows are judged one by one, so repeated rows repeat their result.
@@ -27,7 +28,19 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 EXTRA_KINDS = ("iban", "ssn", "tel")
 KINDS = BASE_KINDS + EXTRA_KINDS
 
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}))")
+ALNUM = re.compile(r"[A-Za-z0-9]")
+# Characters of an account by country (ISO 13616); other country codes may have any length.
+ACCOUNT_SIZES = {
+    code: size
+    for size, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for code in codes.split()
+}
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 TEL = re.compile(r"(?<![0-9+(-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9-])")
 
@@ -51,16 +64,33 @@ ARROW_SPANS = pa.list_(
 )
 
 
+def accounts(text: str) -> Iterator[spans.Span]:
+    """Bank accounts: from each head the longest end of a word that has the country's length and passes mod-97."""
+    done = 0
+    for match in IBAN.finditer(text):
+        start, run = match.start(), match[1]
+        if start < done:
+            continue
+        size = ACCOUNT_SIZES.get(run[:2])
+        for stop in range(len(run), 14, -1):
+            if run[stop - 1] == " " or ALNUM.match(text, start + stop):
+                continue
+            account = run[:stop].replace(" ", "")
+            if len(account) < 15:
+                break
+            if size in (None, len(account)) and spans.mod97(account):
+                done = start + stop
+                yield "iban", start, done
+                break
+
+
 def proposals(text: str) -> Iterator[spans.Span]:
     """Every proposal that its validator confirms, base kinds first."""
     yield from spans.emails(text)
     yield from spans.addresses(text)
     yield from spans.cards(text)
     yield from spans.phones(text)
-    for match in IBAN.finditer(text):
-        account = match[0].replace(" ", "")
-        if 15 <= len(account) <= 34 and spans.mod97(account):
-            yield "iban", match.start(), match.end()
+    yield from accounts(text)
     for kind, pattern in (("ssn", SSN), ("tel", TEL)):
         for match in pattern.finditer(text):
             yield kind, match.start(), match.end()
@@ -82,7 +112,10 @@ def personal_spans(text: str | None, reach: int = 40, least: float = 0.6) -> lis
     for kind, start, stop in proposals(text):
         value = score(text, kind, start, stop, reach)
         if kind in BASE_KINDS or (
-            value >= least and not any(start < other[2] and other[1] < stop for other in kept)
+            value >= least
+            and not any(
+                start < other[2] and other[1] < stop for other in kept if kind != "iban" or other[0] not in BASE_KINDS
+            )
         ):
             kept.append((kind, start, stop, value))
     return kept
@@ -128,7 +161,7 @@ def redact(docs: DataFrame, mark: str = "[{}]", **settings) -> DataFrame:
                 for kind, start, stop, _ in sorted(personal_spans(text, **settings), key=lambda s: (s[1], -s[2])):
                     if start >= done:
                         parts += [text[done:start], mark.format(kind)]
-                        done = stop
+                    done = max(done, stop)
                 text = "".join([*parts, text[done:]])
             out.append(text)
         return pa.array(out, pa.string())

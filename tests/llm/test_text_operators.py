@@ -154,6 +154,31 @@ class TestPersonal:
         assert personal.personal_spans("order 415-555-0172 shipped") == []
         assert [s[0] for s in personal.personal_spans("his social security number 123-45-6789")] == ["ssn"]
 
+    @pytest.mark.parametrize(
+        ("before", "account", "behind"),
+        [
+            ("", "DE89370400440532013000", " BIC COBADEFFXXX"),
+            ("pay ", "DE89 3704 0044 0532 0130 00", " EUR 500"),
+            ("", "DE89 3704 0044 0532 0130 00", " 2024"),
+            ("REF AB12 ", "GB82 WEST 1234 5698 7654 32", " AB12 CDEF GHIJ KLMN"),
+            ("", "ZZ33 1234 5678 9012 345", " EUR 7"),  # a code without a known length
+        ],
+    )
+    def test_accounts_end_before_words_behind_them(self, before, account, behind):
+        found = personal.personal_spans(before + account + behind)
+        assert [s[:3] for s in found if s[0] == "iban"] == [("iban", len(before), len(before + account))]
+
+    def test_two_accounts_in_a_row(self):
+        text = "DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32"
+        assert [text[a:b] for kind, a, b, _ in personal.personal_spans(text) if kind == "iban"] == [text[:27], text[28:]]
+
+    def test_an_account_stays_beside_a_card_that_overlaps_it(self, spark):
+        account = "BE16100000000000"  # its digits pass Luhn as well
+        assert [s[0] for s in personal.personal_spans(f"to {account} now")] == ["card", "iban"]
+        docs = spark.createDataFrame([(1, f"to {account} 5 now")], "doc_id long, text string")
+        assert personal.redact(docs).first()["text"].startswith("to [iban]")
+        assert account[4:] not in personal.redact(docs).first()["text"]
+
     def test_frames(self, odd_docs, no_docs, spark):
         assert personal.find_personal(odd_docs).where(F.size("_spans") > 0).count() == 0
         assert personal.find_personal(no_docs).count() == 0
