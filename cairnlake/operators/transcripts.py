@@ -19,8 +19,6 @@ from cairnlake.operators.spelling import correct_text, correct_transcript, quote
 
 MAX_FILE_BYTES = 500 * 1024 * 1024
 TURN_BLOCK = 4096
-# Turns that one task gathers at most; even, so that question and answer stay together.
-PART_TURNS = 10_000
 MESSAGES = "array<struct<role:string,text:string>>"
 # Fixed value: marks a message that only carries a command.
 COMMAND_MARK = "<command-message>"
@@ -272,18 +270,23 @@ def transcript_lines(messages: DataFrame) -> DataFrame:
     return following.select("conv_id", "turn", F.concat(said, F.when(paired, "\n").otherwise("\n\n")).alias("line"))
 
 
-def conversation_messages(messages: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
+def conversation_messages(messages: DataFrame, part_turns: int | None = None) -> DataFrame:
     """Message rows gathered in turn order: ``(conv_id, part, messages)``.
 
-    A conversation is one row as long as it has at most ``part_turns`` turns; a longer one
-    comes in numbered parts of so many turns, so no task gathers more and no row is lost.
+    A conversation of any length is one row, ``part`` 0. Turns are gathered by blocks
+    first, so the last step of a long conversation reads a row per block. With
+    ``part_turns`` a conversation comes in numbered parts of so many turns instead; the
+    caller then keeps them apart by ``part``.
     """
-    part = F.floor(F.col("turn") / part_turns).cast("int").alias("part")
+    part = F.lit(0) if part_turns is None else F.floor(F.col("turn") / part_turns).cast("int")
+    block = F.floor(F.col("turn") / (part_turns or TURN_BLOCK)).alias("_block")
     ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    numbered = messages.select("conv_id", part, "turn", "role", "text")
-    return keep_wide(numbered, "conv_id", "part").groupBy("conv_id", "part").agg(
-        F.transform(ordered, lambda m: _message(m["role"], m["text"])).alias("messages")
+    numbered = messages.select("conv_id", part.alias("part"), block, "turn", "role", "text")
+    blocks = keep_wide(numbered, "conv_id", "_block").groupBy("conv_id", "part", "_block").agg(
+        F.transform(ordered, lambda m: _message(m["role"], m["text"])).alias("_messages")
     )
+    joined = F.array_sort(F.collect_list(F.struct("_block", "_messages")))
+    return blocks.groupBy("conv_id", "part").agg(F.flatten(F.transform(joined, lambda b: b["_messages"])).alias("messages"))
 
 
 def _has_command(content: Column) -> Column:

@@ -18,6 +18,7 @@ from cairnlake.operators import (
     splitting,
     transcripts,
 )
+from cairnlake.plans import text_catalog
 from cairnlake.sources import files as file_source
 
 CHATS = {
@@ -307,6 +308,24 @@ def test_long_conversations_come_in_parts(spark):
     assert [m["text"] for r in parts[:3] for m in r["messages"]] == [f"m{t}" for t in range(25)]
 
 
+def test_long_conversations_are_mined_whole(spark, monkeypatch):
+    turns = 10_001
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"message number {t} of {c}, long enough to be kept") for c in (0, 1, 2, 4) for t in range(turns)]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    gathered = transcripts.conversation_messages(df).collect()
+    assert sorted((r["conv_id"], r["part"]) for r in gathered) == [(c, 0) for c in (0, 1, 2, 4)]
+    assert all([m["text"] for m in r["messages"]] == [x[3] for x in rows if x[0] == r["conv_id"]] for r in gathered)
+    monkeypatch.setattr(text_catalog.src, "messages", lambda *_: df)
+    made = text_catalog.QUERIES["mine_conversations"](spark, "").collect()
+    assert len({r["id"] for r in made}) == len(made) >= 4 * turns // 2
+    assert len({(r["source_file"], r["room"]) for r in made}) == 4
+    for path in {r["source_file"] for r in made}:
+        assert sorted(r["chunk_index"] for r in made if r["source_file"] == path) == list(range(sum(r["source_file"] == path for r in made)))
+    assert not any(r["text"].startswith(("{", "[")) for r in made)
+    shown = text_catalog.QUERIES["transcript_render"](spark, "").collect()
+    assert len(shown) == 4 and all(r["transcript"].count("\n> ") == turns // 2 for r in shown)
+
+
 def test_oversized_files_are_reported(spark):
     df = spark.createDataFrame([("a.txt", "short"), ("b.txt", "long " * 100)], "path string, content string")
     rows = {r["path"]: r for r in transcripts.normalize(df, max_bytes=100).collect()}
