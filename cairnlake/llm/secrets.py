@@ -1,16 +1,17 @@
 """Secret scan by grammar inference.
 
 Values of labelled credentials (assignments, access keys and hex runs that the base rules
-find in a bounded, hash-chosen sample of documents) build one prefix tree per label; states
+find in all documents) build one prefix tree per label; states
 whose continuations are statistically compatible are merged into a probabilistic
 automaton. Every long token of every text is then a candidate and scored by the likelihood
 of its format: bits per symbol above an automaton learned the same way from ordinary
 tokens. Spans of the base rules always stay; a candidate beyond ``margin`` that overlaps
 none of them is added as kind ``format``.
 
-Bounds of the training sample (documented parameters): ``sample_docs`` documents,
-``per_label`` values per label. With fewer than ``fewest`` values a label gets no
-automaton; with none at all only base spans are found.
+Bounds of the training sample (documented parameters): of the distinct values of a label in
+all documents the ``per_label`` with the smallest hashes, of a value the first ``longest``
+characters (a longer one teaches no ending). With fewer than ``fewest`` values a label
+gets no automaton; with none at all only base spans are found.
 
 Defined results: a null or empty text has no span; other columns pass through,
 but for those whose name starts with an underscore.
@@ -18,10 +19,12 @@ but for those whose name starts with an underscore.
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,6 +32,7 @@ from pyspark.sql import functions as F
 
 from cairnlake.llm import spans
 from cairnlake.llm.frames import plain
+from cairnlake.session import cut_lineage
 
 KINDS = ("assign", "access", "hex")
 TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}+")
@@ -60,20 +64,21 @@ class Automaton:
     it, or accepted itself.
     """
 
-    def __init__(self, sample: Iterable[str], alpha: float = 0.05):
-        self.alpha = alpha
+    def __init__(self, sample: Iterable[str], alpha: float = 0.05, longest: int | None = None):
+        self.alpha, self.longest = alpha, longest
         self.next: list[dict[str, int]] = [{}]
         self.through: list[Counter] = [Counter()]
         for value in sample:
             state = 0
-            for symbol in symbols(value):
+            for symbol in symbols(value[:longest]):
                 self.through[state][symbol] += 1
                 if symbol not in self.next[state]:
                     self.next[state][symbol] = len(self.next)
                     self.next.append({})
                     self.through.append(Counter())
                 state = self.next[state][symbol]
-            self.through[state][END] += 1
+            if longest is None or len(value) <= longest:
+                self.through[state][END] += 1
         self._merge()
 
     def _differ(self, a: Counter, b: Counter) -> bool:
@@ -121,8 +126,13 @@ class Automaton:
         self.states = len(accepted)
 
     def bits(self, value: str) -> float:
-        """Mean log2 probability per symbol, ending included; unseen steps get a small share."""
-        state, total, parts = 0, 0.0, [*symbols(value), END]
+        """Mean log2 probability per symbol; unseen steps get a small share.
+
+        The ending counts as a symbol where the sample taught endings, up to ``longest``.
+        """
+        state, total, parts = 0, 0.0, symbols(value)
+        if self.longest is None or len(value) <= self.longest:
+            parts.append(END)
         for place, symbol in enumerate(parts):
             counts = self.through[state]
             total += math.log2((counts[symbol] + 0.05) / (counts.total() + 0.05 * SPACE))
@@ -138,9 +148,9 @@ class Automaton:
 class Formats:
     """Automata of the labels and of ordinary tokens, with the score a candidate must reach."""
 
-    def __init__(self, labelled: dict[str, Sequence[str]], ordinary: Sequence[str], fewest: int, margin: float):
-        self.models = {label: Automaton(values) for label, values in labelled.items() if len(values) >= fewest}
-        self.ordinary = Automaton(ordinary)
+    def __init__(self, labelled: dict[str, Sequence[str]], ordinary: Sequence[str], fewest: int, margin: float, longest: int | None = None):
+        self.models = {label: Automaton(values, longest=longest) for label, values in labelled.items() if len(values) >= fewest}
+        self.ordinary = Automaton(ordinary, longest=longest)
         self.margin = margin
         self.least = {
             label: sorted(model.bits(v) for v in labelled[label])[len(labelled[label]) // 50]
@@ -161,61 +171,84 @@ def base_spans(text: str) -> list[spans.Span]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
+def uncovered(text: str, covered: Iterable[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Tokens of ``text`` that overlap no covered span."""
+    base, at = sorted(covered), 0
+    for match in TOKEN.finditer(text):
+        start, stop = match.span()
+        while at < len(base) and base[at][1] <= start:
+            at += 1
+        if at == len(base) or base[at][0] >= stop:
+            yield start, stop
+
+
 def secret_spans(text: str | None, formats: Formats | None) -> list[tuple[str, int, int, float]]:
     """Spans of one text by start: base ones with score 1, added ones with theirs."""
     if not text:
         return []
     found = [(*span, 1.0) for span in base_spans(text)]
     if formats and formats.models:
-        base, at = sorted((s[1], s[2]) for s in found), 0
-        for match in TOKEN.finditer(text):
-            start, stop = match.span()
-            while at < len(base) and base[at][1] <= start:
-                at += 1
-            if at < len(base) and base[at][0] < stop:
-                continue
-            value = formats.score(match[0])
+        for start, stop in uncovered(text, [(s[1], s[2]) for s in found]):
+            value = formats.score(text[start:stop])
             if value >= formats.margin:
                 found.append(("format", start, stop, round(value, 3)))
     return sorted(found, key=lambda s: (s[1], (*KINDS, "format").index(s[0]), s[2]))
 
 
-def training_values(docs: DataFrame, sample_docs: int, per_label: int) -> tuple[dict[str, list[str]], list[str]]:
-    """Labelled values and ordinary tokens of the documents with the smallest id hashes."""
-    order = F.xxhash64("doc_id")
-    cut = docs.select(order.alias("h")).orderBy("h").limit(sample_docs).agg(F.max("h").alias("h")).first()["h"]
-    if cut is None:
-        return {}, []
+def training_values(docs: DataFrame, per_label: int, longest: int) -> tuple[dict[str, list[str]], list[str]]:
+    """Per label, and for ordinary tokens, the distinct values of all documents with the smallest hashes.
 
-    @F.arrow_udf("array<struct<label:string,value:string>>")
-    def values(texts: pa.Array) -> pa.Array:
-        rows = []
-        for item in texts:
-            text = item.as_py() or ""
-            base = base_spans(text)
-            row = [{"label": "assign", "value": v} for *_, v in spans.assigned(text)]
-            row += [{"label": k, "value": text[a:b]} for k, a, b in base if k != "assign"]
-            covered = [(a, b) for _, a, b in base]
-            plain = [
-                m[0] for m in TOKEN.finditer(text) if not any(m.start() < b and a < m.end() for a, b in covered)
-            ]
-            rows.append(row[:20] + [{"label": "ordinary", "value": v} for v in plain[:20]])
-        return pa.array(rows, pa.list_(pa.struct([("label", pa.string()), ("value", pa.string())])))
-
-    sampled = docs.where(order <= cut).select(F.explode(values(F.col("text"))).alias("v")).select("v.*")
-    short = sampled.where(F.length("value") <= 128).distinct()
+    Each task keeps the ``per_label`` smallest of its documents, so the global choice reads
+    few rows. A value longer than ``longest`` comes with one character more.
+    """
+
+    def smallest(found: set[tuple[int, str]]) -> set[tuple[int, str]]:
+        return found if len(found) <= per_label else set(heapq.nsmallest(per_label, found))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, set[tuple[int, str]]] = {label: set() for label in (*KINDS, "ordinary")}
+        bound = dict.fromkeys(kept, 1 << 63)
+
+        def add(label: str, value: str) -> None:
+            value = value[: longest + 1]
+            order = int.from_bytes(hashlib.blake2b(value.encode(), digest_size=8).digest(), "big") >> 1
+            if order <= bound[label]:
+                kept[label].add((order, value))
+                if len(kept[label]) >= 4 * per_label:
+                    kept[label] = smallest(kept[label])
+                    bound[label] = max(kept[label])[0]
+
+        for batch in batches:
+            for item in batch.column("text"):
+                text = item.as_py() or ""
+                covered = []
+                for _, start, stop, value in spans.assigned(text):
+                    covered.append((start, stop))
+                    add("assign", value)
+                for kind, start, stop in (*spans.access_keys(text), *spans.hex_runs(text)):
+                    covered.append((start, stop))
+                    add(kind, text[start:stop])
+                for start, stop in uncovered(text, covered):
+                    add("ordinary", text[start:stop])
+        rows = [(label, order, value) for label, found in kept.items() for order, value in smallest(found)]
+        columns = list(zip(*rows, strict=True)) or [(), (), ()]
+        types = (pa.string(), pa.int64(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["label", "h", "value"])
+
+    chosen = cut_lineage(docs.select("text").mapInArrow(choose, "label string, h long, value string"))
     gathered: dict[str, list[str]] = {}
     for label in (*KINDS, "ordinary"):
-        rows = short.where(F.col("label") == label).orderBy(F.xxhash64("value"), "value").limit(per_label).collect()
+        rows = chosen.where(F.col("label") == label).distinct().orderBy("h", "value").limit(per_label).collect()
         gathered[label] = [row["value"] for row in rows]
     return {label: gathered[label] for label in KINDS}, gathered["ordinary"]
 
 
 def learn_formats(
-    docs: DataFrame, sample_docs: int = 20000, per_label: int = 600, fewest: int = 20, margin: float = 0.5
+    docs: DataFrame, per_label: int = 600, fewest: int = 20, margin: float = 0.5, longest: int = 128
 ) -> Formats | None:
-    labelled, ordinary = training_values(docs, sample_docs, per_label)
-    return Formats(labelled, ordinary, fewest, margin) if labelled else None
+    """Formats of the labelled values of all documents, or None when there are none."""
+    labelled, ordinary = training_values(docs, per_label, longest)
+    return Formats(labelled, ordinary, fewest, margin, longest) if any(labelled.values()) else None
 
 
 def find_secrets(docs: DataFrame, formats: Formats | None) -> DataFrame:

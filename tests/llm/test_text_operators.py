@@ -234,6 +234,25 @@ class TestSecrets:
         assert [(s["kind"], s["start"]) for s in found[200]["_spans"]] == [("format", 5)]
         assert found[201]["_spans"] == found[202]["_spans"] == []
 
+    def test_rare_labels_of_many_documents_are_learned(self, spark):
+        keys, _ = self.samples()
+        given = F.element_at(F.array(*map(F.lit, keys[:40])), (F.col("id") / 1500 + 1).cast("int"))
+        text = F.when(F.col("id") % 1500 == 0, F.concat(F.lit("set token = "), given)).otherwise("plain words only")
+        docs = spark.range(60000).select(F.col("id").alias("doc_id"), text.alias("text"))
+        formats = secrets.learn_formats(docs)
+        assert formats.score(keys[250]) > 0 and list(formats.models) == ["assign"]
+
+    def test_no_label_is_cut_by_place_or_length(self, spark):
+        keys, _ = self.samples()
+        pick = random.Random(9)
+        runs = ["".join(pick.choice("0123456789abcdef") for _ in range(40)) for _ in range(30)]
+        many = " ".join(f"token = {k}" for k in keys[:25])
+        docs = frame(spark, [f"{many} and {r}" for r in runs])
+        assert set(secrets.learn_formats(docs).models) == {"assign", "hex"}
+        long = ["".join(pick.choice("ABCDEFGH0123456789") for _ in range(200)) for _ in range(60)]
+        formats = secrets.learn_formats(frame(spark, [f"token = {v} now" for v in long[:50]]))
+        assert all(formats.score(v) > 0 for v in long[50:])
+
     def test_frames(self, odd_docs, no_docs):
         formats = secrets.learn_formats(odd_docs)
         assert secrets.find_secrets(odd_docs, formats).count() == odd_docs.count()
