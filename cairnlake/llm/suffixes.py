@@ -46,7 +46,8 @@ SLICE = 1 << 20
 FLUSH = 4 << 20
 RUN_ROWS = 1 << 16
 LAST = (1 << 63) - 1
-WHERE = ["_doc", "_pack"]
+TEXT = ["_doc", "_hash", "_tag"]
+WHERE = ["_doc", "_hash", "_pack"]
 PLACE_BITS = U((1 << 20) - 1)
 
 
@@ -94,7 +95,7 @@ def _runs(flags: np.ndarray) -> np.ndarray:
 
 
 def find_blocks(docs: DataFrame, length: int) -> DataFrame:
-    """``(_gram, _block, _doc, _pack, _until)`` of all blocks.
+    """``(_gram, _block, _doc, _hash, _pack, _until)`` of all blocks.
 
     Among the texts that a task has at hand, blocks equal to an earlier one come out as
     removed spans already (``_until`` set, neighbours joined), so that a block which very
@@ -102,27 +103,27 @@ def find_blocks(docs: DataFrame, length: int) -> DataFrame:
     """
 
     def batch_rows(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        gram, block, doc, pack = (np.concatenate(column) for column in zip(*parts, strict=True))
-        order = np.lexsort((pack, doc, block, gram))
+        gram, block, doc, text, pack = (np.concatenate(column) for column in zip(*parts, strict=True))
+        order = np.lexsort((pack, text, doc, block, gram))
         same = np.zeros(len(order), dtype=bool)
         a, b = order[1:], order[:-1]
         same[1:] = (gram[a] == gram[b]) & (block[a] == block[b])
         # Repeated rows give the same block of the same document once more; that is no copy.
         again = np.zeros(len(order), dtype=bool)
-        again[1:] = same[1:] & (doc[a] == doc[b]) & (pack[a] == pack[b])
+        again[1:] = same[1:] & (doc[a] == doc[b]) & (text[a] == text[b]) & (pack[a] == pack[b])
         copy = np.zeros(len(order), dtype=bool)
         head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
         first = order[head]
-        copy[order] = same & ~((doc[order] == doc[first]) & (pack[order] == pack[first]))
+        copy[order] = same & ~((doc[order] == doc[first]) & (text[order] == text[first]) & (pack[order] == pack[first]))
         drop = np.zeros(len(order), dtype=bool)
         drop[order] = again
         keep = ~copy & ~drop
         gone = np.flatnonzero(copy & ~drop)
         tag, start, _, windows = unpacked(pack[gone])
-        by = np.lexsort((start, tag, doc[gone]))
+        by = np.lexsort((start, tag, text[gone], doc[gone]))
         gone, tag, start, stop = gone[by], tag[by], start[by], (start + windows)[by]
         new = np.ones(len(gone), dtype=bool)
-        new[1:] = (doc[gone[1:]] != doc[gone[:-1]]) | (tag[1:] != tag[:-1]) | (start[1:] != stop[:-1])
+        new[1:] = (doc[gone[1:]] != doc[gone[:-1]]) | (text[gone[1:]] != text[gone[:-1]]) | (tag[1:] != tag[:-1]) | (start[1:] != stop[:-1])
         heads = np.flatnonzero(new)
         ends = stop[np.append(heads[1:], len(gone)) - 1] + length - 1 if len(gone) else stop
         n, m = int(keep.sum()), len(heads)
@@ -131,20 +132,21 @@ def find_blocks(docs: DataFrame, length: int) -> DataFrame:
                 pa.array(np.concatenate([gram[keep].view(np.int64), block[gone[heads]].view(np.int64)])),
                 pa.array(np.concatenate([block[keep].view(np.int64), np.zeros(m, np.int64)])),
                 pa.array(np.concatenate([doc[keep], doc[gone[heads]]])),
+                pa.array(np.concatenate([text[keep], text[gone[heads]]])),
                 pa.array(np.concatenate([pack[keep], pack[gone[heads]]])),
                 pa.array(np.concatenate([np.zeros(n, np.int32), ends.astype(np.int32)])),
             ],
-            names=["_gram", "_block", "_doc", "_pack", "_until"],
+            names=["_gram", "_block", "_doc", "_hash", "_pack", "_until"],
         )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
-            for doc, tag, text in zip(batch.column("_doc"), batch.column("_tag"), batch.column("_data"), strict=True):
-                data = np.frombuffer(text.as_buffer() or b"", np.uint8) if text.is_valid else np.zeros(0, np.uint8)
+            for doc, text, tag, content in zip(*(batch.column(n) for n in (*TEXT, "_data")), strict=True):
+                data = np.frombuffer(content.as_buffer() or b"", np.uint8) if content.is_valid else np.zeros(0, np.uint8)
                 for gram, block, start, lead, windows in blocks_of(data, length):
-                    tags = np.full(len(start), tag.as_py(), dtype=np.int64)
-                    parts.append((gram, block, np.full(len(start), doc.as_py()), packed(tags, start, lead, windows)))
+                    docs_of, texts_of, tags = (np.full(len(start), x.as_py(), dtype=np.int64) for x in (doc, text, tag))
+                    parts.append((gram, block, docs_of, texts_of, packed(tags, start, lead, windows)))
                 held += len(data)
                 if held >= FLUSH and parts:
                     yield batch_rows(parts)
@@ -152,45 +154,45 @@ def find_blocks(docs: DataFrame, length: int) -> DataFrame:
         if parts:
             yield batch_rows(parts)
 
-    return docs.select("_doc", "_tag", "_data").mapInArrow(scan, "_gram bigint, _block bigint, _doc bigint, _pack bigint, _until int")
+    return docs.select(*TEXT, "_data").mapInArrow(scan, "_gram bigint, _block bigint, _doc bigint, _hash bigint, _pack bigint, _until int")
 
 
 def sort_blocks(blocks: DataFrame, length: int) -> DataFrame:
-    """``(_doc, _pack, _until)``: removed spans (``_until`` set), and blocks with a variant (``_until`` 0).
+    """``(_doc, _hash, _pack, _until)``: removed spans (``_until`` set), and blocks with a variant (``_until`` 0).
 
     Blocks meet by gram in sorted partitions and are read as a stream: the first row of a
     class is its earliest document. Spans that are settled already are dealt by document.
     """
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, int, int, int] | None = None
-        waiting: tuple[int, int] | None = None
+        last: tuple[int, int, int, int, int] | None = None
+        waiting: tuple[int, int, int] | None = None
         several = False
         for batch in batches:
-            gram, block, doc, pack, until = (batch.column(n).to_numpy() for n in ("_gram", "_block", "_doc", "_pack", "_until"))
-            out = [(doc[until > 0], pack[until > 0], until[until > 0])]
+            gram, block, doc, text, pack, until = (batch.column(n).to_numpy() for n in ("_gram", "_block", *WHERE, "_until"))
+            out = [(doc[until > 0], text[until > 0], pack[until > 0], until[until > 0])]
             live = np.flatnonzero(until == 0)
             if len(live):
-                gram, block, doc, pack = gram[live], block[live], doc[live], pack[live]
+                gram, block, doc, text, pack = gram[live], block[live], doc[live], text[live], pack[live]
                 new_gram, new_class = np.ones(len(gram), bool), np.ones(len(gram), bool)
                 new_gram[1:] = gram[1:] != gram[:-1]
                 new_class[1:] = new_gram[1:] | (block[1:] != block[:-1])
                 new_place = np.ones(len(gram), bool)
-                new_place[1:] = new_class[1:] | (doc[1:] != doc[:-1]) | (pack[1:] != pack[:-1])
+                new_place[1:] = new_class[1:] | (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]) | (pack[1:] != pack[:-1])
                 if last is not None:
                     new_gram[0] = gram[0] != last[0]
                     new_class[0] = new_gram[0] or block[0] != last[1]
-                    new_place[0] = new_class[0] or (doc[0], pack[0]) != last[2:]
+                    new_place[0] = new_class[0] or (doc[0], text[0], pack[0]) != last[2:]
                 copies = ~new_class & new_place
                 # A repeated row of the first place of a class is no copy of itself.
                 tag, start, _, windows = unpacked(pack[copies])
-                out.append((doc[copies], pack[copies], (start + windows + length - 1).astype(np.int32)))
+                out.append((doc[copies], text[copies], pack[copies], (start + windows + length - 1).astype(np.int32)))
                 group = _runs(new_gram) + (0 if new_gram[0] else 1)
                 classes = np.bincount(group[new_class], minlength=group[-1] + 1)
                 heads = np.flatnonzero(new_class)
                 if not new_gram[0] and new_class[0] or (not new_gram[0] and classes[0]):
                     if waiting is not None:
-                        out.append((np.array([waiting[0]]), np.array([waiting[1]]), np.zeros(1, np.int32)))
+                        out.append((*(np.array([x]) for x in waiting), np.zeros(1, np.int32)))
                         waiting = None
                     several = True
                 varied = classes[group[heads]] > 1
@@ -199,24 +201,24 @@ def sort_blocks(blocks: DataFrame, length: int) -> DataFrame:
                 # The last gram may go on in the next batch: its only class waits.
                 tail = group[heads] == group[-1]
                 emit = varied.copy()
-                out.append((doc[heads[emit]], pack[heads[emit]], np.zeros(int(emit.sum()), np.int32)))
+                out.append((doc[heads[emit]], text[heads[emit]], pack[heads[emit]], np.zeros(int(emit.sum()), np.int32)))
                 fresh = group[-1] > 0 or bool(new_gram[0])
                 if fresh:
                     held = heads[tail & ~varied]
                     several = not len(held)
-                    waiting = (int(doc[held[0]]), int(pack[held[0]])) if len(held) else None
-                last = (int(gram[-1]), int(block[-1]), int(doc[-1]), int(pack[-1]))
-            docs_out, packs_out, until_out = (np.concatenate(column) for column in zip(*out, strict=True))
+                    waiting = (int(doc[held[0]]), int(text[held[0]]), int(pack[held[0]])) if len(held) else None
+                last = (int(gram[-1]), int(block[-1]), int(doc[-1]), int(text[-1]), int(pack[-1]))
+            *places, until_out = (np.concatenate(column) for column in zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(docs_out), pa.array(packs_out), pa.array(until_out.astype(np.int32))], names=["_doc", "_pack", "_until"]
+                [*map(pa.array, places), pa.array(until_out.astype(np.int32))], names=[*WHERE, "_until"]
             )
 
     settled = F.col("_until") > 0
-    key = F.when(settled, F.xxhash64("_doc", "_pack")).otherwise(F.col("_gram"))
+    key = F.when(settled, F.xxhash64(*WHERE)).otherwise(F.col("_gram"))
     return (
         blocks.repartition(key)
-        .sortWithinPartitions(settled, "_gram", "_block", "_doc", "_pack")
-        .mapInArrow(stream, "_doc bigint, _pack bigint, _until int")
+        .sortWithinPartitions(settled, "_gram", "_block", *WHERE)
+        .mapInArrow(stream, "_doc bigint, _hash bigint, _pack bigint, _until int")
     )
 
 
@@ -264,7 +266,7 @@ def named(rows: DataFrame, keys: list[str], kept: list[str]) -> DataFrame:
 
 
 def sample_triples(variants: DataFrame) -> DataFrame:
-    """``(_doc, _pack, _offset, _base, _triple)``: three symbols at every sample position needed."""
+    """``(_doc, _hash, _pack, _offset, _base, _triple)``: three symbols at every sample position needed."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -284,20 +286,19 @@ def sample_triples(variants: DataFrame) -> DataFrame:
                 index = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("_doc").take(index),
-                        batch.column("_pack").take(index),
+                        *[batch.column(n).take(index) for n in WHERE],
                         pa.array(offsets, pa.int32()),
                         pa.array(bases, pa.bool_()),
                         pa.array(triples, pa.binary()),
                     ],
-                    names=["_doc", "_pack", "_offset", "_base", "_triple"],
+                    names=[*WHERE, "_offset", "_base", "_triple"],
                 )
 
-    return variants.mapInArrow(cut, "_doc bigint, _pack bigint, _offset int, _base boolean, _triple binary")
+    return variants.mapInArrow(cut, "_doc bigint, _hash bigint, _pack bigint, _offset int, _base boolean, _triple binary")
 
 
 def name_triples(names: DataFrame) -> DataFrame:
-    """``(_doc, _pack, _offset, _n0, _n1, _n2)``: the names three, and six, indices on; 0 behind the end."""
+    """``(_doc, _hash, _pack, _offset, _n0, _n1, _n2)``: the names three, and six, indices on; 0 behind the end."""
     listed = names.groupBy(*WHERE).agg(F.collect_list(F.struct("_offset", "_base", "_name")).alias("_all"))
     by_offset = listed.withColumn(
         "_map", F.map_from_entries(F.transform("_all", lambda x: F.struct(x["_offset"], x["_name"])))
@@ -343,16 +344,15 @@ def suffix_rows(variants: DataFrame, ranks: DataFrame, length: int) -> DataFrame
                         pa.array(rest, pa.int32()),
                         pa.array(symbols, pa.binary()),
                         pa.array(names, pa.int64()),
-                        batch.column("_doc").take(index),
-                        batch.column("_pack").take(index),
+                        *[batch.column(n).take(index) for n in WHERE],
                         pa.array(offsets, pa.int32()),
                         pa.array(texts, pa.binary()),
                     ],
-                    names=["_rest", "_symbol", "_name", "_doc", "_pack", "_offset", "_text"],
+                    names=["_rest", "_symbol", "_name", *WHERE, "_offset", "_text"],
                 )
 
     return joined.mapInArrow(
-        build, "_rest int, _symbol binary, _name bigint, _doc bigint, _pack bigint, _offset int, _text binary"
+        build, "_rest int, _symbol binary, _name bigint, _doc bigint, _hash bigint, _pack bigint, _offset int, _text binary"
     )
 
 
@@ -363,6 +363,7 @@ class SuffixChunk:
         self.length = length
         self.rest = table.column("_rest").to_numpy()
         self.doc, self.offset = table.column("_doc").to_numpy(), table.column("_offset").to_numpy().astype(np.int64)
+        self.hash = table.column("_hash").to_numpy()
         self.tag, self.start, _, self.windows = unpacked(table.column("_pack").to_numpy())
         texts = table.column("_text").to_pylist()
         self.before = np.minimum(self.offset, SYMBOL - 1)
@@ -396,8 +397,8 @@ class SuffixChunk:
         rows = np.flatnonzero((at >= 0) & (at < self.windows))
         return rows, at[rows]
 
-    def repeated(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """``(doc, tag, from, to)`` of the windows that an earlier one equals."""
+    def repeated(self) -> tuple[np.ndarray, ...]:
+        """``(doc, hash, tag, from, to)`` of the windows that an earlier one equals."""
         found = []
         for back in range(SYMBOL):
             rows, at = self.window(back)
@@ -407,53 +408,54 @@ class SuffixChunk:
             head = np.zeros((len(rows), 16), dtype=np.uint8)
             head[:, :back] = self.bytes[rows, SYMBOL - 1 - back : SYMBOL - 1]
             high, low = head.view(np.uint64).T
-            doc, place = self.doc[rows], self.tag[rows] << 31 | (self.start[rows] + at)
-            order = np.lexsort((place, doc, low, high, segment))
+            doc, text, place = self.doc[rows], self.hash[rows], self.tag[rows] << 31 | (self.start[rows] + at)
+            order = np.lexsort((place, text, doc, low, high, segment))
             a, b = order[1:], order[:-1]
             same = np.zeros(len(order), dtype=bool)
             same[1:] = (segment[a] == segment[b]) & (high[a] == high[b]) & (low[a] == low[b])
             first = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
-            gone = order[same & ((doc[order] != doc[first]) | (place[order] != place[first]))]
+            gone = order[same & ((doc[order] != doc[first]) | (text[order] != text[first]) | (place[order] != place[first]))]
             begin = self.start[rows[gone]] + at[gone]
-            found.append((doc[gone], self.tag[rows[gone]], begin, begin + self.length))
-        return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
+            found.append((doc[gone], text[gone], self.tag[rows[gone]], begin, begin + self.length))
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 5
 
-    def all_windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-        """``(doc, tag, from, to, bytes)`` of every window of the chunk."""
+    def all_windows(self) -> tuple[np.ndarray | list[bytes], ...]:
+        """``(doc, hash, tag, from, to, bytes)`` of every window of the chunk."""
         found, contents = [], []
         for back in range(SYMBOL):
             rows, at = self.window(back)
             begin = self.start[rows] + at
-            found.append((self.doc[rows], self.tag[rows], begin, begin + self.length))
+            found.append((self.doc[rows], self.hash[rows], self.tag[rows], begin, begin + self.length))
             left = SYMBOL - 1 - back
             contents += [self.bytes[row, left : left + self.length].tobytes() for row in rows]
         return (*(np.concatenate(c) for c in zip(*found, strict=True)), contents)
 
 
-SPAN_COLUMNS = ["_doc", "_tag", "_from", "_to"]
+SPAN_COLUMNS = [*TEXT, "_from", "_to"]
 SPAN_NAMES = [*SPAN_COLUMNS, "_window"]
-SPAN_TYPES = "_doc bigint, _tag int, _from int, _to int, _window binary"
+SPAN_TYPES = "_doc bigint, _hash bigint, _tag int, _from int, _to int, _window binary"
 
 
 def span_batch(spans: tuple, contents: list[bytes] | None = None) -> pa.RecordBatch:
-    doc, tag, begin, stop = spans[:4]
+    doc, text, tag, begin, stop = spans[:5]
     windows = pa.array(contents, pa.binary()) if contents is not None else pa.nulls(len(doc), pa.binary())
     numbers = [pa.array(x.astype(np.int32)) for x in (tag, begin, stop)]
-    return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), *numbers, windows], names=SPAN_NAMES)
+    keys = [pa.array(x.astype(np.int64)) for x in (doc, text)]
+    return pa.RecordBatch.from_arrays([*keys, *numbers, windows], names=SPAN_NAMES)
 
 
 def join_spans(spans: tuple) -> tuple:
     """Overlapping spans of one document as one."""
-    doc, tag, begin, stop = spans
-    if not len(doc):
+    if not len(spans[0]):
         return spans
-    order = np.lexsort((begin, tag, doc))
-    doc, tag, begin, stop = (x[order] for x in spans)
+    doc, text, tag, begin, _ = spans
+    order = np.lexsort((begin, tag, text, doc))
+    doc, text, tag, begin, stop = (x[order] for x in spans)
     new = np.ones(len(doc), dtype=bool)
     # Windows have one length, so sorted starts have sorted ends.
-    new[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (begin[1:] > stop[:-1])
+    new[1:] = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]) | (tag[1:] != tag[:-1]) | (begin[1:] > stop[:-1])
     heads = np.flatnonzero(new)
-    return doc[heads], tag[heads], begin[heads], stop[np.append(heads[1:], len(doc)) - 1]
+    return doc[heads], text[heads], tag[heads], begin[heads], stop[np.append(heads[1:], len(doc)) - 1]
 
 
 def compare_neighbours(ordered: DataFrame, length: int, run_rows: int) -> DataFrame:
@@ -503,22 +505,22 @@ def compare_neighbours(ordered: DataFrame, length: int, run_rows: int) -> DataFr
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, run_rows: int = RUN_ROWS) -> DataFrame:
-    """``(_doc, _tag, _from, _to)``: spans of removed bytes, possibly overlapping."""
+    """``(_doc, _hash, _tag, _from, _to)``: spans of removed bytes, possibly overlapping."""
     spark = docs.sparkSession
     settled = cut_lineage(sort_blocks(find_blocks(docs, length), length))
     free_shuffles(spark)
     start = F.col("_pack").bitwiseAND(0x7FFFFFFF << 14) / F.lit(1 << 14)
     whole = settled.where("_until > 0").select(
-        "_doc", F.shiftright("_pack", 45).cast("int").alias("_tag"), start.cast("int").alias("_from"), F.col("_until").alias("_to")
+        "_doc", "_hash", F.shiftright("_pack", 45).cast("int").alias("_tag"), start.cast("int").alias("_from"), F.col("_until").alias("_to")
     )
     wanted = settled.where("_until = 0").withColumn("_tag", F.shiftright("_pack", 45).cast("int"))
-    per_text = wanted.groupBy("_doc", "_tag").agg(F.collect_set("_pack").alias("_packs"))
-    texts = docs.select("_doc", "_tag", "_data").join(per_text, ["_doc", "_tag"]).select("_doc", "_data", "_packs")
+    per_text = wanted.groupBy(*TEXT).agg(F.collect_set("_pack").alias("_packs"))
+    texts = docs.select(*TEXT, "_data").join(per_text, TEXT).select("_doc", "_hash", "_data", "_packs")
     begin = F.shiftright("_pack", 14).bitwiseAND(0x7FFFFFFF).cast("int")
     size = F.col("_pack").bitwiseAND(127).cast("int") + (length - 1)
     variants = cut_lineage(
-        texts.select("_doc", "_data", F.explode("_packs").alias("_pack"))
-        .select("_doc", "_pack", F.substring("_data", begin + 1, size).alias("_bytes"))
+        texts.select("_doc", "_hash", "_data", F.explode("_packs").alias("_pack"))
+        .select(*WHERE, F.substring("_data", begin + 1, size).alias("_bytes"))
         .dropDuplicates(WHERE)
     )
     free_shuffles(spark)
@@ -530,7 +532,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, run_rows: int = RUN_RO
     compared = cut_lineage(compare_neighbours(ordered, length, run_rows))
     free_shuffles(spark)
     windows = compared.where(F.col("_window").isNotNull())
-    place = F.struct("_doc", "_tag", "_from")
+    place = F.struct(*TEXT, "_from")
     earliest = windows.groupBy("_window").agg(F.min(place).alias("_first"), F.max(place).alias("_last")).where("_first <> _last")
     opened = windows.join(earliest, "_window").where(place != F.col("_first")).select(*SPAN_COLUMNS)
     closed = compared.where(F.col("_window").isNull()).select(*SPAN_COLUMNS)
@@ -538,11 +540,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, run_rows: int = RUN_RO
 
 
 def with_places(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_doc`` (ordering key), ``_tag`` (16 bits of the text's hash) and ``_data`` (its bytes)."""
+    """``docs`` with ``_doc`` (ordering key), ``_hash`` and ``_tag`` (64 and 16 bits of the text's MD5), ``_data`` (its bytes).
+
+    Texts of one id, or without one, are told apart by all 80 bits: among a billion of them
+    two collide with a probability of 4e-7.
+    """
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
     return docs.withColumns(
         {
             "_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)),
-            "_tag": F.xxhash64("text").bitwiseAND(0xFFFF).cast("int"),
+            "_hash": F.conv(F.substring(digest, 1, 16), 16, -10).cast("long"),
+            "_tag": F.conv(F.substring(digest, 17, 4), 16, 10).cast("int"),
             "_data": F.coalesce("text", F.lit("")).cast("binary"),
         }
     )
@@ -551,9 +559,9 @@ def with_places(docs: DataFrame) -> DataFrame:
 def dedup_repeats(docs: DataFrame, length: int = LENGTH, run_rows: int = RUN_ROWS) -> DataFrame:
     """``docs`` with ``_kept`` (bytes left), ``_n_bytes``, ``_n_removed``, and ``_removed`` (spans, end exclusive)."""
     placed = with_places(plain(docs))
-    narrow = with_places(docs.select("doc_id", "text")).select("_doc", "_tag", "_data")
+    narrow = with_places(docs.select("doc_id", "text")).select(*TEXT, "_data")
     spans = repeated_spans(narrow, length, run_rows)
-    listed = spans.groupBy("_doc", "_tag").agg(F.collect_set(F.struct("_from", "_to")).alias("_spans"))
+    listed = spans.groupBy(*TEXT).agg(F.collect_set(F.struct("_from", "_to")).alias("_spans"))
 
     @F.arrow_udf("struct<kept:binary,removed:array<struct<start:int,stop:int>>>")
     def remove(data: pa.Array, found: pa.Array) -> pa.Array:
@@ -576,11 +584,11 @@ def dedup_repeats(docs: DataFrame, length: int = LENGTH, run_rows: int = RUN_ROW
         return pa.StructArray.from_arrays([pa.array(kept, pa.binary()), pa.array(removed, kind)], ["kept", "removed"])
 
     return (
-        placed.join(listed, ["_doc", "_tag"], "left")
+        placed.join(listed, TEXT, "left")
         .withColumn("_result", remove("_data", "_spans"))
         .withColumn("_kept", F.col("_result.kept"))
         .withColumn("_removed", F.col("_result.removed"))
         .withColumn("_n_bytes", F.length("_data").cast("long"))
         .withColumn("_n_removed", F.col("_n_bytes") - F.length("_kept"))
-        .drop("_doc", "_tag", "_data", "_spans", "_result")
+        .drop(*TEXT, "_data", "_spans", "_result")
     )

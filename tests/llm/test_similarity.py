@@ -109,6 +109,17 @@ class TestRepeats:
         assert windows() == whole
         assert {p for p, _ in whole} == set(range(5000 - 99))
 
+    def test_texts_without_an_id_are_told_apart(self, spark):
+        pick = random.Random(3)
+        shared = "".join(pick.choice("abcdefghij") for _ in range(130))
+        own = ["".join(pick.choice("abcdefghij") for _ in range(150)) for _ in range(3000)]
+        rows = [(None, shared + t if n % 2 else t) for n, t in enumerate(own)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        removed = {r["text"]: r["_n_removed"] for r in suffixes.dedup_repeats(docs).collect()}
+        assert {removed[t] for _, t in rows if not t.startswith(shared)} == {0}
+        losses = sorted(removed[t] for _, t in rows if t.startswith(shared))
+        assert losses[0] == 0 and losses[1] >= len(shared)
+
     def test_odd_rows(self, odd_docs, no_docs):
         got = suffixes.dedup_repeats(odd_docs).collect()
         assert len(got) == odd_docs.count()
