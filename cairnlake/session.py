@@ -8,6 +8,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def create_session(app_name: str = "cairnlake", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the settings the operators rely on; extra ``conf`` wins.
 
@@ -55,6 +58,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_and_free(df: DataFrame) -> DataFrame:
+    """``cut_lineage`` whose shuffle files go as soon as the checkpoint is written."""
+    conf, before = df.sparkSession.conf, df.sparkSession.conf.get(CLEAN_UP)
+    conf.set(CLEAN_UP, "true")
+    try:
+        # The setting is read where a query is made, so the frame is made anew.
+        return cut_lineage(df.select("*"))
+    finally:
+        conf.set(CLEAN_UP, before)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let the driver drop shuffle files of finished steps now instead of at its next periodic collection."""
     gc.collect()
