@@ -140,9 +140,95 @@ LEFT JOIN sequences s ON s.w = words.w
 LEFT JOIN parts ON parts.node = s.node
 """
 
+OP11 = """
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+keys AS (
+    SELECT doc_id, unnest(list_transform(range(1, len(words) - 18), lambda s: {'s': s, 'key': array_to_string(list_slice(words, s, s + 19), ' ')}), recursive := true)
+    FROM docs
+),
+again AS (
+    SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY key ORDER BY doc_id, s) AS place FROM keys) WHERE place > 1
+),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS pos FROM again),
+spread AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM docs),
+kept AS (
+    SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS text
+    FROM spread ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)
+"""
+
+LOWER = f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'"
+
+OP12 = f"""
+WITH docs AS (
+    SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), {LOWER}), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms
+    FROM documents
+),
+words AS (SELECT doc, lang, source, unnest(terms) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT doc) >= 3),
+vocabulary AS (SELECT lang, count(*) AS terms, sum(n) AS total FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (
+    SELECT g.lang, g.source, coalesce(sum(n), 0) AS total
+    FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN counts c ON g.lang = c.lang AND g.source = c.source
+    GROUP BY ALL
+),
+shares AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+           1 + 1000000000 * (coalesce(c.n, 0) + 1)::HUGEINT // (g.total + v.terms)::HUGEINT AS p,
+           1 + 1000000000 * (k.n + 1)::HUGEINT // (v.total + v.terms)::HUGEINT AS q
+    FROM groups g JOIN kept k ON g.lang = k.lang JOIN vocabulary v ON g.lang = v.lang
+    LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+),
+pairs AS (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+),
+parts AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM shares WHERE n > 0 AND p > q
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+RANKED_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), {LOWER}), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+OP13 = f"""
+WITH docs AS (SELECT doc_id, {RANKED_TERMS} AS terms FROM documents),
+sums AS (SELECT count(*) AS documents, sum(len(terms))::BIGINT AS total FROM docs WHERE len(terms) > 0),
+entries AS (
+    SELECT doc_id, term, n, count(*) AS tf FROM (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM docs) GROUP BY ALL
+),
+wanted AS (SELECT DISTINCT item_id, unnest({RANKED_TERMS}) AS term FROM benchmark),
+weights AS (
+    SELECT item_id, term, floor(1000 * ln((2 * documents + 2) / (2 * coalesce(df, 0) + 1)))::BIGINT AS w
+    FROM wanted LEFT JOIN (SELECT term, count(*) AS df FROM entries GROUP BY term) USING (term), sums
+),
+scores AS (
+    SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * documents) // total))))::BIGINT AS score
+    FROM weights JOIN entries USING (term), sums GROUP BY item_id, doc_id
+),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
 ORACLES: dict[str, str] = {
     "op6_line_dedup": OP6,
     "op8_source_mix": OP8,
     "op9_near_vectors": OP9,
     "op10_near_texts": OP10,
+    "op11_word_windows": OP11,
+    "op12_divergence": OP12,
+    "op13_lexical_ranking": OP13,
 }

@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlake.llm import bpe, digests, lines, mixing, near_texts, near_vectors, personal, quality, secrets, suffixes
+from cairnlake.llm import (
+    bpe,
+    digests,
+    divergence,
+    lines,
+    mixing,
+    near_texts,
+    near_vectors,
+    personal,
+    quality,
+    ranking,
+    secrets,
+    suffixes,
+    windows,
+)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -121,6 +135,25 @@ def op10_near_texts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_word_windows(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return windows.dedup_windows(docs, length=20).select(
+        "doc_id",
+        F.col("_n_words").alias("n_words"),
+        F.col("_n_removed").alias("n_removed"),
+        F.sha2(F.col("_kept"), 256).alias("kept_sha256"),
+    )
+
+
+def op12_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents").select("text", "lang", "source"), min_docs=3, top_terms=200)
+
+
+def op13_lexical_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return ranking.rank_documents(docs, table(spark, folder, "benchmark"), limit=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -132,4 +165,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_near_vectors": op9_near_vectors,
     "op10_near_texts": op10_near_texts,
+    "op11_word_windows": op11_word_windows,
+    "op12_divergence": op12_divergence,
+    "op13_lexical_ranking": op13_lexical_ranking,
 }
