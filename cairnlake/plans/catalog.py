@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlake.operators import duplicates, knowledge, roomgraph, search, taxonomy, vectors
+from cairnlake.operators import duplicates, knowledge, nearest, roomgraph, search, taxonomy, vectors
 from cairnlake.sources import tables as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,7 +130,14 @@ def vector_search_wing(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def vector_knn_batch(spark: SparkSession, folder: str) -> DataFrame:
     stored = src.vectors(spark, folder)
-    return vectors.knn_join(vectors.mean_vectors(stored), stored, limit=5)
+    return nearest.index_knn(vectors.mean_vectors(stored), nearest.build_index(stored), limit=5)
+
+
+@query
+def vector_knn_self(spark: SparkSession, folder: str) -> DataFrame:
+    stored = src.vectors(spark, folder)
+    asked = stored.select(F.col("id").alias("query_id"), "embedding")
+    return nearest.index_knn(asked, nearest.build_index(stored), limit=3)
 
 
 @query

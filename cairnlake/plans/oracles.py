@@ -164,6 +164,10 @@ q AS (SELECT query_id, list(v ORDER BY p) AS c FROM m GROUP BY 1),
 s AS (SELECT query_id, vec_id AS id, {distance('embedding', 'c')} AS d FROM embeddings, q),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS place FROM s)
 SELECT query_id, place::INTEGER AS place, id, {half_even('1 - d', 3)} AS similarity FROM r WHERE place <= 5"""
+ORACLES["vector_knn_self"] = f"""
+WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {distance('e.embedding', 'q.embedding')} AS d FROM embeddings e, embeddings q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS place FROM s)
+SELECT query_id, place::INTEGER AS place, id, {half_even('1 - d', 3)} AS similarity FROM r WHERE place <= 3"""
 ORACLES["embedded_search"] = over_drawers(
     f"""
 + t AS (SELECT id, wing, unnest({tokens('text')}) AS tok FROM drawers),
