@@ -6,16 +6,19 @@ from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairnlake.functions.params import DUPLICATE_THRESHOLD, SEARCH_LIMIT, clamp_positive
 from cairnlake.operators import knowledge, layers, mutations, roomgraph, search, shorthand, taxonomy
 from cairnlake.schema import COMPRESSED, DRAWERS
 from cairnlake.session import cut_lineage
 from cairnlake.sources.store import Collections
+from cairnlake.sources.versions import VersionedTable
 from cairnlake.streaming.journal import append_journal
 
-FACTS = "subject string, predicate string, object string, valid_from string, valid_to string, confidence double"
-NODES = "id string, name string, type string"
+FACT = ["subject", "predicate", "object"]
+FACTS = T.StructType([T.StructField(name, T.StringType()) for name in (*FACT, "valid_from", "valid_to")]).add("confidence", T.DoubleType())
+NODES = T.StructType([T.StructField(name, T.StringType()) for name in ("id", "name", "type")])
 DIRECTIONS = ("outgoing", "incoming", "both")
 
 
@@ -46,23 +49,17 @@ class Memory:
     def _nodes(self) -> DataFrame:
         return roomgraph.room_nodes(self._drawers())
 
-    def _table(self, name: str, schema: str) -> DataFrame:
-        full = self.store.name(name)
-        return self.spark.table(full) if self.store.exists(name) else self.spark.createDataFrame([], schema)
+    def _facts(self) -> VersionedTable:
+        return self.store.table("triples", FACTS, FACT)
 
-    def _rewrite(self, name: str, rows: DataFrame) -> None:
-        """Replace a plain table through a side table, as the rows derive from the old ones."""
-        side = self.store.name(f"{name}__next")
-        self.spark.sql(f"DROP TABLE IF EXISTS {side}")
-        rows.write.format("parquet").saveAsTable(side)
-        self.spark.table(side).write.mode("overwrite").format("parquet").saveAsTable(self.store.name(name))
-        self.spark.sql(f"DROP TABLE {side}")
+    def _nodes_table(self) -> VersionedTable:
+        return self.store.table("entities", NODES, ["id"])
 
     def _triples(self) -> DataFrame:
-        return self._table("triples", FACTS)
+        return self._facts().read()
 
     def _entities(self) -> DataFrame:
-        return self._table("entities", NODES)
+        return self._nodes_table().read()
 
     # Reading
 
@@ -155,25 +152,29 @@ class Memory:
 
     def kg_add(self, facts: DataFrame) -> None:
         """Add ``(subject_name, predicate, object_name, valid_from, ord)`` facts and their missing endpoints."""
-        triples = self._triples()
-        columns = ["subject", "predicate", "object", "valid_from", "valid_to", "confidence"]
-        fresh = knowledge.add_triples(triples, facts).withColumn("confidence", F.lit(1.0)).select(columns)
+        fresh = knowledge.add_triples(self._triples(), facts).withColumn("confidence", F.lit(1.0))
         named = facts.select(F.concat_ws("|", "subject_name", "predicate", "object_name").alias("id"))
         self._log(named, "kg_add", "intent")
-        self._rewrite("entities", knowledge.add_missing_endpoints(self._entities(), facts))
-        self._rewrite("triples", triples.select(columns).unionByName(fresh))
+        self._nodes_table().commit(knowledge.missing_endpoints(self._entities(), facts))
+        self._facts().commit(fresh)
         self._log(named, "kg_add", "success")
 
     def kg_add_entity(self, entities: DataFrame) -> None:
         named = entities.select(F.col("name").alias("id"))
         self._log(named, "kg_add_entity", "intent")
-        self._rewrite("entities", knowledge.upsert_entities(self._entities(), entities))
+        latest = knowledge.latest_entities(entities)
+        self._nodes_table().commit(latest, gone=latest)
         self._log(named, "kg_add_entity", "success")
 
     def kg_invalidate(self, ended: DataFrame) -> None:
         named = ended.select(F.concat_ws("|", "subject_name", "predicate", "object_name").alias("id"))
         self._log(named, "kg_invalidate", "intent")
-        self._rewrite("triples", knowledge.invalidate(self._triples(), ended))
+        # Only facts that are open under a named key change; all rows of their key are written anew.
+        triples = self._triples()
+        named_facts = knowledge.closings(ended).select(FACT)
+        touched = triples.where("valid_to IS NULL").join(named_facts, FACT, "left_semi").select(FACT).distinct()
+        changed = knowledge.invalidate(triples.join(touched, FACT, "left_semi"), ended)
+        self._facts().commit(changed, gone=touched)
         self._log(named, "kg_invalidate", "success")
 
     def compress(self, wing: str | None = None) -> DataFrame:
@@ -192,3 +193,6 @@ class Memory:
         for collection in (DRAWERS, COMPRESSED):
             if self.store.exists(collection):
                 self.store.repair(collection)
+        for table in (self._facts(), self._nodes_table()):
+            if table.exists():
+                table.compact()

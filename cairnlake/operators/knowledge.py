@@ -131,32 +131,41 @@ def as_of_batch(triples: DataFrame, probes: DataFrame) -> DataFrame:
     return triples.join(probes, "subject").where(valid_on(F.col("day")))
 
 
-def upsert_entities(entities: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Replace the whole row of every id in ``incoming``; its largest ``ord`` wins per id."""
-    latest = (
+def latest_entities(incoming: DataFrame) -> DataFrame:
+    """One row per id of ``incoming``: that of the largest ``ord``."""
+    return (
         incoming.withColumn("id", entity_id(F.col("name")))
         .groupBy("id")
         .agg(F.max_by(F.struct("name", "type"), "ord").alias("row"))
         .select("id", "row.name", "row.type")
     )
+
+
+def upsert_entities(entities: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Replace the whole row of every id in ``incoming``; its largest ``ord`` wins per id."""
+    latest = latest_entities(incoming)
     columns = ["id", "name", "type"]
     return entities.select(columns).join(latest, "id", "left_anti").unionByName(latest.select(columns))
 
 
-def add_missing_endpoints(entities: DataFrame, facts: DataFrame) -> DataFrame:
-    """Entities plus every fact endpoint that has no row yet, typed 'unknown'.
+def missing_endpoints(entities: DataFrame, facts: DataFrame) -> DataFrame:
+    """Every fact endpoint that has no row yet, typed 'unknown'.
 
     ``facts`` carries display names as ``subject_name`` / ``object_name``; the smallest
     spelling names a new node.
     """
     ends = facts.select(F.explode(F.array("subject_name", "object_name")).alias("name"))
-    fresh = (
+    return (
         ends.groupBy(entity_id(F.col("name")).alias("id"))
         .agg(F.min("name").alias("name"))
         .join(entities.select("id"), "id", "left_anti")
         .withColumn("type", F.lit("unknown"))
     )
-    return entities.select("id", "name", "type").unionByName(fresh)
+
+
+def add_missing_endpoints(entities: DataFrame, facts: DataFrame) -> DataFrame:
+    """Entities plus every fact endpoint that has no row yet."""
+    return entities.select("id", "name", "type").unionByName(missing_endpoints(entities, facts))
 
 
 def add_triples(triples: DataFrame, facts: DataFrame) -> DataFrame:
@@ -185,22 +194,25 @@ def add_triples(triples: DataFrame, facts: DataFrame) -> DataFrame:
     )
 
 
-def invalidate(triples: DataFrame, ended: DataFrame, default_day: str | None = None) -> DataFrame:
-    """Close all open facts named in ``ended`` ``(subject_name, predicate, object_name, ended)``."""
-    key = ["subject", "predicate", "object"]
+def closings(ended: DataFrame, default_day: str | None = None) -> DataFrame:
+    """``(subject, predicate, object, closed_on)``: the earliest named day per fact of ``ended``."""
     day = F.coalesce(F.col("ended"), F.lit(default_day) if default_day else F.date_format(F.current_date(), "yyyy-MM-dd"))
-    closing = (
+    return (
         ended.select(
             entity_id(F.col("subject_name")).alias("subject"),
             predicate_id(F.col("predicate")).alias("predicate"),
             entity_id(F.col("object_name")).alias("object"),
             day.alias("closed_on"),
         )
-        .groupBy(key)
+        .groupBy("subject", "predicate", "object")
         .agg(F.min("closed_on").alias("closed_on"))
     )
+
+
+def invalidate(triples: DataFrame, ended: DataFrame, default_day: str | None = None) -> DataFrame:
+    """Close all open facts named in ``ended`` ``(subject_name, predicate, object_name, ended)``."""
     return (
-        triples.join(closing, key, "left")
+        triples.join(closings(ended, default_day), ["subject", "predicate", "object"], "left")
         .withColumn("valid_to", F.coalesce("valid_to", "closed_on"))
         .drop("closed_on")
     )

@@ -1,135 +1,75 @@
-"""Collections of drawers as catalog tables, partitioned by wing."""
+"""Collections of drawers, and other keyed tables, as versioned tables below one database."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairnlake.operators import mutations
 from cairnlake.schema import DRAWER_SCHEMA
-
-
-OVERWRITE = "spark.sql.sources.partitionOverwriteMode"
+from cairnlake.sources.versions import VersionedTable
 
 
 class Collections:
-    """Named drawer tables of one catalog database."""
+    """Named drawer tables of one catalog database; their files lie in the folder of the database.
+
+    Every change is one new version: it writes its own rows and tombstones only, and a
+    change that stops half-way leaves the version before it.
+    """
 
     def __init__(self, spark: SparkSession, database: str = "default") -> None:
         self.spark = spark
         self.database = database
-
-    def name(self, collection: str) -> str:
-        return f"{self.database}.{collection}"
+        self.folder = spark.catalog.getDatabase(database).locationUri.rstrip("/") + "/_collections"
 
     def list(self) -> list[str]:
-        return sorted(table.name for table in self.spark.catalog.listTables(self.database) if not table.isTemporary)
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        files = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [status.getPath().getName() for status in files.listStatus(folder)] if files.exists(folder) else []
+        return sorted(name for name in names if self.exists(name))
+
+    def table(self, name: str, schema: T.StructType = DRAWER_SCHEMA, key: list[str] | None = None) -> VersionedTable:
+        """The versioned table of a name; drawers are keyed by id and sorted by wing."""
+        order = ["wing", "id"] if schema is DRAWER_SCHEMA else key
+        return VersionedTable(self.spark, f"{self.folder}/{name}", schema, key or ["id"], order)
 
     def exists(self, collection: str) -> bool:
-        return self.spark.catalog.tableExists(self.name(collection))
+        return self.table(collection).exists()
 
     def ensure(self, collection: str) -> None:
         if not self.exists(collection):
-            empty = self.spark.createDataFrame([], DRAWER_SCHEMA)
-            empty.write.partitionBy("wing").format("parquet").saveAsTable(self.name(collection))
+            self.table(collection).commit(self.spark.createDataFrame([], DRAWER_SCHEMA))
 
     def read(self, collection: str) -> DataFrame:
         """The stored drawers, in schema order; a missing collection is empty."""
-        if not self.exists(collection):
-            return self.spark.createDataFrame([], DRAWER_SCHEMA)
-        return self.spark.table(self.name(collection)).select(DRAWER_SCHEMA.fieldNames())
-
-    def _shaped(self, drawers: DataFrame) -> DataFrame:
-        """All schema columns in table order; partitions are written from rows gathered per wing."""
-        columns = [
-            (F.col(field.name) if field.name in drawers.columns else F.lit(None)).cast(field.dataType).alias(field.name)
-            for field in DRAWER_SCHEMA
-        ]
-        order = [name for name in DRAWER_SCHEMA.fieldNames() if name != "wing"] + ["wing"]
-        return drawers.select(columns).select(order)
+        return self.table(collection).read()
 
     def add(self, collection: str, drawers: DataFrame) -> None:
         """Append the drawers whose id is not stored yet."""
-        self.ensure(collection)
-        fresh = mutations.new_drawers(self.read(collection), drawers)
-        self._clustered(self._shaped(fresh)).write.insertInto(self.name(collection))
-
-    @staticmethod
-    def _clustered(shaped: DataFrame) -> DataFrame:
-        """Rows gathered per wing, a large wing over several tasks, so that a wing gets few files."""
-        return shaped.hint("rebalance", "wing")
-
-    def _side(self, collection: str, rows: DataFrame) -> str:
-        """Write rows that derive from a table to a side table, so that the table may be overwritten."""
-        side = self.name(f"{collection}__next")
-        self.spark.sql(f"DROP TABLE IF EXISTS {side}")
-        self._shaped(rows).write.format("parquet").saveAsTable(side)
-        return side
-
-    def _rewrite_wings(self, collection: str, touched: DataFrame, rows: DataFrame) -> None:
-        """Replace the wings named in ``touched`` by ``rows``; files of other wings stay as they are.
-
-        Each wing is swapped as one partition overwrite, and a wing without rows is dropped.
-        Wings are catalog partitions, so their names are few enough for the driver.
-        """
-        wings = {row["wing"] for row in touched.select("wing").distinct().collect()}
-        if not wings:
-            return
-        side = self._side(collection, rows)
-        filled = {row["wing"] for row in self.spark.table(side).select("wing").distinct().collect()}
-        # A table insert takes the mode from the session only.
-        mode = self.spark.conf.get(OVERWRITE)
-        self.spark.conf.set(OVERWRITE, "dynamic")
-        try:
-            self._clustered(self.spark.table(side)).write.insertInto(self.name(collection), overwrite=True)
-        finally:
-            self.spark.conf.set(OVERWRITE, mode)
-        for wing in sorted(wings - filled):
-            quoted = wing.replace("\\", "\\\\").replace("'", "\\'")
-            self.spark.sql(f"ALTER TABLE {self.name(collection)} DROP IF EXISTS PARTITION (wing = '{quoted}')")
-        self.spark.sql(f"DROP TABLE {side}")
+        self.table(collection).commit(mutations.new_drawers(self.read(collection), drawers))
 
     def replace(self, collection: str, drawers: DataFrame) -> None:
-        """Replace all rows. They are written to a side table first, as they usually derive from the old ones.
-
-        If the overwrite is lost half-way, the side table still holds the whole new version.
-        """
-        self.ensure(collection)
-        side = self._side(collection, drawers)
-        self._clustered(self.spark.table(side)).write.insertInto(self.name(collection), overwrite=True)
-        self.spark.sql(f"DROP TABLE {side}")
+        self.table(collection).replace(drawers)
 
     def delete(self, collection: str, ids: DataFrame) -> None:
-        """Remove drawers; only the wings that hold one of them are rewritten."""
-        stored = self.read(collection)
-        touched = stored.join(ids.select("id"), "id", "left_semi").select("wing").distinct()
-        self._rewrite_wings(collection, touched, mutations.delete_ids(stored.join(touched, "wing", "left_semi"), ids))
+        """Remove drawers; one tombstone per id is written."""
+        self.table(collection).commit(gone=ids.select("id"))
 
     def delete_sources(self, collection: str, sources: DataFrame) -> None:
-        """Remove the drawers of sources; only the wings that hold one of them are rewritten."""
-        stored = self.read(collection)
+        """Remove the drawers of sources; one tombstone per drawer is written."""
         keys = sources.select(F.lower("source_file").alias("_key")).distinct()
-        touched = stored.withColumn("_key", F.lower("source_file")).join(keys, "_key", "left_semi").select("wing").distinct()
-        self._rewrite_wings(
-            collection, touched, mutations.delete_sources(stored.join(touched, "wing", "left_semi"), sources)
-        )
+        stored = self.read(collection).select("id", F.lower("source_file").alias("_key"))
+        self.table(collection).commit(gone=stored.join(keys, "_key", "left_semi").select("id"))
 
     def upsert(self, collection: str, drawers: DataFrame) -> None:
-        """Insert or replace drawers; only wings that lose or gain one are rewritten."""
-        self.ensure(collection)
-        stored, incoming = self.read(collection), drawers
-        touched = (
-            stored.join(incoming.select("id"), "id", "left_semi").select("wing").unionByName(incoming.select("wing")).distinct()
-        )
-        self._rewrite_wings(collection, touched, mutations.upsert(stored.join(touched, "wing", "left_semi"), incoming))
+        """Insert or replace drawers."""
+        self.table(collection).commit(drawers, gone=drawers.select("id"))
 
     def repair(self, collection: str) -> None:
-        """Rewrite everything with the drawers of a wing in id order."""
+        """Fold all changes into files with the drawers of a wing in id order."""
         self.ensure(collection)
-        side = self._side(collection, self.read(collection))
-        ordered = self.spark.table(side).repartitionByRange("wing", "id").sortWithinPartitions("wing", "id")
-        ordered.write.insertInto(self.name(collection), overwrite=True)
-        self.spark.sql(f"DROP TABLE {side}")
+        self.table(collection).compact()
 
 
 def read_json_collection(spark: SparkSession, path: str) -> DataFrame:
