@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from cairnlake.functions.params import DUPLICATE_THRESHOLD
 from cairnlake.functions.text import agent_wing, clean_content, content_id, diary_id, display_name, slug
-from cairnlake.operators.search import containment_join
+from cairnlake.operators.postings import TextIndex, accepted_in_order, best_matches
+from cairnlake.session import cut_lineage
 
 #: Matches that a duplicate check reports.
 MATCHES = 5
@@ -123,28 +124,46 @@ def drawer_requests(requests: DataFrame) -> DataFrame:
 
 
 def add_outcomes(
-    stored: DataFrame, requests: DataFrame, threshold: float = DUPLICATE_THRESHOLD, most: int | None = MATCHES
+    stored: DataFrame,
+    requests: DataFrame,
+    threshold: float = DUPLICATE_THRESHOLD,
+    most: int = MATCHES,
+    index: TextIndex | None = None,
 ) -> DataFrame:
     """What adding each cleaned request does: noop (id exists), duplicate, or inserted.
 
-    ``matches`` counts stored drawers that contain enough of the request's tokens, at
-    most ``most`` as the check reports them. Requests are judged against the stored table.
+    Requests are judged in order of ``ord`` where they have it, then of their id, against
+    the stored drawers and against those inserted before them. ``matches`` counts the
+    drawers that contain enough of the request's tokens, at most ``most`` as the check
+    reports them. ``index`` is the stored table's, or made for this call.
     """
-    asked = requests.dropDuplicates(["id"])
-    existing = asked.join(stored.select("id"), "id", "left_semi").select("id", F.lit(True).alias("exists"))
-    queries = asked.select(F.col("id").alias("query_id"), F.col("text").alias("query"))
-    matches = containment_join(queries, stored.select("id", "text"), threshold).groupBy(F.col("query_id").alias("id")).agg(
-        (F.count("*") if most is None else F.least(F.count("*"), F.lit(most))).alias("matches")
+    order = F.col("ord").cast("long") if "ord" in requests.columns else F.lit(0).cast("long")
+    asked = requests.groupBy("id").agg(
+        F.min(order).alias("ord"), *[F.min_by(name, order).alias(name) for name in ("wing", "room", "text")]
     )
+    asked = cut_lineage(
+        asked.join(stored.select("id").distinct().withColumn("exists", F.lit(True)), "id", "left")
+    )
+    open_requests = asked.where(F.col("exists").isNull())
+    queries = open_requests.select(F.col("id").alias("query_id"), F.col("text").alias("query"))
+    held = index or TextIndex.of(stored.select("id", "text"))
+    known = cut_lineage(
+        best_matches(queries, held, threshold, most).groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("_stored"))
+    )
+    judged = open_requests.join(known, "id", "left").select("id", "ord", "text", F.col("_stored").isNotNull().alias("blocked"))
+    accepted, met = accepted_in_order(judged, threshold)
+    own = met.groupBy("id").agg(F.count("*").alias("_batch"))
+    matches = F.coalesce("_stored", F.lit(0)) + F.coalesce("_batch", F.lit(0))
     return (
-        asked.join(existing, "id", "left")
-        .join(matches, "id", "left")
+        asked.join(known, "id", "left")
+        .join(own, "id", "left")
+        .join(accepted.withColumn("_accepted", F.lit(True)), "id", "left")
         .select(
             "id",
             "wing",
             "room",
-            F.when(F.col("exists"), "noop").when(F.col("matches") > 0, "duplicate").otherwise("inserted").alias("outcome"),
-            F.when(F.col("exists"), F.lit(0)).otherwise(F.coalesce("matches", F.lit(0))).cast("long").alias("matches"),
+            F.when(F.col("exists"), "noop").when(F.col("_accepted"), "inserted").otherwise("duplicate").alias("outcome"),
+            F.when(F.col("exists") | F.col("_accepted"), F.lit(0)).otherwise(F.least(matches, F.lit(most))).cast("long").alias("matches"),
         )
     )
 

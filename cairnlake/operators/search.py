@@ -9,6 +9,7 @@ from cairnlake.functions.arrays import containment
 from cairnlake.functions.params import DUPLICATE_THRESHOLD, SEARCH_LIMIT, clamp_positive, clamp_threshold, first_rows
 from cairnlake.functions.partitions import explode_rows
 from cairnlake.functions.text import basename, ellipsis, half_even, one_line, token_set, tokens, trim
+from cairnlake.operators.postings import TextIndex, best_matches
 
 DUPLICATE_MATCHES = 5
 
@@ -145,15 +146,14 @@ def containment_join(
 
 
 def check_duplicate_batch(
-    queries: DataFrame, drawers: DataFrame, threshold: float = DUPLICATE_THRESHOLD
+    queries: DataFrame, drawers: DataFrame, threshold: float = DUPLICATE_THRESHOLD, index: TextIndex | None = None
 ) -> DataFrame:
-    """Best five stored matches of every query, as the single check reports them."""
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    matches = (
-        containment_join(queries, drawers, clamp_threshold(threshold))
-        .withColumn("place", F.row_number().over(best))
-        .where(F.col("place") <= DUPLICATE_MATCHES)
-    )
+    """Best five stored matches of every query, as the single check reports them.
+
+    Matches come from ``index``, or from one made of ``drawers`` for this call; at most
+    five rows of a query meet the drawers for the texts that are shown.
+    """
+    matches = best_matches(queries, index or TextIndex.of(drawers), clamp_threshold(threshold), DUPLICATE_MATCHES)
     return matches.join(drawers, "id").select(
         "query_id",
         "place",

@@ -590,15 +590,20 @@ ORACLES["diary_recent"] = f"""{DIARY}, u AS (SELECT *, '2024-01-0' || topic[7] A
 SELECT id, '{NOW[:10]}' AS date, ts AS timestamp, topic, text AS content, (SELECT count(*) FROM u) AS total FROM u ORDER BY ts DESC, id LIMIT 20"""
 ORACLES["stack_status"] = "SELECT count(*) AS total_drawers, 15 AS story_drawers, 3200 AS story_chars FROM documents"
 
-CHANGES = f"""WITH stored AS MATERIALIZED (SELECT DISTINCT 'drawer_' || lang || '_stored_' || {digest('lang', "'stored'", 'source', trimmed('text'))} AS id, {trimmed('text')} AS text FROM documents),
+CHANGES = f"""WITH RECURSIVE stored AS MATERIALIZED (SELECT DISTINCT 'drawer_' || lang || '_stored_' || {digest('lang', "'stored'", 'source', trimmed('text'))} AS id, {trimmed('text')} AS text FROM documents),
 asked AS MATERIALIZED (SELECT DISTINCT 'drawer_new_wing_inbox_bench_' || {digest("'new_wing'", "'inbox_bench'", "'bench.txt'", trimmed('text'))} AS id, 'new_wing' AS wing, 'inbox_bench' AS room,
     'bench.txt' AS source_file, {trimmed('text')} AS text FROM benchmark
   UNION SELECT DISTINCT 'drawer_' || lang || '_stored_' || {digest('lang', "'stored'", 'source', trimmed('text'))}, lang, 'stored', source, {trimmed('text')} FROM documents),
 q AS (SELECT id AS qid, {token_set('text')} AS q FROM asked WHERE id NOT IN (SELECT id FROM stored)),
 t AS (SELECT id, {token_set('text')} AS t FROM stored),
 hit AS (SELECT qid, least(count(*), 5) AS matches FROM q JOIN t ON {containment('q', 't')} >= 0.9 WHERE len(q) > 0 GROUP BY 1),
-outcomes AS (SELECT asked.id, wing, room, CASE WHEN asked.id IN (SELECT id FROM stored) THEN 'noop' WHEN matches > 0 THEN 'duplicate' ELSE 'inserted' END AS outcome,
-  coalesce(matches, 0)::BIGINT AS matches FROM asked LEFT JOIN hit ON qid = asked.id)"""
+own AS MATERIALIZED (SELECT a.qid, list(b.qid) AS before FROM q a JOIN q b ON b.qid < a.qid AND {containment('a.q', 'b.q')} >= 0.9 WHERE len(a.q) > 0 GROUP BY 1),
+line AS MATERIALIZED (SELECT qid, matches, before, row_number() OVER (ORDER BY qid) AS k FROM q LEFT JOIN hit USING (qid) LEFT JOIN own USING (qid)),
+walk AS (SELECT 0 AS k, []::VARCHAR[] AS inserted UNION ALL
+  SELECT line.k, CASE WHEN matches > 0 OR list_has_any(inserted, coalesce(before, [])) THEN inserted ELSE list_append(inserted, qid) END FROM walk JOIN line ON line.k = walk.k + 1),
+inserted AS (SELECT unnest(inserted) AS id FROM (SELECT inserted FROM walk ORDER BY k DESC LIMIT 1)),
+outcomes AS (SELECT asked.id, wing, room, CASE WHEN asked.id IN (SELECT id FROM stored) THEN 'noop' WHEN asked.id IN (SELECT id FROM inserted) THEN 'inserted' ELSE 'duplicate' END AS outcome,
+  least(5, coalesce(matches, 0) + coalesce(len(list_intersect(before, (SELECT list(id) FROM inserted))), 0))::BIGINT AS matches FROM asked LEFT JOIN line ON line.qid = asked.id)"""
 ORACLES["add_drawer_outcomes"] = f"{CHANGES} SELECT * FROM outcomes"
 ORACLES["request_rules"] = f"""
 WITH r AS (SELECT doc_id, CASE doc_id % 6 WHEN 1 THEN 'wing has no usable characters' WHEN 2 THEN 'wing has more than 80 characters' WHEN 3 THEN 'room is missing'

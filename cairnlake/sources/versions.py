@@ -153,6 +153,12 @@ class VersionedTable:
         self.switch(Staged(step, old.data, old.gone))
         return step
 
+    def drop_after(self, version: int) -> None:
+        """Forget versions beyond ``version``; their folders go with the next ``vacuum``."""
+        for later in self.versions():
+            if later > version:
+                self._files.delete(self._path(f"{self.folder}/manifest/{later}.json"), False)
+
     def vacuum(self, keep: int = 1) -> int:
         """Delete folders that none of the newest ``keep`` versions names, and older manifests; returns their number."""
         versions = self.versions()
