@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 from cairnlake.functions.params import DUPLICATE_THRESHOLD, SEARCH_LIMIT, clamp_positive
 from cairnlake.operators import knowledge, layers, mutations, roomgraph, search, shorthand, taxonomy
+from cairnlake.operators.postings import StoredIndex
+from cairnlake.plans import migrate
 from cairnlake.schema import COMPRESSED, DRAWERS
 from cairnlake.session import cut_lineage
 from cairnlake.sources.store import Collections
@@ -33,6 +35,7 @@ class Memory:
     def __init__(self, spark: SparkSession, database: str = "default", journal: str | None = None) -> None:
         self.spark = spark
         self.store = Collections(spark, database)
+        self.index = StoredIndex(spark, f"{self.store.folder}/_index")
         self.journal = journal
 
     def _now(self) -> str:
@@ -79,10 +82,11 @@ class Memory:
         return shorthand.NOTATION
 
     def search(self, query: str, limit: int = SEARCH_LIMIT[0], wing: str | None = None, room: str | None = None) -> DataFrame:
-        return search.search_memories(self._drawers(), query, clamp_positive(limit, SEARCH_LIMIT), wing, room)
+        return search.search_memories(self._drawers(), query, limit, wing, room, self.index.open())
 
     def check_duplicate(self, content: str, threshold: float = DUPLICATE_THRESHOLD) -> DataFrame:
-        return search.check_duplicate(self._drawers(), content, threshold)
+        asked = self.spark.createDataFrame([(0, content)], "query_id int, query string")
+        return search.check_duplicate_batch(asked, self._drawers(), threshold, self.index.open()).orderBy("place").drop("query_id", "place")
 
     def diary_read(self, agent: str, last_n: int | None = None) -> DataFrame:
         return layers.diary_read(self._drawers(), agent, last_n)
@@ -127,9 +131,9 @@ class Memory:
         asked = mutations.drawer_requests(judged.where("status = 'accepted'"))
         self._log(asked.dropDuplicates(["id"]), "add_drawer", "intent")
         # The outcomes describe the table before the insert, so they are fixed first.
-        outcomes = cut_lineage(mutations.add_outcomes(self._drawers(), asked))
-        accepted = asked.join(outcomes.where("outcome = 'inserted'").select("id"), "id", "left_semi")
-        self.store.add(DRAWERS, accepted.select("*", F.lit(0).alias("chunk_index"), F.lit(self._now()).alias("filed_at")))
+        outcomes = cut_lineage(mutations.add_outcomes(self._drawers(), asked, index=self.index.open()))
+        accepted = asked.join(outcomes.where("outcome = 'inserted'").select("id"), "id", "left_semi").dropDuplicates(["id"])
+        self._insert(accepted.select("*", F.lit(0).alias("chunk_index"), F.lit(self._now()).alias("filed_at")))
         result = F.when(F.col("outcome") == "inserted", "success").otherwise(F.col("outcome"))
         self._log(outcomes, "add_drawer", result)
         refused = judged.where("status = 'rejected'").select(
@@ -137,9 +141,25 @@ class Memory:
         )
         return outcomes.unionByName(refused, allowMissingColumns=True)
 
+    def _insert(self, drawers: DataFrame) -> None:
+        """Store drawers of new ids, then their postings; ``repair`` makes the index anew if this stops between."""
+        fresh = cut_lineage(mutations.new_drawers(self._drawers(), drawers))
+        self.store.add(DRAWERS, fresh)
+        self.index.add(fresh)
+
+    def migrate(self, drawers: DataFrame, dry_run: bool = False) -> DataFrame:
+        """Replace all drawers by migrated ones; returns the summary, which is all that a dry run does."""
+        self._log(drawers, "migrate", "intent")
+        report = migrate.migrate(self.store.table(DRAWERS), drawers, dry_run)
+        if report.version:
+            self.index.rebuild(self._drawers())
+        self._log(drawers, "migrate", "success" if report.version else "noop")
+        return report.summary
+
     def delete_drawer(self, ids: DataFrame) -> DataFrame:
         outcomes = cut_lineage(mutations.delete_outcomes(self._drawers(), ids))
         self._log(outcomes, "delete_drawer", "intent")
+        self.index.delete(ids)
         self.store.delete(DRAWERS, ids)
         self._log(outcomes, "delete_drawer", F.col("outcome"))
         return outcomes
@@ -147,7 +167,7 @@ class Memory:
     def diary_write(self, requests: DataFrame) -> None:
         entries = mutations.diary_entries(requests, self._now())
         self._log(entries, "diary_write", "intent")
-        self.store.add(DRAWERS, entries)
+        self._insert(entries)
         self._log(entries, "diary_write", "success")
 
     def kg_add(self, facts: DataFrame) -> None:
@@ -193,6 +213,7 @@ class Memory:
         for collection in (DRAWERS, COMPRESSED):
             if self.store.exists(collection):
                 self.store.repair(collection)
+        self.index.rebuild(self._drawers())
         for table in (self._facts(), self._nodes_table()):
             if table.exists():
                 table.compact()

@@ -81,6 +81,13 @@ class StoredIndex:
     def delete(self, ids: DataFrame) -> None:
         self._change(None, ids.select("id"))
 
+    def rebuild(self, drawers: DataFrame) -> None:
+        """Index a whole table anew."""
+        docs = cut_lineage(_tokenised(drawers))
+        self.postings.drop_after(self.docs.manifest().version)
+        self.postings.replace(_posted(docs))
+        self.docs.replace(docs)
+
     def compact(self) -> None:
         self.postings.drop_after(self.docs.manifest().version)
         self.postings.compact()

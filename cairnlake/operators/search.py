@@ -9,7 +9,7 @@ from cairnlake.functions.arrays import containment
 from cairnlake.functions.params import DUPLICATE_THRESHOLD, SEARCH_LIMIT, clamp_positive, clamp_threshold, first_rows
 from cairnlake.functions.partitions import explode_rows
 from cairnlake.functions.text import basename, ellipsis, half_even, one_line, token_set, tokens, trim
-from cairnlake.operators.postings import TextIndex, best_matches
+from cairnlake.operators.postings import TextIndex, best_matches, search_index
 
 DUPLICATE_MATCHES = 5
 
@@ -53,9 +53,18 @@ def search_memories(
     limit: int | None = None,
     wing: str | None = None,
     room: str | None = None,
+    index: TextIndex | None = None,
 ) -> DataFrame:
-    """Search service: clamped limit, source base name, similarity rounded to three places."""
-    hits = lexical_search(drawers, query, clamp_positive(limit, SEARCH_LIMIT), wing, room)
+    """Search service: clamped limit, source base name, similarity rounded to three places.
+
+    With an ``index`` the best drawers come from its postings, and only their texts are read.
+    """
+    most = clamp_positive(limit, SEARCH_LIMIT)
+    if index is None:
+        hits = lexical_search(drawers, query, most, wing, room)
+    else:
+        found = search_index(index, query, most, wing, room).select("id", "similarity")
+        hits = drawers.join(found, "id").orderBy(F.desc("similarity"), "source_file", "id").limit(most)
     return hits.select(
         "id",
         "text",

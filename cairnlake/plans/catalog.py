@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlake.operators import duplicates, knowledge, nearest, roomgraph, search, taxonomy, vectors
+from cairnlake.operators import duplicates, knowledge, nearest, postings, roomgraph, search, taxonomy, vectors
 from cairnlake.sources import tables as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,6 +91,18 @@ def lexical_search_wing_room(spark: SparkSession, folder: str) -> DataFrame:
     return hits.select("id", "wing", "room", "source_file", "similarity")
 
 
+@query
+def indexed_search(spark: SparkSession, folder: str) -> DataFrame:
+    index = postings.TextIndex.of(src.drawers(spark, folder, heavy=True))
+    return postings.search_index(index, SEARCH_TEXT, limit=25)
+
+
+@query
+def indexed_search_wing_room(spark: SparkSession, folder: str) -> DataFrame:
+    index = postings.TextIndex.of(src.drawers(spark, folder, heavy=True))
+    return postings.search_index(index, SEARCH_TEXT, limit=25, wing=WING, room=SHARED_ROOM)
+
+
 @query
 def search_memories(spark: SparkSession, folder: str) -> DataFrame:
     pages = src.drawers(spark, folder, heavy=True).withColumn("source_file", F.concat(F.lit("/data/notes/"), "source_file", F.lit(".txt")))

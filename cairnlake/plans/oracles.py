@@ -124,6 +124,8 @@ SELECT '## L3 - SEARCH RESULTS for "{SEARCH_TEXT}"' || chr(10) || string_agg(
   || CASE WHEN len(line) > 300 THEN line[:297] || '...' ELSE line END || chr(10) || '      src: ' || source_file,
   chr(10) ORDER BY p) AS rendered FROM n"""
 )
+ORACLES["indexed_search"] = ORACLES["lexical_search"]
+ORACLES["indexed_search_wing_room"] = ORACLES["lexical_search_wing_room"]
 ORACLES["check_duplicate"] = over_drawers(
     f"""
 + q AS (SELECT {token_set("'The and of in on is that with'")} AS q),

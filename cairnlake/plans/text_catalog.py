@@ -7,6 +7,8 @@ texts with a phrase of the lexicons put behind each.
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,11 +31,13 @@ from cairnlake.operators import (
     taxonomy,
     transcripts,
 )
-from cairnlake.plans import ingest
+from cairnlake.plans import ingest, migrate
 from cairnlake.plans.catalog import QUERIES, WING, joined, query
 from cairnlake.schema import DRAWER_SCHEMA
+from cairnlake.session import shared_folder
 from cairnlake.sources import files as file_source
 from cairnlake.sources import tables as src
+from cairnlake.sources.versions import VersionedTable
 from cairnlake.streaming.journal import phase_counts
 
 NOW = "2024-03-01T12:00:00"
@@ -761,6 +765,14 @@ def migrate_summary(spark: SparkSession, folder: str) -> DataFrame:
     return taxonomy.migration_summary(migration.drawers_from_cells(*_cells(spark, folder)))
 
 
+@query
+def migrate_written(spark: SparkSession, folder: str) -> DataFrame:
+    """The drawers that a migration wrote into a table of its own, as the new version reads."""
+    table = VersionedTable(spark, f"{shared_folder(spark)}/migrated-{uuid4().hex}", DRAWER_SCHEMA, ["id"], ["wing", "id"])
+    migrate.migrate(table, migration.drawers_from_cells(*_cells(spark, folder)))
+    return taxonomy.migration_summary(table.read())
+
+
 @query
 def metadata_projection(spark: SparkSession, folder: str) -> DataFrame:
     drawers = src.drawers(spark, folder, labelled=True)

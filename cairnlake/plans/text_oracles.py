@@ -631,6 +631,7 @@ MOVED = """+ moved AS (SELECT id, text, CASE WHEN doc_id % 9 <> 0 THEN wing ELSE
   FROM drawers WHERE doc_id % 10 <> 0 AND trim(text) <> '')"""
 ORACLES["migrate_pivot"] = over_drawers(f"{MOVED} SELECT * FROM moved")
 ORACLES["migrate_summary"] = over_drawers(f"{MOVED} SELECT CASE WHEN trim(wing) = '' THEN '?' ELSE wing END AS wing, room, count(*) AS n FROM moved GROUP BY ALL")
+ORACLES["migrate_written"] = ORACLES["migrate_summary"]
 ORACLES["metadata_projection"] = over_drawers(
     """SELECT id, '{"wing":"' || wing || '","room":"' || room || '","source_file":"' || source_file || '","chunk_index":0,"filed_at":"' || filed_at || '"'
 || coalesce(',"hall":"' || hall || '"', '') || ',"date":"' || date || '"' || coalesce(',"importance":' || importance::DOUBLE, '') || '}' AS metadata FROM drawers"""

@@ -87,8 +87,9 @@ class VersionedTable:
 
     # Reading
 
-    def read(self, version: int | None = None) -> DataFrame:
-        held = self.manifest(version)
+    def read(self, version: int | Staged | None = None) -> DataFrame:
+        """Rows of the newest version, of an earlier one, or of one that is only staged."""
+        held = version if isinstance(version, Staged) else self.manifest(version)
         names = self.schema.fieldNames()
         if not held.data:
             return self.spark.createDataFrame([], self.schema)
