@@ -6,11 +6,15 @@ root is the leftmost pair of lowest rank. A merge changes at most three leaves,
 updated in logarithmic time, until the root shows no mergeable pair.
 
 Texts are cut at the special tokens, normalised and split into words as the vocabulary
-file demands (BPE with word ends); tokens of the same word are encoded once per task and
-kept in a table of bounded size. Whole texts are encoded, whatever their length.
-
-Defined results: a null or empty text has no tokens and decodes to the empty text; other
-columns pass through, but for those whose name starts with an underscore.
+file demands (BPE with word ends). The distinct words of a slice of text are encoded side
+by side: words of similar length form one matrix, whose rows are their trees, and every
+round merges the root pair of each tree that still shows one. Very long words are merged
+one by one in the same kind of tree. Nothing is kept from slice to slice, so memory is
+bounded by ``SLICE``, a longer text aside, and whole texts are encoded at any length.
+
+Defined results: a null or empty text has no tokens and decodes to the empty text; each
+row is encoded for itself, also when ids or texts repeat; other columns pass through, but
+for those whose name starts with an underscore; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,12 +22,16 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from cairnlake.llm.frames import plain
@@ -31,9 +39,13 @@ from cairnlake.llm.frames import plain
 #: Code points that Python lower-cases, composes and splits as the tokenizer's own rules do.
 UNUSUAL = re.compile("[^\\x00-\\x1b\\x20-\\u024f]")
 WHITE = re.compile(r"\s+")
-KNOWN_WORDS = 200_000
+#: Bytes of text that are encoded and handed on at once.
+SLICE = 2 << 20
+#: Symbols of a word up to which it is merged side by side with others, and cells of such a matrix.
+SHORT, CELLS = 256, 1 << 19
 NONE = 1 << 62
 PLACES = 1 << 40
+WIDE = 24
 
 
 class PairTree:
@@ -61,36 +73,84 @@ class PairTree:
             node >>= 1
 
 
-def merge_word(symbols: list[int], pairs: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """Symbols of a word after all merges; ``pairs`` gives rank and result of a pair."""
-    n = len(symbols)
-    if n < 2:
-        return symbols
-    symbols = list(symbols)
-    before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+class Merges:
+    """Rank and result of every pair, looked up for one pair or for arrays of them."""
+
+    def __init__(self, merges: list[tuple[int, int, int]]):
+        keys = np.array([a << WIDE | b for a, b, _ in merges], dtype=np.int64)
+        self.rank = np.argsort(keys, kind="stable")
+        self.keys = keys[self.rank]
+        self.results = np.array([merged for _, _, merged in merges], dtype=np.int64)
+
+    def leaves(self, first: np.ndarray, second: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Leaf values of pairs: rank and place, or ``NONE``; a negative symbol pairs with nothing."""
+        if not len(self.keys):
+            return np.full(np.broadcast(first, second, place).shape, NONE)
+        key = first << WIDE | second
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        known = (self.keys[at] == key) & (first >= 0) & (second >= 0)
+        return np.where(known, self.rank[at] * PLACES + place, NONE)
+
+    def leaf(self, first: int, second: int, place: int) -> int:
+        return int(self.leaves(np.array([first]), np.array([second]), np.array([place]))[0])
 
-    def leaf(i: int) -> int:
-        known = pairs.get((symbols[i], symbols[after[i]])) if after[i] >= 0 else None
-        return known[0] * PLACES + i if known else NONE
 
-    tree = PairTree([leaf(i) for i in range(n)])
+def merge_word(symbols: np.ndarray, merges: Merges) -> np.ndarray:
+    """Symbols of one word after all merges."""
+    n = len(symbols)
+    tree = PairTree(merges.leaves(symbols[:-1], symbols[1:], np.arange(n - 1)).tolist())
+    symbols = symbols.tolist()
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
     while (best := tree.root()) != NONE:
         i = best % PLACES
         j = after[i]
-        symbols[i] = pairs[symbols[i], symbols[j]][1]
-        after[i] = after[j]
-        if after[j] >= 0:
-            before[after[j]] = i
-        after[j] = -1
-        tree.update(j, NONE)
-        tree.update(i, leaf(i))
+        k = after[i] = after[j]
+        symbols[i], symbols[j] = int(merges.results[best // PLACES]), -1
+        if j < n - 1:
+            tree.update(j, NONE)
+        tree.update(i, merges.leaf(symbols[i], symbols[k], i) if k < n else NONE)
+        if k < n:
+            before[k] = i
         if before[i] >= 0:
-            tree.update(before[i], leaf(before[i]))
-    merged, i = [], 0
-    while i >= 0:
-        merged.append(symbols[i])
-        i = after[i]
-    return merged
+            tree.update(before[i], merges.leaf(symbols[before[i]], symbols[i], before[i]))
+    return np.array([symbol for symbol in symbols if symbol >= 0], dtype=np.int64)
+
+
+def merge_words(symbols: np.ndarray, merges: Merges) -> np.ndarray:
+    """Rows of ``symbols`` (padded with -1) after all merges; merged places are -1."""
+    words, n = symbols.shape
+    symbols, place = symbols.copy(), np.arange(n)
+    after = np.broadcast_to(place + 1, (words, n)).copy()
+    before = np.broadcast_to(place - 1, (words, n)).copy()
+    nodes = np.full((words, 2 * n), NONE)
+    nodes[:, n : 2 * n - 1] = merges.leaves(symbols[:, :-1], symbols[:, 1:], place[:-1])
+    for node in range(n - 1, 0, -1):
+        np.minimum(nodes[:, 2 * node], nodes[:, 2 * node + 1], out=nodes[:, node])
+    word = np.flatnonzero(nodes[:, 1] != NONE)
+    while len(word):
+        best = nodes[word, 1]
+        i = best % PLACES
+        j = after[word, i]
+        k = after[word, j]
+        merged = merges.results[best // PLACES]
+        symbols[word, i], symbols[word, j], after[word, i] = merged, -1, k
+        inside = k < n
+        before[word[inside], k[inside]] = i[inside]
+        following = np.where(inside, symbols[word, np.minimum(k, n - 1)], -1)
+        h = before[word, i]
+        leading = np.where(h >= 0, symbols[word, h], -1)
+        leaf = np.concatenate([j, i, np.maximum(h, 0)]) + n
+        value = np.concatenate(
+            [np.full(len(word), NONE), merges.leaves(merged, following, i), merges.leaves(leading, merged, h)]
+        )
+        real = np.concatenate([np.ones(2 * len(word), dtype=bool), h >= 0])
+        row, node = np.concatenate([word, word, word])[real], leaf[real]
+        nodes[row, node] = value[real]
+        for _ in range(n.bit_length() - 1):
+            node = node >> 1
+            nodes[row, node] = np.minimum(nodes[row, 2 * node], nodes[row, 2 * node + 1])
+        word = word[nodes[word, 1] != NONE]
+    return symbols
 
 
 def byte_letters() -> list[str]:
@@ -100,47 +160,24 @@ def byte_letters() -> list[str]:
     return [hidden.get(byte) or chr(byte) for byte in range(256)]
 
 
-class WordTable(dict):
-    """Packed ids and decoded text per word, filled on first use and emptied when full."""
-
-    def __init__(self, coder: Coder):
-        super().__init__()
-        self.coder = coder
-
-    def __missing__(self, word: str) -> tuple[bytes, str]:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        ids = self.coder.word_ids(word)
-        self[word] = found = (array("I", ids).tobytes(), self.coder.decode(ids))
-        return found
-
-
 class Coder:
     """Encoder and decoder of one vocabulary file, given as its text."""
 
     def __init__(self, definition: str):
         parsed = json.loads(definition)
         vocabulary = parsed["model"]["vocab"]
-        self.end = parsed["model"]["end_of_word_suffix"]
-        self.vocabulary = vocabulary
-        self.pairs = {
-            (vocabulary[a], vocabulary[b]): (rank, vocabulary[a + b]) for rank, (a, b) in enumerate(parsed["model"]["merges"])
-        }
-        self.tokens = {number: token for token, number in vocabulary.items()}
+        letters = [(letter, letter + parsed["model"]["end_of_word_suffix"]) for letter in byte_letters()]
+        #: Symbol of each byte inside a word and at its end, -1 where the vocabulary has none.
+        self.bytes = np.array([[vocabulary.get(name, -1) for name in pair] for pair in letters], dtype=np.int64)
+        self.merges = Merges([(vocabulary[a], vocabulary[b], vocabulary[a + b]) for a, b in parsed["model"]["merges"]])
         self.specials = {t["content"]: t["id"] for t in parsed["added_tokens"]}
-        self.tokens.update({number: token for token, number in self.specials.items()})
+        names = {number: token for token, number in (vocabulary | self.specials).items()}
+        self.tokens = pa.array([names.get(number) for number in range(max(names, default=-1) + 1)], pa.string())
         self.cut = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
-        split = parsed["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.words = regex.compile(split)
-        self.letters = byte_letters()
-        self.library = Tokenizer.from_str(definition)
-        self.known = WordTable(self)
-
-    def word_ids(self, word: str) -> list[int]:
-        """Ids of one word of the normalised text."""
-        letters = [self.letters[byte] for byte in word.encode("utf-8", "surrogatepass")]
-        letters[-1] += self.end
-        return merge_word([self.vocabulary[x] for x in letters if x in self.vocabulary], self.pairs)
+        self.words = regex.compile(parsed["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        # Only the normaliser is asked, so the library need not hold the vocabulary as well.
+        bare = {**parsed, "model": {**parsed["model"], "vocab": {}, "merges": []}, "added_tokens": []}
+        self.library = Tokenizer.from_str(json.dumps(bare))
 
     def split(self, piece: str) -> list[str]:
         """Words of a piece of text between special tokens."""
@@ -150,25 +187,93 @@ class Coder:
             piece = WHITE.sub(" ", piece).lower()
         return self.words.findall(piece)
 
+    def words_of(self, text: str) -> list[str]:
+        """Words and special tokens of a text; a special token is marked by a leading NUL, which no word of letters has."""
+        if not self.cut or "<|" not in text:
+            return self.split(text)
+        found: list[str] = []
+        for place, piece in enumerate(self.cut.split(text)):
+            found += ["\0" + piece] if place % 2 else self.split(piece)
+        return found
+
+    def word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, one word behind the other, and where each begins and ends."""
+        special = [self.specials.get(word[1:], -1) if word[0] == "\0" else -1 for word in words]
+        coded = [b"" if number >= 0 else word.encode("utf-8", "surrogatepass") for word, number in zip(words, special, strict=True)]
+        sizes = np.array([len(word) for word in coded])
+        data = np.frombuffer(b"".join(coded), np.uint8)
+        last = np.zeros(len(data), dtype=np.int64)
+        last[np.cumsum(sizes)[sizes > 0] - 1] = 1
+        symbols, owner = self.bytes[data, last], np.repeat(np.arange(len(words)), sizes)
+        owner, symbols = owner[symbols >= 0], symbols[symbols >= 0]
+        lengths = np.bincount(owner, minlength=len(words))
+        heads = np.cumsum(lengths) - lengths
+        owners, merged = [np.flatnonzero(np.array(special) >= 0)], [np.array([n for n in special if n >= 0], dtype=np.int64)]
+        for chosen, width in self._classes(lengths):
+            if width > SHORT:
+                for word in chosen.tolist():
+                    found = merge_word(symbols[heads[word] : heads[word] + lengths[word]], self.merges)
+                    owners.append(np.full(len(found), word))
+                    merged.append(found)
+                continue
+            step = max(1, CELLS // width)
+            for at in range(0, len(chosen), step):
+                part = chosen[at : at + step]
+                grid = np.full((len(part), width), -1, dtype=np.int64)
+                inside = np.arange(width) < lengths[part, None]
+                grid[inside] = symbols[(heads[part, None] + np.arange(width))[inside]]
+                grid = merge_words(grid, self.merges) if width > 1 else grid
+                alive = grid >= 0
+                owners.append(np.repeat(part, alive.sum(axis=1)))
+                merged.append(grid[alive])
+        owner, ids = np.concatenate(owners), np.concatenate(merged)
+        order = np.argsort(owner, kind="stable")
+        return ids[order].astype(np.uint32), np.append(0, np.cumsum(np.bincount(owner, minlength=len(words))))
+
+    @staticmethod
+    def _classes(lengths: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+        """Words of 1, 2, 3 to 4, 5 to 8, ... symbols, with the width of their matrix."""
+        width, least = 1, 0
+        while (lengths > least).any():
+            chosen = np.flatnonzero((lengths > least) & (lengths <= width))
+            if len(chosen):
+                yield chosen, width
+            width, least = 2 * width, width
+
+    def encode_texts(self, texts: list[str | None]) -> tuple[pa.Array, pa.Array]:
+        """Per text: ids as little-endian unsigned 32-bit integers, and the text they decode to."""
+        found = [self.words_of(text) if text else [] for text in texts]
+        ends = np.cumsum([0, *map(len, found)])
+        coded = pa.array([word for words in found for word in words], pa.large_string()).dictionary_encode()
+        if not len(coded):
+            return pa.array([b""] * len(texts), pa.binary()), pa.array([""] * len(texts), pa.string())
+        ids, at = self.word_ids(coded.dictionary.to_pylist())
+        word = coded.indices.to_numpy()
+        counts = (at[1:] - at[:-1])[word]
+        last = np.cumsum(counts)
+        ids = ids[np.repeat(at[:-1][word] - last + counts, counts) + np.arange(last[-1])]
+        offsets = np.append(0, last)[ends]
+        packed = pa.Array.from_buffers(
+            pa.binary(), len(texts), [None, pa.py_buffer((offsets * 4).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))]
+        )
+        return packed, self.decode_ids(ids, offsets)
+
+    def decode_ids(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """Tokens of each text joined by blanks; unknown ids are left out."""
+        named = self.tokens.take(pa.array(np.where(ids < len(self.tokens), ids, 0).astype(np.int64)))
+        known = np.array(pc.is_valid(named).to_numpy(zero_copy_only=False)) & (ids < len(self.tokens))
+        if not known.all():
+            named = named.filter(pa.array(known))
+            offsets = np.append(0, np.cumsum(known))[offsets]
+        lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), named)
+        return pc.binary_join(lists, " ")
+
     def encode(self, text: str | None) -> tuple[bytes, str]:
-        """Ids as little-endian unsigned 32-bit integers, and the text they decode to."""
-        if not text:
-            return b"", ""
-        found: list[tuple[bytes, str]] = []
-        for place, piece in enumerate(self.cut.split(text) if self.cut and "<|" in text else [text]):
-            if place % 2:
-                number = self.specials[piece]
-                found.append((array("I", [number]).tobytes(), self.decode([number])))
-            elif piece:
-                found += map(self.known.__getitem__, self.split(piece))
-        if not found:
-            return b"", ""
-        ids, decoded = zip(*found, strict=True)
-        return b"".join(ids), " ".join(filter(None, decoded))
+        ids, decoded = self.encode_texts([text])
+        return ids[0].as_py(), decoded[0].as_py()
 
     def decode(self, ids: list[int]) -> str:
-        """Tokens joined by blanks; unknown ids are left out."""
-        return " ".join(self.tokens[number] for number in ids if number in self.tokens)
+        return self.decode_ids(np.array(ids, dtype=np.int64), np.array([0, len(ids)]))[0].as_py()
 
 
 _coders: dict[int, Coder] = {}
@@ -192,21 +297,26 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """``docs`` with ``_ids`` (packed, see ``Coder.encode``), ``_n_tokens`` and ``_decoded``."""
     definition = load_vocabulary(docs.sparkSession, path)
 
-    @F.arrow_udf("struct<ids:binary,decoded:string>")
-    def encoded(texts: pa.Array) -> pa.Array:
+    docs = plain(docs)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(definition)
-        rows = [coder.encode(text.as_py()) for text in texts]
-        ids = pa.array([row[0] for row in rows], pa.binary())
-        return pa.StructArray.from_arrays([ids, pa.array([row[1] for row in rows], pa.string())], ["ids", "decoded"])
-
-    return (
-        plain(docs)
-        .withColumn("_encoded", encoded(F.col("text")))
-        .withColumn("_ids", F.col("_encoded.ids"))
-        .withColumn("_decoded", F.col("_encoded.decoded"))
-        .withColumn("_n_tokens", F.floor(F.length("_ids") / 4).cast("long"))
-        .drop("_encoded")
-    )
+        for batch in batches:
+            for part in byte_slices(batch, "text"):
+                ids, decoded = coder.encode_texts(part.column(part.schema.get_field_index("text")).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, ids, decoded], names=[*part.schema.names, "_ids", "_decoded"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("_ids", T.BinaryType()), T.StructField("_decoded", T.StringType())])
+    return docs.mapInArrow(scan, schema).withColumn("_n_tokens", F.floor(F.length("_ids") / 4).cast("long"))
+
+
+def byte_slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """A batch in parts whose texts hold about ``SLICE`` bytes; a longer text is a part of its own."""
+    sizes = pc.binary_length(batch.column(batch.schema.get_field_index(column))).fill_null(0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes) // SLICE
+    heads = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), batch.num_rows]
+    for first, last in zip(heads, heads[1:], strict=False):
+        yield batch.slice(first, last - first)
 
 
 def decode(docs: DataFrame, path: str, ids: str = "_ids") -> DataFrame:

@@ -7,7 +7,9 @@ import random
 import re
 import struct
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -80,12 +82,31 @@ class TestBpe:
         tree.update(0, bpe.NONE)
         assert tree.root() == bpe.NONE
 
-    def test_known_words_stay_bounded(self, coder, monkeypatch):
-        monkeypatch.setattr(bpe, "KNOWN_WORDS", 3)
-        table = bpe.WordTable(coder)
-        for word in ("one", "two", "three", "four"):
-            table[word]
-        assert len(table) == 1
+    def test_words_side_by_side_equal_one_by_one(self, coder):
+        pick = random.Random(8)
+        words = ["".join(pick.choice("abcdefghilmnorstu0'é") for _ in range(pick.choice([1, 2, 3, 5, 8, 9, 40, 255, 256]))) for _ in range(300)]
+        words = list(dict.fromkeys(words))
+        ids, at = coder.word_ids(words)
+        for n, word in enumerate(words):
+            data = word.encode()
+            symbols = np.array([coder.bytes[byte][int(place == len(data) - 1)] for place, byte in enumerate(data)])
+            expected = bpe.merge_word(symbols, coder.merges) if len(symbols) > 1 else symbols
+            assert ids[at[n] : at[n + 1]].tolist() == expected.tolist()
+
+    def test_slices_hold_every_row(self, monkeypatch):
+        monkeypatch.setattr(bpe, "SLICE", 10)
+        batch = pa.RecordBatch.from_arrays([pa.array(["", None, "abc", "d" * 40, "", "efghijk", "lmnop"])], names=["text"])
+        parts = list(bpe.byte_slices(batch, "text"))
+        assert [t for part in parts for t in part.column(0).to_pylist()] == batch.column(0).to_pylist() and len(parts) > 2
+        assert [part.num_rows for part in bpe.byte_slices(batch.slice(0, 0), "text")] == []
+
+    def test_repeated_rows_and_special_tokens_in_one_slice(self, coder, library):
+        texts = ["a<|endoftext|>b", "\0<|endoftext", None, "a<|endoftext|>b", "", "\0<|endoftext|>"]
+        ids, decoded = coder.encode_texts(texts)
+        for n, text in enumerate(texts):
+            expected = library.encode(text or "", add_special_tokens=False).ids
+            assert list(struct.unpack(f"<{len(expected)}I", ids[n].as_py())) == expected
+            assert decoded[n].as_py() == library.decode(expected, skip_special_tokens=False)
 
     def test_frame_round_trip(self, spark, odd_docs, library):
         rows = bpe.encode(odd_docs, VOCABULARY).collect()
