@@ -38,9 +38,9 @@ from cairnlake.session import cut_lineage
 TERMS = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 0 for b in range(256)], dtype=np.uint8)
 SCALE = 1_000_000_000
 #: Bytes of text that are counted at once, counts that a task holds, and rows that it hands on at once.
-SLICE = 4 << 20
-HELD = 1_000_000
-ROWS = 100_000
+SLICE = 2 << 20
+HELD = 400_000
+ROWS = 50_000
 #: Entries of one block of the ordered vocabulary.
 BLOCK = 8192
 #: Sources on the left side of one task's pairs.
