@@ -722,6 +722,14 @@ def compressed_upsert(spark: SparkSession, folder: str) -> DataFrame:
     return mutations.upsert(older, newer)
 
 
+@query
+def compressed_collection(spark: SparkSession, folder: str) -> DataFrame:
+    """The compressed collection after all wings are compressed over an older state."""
+    older = src.drawers(spark, folder).select("id", "wing", F.md5("text").alias("text"))
+    newer = shorthand.compress(src.drawers(spark, folder, heavy=True)).select("id", "wing", F.col("compressed").alias("text"))
+    return mutations.upsert(older, newer)
+
+
 def _cells(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """The drawers as legacy key-value rows of mixed types."""
     drawers = src.drawers(spark, folder, labelled=True)

@@ -626,6 +626,7 @@ UNION ALL SELECT source_file || 'x', 'new' FROM f"""
 )
 ORACLES["repair_order"] = over_drawers("SELECT id, wing, room FROM drawers")
 ORACLES["compressed_upsert"] = f"""{COMPRESSED} SELECT id, wing, CASE WHEN wing = '{WING}' THEN compressed ELSE md5(text) END AS text FROM notation"""
+ORACLES["compressed_collection"] = f"{COMPRESSED} SELECT id, wing, compressed AS text FROM notation"
 MOVED = """+ moved AS (SELECT id, text, CASE WHEN doc_id % 9 <> 0 THEN wing ELSE ' ' END AS wing, room, source_file, doc_id::INTEGER AS chunk_index, doc_id AS source_mtime,
   (doc_id * 2)::INTEGER AS original_tokens, CASE WHEN doc_id % 2 = 1 THEN 'True' ELSE 'False' END AS topic, coalesce(trunc(importance), -1.0)::DOUBLE AS importance, -1.0::DOUBLE AS weight
   FROM drawers WHERE doc_id % 10 <> 0 AND trim(text) <> '')"""
