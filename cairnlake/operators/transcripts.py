@@ -1,8 +1,8 @@
 """Chat exports in several JSON shapes normalised to one plain transcript.
 
-A file is one row. Every parser is a column expression that yields
-``array<struct<role, text>>`` or NULL, and the first one that yields a transcript
-wins, so normalisation needs no shuffle.
+A file is one row. Every parser is a column that yields ``array<struct<role, text>>`` or
+NULL, and the first one that yields a transcript wins, so normalisation needs no shuffle.
+Node trees alone leave the JVM (``node_trees``).
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from cairnlake.functions.ordered import next_value
 from cairnlake.functions.partitions import keep_wide
 from cairnlake.functions.text import is_blank, let, lines_of, trim
+from cairnlake.operators.node_trees import branch_messages
 from cairnlake.operators.spelling import correct_text, correct_transcript, quote_lines
 
 MAX_FILE_BYTES = 500 * 1024 * 1024
@@ -131,45 +132,6 @@ def role_list_messages(data: Column) -> Column:
     return let(_usable(let(root, collect)), _at_least_two)
 
 
-def node_tree_messages(content: Column) -> Column:
-    """A ``mapping`` of nodes: walk from the root along first children.
-
-    The root is the first parentless node without a message, else the first parentless
-    one; the map keeps the order of the file. A repeated node ends the walk.
-    """
-    node = "struct<parent:string,children:array<string>,message:string>"
-    mapping = F.from_json(content, f"struct<mapping:map<string,{node}>>")["mapping"]
-
-    def walk(nodes: Column) -> Column:
-        roots = F.filter(F.map_entries(nodes), lambda e: e["value"].isNotNull() & e["value"]["parent"].isNull())
-        empty = F.filter(roots, lambda e: e["value"]["message"].isNull())
-        first = F.coalesce(F.get(empty, F.lit(0))["key"], F.get(roots, F.lit(0))["key"])
-
-        def step(state: Column, _: Column) -> Column:
-            here = F.try_element_at(state, F.lit(-1))
-            onward = F.get(F.try_element_at(nodes, here)["children"], F.lit(0))
-            stop = onward.isNull() | (F.size(state) == 0) | F.array_contains(state, onward)
-            stop = stop | ~F.coalesce(F.map_contains_key(nodes, onward), F.lit(False))
-            return F.when(F.coalesce(stop, F.lit(True)), state).otherwise(F.array_append(state, onward))
-
-        steps = F.sequence(F.lit(1), F.greatest(F.size(nodes), F.lit(1)))
-        start = F.when(first.isNotNull(), F.array(first)).otherwise(F.array().cast("array<string>"))
-        return F.aggregate(steps, start, step)
-
-    def read(nodes: Column, key: Column) -> Column:
-        def parsed(message: Column) -> Column:
-            parts = F.filter(
-                F.transform(_items(_field(message, "$.content.parts")), lambda p: _string(p)), lambda p: ~is_blank(p)
-            )
-            role = _string(message, "$.author.role")
-            return _message(F.when(role.isin("user", "assistant"), role), F.coalesce(F.array_join(parts, " "), F.lit("")))
-
-        return let(F.try_parse_json(F.try_element_at(nodes, key)["message"]), parsed)
-
-    found = let(mapping, lambda nodes: F.transform(walk(nodes), lambda key: read(nodes, key)))
-    return let(F.filter(found, lambda m: m["role"].isNotNull() & (m["text"] != "")), _at_least_two)
-
-
 def channel_messages(data: Column) -> Column:
     """A channel export ``[{type: message, user, text}]``.
 
@@ -227,9 +189,11 @@ def normalize_content(content: Column, extension: Column | None = None, known_na
     looks_json = suffix.isin(".json", ".jsonl") | first.isin("{", "[")
     entries = _json_lines(content)
     by_line = let(entries, lambda e: F.coalesce(typed_lines_messages(e), event_lines_messages(e)))
+    # The branch of a node tree comes from an Arrow step, so it is bound beside the parsed document.
+    shapes = F.struct(F.try_parse_json(content).alias("data"), branch_messages(content).alias("branch"))
     by_document = let(
-        F.try_parse_json(content),
-        lambda data: F.coalesce(role_list_messages(data), node_tree_messages(content), channel_messages(data)),
+        shapes,
+        lambda s: F.coalesce(role_list_messages(s["data"]), _at_least_two(s["branch"]), channel_messages(s["data"])),
     )
     rendered = let(F.coalesce(by_line, by_document), lambda found: messages_to_transcript(found, names))
     return (

@@ -218,6 +218,63 @@ def transcript_normalize(spark: SparkSession, folder: str) -> DataFrame:
     return normal.select("conv_id", "status", F.when(~same, F.col("transcript")).otherwise("").alias("transcript"))
 
 
+def _node(m: Column, x: Column, i: Column) -> Column:
+    """One message as a node; every node has an answer beside it that is not on the first branch."""
+    name = lambda place: F.concat(F.lit("n"), place.cast("string"))
+    aside = F.concat(F.lit("x"), i.cast("string"))
+    after = F.filter(F.array(F.when(i + 1 < F.size(m), name(i + 1)), aside), lambda key: key.isNotNull())
+    said = F.struct(
+        F.struct(x["role"].alias("role")).alias("author"), F.struct(F.array(F.lit(" "), x["text"]).alias("parts")).alias("content")
+    )
+    here = F.struct(F.when(i > 0, name(i - 1)).otherwise("root").alias("parent"), after.alias("children"), said.alias("message"))
+    beside = F.struct(name(i).alias("parent"), F.array().cast("array<string>").alias("children"), said.alias("message"))
+    return F.array(F.struct(name(i).alias("key"), here.alias("value")), F.struct(aside.alias("key"), beside.alias("value")))
+
+
+@query
+def transcript_trees(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation as an export of nodes, last one first, with a side branch at every node."""
+    gathered = transcripts.conversation_messages(src.messages(spark, folder))
+    m = F.col("messages")
+    nodes = F.reverse(F.flatten(F.transform(m, lambda x, i: _node(m, x, i))))
+    root = F.lit('"root":{"parent":null,"children":["n0","x0"],"message":null}}}')
+    body = F.to_json(F.map_from_entries(nodes))
+    tree = F.concat(F.lit('{"mapping":'), F.substr(body, F.lit(1), F.length(body) - 1), F.lit(","), root)
+    files = gathered.select("conv_id", F.concat(F.lit("t/"), F.col("conv_id"), F.lit(".json")).alias("path"), tree.alias("content"))
+    normal = transcripts.normalize(files)
+    # The side answer of the last message is its first child, and so the end of the branch.
+    return normal.select("conv_id", F.coalesce("transcript", F.lit("")).alias("transcript"))
+
+
+@query
+def transcript_exports(spark: SparkSession, folder: str) -> DataFrame:
+    """Wrapped message lists, privacy exports and quoted text, by conversation."""
+    gathered = transcripts.conversation_messages(src.messages(spark, folder))
+    m = F.col("messages")
+    flat = F.transform(m, lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content")))
+    sides = F.transform(
+        m,
+        lambda x: F.struct(
+            F.array(
+                F.struct(F.when(x["role"] == "user", "human").otherwise("ai").alias("role"), x["text"].alias("content"))
+            ).alias("chat_messages")
+        ),
+    )
+    quoted = F.concat(transcripts.messages_to_transcript(m), F.lit("\n> I knoe\nI knoe\n> You knoe\n> We knoe"))
+    kind = F.col("conv_id") % 3
+    content = (
+        F.when(kind == 0, F.concat(F.lit('{"title":"x","messages":'), F.to_json(flat), F.lit("}")))
+        .when(kind == 1, F.to_json(sides))
+        .otherwise(quoted)
+    )
+    suffix = F.when(kind == 2, F.lit(".md")).otherwise(".json")
+    files = gathered.select("conv_id", F.concat(F.lit("e/"), F.col("conv_id"), suffix).alias("path"), content.alias("content"))
+    normal = transcripts.normalize(files)
+    # A file with a single message has no transcript and passes unchanged.
+    same = (F.col("transcript") == F.col("content")) & (kind != 2)
+    return normal.select("conv_id", F.when(~same, F.col("transcript")).otherwise("").alias("transcript"))
+
+
 @query
 def turn_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return sessions.turn_pairs(src.messages(spark, folder)).withColumn("answer", F.coalesce("answer", F.lit("")))

@@ -105,6 +105,16 @@ ORACLES["transcript_lines"] = f"""WITH {MESSAGES.strip()} SELECT conv_id, turn,
 CASE WHEN role = 'user' AND next_role = 'assistant' THEN chr(10) ELSE chr(10) || chr(10) END AS line FROM m"""
 ORACLES["transcript_normalize"] = f"""WITH {MESSAGES.strip()} SELECT conv_id, 'read' AS status, CASE WHEN n >= 2 THEN transcript ELSE '' END AS transcript
 FROM transcripts"""
+# The branch ends with the answer beside the last message, which repeats its text.
+ORACLES["transcript_trees"] = f"""WITH {MESSAGES.strip()},
+again AS (SELECT conv_id, turn, role, text FROM m UNION ALL SELECT conv_id, turn + 1, role, text FROM m WHERE next_role IS NULL),
+followed AS (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM again)
+SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN '> ' || text ELSE text END ||
+  CASE WHEN role = 'user' AND after = 'assistant' THEN chr(10) ELSE chr(10) || chr(10) END, '' ORDER BY turn)[:-2] AS transcript
+FROM followed GROUP BY 1"""
+ORACLES["transcript_exports"] = f"""WITH {MESSAGES.strip()} SELECT conv_id, CASE
+WHEN conv_id % 3 = 2 THEN transcript || chr(10) || '> I know' || chr(10) || 'I knoe' || chr(10) || '> You know' || chr(10) || '> We know'
+WHEN n >= 2 THEN transcript ELSE '' END AS transcript FROM transcripts"""
 ORACLES["turn_pairs"] = f"""WITH {MESSAGES.strip()} SELECT conv_id, turn, text AS question,
 CASE WHEN next_role = 'assistant' THEN next_text ELSE '' END AS answer FROM m WHERE role = 'user'"""
 ORACLES["hook_user_counts"] = """SELECT conv_id AS session, count_if(role = 'user' AND turn % 3 <> 0 AND turn <> 7)::BIGINT AS human_messages
