@@ -27,6 +27,15 @@ def keep_wide(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(*keys)
 
 
+def deal_reads(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal rows that stand for something to be read over ``spark.sql.shuffle.partitions`` tasks.
+
+    Such rows are few bytes each, so adaptive execution would join their partitions into
+    one task that reads everything; a number that is given stays.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def explode_rows(df: DataFrame, values: Column, name: str, *kept: str | Column) -> DataFrame:
     """One row per element of ``values`` next to the ``kept`` columns.
 

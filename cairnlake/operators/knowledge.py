@@ -13,6 +13,11 @@ from cairnlake.functions.params import first_rows
 from cairnlake.functions.text import entity_id, predicate_id
 
 TIMELINE_ROWS = 100
+#: Subjects of more facts are cut in time by ``as_of_batch``, and the facts of a span into pieces.
+HOT_FACTS, PIECES = 10_000, 64
+#: Months of four-digit years, and the sizes of spans over them: 1, 2, 4, ... months.
+MONTHS = 12 * 10_000
+MONTH_LEVELS, LEVEL_PLACES = MONTHS.bit_length(), 1 << MONTHS.bit_length()
 
 
 def valid_on(day: Column) -> Column:
@@ -126,9 +131,64 @@ def stats(triples: DataFrame, entities: DataFrame) -> DataFrame:
     ).select(total.alias("entities"), "triples", "current_facts", "expired_facts", "relationship_types")
 
 
-def as_of_batch(triples: DataFrame, probes: DataFrame) -> DataFrame:
-    """Facts of every probed ``(subject, day)`` valid that day; an equi join with a residual range."""
-    return triples.join(probes, "subject").where(valid_on(F.col("day")))
+def _month(day: Column) -> Column:
+    """Number of the month of a day, growing with the text; NULL for text of another form."""
+    number = F.substring(day, 1, 4).cast("int") * 12 + F.substring(day, 6, 2).cast("int") - 1
+    return F.when(F.rlike(day, F.lit(r"^[0-9]{4}-(0[1-9]|1[0-2])-")), number)
+
+
+def _node(level: int, place: Column) -> Column:
+    return F.lit(level * LEVEL_PLACES) + place
+
+
+def _interval_nodes(first: Column, last: Column) -> Column:
+    """The fewest spans of 1, 2, 4, ... months that make up the months from ``first`` to ``last``."""
+    found = []
+    for level in range(MONTH_LEVELS):
+        span = 1 << level
+        low, high = F.floor((first + span - 1) / span), F.floor((last + 1) / span)
+        inside = low < high
+        found.append(F.when(inside & (low % 2 == 1), _node(level, low)))
+        found.append(F.when(inside & (high % 2 == 1), _node(level, high - 1)))
+    return F.array_compact(F.array(*found))
+
+
+def _month_nodes(month: Column) -> Column:
+    return F.array(*[_node(level, F.floor(month / (1 << level))) for level in range(MONTH_LEVELS)])
+
+
+def as_of_batch(triples: DataFrame, probes: DataFrame, hot_facts: int = HOT_FACTS) -> DataFrame:
+    """Facts of every probed ``(subject, day)`` valid that day.
+
+    Most subjects meet in an equi join with the range as residual. Subjects of more than
+    ``hot_facts`` facts are cut in time: a fact goes to the spans that make up its interval,
+    a probe to the spans around its month, and they share one span at most. Facts of a
+    span are dealt into pieces, and a probe visits the pieces that exist. So a subject runs
+    in many tasks, and facts of other times are not compared with a probe. Days of another
+    form than ``yyyy-mm-dd`` are compared as text, like all others.
+    """
+    columns = [*triples.columns, *[c for c in probes.columns if c != "subject"]]
+    hot = triples.groupBy("subject").agg(F.count("*").alias("_n")).where(F.col("_n") > hot_facts)
+    hot = hot.select("subject", F.lit(True).alias("_hot"))
+    cut = F.col("_hot").isNotNull()
+    facts = triples.join(hot, "subject", "left")
+    asked = probes.join(hot, "subject", "left").withColumn("_month", _month(F.col("day")))
+    plain = facts.where(~cut).join(asked.where(~cut).drop("_hot"), "subject").where(valid_on(F.col("day")))
+
+    first = F.coalesce(_month(F.col("valid_from")), F.lit(0))
+    last = F.coalesce(_month(F.col("valid_to")), F.lit(MONTHS - 1))
+    piece = F.pmod(F.xxhash64("predicate", "object", "valid_from", "valid_to"), F.lit(PIECES)).cast("int").alias("_piece")
+    nodes = F.posexplode(_interval_nodes(first, last)).alias("_place", "_span")
+    spans = facts.where(cut).select(*triples.columns, piece, nodes)
+    pieces = spans.select("subject", "_span", "_piece").distinct()
+    late = asked.where(cut).drop("_hot")
+    dated = late.where(F.col("_month").isNotNull()).withColumn("_span", F.explode(_month_nodes(F.col("_month"))))
+    visits = dated.join(pieces, ["subject", "_span"])
+    # A day without a month looks at the first span of every fact.
+    visits = visits.unionByName(late.where(F.col("_month").isNull()).join(pieces, "subject"))
+    met = spans.join(visits, ["subject", "_span", "_piece"])
+    once = F.col("_month").isNotNull() | (F.col("_place") == 0)
+    return plain.select(columns).unionByName(met.where(once & valid_on(F.col("day"))).select(columns))
 
 
 def latest_entities(incoming: DataFrame) -> DataFrame:

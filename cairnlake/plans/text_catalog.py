@@ -36,6 +36,7 @@ from cairnlake.plans.catalog import QUERIES, WING, joined, query
 from cairnlake.schema import DRAWER_SCHEMA
 from cairnlake.session import shared_folder
 from cairnlake.sources import files as file_source
+from cairnlake.sources import json_collections
 from cairnlake.sources import tables as src
 from cairnlake.sources.versions import VersionedTable
 from cairnlake.streaming.journal import phase_counts
@@ -868,6 +869,22 @@ def mine_project_totals(spark: SparkSession, folder: str) -> DataFrame:
     return ingest.run_totals(_project_files(spark, folder), made)
 
 
+@query
+def exported_collections(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents written as collection documents of up to 64 drawers, and read back."""
+    docs = src.texts(spark, folder, "documents")
+    metadata = F.struct(
+        F.col("lang").alias("Wing"), F.col("source").alias("Room"), F.lit("").alias("Hall"), F.col("doc_id").cast("int").alias("ChunkIndex")
+    )
+    drawer = F.struct(F.col("doc_id").cast("string").alias("Id"), F.col("text").alias("Text"), metadata.alias("Metadata"))
+    groups = docs.groupBy(F.floor(F.col("doc_id") / 64).alias("_group")).agg(F.collect_list(drawer).alias("Drawers"))
+    target = f"{shared_folder(spark)}/collections-{uuid4().hex}"
+    document = F.to_json(F.struct(F.lit("drawers").alias("Name"), "Drawers"))
+    groups.select(document.alias("value"), "_group").write.partitionBy("_group").text(target)
+    read = json_collections.read_collections(spark, f"{target}/*/*.txt")
+    return read.select("id", "wing", "room", "chunk_index", "status", F.md5("text").alias("digest"))
+
+
 @query
 def mine_project_rooms(spark: SparkSession, folder: str) -> DataFrame:
     made = ingest.project_drawers(_project_files(spark, folder), "proj", ROOMS, "miner", NOW)

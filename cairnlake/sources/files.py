@@ -7,19 +7,22 @@ from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from cairnlake.functions import lexicons as lex
-from cairnlake.functions.partitions import keep_wide
+from cairnlake.functions.partitions import deal_reads
 from cairnlake.functions.text import trim
 from cairnlake.session import cut_lineage
 
 # Fixed value: larger project files are not read.
 MAX_PROJECT_BYTES = 10 * 1024 * 1024
 IGNORE_FILE = ".gitignore"
+READ_BATCH_CHARS, READ_BATCH_FILES = 4 << 20, 1_000
 
 
 def _file_system(folder: str) -> tuple[fs.FileSystem, str]:
@@ -63,23 +66,31 @@ def list_files(
         level = listed.where(F.col("is_folder") & (~skipped if pruned else F.lit(True))).select("path")
         if level.isEmpty():
             return reduce(DataFrame.unionByName, levels)
-        level = keep_wide(level, "path")
+        level = deal_reads(level, "path")
 
 
 def read_contents(folder: str, paths: DataFrame) -> DataFrame:
     """Add ``content`` to listed files, read inside the tasks; a leading byte order mark is dropped."""
+    schema = T.StructType([*paths.schema.fields, T.StructField("content", T.StringType())])
+    arrow = to_arrow_schema(schema)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, _ = _file_system(folder)
+        rows, held = [], 0
         for batch in batches:
-            # One file at a time leaves the task, so a batch of large files is never held whole.
-            for _, row in batch.iterrows():
+            for row in batch.to_pylist():
                 with system.open_input_stream(row["absolute_path"]) as stream:
                     text = stream.read().decode("utf-8", errors="replace")
-                yield pd.DataFrame([{**row, "content": text.removeprefix("\ufeff")}])
-
-    schema = T.StructType([*paths.schema.fields, T.StructField("content", T.StringType())])
-    return keep_wide(paths, "absolute_path").mapInPandas(read, schema)
+                rows.append({**row, "content": text.removeprefix("\ufeff")})
+                held += len(text)
+                # Small files leave the task together, a large one does not wait for others.
+                if held >= READ_BATCH_CHARS or len(rows) >= READ_BATCH_FILES:
+                    yield pa.RecordBatch.from_pylist(rows, arrow)
+                    rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, arrow)
+
+    return deal_reads(paths, "absolute_path").mapInArrow(read, schema)
 
 
 def _folders(path: Column) -> Column:

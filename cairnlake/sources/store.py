@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from cairnlake.operators import mutations
 from cairnlake.schema import DRAWER_SCHEMA
+from cairnlake.sources.json_collections import read_collections
 from cairnlake.sources.versions import VersionedTable
 
 
@@ -73,26 +74,5 @@ class Collections:
 
 
 def read_json_collection(spark: SparkSession, path: str) -> DataFrame:
-    """Drawers of an exported collection document ``{Name, Drawers: [{Id, Text, Metadata}]}``.
-
-    Optional blank text reads as NULL; names are matched without regard to case.
-    """
-    fields = [field for field in DRAWER_SCHEMA if field.name not in ("id", "text")]
-    source = {"source_mtime": "SourceMtimeUtcMs"}
-
-    def key(name: str) -> str:
-        return source.get(name, "".join(part.capitalize() for part in name.split("_")))
-
-    metadata = ",".join(f"{key(f.name)}:{f.dataType.simpleString()}" for f in fields)
-    schema = f"Name string, Drawers array<struct<Id:string,Text:string,Metadata:struct<{metadata}>>>"
-    document = spark.read.schema(schema).option("multiLine", "true").json(path)
-    drawers = document.select(F.explode("Drawers").alias("d"))
-    columns = []
-    for field in fields:
-        value = F.col(f"d.Metadata.{key(field.name)}")
-        if field.dataType.simpleString() == "string":
-            value = F.coalesce(value, F.lit("")) if not field.nullable else F.nullif(value, F.lit(""))
-        elif not field.nullable:
-            value = F.coalesce(value, F.lit(0))
-        columns.append(value.alias(field.name))
-    return drawers.select(F.col("d.Id").alias("id"), F.col("d.Text").alias("text"), *columns)
+    """Drawers of exported collection documents, without the report of ``json_collections.read_collections``."""
+    return read_collections(spark, path).where("status = 'read'").select(*DRAWER_SCHEMA.names)
