@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from cairnlake.functions.params import DUPLICATE_THRESHOLD, SEARCH_LIMIT, clamp_positive
 from cairnlake.operators import knowledge, layers, mutations, roomgraph, search, shorthand, taxonomy
 from cairnlake.operators.postings import StoredIndex
-from cairnlake.plans import migrate
+from cairnlake.plans import migrate, sql_api
 from cairnlake.schema import COMPRESSED, DRAWERS
 from cairnlake.session import cut_lineage
 from cairnlake.sources.store import Collections
@@ -120,6 +120,11 @@ class Memory:
         """Identity followed by the essential story."""
         return layers.identity(identity) + "\n\n" + layers.render_story(self._drawers(), wing).first()["rendered"]
 
+    def register_sql(self) -> None:
+        """Views and table functions over the stored tables as they are now; call it again after changes."""
+        sql_api.register_frames(self._drawers(), self._triples(), self._entities())
+        sql_api.register_table_functions(self.spark)
+
     # Changing
 
     def add_drawer(self, requests: DataFrame) -> DataFrame:

@@ -18,9 +18,10 @@ CHUNK_SIZE, CHUNK_OVERLAP, MIN_CHUNK = 800, 100, 50
 MIN_EXCHANGE = 30
 REPLY_LINES = 8
 LINE_GROUP = 25
+BATCH_CHARS = 4 << 20
 
 
-def _cuts(text: str, size: int, overlap: int, minimum: int) -> Iterator[str]:
+def text_pieces(text: str, size: int, overlap: int, minimum: int) -> Iterator[str]:
     """Windows of at most ``size`` characters, each ending at a late paragraph or line break if there is one."""
     text = text.strip()
     start, length = 0, len(text)
@@ -58,20 +59,33 @@ def chunk_text(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            texts, held = batch.column(text), 0
             rows: list[int] = []
             index: list[int] = []
             pieces: list[str] = []
-            for row, value in enumerate(batch.column(text).to_pylist()):
-                for number, piece in enumerate(_cuts(value or "", size, overlap, minimum)):
+
+            def made() -> pa.RecordBatch:
+                take = pa.array(rows, pa.int64())
+                columns = [batch.column(name).take(take) for name in kept]
+                return pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(index, pa.int32()), pa.array(pieces, pa.string())],
+                    names=[*kept, "chunk_index", "content"],
+                )
+
+            for row in range(batch.num_rows):
+                for number, piece in enumerate(text_pieces(texts[row].as_py() or "", size, overlap, minimum)):
                     rows.append(row)
                     index.append(number)
                     pieces.append(piece)
-            take = pa.array(rows, pa.int64())
-            columns = [batch.column(name).take(take) for name in kept]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(index, pa.int32()), pa.array(pieces, pa.string())],
-                names=[*kept, "chunk_index", "content"],
-            )
+                    held += len(piece)
+                    # Chunks leave in portions, however many texts a batch holds.
+                    if held >= BATCH_CHARS:
+                        yield made()
+                        held = 0
+                        for column in (rows, index, pieces):
+                            column.clear()
+            if rows:
+                yield made()
 
     fields = [df.schema[name] for name in kept]
     schema = T.StructType(

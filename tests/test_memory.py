@@ -30,6 +30,9 @@ def test_memory_tools_end_to_end(spark, tmp_path):
     assert memory.check_duplicate("passkey migration planning").count() == 1
     assert {r["wing"]: r["n"] for r in memory.list_wings().collect()} == {"proj": 1, "notes": 1}
     assert memory.list_rooms("proj").first()["room"] == "backend"
+    memory.register_sql()
+    assert [r["wing"] for r in spark.sql("SELECT * FROM memory_search('jwt tokens')").collect()] == ["proj"]
+    assert spark.sql("SELECT * FROM memory_wings()").count() == 2
     assert memory.get_taxonomy().count() == 2
     memory.diary_write(spark.createDataFrame([("Owl", None, "kept notes")], "agent string, topic string, entry string"))
     assert memory.diary_read("owl").first()["content"] == "kept notes"
