@@ -1,4 +1,4 @@
-"""Project and conversation files as DataFrames, with ignore rules as a join."""
+"""Project and conversation files as DataFrames, with ignore rules judged in the row of a path."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from functools import reduce
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -140,31 +140,66 @@ def ignore_rules(ignore_files: DataFrame) -> DataFrame:
     return parsed.select("folder", "ord", regex.alias("regex"), "negated", "folders_only")
 
 
+def rule_sets(rules: DataFrame) -> DataFrame:
+    """The rules of each folder as one array in order; neighbours of one effect become one expression."""
+    place = F.row_number().over(Window.partitionBy("folder").orderBy("ord"))
+    alike = F.row_number().over(Window.partitionBy("folder", "negated", "folders_only").orderBy("ord"))
+    ordered = F.array_sort(F.collect_list(F.struct("ord", "regex")))
+    either = F.array_join(F.transform(ordered, lambda r: F.concat(F.lit("(?:"), r["regex"], F.lit(")"))), "|")
+    runs = rules.withColumn("_run", place - alike).groupBy("folder", "negated", "folders_only", "_run")
+    merged = runs.agg(F.max("ord").alias("ord"), either.alias("regex"))
+    return merged.groupBy("folder").agg(
+        F.array_sort(F.collect_list(F.struct("ord", "regex", "negated", "folders_only"))).alias("rules")
+    )
+
+
+def _rules_below(base: Column, rules: Column) -> Column:
+    return F.transform(
+        rules,
+        lambda r: F.struct(
+            base.cast("int").alias("base"), r["regex"].alias("regex"), r["negated"].alias("negated"), r["folders_only"].alias("folders_only")
+        ),
+    )
+
+
+def _is_ignored(parts: Column, rules: Column) -> Column:
+    """One path, or a folder on its way, is ignored by ``rules`` in order from the root down."""
+
+    def matches(rule: Column, depth: Column) -> Column:
+        below = F.slice(parts, rule["base"] + 1, depth - rule["base"])
+        # A folder rule looks at the folders of a file only.
+        above = F.slice(below, F.lit(1), F.greatest(F.size(below) - 1, F.lit(0)))
+        seen = F.when(rule["folders_only"] & (depth == F.size(parts)), above).otherwise(below)
+        return (F.size(seen) > 0) & F.rlike(F.concat(F.array_join(seen, "/"), F.lit("/")), rule["regex"])
+
+    def judged(depth: Column) -> Column:
+        hits = F.filter(rules, lambda r: F.when(r["base"] < depth, matches(r, depth)).otherwise(False))
+        return F.coalesce(~F.try_element_at(hits, F.lit(-1))["negated"], F.lit(False))
+
+    return F.exists(F.sequence(F.lit(1), F.size(parts)), judged)
+
+
 def ignored_paths(paths: DataFrame, rules: DataFrame) -> DataFrame:
     """Distinct ``path`` values that are ignored, themselves or through a folder above them.
 
-    Each path is judged together with every folder on its way. A rule file applies to
-    what lies below it, so rules meet paths in an equi join on the folder; the deepest
-    rule file with an opinion wins, inside a file the last matching rule.
+    Each path is judged in its row, together with every folder on its way. A rule file
+    applies to what lies below it; the deepest rule file with an opinion wins, inside a
+    file the last matching rule. The rules on the way are looked up once per folder; those
+    of the root, which all paths share, are one value and no join key.
     """
-    parts = F.split("path", "/", -1)
-    steps = paths.select("path", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("depth"), parts.alias("parts")).select(
-        "path",
-        "depth",
-        "parts",
-        (F.col("depth") < F.size("parts")).alias("is_folder"),
-        F.explode(F.sequence(F.lit(0), F.col("depth") - 1)).alias("base"),
-    )
-    judged = steps.withColumn("folder", F.array_join(F.slice("parts", F.lit(1), F.col("base")), "/")).join(rules, "folder")
-    below = F.slice("parts", F.col("base") + 1, F.col("depth") - F.col("base"))
-    # A folder rule looks at the folders of a file only.
-    seen = F.when(
-        F.col("folders_only") & ~F.col("is_folder"), F.slice(below, F.lit(1), F.greatest(F.size(below) - 1, F.lit(0)))
-    ).otherwise(below)
-    target = F.concat(F.array_join(seen, "/"), F.lit("/"))
-    hits = judged.where((F.size(seen) > 0) & F.rlike(target, F.col("regex")))
-    decisions = hits.groupBy("path", "depth").agg(F.max_by(~F.col("negated"), F.struct("base", "ord")).alias("ignored"))
-    return decisions.where("ignored").select("path").distinct()
+    sets = rule_sets(rules)
+    placed = paths.where(F.col("path").isNotNull()).select("path", F.array_join(_folders(F.col("path")), "/").alias("folder"))
+    parts = F.split("folder", "/", -1)
+    steps = placed.select("folder").distinct().where("folder <> ''").select("folder", parts.alias("parts"), F.explode(F.sequence(F.lit(1), F.size(parts))).alias("base"))
+    above = steps.select("folder", "base", F.array_join(F.slice("parts", F.lit(1), F.col("base")), "/").alias("holder"))
+    found = above.join(sets.where("folder <> ''").select(F.col("folder").alias("holder"), "rules"), "holder")
+    chain = F.array_sort(F.collect_list(F.struct("base", _rules_below(F.col("base"), F.col("rules")).alias("rules"))))
+    chains = found.groupBy("folder").agg(F.flatten(F.transform(chain, lambda c: c["rules"])).alias("chain"))
+    root = sets.where("folder = ''").select(_rules_below(F.lit(0), F.col("rules"))).scalar()
+    none = F.array().cast("array<struct<base:int,regex:string,negated:boolean,folders_only:boolean>>")
+    rules_of = F.concat(F.coalesce(root, none), F.coalesce(F.col("chain"), none))
+    judged = placed.join(chains, "folder", "left").withColumn("rules", rules_of)
+    return judged.where(_is_ignored(F.split("path", "/", -1), F.col("rules"))).select("path").distinct()
 
 
 def included(path: Column, force_included: Iterable[str]) -> Column:
