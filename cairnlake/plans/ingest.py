@@ -85,12 +85,13 @@ def room_totals(drawers: DataFrame, per_file: bool = True) -> DataFrame:
     return drawers.groupBy("room").agg(counted.alias("n"), F.count("*").alias("drawers"))
 
 
-def run_totals(files: DataFrame, drawers: DataFrame) -> DataFrame:
-    """Files seen, processed and skipped, and drawers made."""
+def run_totals(files: DataFrame, drawers: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
+    """Files read, processed and skipped, and drawers made; with ``rejected`` files, their number as well."""
     made = drawers.groupBy("source_file").agg(F.count("*").alias("made"))
-    return files.join(made, "source_file", "left").agg(
+    totals = files.select("source_file").join(made, "source_file", "left").agg(
         F.count("*").alias("files"),
         F.count_if(F.col("made").isNotNull()).alias("processed"),
         F.count_if(F.col("made").isNull()).alias("skipped"),
         F.coalesce(F.sum("made"), F.lit(0)).alias("drawers"),
     )
+    return totals if rejected is None else totals.withColumn("rejected", rejected.agg(F.count("*")).scalar())

@@ -42,6 +42,7 @@ from cairnlake.sources.versions import VersionedTable
 from cairnlake.streaming.journal import phase_counts
 
 NOW = "2024-03-01T12:00:00"
+SMALL_FILE_BYTES = 2_000
 MARKERS = {
     "decision": [r"\bthe\b", r"\band\b"],
     "preference": [r"\bla\b", r"\bde\b"],
@@ -869,6 +870,15 @@ def mine_project_totals(spark: SparkSession, folder: str) -> DataFrame:
     return ingest.run_totals(_project_files(spark, folder), made)
 
 
+@query
+def mine_limited_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals of a run that rejects files above 2,000 bytes."""
+    listed = _project_files(spark, folder).withColumn("size", F.octet_length("content"))
+    kept = listed.where(F.col("size") <= SMALL_FILE_BYTES)
+    made = ingest.project_drawers(kept, "proj", ROOMS, "miner", NOW)
+    return ingest.run_totals(kept, made, file_source.rejected_files(listed, SMALL_FILE_BYTES))
+
+
 @query
 def exported_collections(spark: SparkSession, folder: str) -> DataFrame:
     """All documents written as collection documents of up to 64 drawers, and read back."""

@@ -656,6 +656,11 @@ mined AS (SELECT 'drawer_proj_' || room || '_' || substr(sha256(source_file || c
 ORACLES["mine_project"] = f"{MINED} SELECT * FROM mined"
 ORACLES["mine_project_totals"] = f"""{MINED} SELECT (SELECT count(*) FROM documents) AS files, count(DISTINCT source_file) AS processed,
 (SELECT count(*) FROM documents) - count(DISTINCT source_file) AS skipped, count(*) AS drawers FROM mined"""
+ORACLES["mine_limited_totals"] = f"""{MINED}, small AS (SELECT doc_id FROM documents WHERE strlen(text) <= 2000),
+kept AS (SELECT mined.* FROM mined JOIN small ON source_mtime = small.doc_id)
+SELECT (SELECT count(*) FROM small) AS files, count(DISTINCT source_file) AS processed,
+(SELECT count(*) FROM small) - count(DISTINCT source_file) AS skipped, count(*) AS drawers,
+(SELECT count(*) FROM documents) - (SELECT count(*) FROM small) AS rejected FROM kept"""
 ORACLES["exported_collections"] = """SELECT doc_id::VARCHAR AS id, lang AS wing, source AS room, doc_id::INTEGER AS chunk_index,
 'read' AS status, md5(text) AS digest FROM documents"""
 ORACLES["mine_project_rooms"] = f"{MINED} SELECT room, count(DISTINCT source_file) AS n, count(*) AS drawers FROM mined GROUP BY 1"
