@@ -9,14 +9,16 @@ Processes run only up to a time by which all places are expected to be filled.
 
 Signatures are cut into bands. Documents that share a band are candidates: each is first
 paired with the center of the bucket, its member that shares most buckets with others, as
-an original does with its edited copies; what then still lies in different components of
-one bucket is paired with each other, so every link between candidates that could join two
-components is tested. A pair is verified by exact multiset overlap unless
-the sizes of the texts, or 512 bits of their signatures, rule it out: a pair at the
+an original does with its edited copies. Such a pair is verified by exact multiset overlap
+unless the sizes of the texts, or 512 bits of their signatures, rule it out: a pair at the
 required similarity differs by more bits than the limit of five standard deviations with a
-probability of 3e-7. Before different components are paired, the shingles that a text
-shares with no other open text are counted: they bound its overlap with any partner, which
-rules out most pairs of differently edited copies exactly.
+probability of 3e-7. Rows of one bucket that then still lie in different components are
+open; the shingles that a text shares with no other open text bound its overlap with any
+partner, which closes most texts exactly. The open rows of all buckets of a center are
+compared in blocks: a task holds some strays by their shingles, streams other rows past
+them and counts the exact overlap with all at once, so every link between candidates that
+could join two components is found and no pair becomes a row. Work inside a group of
+differently edited copies stays quadratic in its open rows.
 
 Texts with the same words are one node. Hot buckets are counted and their centers chosen by
 combined aggregates, verification salts documents with many partners, and no bucket is
@@ -46,6 +48,9 @@ SHINGLE = 5
 BANDS = 64
 PLACES = 8
 PARTNERS = 256
+SALTS = 16
+BLOCK_ROWS = 1 << 10
+BLOCK_SHINGLES = 1 << 19
 BITS = 512
 WORDS = [f"_b{n}" for n in range(BITS // 64)]
 ROWS_AT_ONCE = 1 << 14
@@ -267,11 +272,117 @@ def own_shingles(texts: DataFrame, size: int) -> DataFrame:
     )
 
 
-def overlap_allows(least: float) -> Column:
-    """Whether what two texts may share at most can reach ``least``."""
-    sizes = F.col("_facts._size") + F.col("_stray_facts._size")
-    most = F.least(F.col("_facts._size") - F.col("_own"), F.col("_stray_facts._size") - F.col("_stray_own"))
-    return most >= (sizes - most) * least - 1e-9
+def elements(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A multiset as a set: one element for the first, second, ... occurrence of each value."""
+    place = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    return mix(np.repeat(values, counts) + mix(place.astype(U)))
+
+
+class Block:
+    """Strays of one cell, by the elements they hold."""
+
+    def __init__(self, rows: list[tuple[object, object, np.ndarray]]):
+        self.ids, self.parts = [row[0] for row in rows], [row[1] for row in rows]
+        self.sizes = np.array([len(row[2]) for row in rows])
+        held, owner = np.concatenate([row[2] for row in rows]), np.repeat(np.arange(len(rows)), self.sizes)
+        order = np.argsort(held, kind="stable")
+        self.owner = owner[order]
+        self.held, self.starts = np.unique(held[order], return_index=True)
+        self.stops = np.append(self.starts[1:], len(owner))
+        self.top: dict = {}
+
+    def near(self, wanted: np.ndarray, least: float) -> np.ndarray:
+        """Numbers of the strays whose exact weighted Jaccard similarity to ``wanted`` reaches ``least``."""
+        if not len(self.held) or not len(wanted):
+            return np.zeros(0, dtype=np.int64)
+        at = np.searchsorted(self.held, wanted)
+        at = at.clip(max=len(self.held) - 1)
+        at = at[self.held[at] == wanted]
+        lengths = self.stops[at] - self.starts[at]
+        spots = np.arange(int(lengths.sum())) + np.repeat(self.starts[at] - np.cumsum(lengths) + lengths, lengths)
+        shared = np.bincount(self.owner[spots], minlength=len(self.ids))
+        return np.flatnonzero(shared >= (self.sizes + len(wanted) - shared) * (least - 1e-12))
+
+    def joins(self, a: object, b: object) -> bool:
+        """Whether a link between two parts is the first one of this cell to join them."""
+        a, b = self._top(a), self._top(b)
+        self.top[a] = b
+        return a != b
+
+    def _top(self, part: object) -> object:
+        while (above := self.top.get(part, part)) != part:
+            self.top[part] = self.top.get(above, above)
+            part = above
+        return part
+
+
+def open_links(opened: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
+    """Links ``(_member, _center)`` that join different parts among the rows of one center.
+
+    ``opened`` has ``(_center, _rep, _part, _size, _stray)``. The strays of a center are cut into
+    stripes of bounded rows and shingles, all its rows likewise; a task holds one stripe of
+    strays by their shingles and streams one stripe of rows past it. Every pair with a stray
+    is compared exactly, none is a row of a table, and of the links of a cell only those
+    that join two parts leave it.
+    """
+    kind = dict(texts.dtypes)["doc_id"]
+
+    def stripes(which: Column) -> Column:
+        rows, held = F.count(F.when(which, 1)), F.sum(F.when(which, F.col("_size")).otherwise(0))
+        return F.ceil(F.greatest(rows / BLOCK_ROWS, held / BLOCK_SHINGLES)).cast("int")
+
+    grid = (
+        opened.groupBy("_center")
+        .agg(stripes(F.col("_stray")).alias("_down"), stripes(F.lit(True)).alias("_across"))
+        .where("_down > 0")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    )
+    placed = opened.withColumn("_salt", F.pmod(F.xxhash64("_rep"), F.lit(SALTS)).cast("int")).join(grid, ["_center", "_salt"])
+    spot = F.xxhash64("_rep", F.lit(1))
+
+    def copies(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    cell = ["_center", "_row", "_column"]
+    strays = placed.where("_stray").select(
+        "_center", "_rep", "_part", F.lit(0).alias("_role"), F.pmod(spot, "_down").cast("int").alias("_row"), copies("_across").alias("_column")
+    )
+    others = placed.select(
+        "_center", "_rep", "_part", F.lit(1).alias("_role"), F.pmod(spot, "_across").cast("int").alias("_column"), copies("_down").alias("_row")
+    )
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held, block = None, [], None
+        for batch in batches:
+            found: tuple[list, list] = ([], [])
+            for number in range(batch.num_rows):
+                center, row, column, role, rep, part, text = (
+                    batch.column(n)[number].as_py() for n in (*cell, "_role", "_rep", "_part", "text")
+                )
+                if (center, row, column) != current:
+                    current, held, block = (center, row, column), [], None
+                wanted = elements(*text_shingles(text, size))
+                if role == 0:
+                    held.append((rep, part, wanted))
+                    continue
+                if block is None and held:
+                    block, held = Block(held), []
+                for n in block.near(wanted, least) if block else ():
+                    if block.joins(block.parts[n], part):
+                        found[0].append(rep)
+                        found[1].append(block.ids[n])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(column, batch.column("_rep").type) for column in found], names=["_member", "_center"]
+            )
+
+    return (
+        strays.unionByName(others)
+        .join(texts, F.col("_rep") == F.col("doc_id"))
+        .drop("doc_id")
+        .repartition(*cell)
+        .sortWithinPartitions(*cell, "_role")
+        .mapInArrow(compare, f"_member {kind}, _center {kind}")
+    )
 
 
 def near_groups(
@@ -326,25 +437,17 @@ def near_groups(
     own = own_shingles(texts.join(opened, F.col("doc_id") == F.col("_rep"), "left_semi"), size)
     facts_of = opened.join(known, "_rep").join(own, "_rep", "left").select("_rep", "_facts", F.coalesce("_own", F.lit(0)).alias("_own"))
     alike = F.col("_facts._size") - F.col("_own") >= F.col("_facts._size") * least - 1e-9
-    open_rows = cut_lineage(open_places.join(facts_of.where(alike), "_rep"))
-    strays = open_rows.where("_part <> _main").select(
-        F.col("_bucket").alias("_shared"),
-        F.col("_own").alias("_stray_own"),
-        F.col("_rep").alias("_stray"),
-        F.col("_part").alias("_stray_part"),
-        F.col("_facts").alias("_stray_facts"),
-    )
-    tested = starred.select(
-        F.greatest("_member", "_center").alias("_member"), F.least("_member", "_center").alias("_center")
-    ).distinct()
-    met = (F.col("_part") != F.col("_stray_part")) & overlap_allows(least) & likely("_facts", "_stray_facts", fewest, least)
-    second = (
-        open_rows.join(strays, (F.col("_bucket") == F.col("_shared")) & met)
-        .select(F.greatest("_stray", "_rep").alias("_member"), F.least("_stray", "_rep").alias("_center"))
-        .distinct()
-        .join(tested, ["_member", "_center"], "left_anti")
+    open_rows = (
+        open_places.join(facts_of.where(alike).select("_rep", F.col("_facts._size").alias("_size")), "_rep")
+        .join(centers, "_bucket")
+        .groupBy("_center", "_rep")
+        .agg(
+            F.first("_part").alias("_part"),
+            F.first("_size").alias("_size"),
+            F.max(F.col("_part") != F.col("_main")).alias("_stray"),
+        )
     )
-    more = verify(second, texts, size, least).distinct()
+    more = open_links(cut_lineage(open_rows), texts, size, least).distinct()
     groups = components(links.unionByName(more), "_member", "_center")
     named = nodes.drop("_bands", "_facts").join(groups, F.col("_rep") == F.col("_node"), "left")
     return (

@@ -185,8 +185,10 @@ class TestNearTexts:
         got = near_texts.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
         assert {r["doc_id"]: r["group_id"] for r in got.collect()} == self.brute(rows)
 
-    def test_strays_of_a_bucket_are_linked_too(self, spark, monkeypatch):
+    @pytest.mark.parametrize("rows_a_stripe", [3, 1024])
+    def test_strays_of_a_bucket_are_linked_too(self, spark, monkeypatch, rows_a_stripe):
         """One place per band makes buckets of dissimilar texts; their links must still be found."""
+        monkeypatch.setattr(near_texts, "BLOCK_ROWS", rows_a_stripe)
         pick = random.Random(7)
         words = [f"w{n}" for n in range(60)]
         rows = []
@@ -196,6 +198,26 @@ class TestNearTexts:
         got = near_texts.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), bands=64, places=1)
         assert {r["doc_id"]: r["group_id"] for r in got.collect()} == self.brute(rows)
 
+    def test_block_counts_multiset_overlap(self):
+        pick = np.random.default_rng(5)
+
+        def bag():
+            values = np.unique(pick.integers(0, 12, pick.integers(1, 12)).astype(np.uint64))
+            return values, pick.integers(1, 5, len(values))
+
+        bags = [bag() for _ in range(40)]
+        block = near_texts.Block([(n, n, near_texts.elements(*b)) for n, b in enumerate(bags)])
+        for wanted in [bag() for _ in range(40)]:
+            near = [n for n, b in enumerate(bags) if near_texts.similarity(b, wanted) >= 0.5 - 1e-12]
+            assert block.near(near_texts.elements(*wanted), 0.5).tolist() == near
+        none = np.zeros(0, dtype=np.uint64)
+        assert not len(block.near(none, 0.5))
+        assert not len(near_texts.Block([(1, 1, none)]).near(near_texts.elements(*bags[0]), 0.5))
+
+    def test_only_links_that_join_parts_leave_a_block(self):
+        block = near_texts.Block([(n, n, near_texts.elements(*shingles(word_hashes("a b c d e f"), 5))) for n in range(3)])
+        assert [block.joins(a, b) for a, b in [(0, 1), (1, 0), (1, 2), (0, 2), (2, 2)]] == [True, False, True, False, False]
+
     def test_odd_rows(self, odd_docs, no_docs):
         marked = near_texts.mark_near_duplicates(odd_docs).collect()
         assert len(marked) == odd_docs.count()
