@@ -15,7 +15,8 @@ but for those whose name starts with an underscore; rows are judged one by one,
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -58,6 +59,7 @@ CONTEXT = {
 NEARBY = {kind: re.compile(words) for kind, words in CONTEXT.items()}
 AGAINST = re.compile(r"order|version|isbn|invoice|part no|serial")
 
+Scored = tuple[str, int, int, float]
 SPAN_TYPE = "array<struct<kind:string,start:int,stop:int,score:double>>"
 ARROW_SPANS = pa.list_(
     pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("score", pa.float64())])
@@ -104,20 +106,28 @@ def score(text: str, kind: str, start: int, stop: int, reach: int) -> float:
     return round(min(1.0, max(0.0, value)), 3)
 
 
-def personal_spans(text: str | None, reach: int = 40, least: float = 0.6) -> list[tuple[str, int, int, float]]:
+def free(wanted: Iterable[Scored], taken: Iterable[Scored]) -> Iterator[Scored]:
+    """Those of ``wanted``, disjoint and by position, that overlap none of ``taken``; one sweep over both."""
+    others, at, reached = sorted((start, stop) for _, start, stop, _ in taken), 0, 0
+    for span in wanted:
+        while at < len(others) and others[at][0] < span[2]:
+            reached = max(reached, others[at][1])
+            at += 1
+        if reached <= span[1]:
+            yield span
+
+
+def personal_spans(text: str | None, reach: int = 40, least: float = 0.6) -> list[Scored]:
     """Scored spans of one text by kind, then start."""
     if not text:
         return []
-    kept = []
-    for kind, start, stop in proposals(text):
-        value = score(text, kind, start, stop, reach)
-        if kind in BASE_KINDS or (
-            value >= least
-            and not any(
-                start < other[2] and other[1] < stop for other in kept if kind != "iban" or other[0] not in BASE_KINDS
-            )
-        ):
-            kept.append((kind, start, stop, value))
+    kept: list[Scored] = []
+    for kind, group in groupby(proposals(text), key=lambda span: span[0]):
+        found = [(*span, score(text, *span, reach)) for span in group]
+        if kind not in BASE_KINDS:
+            taken = kept if kind != "iban" else ()
+            found = list(free((span for span in found if span[3] >= least), taken))
+        kept += found
     return kept
 
 

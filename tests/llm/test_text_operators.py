@@ -193,6 +193,21 @@ class TestPersonal:
         text = "DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32"
         assert [text[a:b] for kind, a, b, _ in personal.personal_spans(text) if kind == "iban"] == [text[:27], text[28:]]
 
+    def test_sweep_equals_comparing_with_every_kept_span(self):
+        pick = random.Random(8)
+        for _ in range(200):
+            taken = [("card", a, a + pick.randint(1, 9), 1.0) for a in (pick.randint(0, 80) for _ in range(pick.randint(0, 8)))]
+            wanted, at = [], 0
+            while at < 80:
+                at += pick.randint(0, 8)
+                wanted.append(("ssn", at, at := at + pick.randint(1, 6), 1.0))
+            slow = [w for w in wanted if not any(w[1] < t[2] and t[1] < w[2] for t in taken)]
+            assert list(personal.free(wanted, taken)) == slow
+
+    def test_very_many_numbers_in_one_text(self):
+        text = "ssn 123-45-6789 " * 20000
+        assert len(personal.personal_spans(text)) == 20000
+
     def test_an_account_stays_beside_a_card_that_overlaps_it(self, spark):
         account = "BE16100000000000"  # its digits pass Luhn as well
         assert [s[0] for s in personal.personal_spans(f"to {account} now")] == ["card", "iban"]
