@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cairnlake.functions.text import mined_id, trim
@@ -95,3 +95,33 @@ def run_totals(files: DataFrame, drawers: DataFrame, rejected: DataFrame | None
         F.coalesce(F.sum("made"), F.lit(0)).alias("drawers"),
     )
     return totals if rejected is None else totals.withColumn("rejected", rejected.agg(F.count("*")).scalar())
+
+
+class RunCounts:
+    """Totals of a mining run, observed while its first action runs; no text is read a second time.
+
+    Put ``files`` around the rows to mine and ``drawers`` around what mining makes of them,
+    then write. A file counts as processed by its first chunk. Rows of a stage that is
+    repeated after a lost executor may be counted twice, so these numbers report progress;
+    ``run_totals`` counts exactly.
+    """
+
+    def __init__(self) -> None:
+        self._files, self._drawers = Observation(), Observation()
+
+    def files(self, files: DataFrame) -> DataFrame:
+        return files.observe(self._files, F.count("*").alias("files"))
+
+    def drawers(self, drawers: DataFrame) -> DataFrame:
+        first = F.count_if(F.col("chunk_index") == 0)
+        return drawers.observe(self._drawers, F.count("*").alias("drawers"), first.alias("processed"))
+
+    def totals(self) -> dict[str, int]:
+        """Files, processed, skipped and drawers; waits until both observed frames have run."""
+        files, made = self._files.get["files"], self._drawers.get
+        return {
+            "files": files,
+            "processed": made["processed"],
+            "skipped": files - made["processed"],
+            "drawers": made["drawers"],
+        }

@@ -267,10 +267,35 @@ def test_streamed_files_are_mined_once(spark, tmp_path):
     def mine(batch):
         return ingest.project_drawers(batch, "w", ROOMS, "miner", NOW)
 
+    seen = []
     for i in range(2):
         stream = spark.readStream.schema(schema).json(str(source))
-        incremental.follow(stream, store, "followed", mine, str(tmp_path / f"cp{i}")).awaitTermination()
+        query = incremental.follow(
+            stream, store, "followed", mine, str(tmp_path / f"cp{i}"), report=lambda number, totals: seen.append((number, totals))
+        )
+        query.awaitTermination()
         assert store.read("followed").count() == 1
+    assert seen == [(0, {"files": 1, "processed": 1, "skipped": 0, "drawers": 1}), (0, incremental.IDLE)]
+
+
+def test_a_mining_run_is_counted_while_it_is_written(spark, tmp_path):
+    long_note = "A paragraph of the plan that is repeated until it fills more than one drawer. " * 40
+    rows = [("a.md", "/a.md", 1, long_note), ("b.md", "/b.md", 1, "too short"), ("c.md", "/c.md", 1, long_note[:200])]
+    listed = spark.createDataFrame(rows, "path string, source_file string, source_mtime long, content string")
+    counts = ingest.RunCounts()
+    made = counts.drawers(ingest.project_drawers(counts.files(listed), "w", ROOMS, "miner", NOW))
+    made.write.parquet(str(tmp_path / "made"))
+    written = spark.read.parquet(str(tmp_path / "made"))
+    exact = ingest.run_totals(listed, written).first().asDict()
+    assert exact["drawers"] > 2
+    assert counts.totals() == exact
+
+
+def test_a_run_over_no_files_counts_nothing(spark, tmp_path):
+    listed = spark.createDataFrame([], "path string, source_file string, source_mtime long, content string")
+    counts = ingest.RunCounts()
+    counts.drawers(ingest.project_drawers(counts.files(listed), "w", ROOMS, "miner", NOW)).write.parquet(str(tmp_path / "none"))
+    assert counts.totals() == incremental.IDLE
 
 
 def test_configuration(tmp_path):
