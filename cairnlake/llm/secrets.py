@@ -3,9 +3,11 @@
 Values of labelled credentials (assignments, access keys and hex runs that the base rules
 find in all documents) build one prefix tree per label; states
 whose continuations are statistically compatible are merged into a probabilistic
-automaton. Every long token of every text is then a candidate and scored by the likelihood
-of its format: bits per symbol above an automaton learned the same way from ordinary
-tokens. Spans of the base rules always stay; a candidate beyond ``margin`` that overlaps
+automaton. Every token of every text that is as long as an assigned value may be (12
+characters) and has a letter and a digit is then a candidate and scored by the likelihood of
+its format: bits per symbol above an automaton learned the same way from ordinary tokens.
+Tokens of letters or of digits alone score 0: their format is that of words in capitals
+and of dates and numbers. Spans of the base rules always stay; a candidate beyond ``margin`` that overlaps
 none of them is added as kind ``format``.
 
 Bounds of the training sample (documented parameters): of the distinct values of a label in
@@ -35,7 +37,7 @@ from cairnlake.llm.frames import plain
 from cairnlake.session import cut_lineage
 
 KINDS = ("assign", "access", "hex")
-TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}+")
+TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}+")
 END = "$"
 CLASSES = {
     **dict.fromkeys("0123456789", "d"),

@@ -270,6 +270,15 @@ class TestSecrets:
         assert [(s["kind"], s["start"]) for s in found[200]["_spans"]] == [("format", 5)]
         assert found[201]["_spans"] == found[202]["_spans"] == []
 
+    def test_bare_keys_as_short_as_assigned_ones_are_found(self):
+        pick = random.Random(12)
+        keys = ["".join(pick.choice("bcdfghjkmnpqrstvwxz23456789") for _ in range(13)) for _ in range(400)]
+        formats = Formats({"assign": keys[:300]}, self.samples()[1], 20, 0.5, 128)
+        bare = [k for k in keys[300:] if any(c.isdigit() for c in k)]
+        found = [k for k in bare if [s[0] for s in secrets.secret_spans(f"it was {k} then", formats)] == ["format"]]
+        assert len(found) >= 0.9 * len(bare)
+        assert not secrets.secret_spans("internationalization counterrevolutionaries 2024-01-02-03", formats)
+
     def test_rare_labels_of_many_documents_are_learned(self, spark):
         keys, _ = self.samples()
         given = F.element_at(F.array(*map(F.lit, keys[:40])), (F.col("id") / 1500 + 1).cast("int"))
