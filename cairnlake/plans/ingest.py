@@ -59,12 +59,15 @@ def conversation_drawers(
     known_names: Iterable[str] = (),
     topics: dict[str, list[str]] | None = None,
     markers: dict[str, list[str]] | None = None,
+    positive: list[str] | None = None,
+    negative: list[str] | None = None,
 ) -> DataFrame:
     """Drawers of transcripts ``(path, source_file, content)`` by exchange, or by memory in ``general`` mode."""
     normal = transcripts.normalize(files, known_names).select("source_file", "transcript")
     usable = normal.where(F.length(trim(F.col("transcript"))) >= MIN_TRANSCRIPT_CHARS)
     if extract_mode == "general":
-        options = {} if markers is None else {"markers": markers}
+        lists = {"markers": markers, "positive": positive, "negative": negative}
+        options = {name: value for name, value in lists.items() if value is not None}
         chunks = extraction.extract_memories(usable, "transcript", **options).withColumnRenamed("memory_type", "room")
     else:
         options = {} if topics is None else {"topics": topics}

@@ -152,6 +152,14 @@ def test_conversation_mining(spark):
     assert {r["room"]: r["n"] for r in ingest.room_totals(ingest.conversation_drawers(df, "chat", "m", NOW)).collect()} == {"technical": 1}
 
 
+def test_memory_mining_judges_the_mood_by_given_lists(spark):
+    content = "\n".join(f"> We hit a kor again and again number {n}\nThe tal is over there, lum lum." for n in range(3))
+    df = spark.createDataFrame([("c.txt", "/c.txt", content)], "path string, source_file string, content string")
+    lists = {"markers": {"problem": ["kor", "lum"], "milestone": ["tal"], "emotional": ["zzz"]}, "positive": ["tal"], "negative": []}
+    made = ingest.conversation_drawers(df, "chat", "miner", NOW, "general", **lists).collect()
+    assert {r["room"] for r in made} == {"milestone"}
+
+
 def story_table(spark, rows):
     return spark.createDataFrame(rows, "id string, wing string, room string, source_file string, text string, importance double, emotional_weight double, weight double")
 
