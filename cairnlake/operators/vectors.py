@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairnlake.functions.params import SEARCH_LIMIT
+from cairnlake.functions.partitions import deal_reads
 from cairnlake.functions.text import half_even, tokens
 
 Encoder = Callable[[Sequence], np.ndarray]
 
 # Rows of one block of the block join; 8192 x 384 doubles are about 25 MB per side.
 BLOCK_ROWS = 8192
+# Queries of one matrix product, and the rounding of its distances per dimension.
+SLICE_ROWS = 128
+ROUNDING = 1e-15
 
 
 def similarity_of(distance: Column) -> Column:
@@ -40,6 +44,32 @@ def _nearest(distances: np.ndarray, ids: np.ndarray, limit: int) -> np.ndarray:
     return np.lexsort((ids, distances))[:limit]
 
 
+def nearest_rows(queries: np.ndarray, stored: np.ndarray, ids: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query rows, stored rows and exact distances of the ``limit`` nearest stored rows of each query, ties by id.
+
+    A matrix product gives all distances up to rounding; only rows within that rounding
+    of a query's kth distance are measured by differences.
+    """
+    lengths = np.square(stored).sum(axis=1)
+    found = []
+    for start in range(0, len(queries), SLICE_ROWS):
+        asked = queries[start : start + SLICE_ROWS]
+        rough = lengths - 2 * (asked @ stored.T)
+        kth = np.partition(rough, min(limit, len(stored)) - 1, axis=1)[:, min(limit, len(stored)) - 1]
+        slack = ROUNDING * stored.shape[1] * (lengths.max() + np.square(asked).sum(axis=1))
+        # A distance that is no number passes, and sorts last.
+        rows, at = np.nonzero(~(rough > (kth + slack)[:, None]))
+        distances = np.empty(len(rows))
+        for n in range(0, len(rows), BLOCK_ROWS):
+            part = slice(n, n + BLOCK_ROWS)
+            distances[part] = np.square(stored[at[part]] - asked[rows[part]]).sum(axis=1)
+        order = np.lexsort((ids[at], distances, rows))
+        rows, at, distances = rows[order], at[order], distances[order]
+        keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < limit
+        found.append((rows[keep] + start, at[keep], distances[keep]))
+    return tuple(np.concatenate(parts) for parts in zip(*found, strict=True))
+
+
 def vector_search(
     vectors: DataFrame, query: Sequence[float], limit: int = SEARCH_LIMIT[0], wing: str | None = None
 ) -> DataFrame:
@@ -78,8 +108,10 @@ def knn_join(queries: DataFrame, vectors: DataFrame, limit: int = SEARCH_LIMIT[0
     A blocked join: both sides are cut into blocks of about ``block_rows`` rows, every
     task compares one query block with one stored block and emits only the best rows
     of each query. No side is broadcast or collected; the stored side is replicated
-    once per query block, which is once for any query set that fits one block.
+    once per query block, which is once for any query set that fits one block. Rows
+    without an embedding take no part.
     """
+    queries, vectors = (side.where(F.col("embedding").isNotNull()) for side in (queries, vectors))
     query_blocks = max(1, -(-queries.count() // block_rows))
     stored_blocks = max(1, -(-vectors.count() // block_rows))
     id_type = dict(vectors.dtypes)["id"]
@@ -98,28 +130,19 @@ def knn_join(queries: DataFrame, vectors: DataFrame, limit: int = SEARCH_LIMIT[0
         "*", every(query_blocks).alias("qb")
     )
 
-    def compare(asked: pa.Table, stored: pa.Table) -> pa.Table:
-        found: dict[str, list] = {"query_id": [], "id": [], "distance": []}
-        if asked.num_rows and stored.num_rows:
-            ids = stored.column("id").to_numpy()
-            matrix = _matrix(stored.column("embedding"))
-            for query_id, vector in zip(asked.column("query_id").to_pylist(), _matrix(asked.column("embedding"))):
-                distances = np.square(matrix - vector).sum(axis=1)
-                keep = _nearest(distances, ids, limit)
-                found["query_id"].extend([query_id] * len(keep))
-                found["id"].extend(ids[keep].tolist())
-                found["distance"].extend(distances[keep].tolist())
-        return pa.table(
-            {
-                "query_id": pa.array(found["query_id"], asked.column("query_id").type),
-                "id": pa.array(found["id"], stored.column("id").type),
-                "distance": pa.array(found["distance"], pa.float64()),
-            }
-        )
+    def compare(asked: pa.Table, held: pa.Table) -> pa.Table:
+        rows = at = np.zeros(0, dtype=np.int64)
+        distances = np.zeros(0)
+        if asked.num_rows and held.num_rows:
+            numbers = held.column("id").to_numpy()
+            rows, at, distances = nearest_rows(_matrix(asked.column("embedding")), _matrix(held.column("embedding")), numbers, limit)
+        columns = [asked.column("query_id").take(pa.array(rows)), held.column("id").take(pa.array(at)), pa.array(distances)]
+        return pa.table(columns, names=["query_id", "id", "distance"])
 
     partial = (
-        left.groupBy("qb", "sb")
-        .cogroup(right.groupBy("qb", "sb"))
+        deal_reads(left, "qb", "sb")
+        .groupBy("qb", "sb")
+        .cogroup(deal_reads(right, "qb", "sb").groupBy("qb", "sb"))
         .applyInArrow(compare, f"query_id {query_type}, id {id_type}, distance double")
     )
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from cairnlake.operators import nearest
+from cairnlake.operators import nearest, vectors
 from cairnlake.operators.nearest import NearestIndex
 
 
@@ -56,3 +56,17 @@ def test_empty_and_missing_vectors(spark):
     with_null = stored.limit(3).unionByName(spark.createDataFrame([(99, None)], stored.schema))
     got = nearest.index_knn(asked.limit(1), nearest.build_index(with_null), 5).collect()
     assert len(got) == 3 and 99 not in {r["id"] for r in got}
+
+
+@pytest.mark.parametrize("limit", [1, 3, 500])
+def test_block_join_equals_brute_force_and_leaves_missing_vectors_out(spark, limit):
+    rows, queries, stored, asked = frames(spark, 11)
+    with_null = stored.unionByName(spark.createDataFrame([(9999, None)], stored.schema))
+    got = vectors.knn_join(asked, with_null, limit, block_rows=90).collect()
+    assert {(r["query_id"], r["place"], r["id"]) for r in got} == brute(rows, queries, limit)
+
+
+def test_products_that_round_away_small_gaps_keep_the_nearest_rows():
+    stored = np.array([[1e6 + gap, -1e6] for gap in (3e-4, 1e-4, 2e-4, 1e-4)])
+    rows, at, distances = vectors.nearest_rows(np.array([[1e6, -1e6]]), stored, np.array([4, 3, 2, 1]), 2)
+    assert (rows.tolist(), at.tolist()) == ([0, 0], [3, 1]) and distances[0] == distances[1]
