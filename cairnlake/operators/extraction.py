@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cairnlake.functions import lexicons as lex
 from cairnlake.functions.arrays import groups_from, positions
 from cairnlake.functions.partitions import posexplode_rows
-from cairnlake.functions.text import let, lines_of, string_array, trim
+from cairnlake.functions.text import let, lines_of, may_match, string_array, trim
 from cairnlake.operators.chunking import line_groups, paragraphs
 
 # Fixed rules.
@@ -68,7 +68,8 @@ def prose(text: Column) -> Column:
 
     Cutting at the fence lines leaves the parts outside fences at the even places.
     """
-    parts = F.split(text, r"(?m)^[^\S\n]*```[^\n]*(?:\n|\z)", -1)
+    fences = F.split(text, r"(?m)^[^\S\n]*```[^\n]*(?:\n|\z)", -1)
+    parts = F.when(F.contains(text, F.lit("```")), fences).otherwise(F.array(text))
     # A part that a fence closes ends with the line break of its last line.
     outside = F.filter(
         F.transform(parts, lambda part, i: F.when(i % 2 == 0, F.regexp_replace(part, r"\n\z", ""))),
@@ -79,8 +80,12 @@ def prose(text: Column) -> Column:
 
 
 def marker_score(lowered: Column, markers: list[str]) -> Column:
-    """Non-overlapping hits of all patterns."""
-    return reduce(lambda a, b: a + b, [F.regexp_count(lowered, F.lit(FLAGS + marker)) for marker in markers])
+    """Non-overlapping hits of all patterns; a pattern is only run on texts that hold its literals."""
+
+    def hits(marker: str) -> Column:
+        return F.when(~may_match(lowered, marker), 0).otherwise(F.regexp_count(lowered, F.lit(FLAGS + marker)))
+
+    return reduce(lambda a, b: a + b, map(hits, markers))
 
 
 def sentiment(
@@ -117,7 +122,7 @@ def _disambiguated(kind: Column, text: Column, score: dict[str, Column], mood: C
 
 def memory_scores(lowered: Column, markers: dict[str, list[str]] = lex.MEMORY_MARKERS) -> Column:
     """Struct with one score per memory type."""
-    return F.struct(*[marker_score(lowered, patterns).alias(kind) for kind, patterns in markers.items()])
+    return let(lowered, lambda text: F.struct(*[marker_score(text, patterns).alias(kind) for kind, patterns in markers.items()]))
 
 
 def memory_of(

@@ -405,3 +405,29 @@ def test_payload_classes(spark):
     p = registry.classify_payload(*[F.col(c) for c in ("word", "status", "kind", "title", "extract", "description")])
     for r in df.select("*", p.alias("p")).collect():
         assert (r["p"]["type"], r["p"]["confidence"]) == (r["type"], r["confidence"]), r["word"]
+
+
+def test_required_literals_hold_in_every_match():
+    import random
+    import re
+
+    from cairnlake.functions.text import required_literals
+
+    cases = [marker for markers in lex.MEMORY_MARKERS.values() for marker in markers]
+    cases += ["ab?c", "ab+c", "a{2}b", "(a|b)?cd", "(a?|b)cd", "a|bc", "a|", "(a|)b", "[ab]c|[^c]d", r"a\.c", "(?i)Ab", "(?:ab)+c*", "ab{0,2}", "(ab|c(?=d))x", r"\x61b"]
+    pick = random.Random(7)
+    for pattern in cases:
+        parts = required_literals(pattern)
+        words = [text for texts in parts for text in texts] + ["it ", "the ", "1.5", "x ", "a", "b", "c", "d", "*", "ab", "s", "'", "to", "is", "was", "v2"]
+        for _ in range(300):
+            text = "".join(pick.choice(words) + pick.choice(["", "", " "]) for _ in range(pick.randint(1, 8)))
+            if re.search(pattern, text):
+                assert all(any(part in text for part in texts) for texts in parts), (pattern, text)
+    assert required_literals(r"\bdon'?t (ever )?(use|do)\b") == [["don"], ["t "], ["use", "do"]]
+    assert required_literals("(?i)foo") == [] == required_literals(r"\Qa\E")
+
+
+def test_marker_scores_of_guarded_patterns(spark):
+    rows = [("we decided: fixed, fixed v2.1 and 3x faster * * i'm sorry",), ("nothing",), (None,), ("wedecided unfixed",)]
+    scores = spark.createDataFrame(rows, "t string").select(extraction.memory_scores(F.col("t")).alias("s")).select("s.*").collect()
+    assert [tuple(r) for r in scores] == [(1, 0, 4, 0, 3), (0, 0, 0, 0, 0), (None,) * 5, (0, 0, 0, 0, 0)]
