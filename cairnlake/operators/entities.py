@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 from cairnlake.functions import lexicons as lex
 from cairnlake.functions.arrays import bag
 from cairnlake.functions.partitions import explode_rows
-from cairnlake.functions.text import half_even, let, lines_of, stem, string_array
+from cairnlake.functions.text import half_even, let, lines_of, may_match, stem, string_array
 
 # Fixed rules.
 MIN_FREQUENCY = 3
 CAPS = {"person": 15, "project": 10, "uncertain": 8}
-WORD_NAME = r"(?U)\b[A-Z][a-z]{1,19}\b"
-PHRASE_NAME = r"(?U)\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b"
-CAMEL_NAME = r"(?U)\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b"
+# The look ahead changes no match; it spares most places the costly test for a word boundary.
+WORD_NAME = r"(?U)(?=[A-Z])\b[A-Z][a-z]{1,19}\b"
+PHRASE_NAME = r"(?U)(?=[A-Z])\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b"
+CAMEL_NAME = r"(?U)(?=[A-Z])\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b"
 
 
 def name_candidates(
@@ -71,7 +72,7 @@ def near_pronoun(lines: Column) -> Column:
     return let(
         F.transform(lines, F.lower),
         lambda lowered: let(
-            F.transform(lowered, lambda line: line.rlike("(?U)" + lex.PRONOUNS)), lambda marks: frame(marks, lowered)
+            F.transform(lowered, lambda line: line.rlike("(?U)(?=[hst])" + lex.PRONOUNS)), lambda marks: frame(marks, lowered)
         ),
     )
 
@@ -103,9 +104,15 @@ SIGNALS = [
 ]
 
 
+def _found(text: Column, pattern: str, template: str, group: int) -> Column:
+    """All captures of a pattern, which is only run on texts that hold the literals of its template."""
+    captures = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    return F.when(may_match(text, template.replace("{name}", r"\w+")), captures).otherwise(string_array([]))
+
+
 def _version_slots(text: Column) -> Column:
     """Words before a hyphen, and every beginning of a word that is followed by ``v`` and more."""
-    hyphen = F.regexp_extract_all(text, F.lit(r"(?U)\b(\w++)(?=-\w)"), F.lit(1))
+    hyphen = _found(text, r"(?U)\b(\w++)(?=-\w)", "-", 1)
     joined = F.regexp_extract_all(text, F.lit(r"(?U)\b\w+v\w+"), F.lit(0))
 
     def beginnings(word: Column) -> Column:
@@ -121,7 +128,7 @@ def signal_words(text: Column) -> Column:
     found = [
         _version_slots(text)
         if kind == "versioned"
-        else F.regexp_extract_all(text, F.lit(_slot_pattern(template)), F.lit(1))
+        else _found(text, _slot_pattern(template), template, 1)
         for kind, template, _ in SIGNALS
     ]
     return F.array(*found)
@@ -156,20 +163,21 @@ def _name_hits(
     named = texts.select(
         key, F.col(text).alias("_text"), F.filter(counts, lambda e: e["value"] >= minimum).alias("_names")
     )
-    any_name = F.size("_names") > 0
-    scanned = named.select(
-        "*",
-        F.when(any_name, F.transform(signal_words(F.lower("_text")), bag)).alias("_slots"),
-        F.when(any_name, near_pronoun(lines_of(F.col("_text")))).alias("_framed"),
-    )
-    counted = explode_rows(scanned, F.col("_names"), "_name", key, "_text", "_slots", "_framed").select(
-        "*", F.col("_name.key").alias("name"), F.col("_name.value").alias("frequency")
-    )
-    lowered = F.lower("name")
-    single = F.transform(F.col("_slots"), lambda counts: F.coalesce(F.try_element_at(counts, lowered), F.lit(0)).cast("int"))
-    hits = F.when(F.col("name").rlike(r"\s"), _phrase_hits(F.col("_text"), F.col("name"))).otherwise(single)
-    pronouns = F.size(F.filter(F.col("_framed"), lambda line: F.contains(line, lowered)))
-    return counted.select(key, "name", "frequency", hits.alias("hits"), pronouns.alias("pronouns"))
+
+    def judged(text: Column, scanned: Column) -> Column:
+        def hits(name: Column) -> Column:
+            lowered = F.lower(name["key"])
+            single = F.transform(scanned["slots"], lambda counts: F.coalesce(F.try_element_at(counts, lowered), F.lit(0)).cast("int"))
+            found = F.when(name["key"].rlike(r"\s"), _phrase_hits(text, name["key"])).otherwise(single)
+            pronouns = F.size(F.filter(scanned["framed"], lambda line: F.contains(line, lowered)))
+            return F.struct(name["key"].alias("name"), name["value"].alias("frequency"), found.alias("hits"), pronouns.alias("pronouns"))
+
+        return F.transform("_names", hits)
+
+    scanned = let(F.lower("_text"), lambda low: F.struct(F.transform(signal_words(low), bag).alias("slots"), near_pronoun(lines_of(F.col("_text"))).alias("framed")))
+    # Names are judged inside the row, so that a text is not copied for each of its names.
+    found = F.when(F.size("_names") > 0, let(scanned, lambda kept: judged(F.col("_text"), kept)))
+    return explode_rows(named, found, "_hit", key).select(key, "_hit.*")
 
 
 def score_names(texts: DataFrame, text: str = "text", key: str = "id", **options) -> DataFrame:
