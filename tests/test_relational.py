@@ -310,3 +310,13 @@ def test_add_outcomes(spark):
     assert {(r["room"], r["outcome"]) for r in outcomes.collect()} == {("r", "noop"), ("other", "duplicate"), ("r", "inserted")}
     phases = Counter(r["phase"] for r in mutations.journal_entries(outcomes, "add_drawer", "now").collect())
     assert phases == {"intent": 3, "noop": 1, "duplicate": 1, "success": 1}
+
+
+def test_long_contents_are_cleaned_once_per_request(spark):
+    rows = [("w", "r", "x" * 200_001, None, None), ("w", "r", "\x00 ", "s", "a"), (" * ", "r", "x", "s" * 1025, "a"), ("w", "r", " x" * 100_000 + " ", "s", "a")]
+    asked = spark.createDataFrame(rows, "wing string, room string, content string, source_file string, added_by string")
+    judged = mutations.judged_requests(asked)
+    reasons = ["content has more than 200000 characters", "content is missing", "wing has no usable characters", None]
+    assert [r["reason"] for r in judged.collect()] == reasons
+    plan = asked.select(mutations.request_problem().alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(content") == 1
