@@ -19,6 +19,8 @@ Encoder = Callable[[Sequence], np.ndarray]
 
 # Rows of one block of the block join; 8192 x 384 doubles are about 25 MB per side.
 BLOCK_ROWS = 8192
+# Texts of one call of an encoder.
+ENCODED_ROWS = 128
 # Queries of one matrix product, and the rounding of its distances per dimension.
 SLICE_ROWS = 128
 ROUNDING = 1e-15
@@ -187,17 +189,17 @@ def hash_tokens(dimensions: int) -> Encoder:
 def embed(df: DataFrame, text: str = "text", encoder: Encoder | None = None, dimensions: int = 384) -> DataFrame:
     """Add ``embedding``; ``encoder`` turns a list of texts into one vector per text.
 
-    Any sentence model fits the encoder slot and is called once per Arrow batch. The
-    default hashes tokens, which are cut in the JVM.
+    Any sentence model fits the encoder slot and is called with at most ``ENCODED_ROWS``
+    texts, so that a task never holds a whole Arrow batch as Python objects. The default
+    hashes tokens, which are cut in the JVM.
     """
     encode = encoder or hash_tokens(dimensions)
     prepared = df.withColumn("_input", F.col(text) if encoder else tokens(F.col(text)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, ENCODED_ROWS) for whole in batches for at in range(0, whole.num_rows, ENCODED_ROWS)):
             encoded = np.asarray(encode(batch.column("_input").to_pylist()), dtype=np.float32)
-            width = encoded.shape[1] if batch.num_rows else 0
-            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * width)
+            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * encoded.shape[1])
             vectors = pa.ListArray.from_arrays(offsets, pa.array(encoded.reshape(-1)))
             kept = [name for name in batch.schema.names if name != "_input"]
             yield pa.RecordBatch.from_arrays([*(batch.column(name) for name in kept), vectors], names=[*kept, "embedding"])

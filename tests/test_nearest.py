@@ -70,3 +70,14 @@ def test_products_that_round_away_small_gaps_keep_the_nearest_rows():
     stored = np.array([[1e6 + gap, -1e6] for gap in (3e-4, 1e-4, 2e-4, 1e-4)])
     rows, at, distances = vectors.nearest_rows(np.array([[1e6, -1e6]]), stored, np.array([4, 3, 2, 1]), 2)
     assert (rows.tolist(), at.tolist()) == ([0, 0], [3, 1]) and distances[0] == distances[1]
+
+
+def test_encoders_get_few_texts_at_a_time(spark):
+    def encode(texts):
+        assert len(texts) <= vectors.ENCODED_ROWS
+        return np.array([[len(text), 1.0] for text in texts])
+
+    texts = spark.createDataFrame([(n, "x" * (n % 7)) for n in range(700)], "id int, text string").coalesce(1)
+    got = vectors.embed(texts, encoder=encode).collect()
+    assert sorted((r["id"], r["embedding"]) for r in got) == [(n, [float(n % 7), 1.0]) for n in range(700)]
+    assert vectors.embed(texts.limit(0), encoder=encode).count() == 0
