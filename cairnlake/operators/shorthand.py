@@ -62,7 +62,7 @@ def topics(text: Column, stopwords: list[str] = lex.SHORTHAND_STOPWORDS, limit:
             ).alias("weight"),
         ),
     )
-    useful = F.array_sort(F.filter(weighted, lambda w: ~w["word"].isin(stopwords)))
+    useful = F.sort_array(F.filter(weighted, lambda w: ~w["word"].isin(stopwords)))
 
     def rank(ordered: Column) -> Column:
         # Equal words are adjacent, so a word's weight is the sum over one run.
@@ -80,7 +80,7 @@ def topics(text: Column, stopwords: list[str] = lex.SHORTHAND_STOPWORDS, limit:
 
         return let(starts, lambda s: F.transform(s, lambda at, i: total(at, i, s)))
 
-    return F.transform(F.slice(F.array_sort(let(useful, rank)), 1, limit), lambda w: w["word"])
+    return F.transform(F.slice(F.sort_array(let(useful, rank)), 1, limit), lambda w: w["word"])
 
 
 def signals(text: Column, table: dict[str, str]) -> Column:
