@@ -431,3 +431,15 @@ def test_marker_scores_of_guarded_patterns(spark):
     rows = [("we decided: fixed, fixed v2.1 and 3x faster * * i'm sorry",), ("nothing",), (None,), ("wedecided unfixed",)]
     scores = spark.createDataFrame(rows, "t string").select(extraction.memory_scores(F.col("t")).alias("s")).select("s.*").collect()
     assert [tuple(r) for r in scores] == [(1, 0, 4, 0, 3), (0, 0, 0, 0, 0), (None,) * 5, (0, 0, 0, 0, 0)]
+
+
+def test_names_leave_their_row_without_its_text(spark):
+    found = entities.score_names(spark.range(1).select("id", F.lit("Ada said. Ada said. Ada said.").alias("text")).where("id > -1"))
+
+    def generates(node):
+        kept = [node.requiredChildOutput().mkString(",")] if node.nodeName() == "Generate" else []
+        children = node.children()
+        return kept + [k for n in range(children.size()) for k in generates(children.apply(n))]
+
+    carried = generates(found._jdf.queryExecution().optimizedPlan())
+    assert carried and all("_text" not in kept and "_slots" not in kept for kept in carried)
