@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairnlake.functions import lexicons as lex
+from cairnlake.functions import text as text_functions
 from cairnlake.operators import (
     chunking,
     entities,
@@ -443,3 +444,41 @@ def test_names_leave_their_row_without_its_text(spark):
 
     carried = generates(found._jdf.queryExecution().optimizedPlan())
     assert carried and all("_text" not in kept and "_slots" not in kept for kept in carried)
+
+
+def test_context_patterns_are_compiled_only_near_their_spellings(spark):
+    # The name ends its quotation and opens a group, so every pattern that is compiled fails.
+    rows = spark.createDataFrame([(r"x\E(", "nothing of x here, said the lake")], "word string, context string")
+    assert rows.select(registry.disambiguate(F.col("word"), F.col("context")).alias("v")).first()["v"] is None
+
+
+def test_context_scores_equal_the_bare_patterns(spark):
+    texts = [
+        "max\tsaid", "Max  told it", "maxx said", "max saidx", "drop  off\nmax", "dropped max", "dropoff max", "max's", "maxs'", "max' s",
+        "well\nmax: yes", "well max: yes", "my\n\ncolleague  max", "my cousin max", "the max of", "max of", "climax in", "max", "", "with max is",
+    ]
+    rows = spark.createDataFrame([(text.lower(),) for text in texts], "t string")
+    flat = text_functions.flat_text(F.col("t"))
+    scores = registry.context_scores(F.lit("max"), F.col("t"), flat)
+
+    def bare(templates):
+        return sum((F.rlike("t", F.lit("(?Umd)" + template.replace("{name}", r"\Qmax\E"))).cast("int") for template in templates), F.lit(0))
+
+    got = rows.select("t", *[s.alias(n) for s, n in zip(scores, "pc")], bare(lex.PERSON_CONTEXTS).alias("bp"), bare(lex.CONCEPT_CONTEXTS).alias("bc")).collect()
+    assert [(r["t"], r["p"], r["c"]) for r in got] == [(r["t"], r["bp"], r["bc"]) for r in got]
+    assert sum(r["p"] for r in got) > 8 and sum(r["c"] for r in got) > 1
+    spelled = [text_functions.spellings(side) for t in lex.PERSON_CONTEXTS + lex.CONCEPT_CONTEXTS for side in t.split("{name}")]
+    assert None not in spelled and text_functions.spellings(r"a\w") is None
+
+
+def test_words_that_are_no_names_are_not_shuffled(spark, people):
+    queries = spark.createDataFrame([("q", "Max said so to Grace of York")], "query_id string, query string")
+    met = []
+    keep = registry.cut_lineage
+    registry.cut_lineage = lambda df: met.append(df) or keep(df)
+    try:
+        found = registry.people_in_queries(queries, people, registry.ambiguous_words(people)).collect()
+    finally:
+        registry.cut_lineage = keep
+    assert [r["name"] for r in found] == ["Max"]
+    assert "BroadcastHashJoin" in met[0]._jdf.queryExecution().executedPlan().toString()
