@@ -144,6 +144,7 @@ def lookup(
     )
     flagged = ambiguous.select(F.col("word").alias("_key"), F.lit(True).alias("_flag")).distinct()
     # Few distinct words make many rows: each is resolved once and the result joined back.
+    words = cut_lineage(words)
     distinct = words.select(F.lower("word").alias("_key")).distinct()
     is_person = F.col("_person").isNotNull()
     is_project = ~is_person & F.col("_project").isNotNull()

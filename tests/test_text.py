@@ -471,6 +471,24 @@ def test_context_scores_equal_the_bare_patterns(spark):
     assert None not in spelled and text_functions.spellings(r"a\w") is None
 
 
+def test_words_of_a_lookup_are_made_once(spark, people):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    words = spark.createDataFrame([("Max", 1), ("Oslo", 1), ("Grace", 2)], "word string, context_id int")
+    projects = spark.createDataFrame([], "ord int, name string")
+    research = spark.createDataFrame([], "word string, type string, confidence double, confirmed boolean")
+    contexts = spark.createDataFrame([(1, "Max said"), (2, "")], "context_id int, context string")
+    counted = words.mapInArrow(count, words.schema)
+    found = registry.lookup(counted, people, projects, research, registry.ambiguous_words(people), contexts)
+    assert {(r["word"], r["type"]) for r in found.collect()} == {("Max", "person"), ("Oslo", "unknown"), ("Grace", "person")}
+    assert made.value == 3
+
+
 def test_words_that_are_no_names_are_not_shuffled(spark, people):
     queries = spark.createDataFrame([("q", "Max said so to Grace of York")], "query_id string, query string")
     met = []
@@ -482,3 +500,10 @@ def test_words_that_are_no_names_are_not_shuffled(spark, people):
         registry.cut_lineage = keep
     assert [r["name"] for r in found] == ["Max"]
     assert "BroadcastHashJoin" in met[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_closing_word_reads_as_its_pattern(spark):
+    texts = ["One two.", "One two. \n", "a.b.", "été.", "two", "two. x", ".", "", "x_1 .", None, "tail. ", "end. "]
+    rows = spark.createDataFrame([(text,) for text in texts], "text string")
+    got = rows.select(text_catalog._closing_word(F.col("text")).alias("w"), F.regexp_extract("text", r"(?<!\w)(\w++)\.\s*$", 1).alias("p")).collect()
+    assert [r["w"] or "" for r in got] == [r["p"] or "" for r in got]
