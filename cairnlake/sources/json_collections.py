@@ -279,11 +279,15 @@ def block_states(files: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     known = known.withColumn("change", change).withColumn("lowest", lowest)
     known = known.withColumn("depth", F.coalesce(F.sum("change").over(before), F.lit(0)).cast("int"))
     known = known.withColumn("end_depth", (F.col("depth") + F.col("change")).cast("int"))
-    kept = known.select("path", "start", "stop", "in_string", "ends_in_string", "depth", "end_depth", "lowest")
-    shallow = kept.where(F.col("depth") + F.col("lowest") <= IN_DOCUMENT)
+    known = known.withColumn("last", F.lead("start").over(order).isNull())
+    kept = known.select("path", "start", "stop", "in_string", "ends_in_string", "depth", "end_depth", "lowest", "last")
+    # What a file's last block opens is of no use to any other, so files of one block are not read for it.
+    shallow = deal_reads(kept.where((F.col("depth") + F.col("lowest") <= IN_DOCUMENT) & ~F.col("last")), "path", "start")
     opened = shallow.mapInArrow(_sections, "path string, start long, opened boolean")
     section = F.last("opened", ignorenulls=True).over(before)
-    return kept.join(opened, ["path", "start"], "left").withColumn("in_drawers", F.coalesce(section, F.lit(False))).drop("opened", "lowest")
+    states = kept.join(opened, ["path", "start"], "left").withColumn("in_drawers", F.coalesce(section, F.lit(False)))
+    # Kept as well: the drawers and the report on whole files both ask for them.
+    return cut_lineage(states.drop("opened", "lowest", "last"))
 
 
 def read_collections(

@@ -8,6 +8,7 @@ import random
 import pytest
 
 from cairnlake.schema import DRAWER_SCHEMA
+from cairnlake.sources import json_collections
 from cairnlake.sources.json_collections import block_states, read_collections
 from cairnlake.sources.store import read_json_collection
 
@@ -95,3 +96,16 @@ def test_rejects_are_rows_with_a_reason(spark, tmp_path):
 
 def test_no_file_reads_as_no_rows(spark, tmp_path):
     assert read_collections(spark, str(tmp_path / "missing.json")).count() == 0
+
+
+def test_documents_of_one_block_are_not_read_for_their_sections(spark, tmp_path, monkeypatch):
+    def refuse(batches):
+        for batch in batches:
+            assert batch.num_rows == 0, "a file was read for its sections"
+            yield batch
+
+    for n in range(3):
+        (tmp_path / f"{n}.json").write_text(json.dumps({"Drawers": [{"Id": str(n), "Text": "t"}]}))
+    monkeypatch.setattr(json_collections, "_sections", refuse)
+    got = json_collections.read_collections(spark, str(tmp_path)).collect()
+    assert sorted((r["id"], r["status"]) for r in got) == [(str(n), "read") for n in range(3)]
