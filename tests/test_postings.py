@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from cairnlake.functions.text import clean_content
 from cairnlake.operators import mutations, postings, search
 from cairnlake.operators.postings import StoredIndex, TextIndex
 
@@ -123,3 +124,25 @@ def test_requests_that_differ_by_a_full_stop_are_inserted_once(spark):
     got = {r["id"]: r["outcome"] for r in mutations.add_outcomes(empty, spark.createDataFrame(rows, DRAWER)).collect()}
     assert got == {"a": "inserted", "b": "duplicate"}
     assert mutations.add_outcomes(empty, empty).withColumn("x", F.lit(1)).count() == 0
+
+
+def test_stored_texts_of_an_add_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    stored = spark.createDataFrame([("a", "alpha beta gamma"), ("b", "delta epsilon")], "id string, text string")
+    asked = [("a", "w", "r", "alpha beta gamma"), ("c", "w", "r", "delta epsilon"), ("d", "w", "r", "zeta eta")]
+    requests = spark.createDataFrame(asked, "id string, wing string, room string, text string")
+    outcomes = mutations.add_outcomes(stored.mapInArrow(count, stored.schema), requests)
+    assert {(r["id"], r["outcome"], r["matches"]) for r in outcomes.collect()} == {("a", "noop", 0), ("c", "duplicate", 1), ("d", "inserted", 0)}
+    assert made.value == 2
+
+
+def test_line_endings_of_cleaned_content(spark):
+    texts = ["a\r\nb\rc\r\r\nd\n\re\r", "\r\n", "a\x07\r\n\x00b", "", None]
+    rows = spark.createDataFrame([(text,) for text in texts], "t string").select(clean_content(F.col("t")).alias("v")).collect()
+    assert [r["v"] for r in rows] == ["a\nb\nc\n\nd\n\ne", "", "a\nb", "", None]
