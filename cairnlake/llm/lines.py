@@ -19,6 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairnlake.functions.text import let
 from cairnlake.llm.frames import plain
 from cairnlake.session import cut_lineage
 
@@ -31,15 +32,26 @@ def lines_of(text: Column) -> Column:
 
 
 def line_key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(BLANK)), string.ascii_uppercase, string.ascii_lowercase)
+    """The trimmed line with A-Z lower-cased; a line of ASCII alone by ``lower``, which costs far less than ``translate``."""
+
+    def key(trimmed: Column) -> Column:
+        ascii_alone = F.octet_length(trimmed) == F.char_length(trimmed)
+        return F.when(ascii_alone, F.lower(trimmed)).otherwise(
+            F.translate(trimmed, string.ascii_uppercase, string.ascii_lowercase)
+        )
+
+    return let(F.btrim(line, F.lit(BLANK)), key)
 
 
 def line_hash(line: Column, min_chars: int) -> Column:
     """128 bits of the key of a line, NULL where the key is too short."""
-    key = line_key(line)
-    return F.when(
-        F.length(key) >= min_chars, F.struct(F.xxhash64(key).alias("_h1"), F.xxhash64(F.lit(1), key).alias("_h2"))
-    )
+
+    def judge(key: Column) -> Column:
+        hashed = F.struct(F.xxhash64(key).alias("_h1"), F.xxhash64(F.lit(1), key).alias("_h2"))
+        return F.when(F.length(key) >= min_chars, hashed)
+
+    # Bound, because the key would be made anew for its length and for each half of the hash.
+    return let(line_key(line), judge)
 
 
 def hashes_of(text: Column, min_chars: int) -> Column:

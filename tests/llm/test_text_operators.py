@@ -431,3 +431,11 @@ def test_hashes_are_those_of_the_texts(spark):
     docs = frame(spark, ["a b", None])
     rows = bpe.encode(docs, VOCABULARY).select("doc_id", F.sha2("_decoded", 256).alias("h")).orderBy("doc_id").collect()
     assert rows[1]["h"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_line_keys_lower_ascii_letters_only_and_are_made_once(spark):
+    texts = [" \tABC z\r", "ÄBC", "KB", "İA", "", "  ", "\x1cA"]
+    rows = spark.createDataFrame([(text,) for text in texts], "text string")
+    assert [r["k"] for r in rows.select(lines.line_key(F.col("text")).alias("k")).collect()] == ["abc z", "Äbc", "Kb", "İa", "", "", "\x1ca"]
+    plan = rows.select(lines.line_hash(F.col("text"), 1).alias("h"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1
