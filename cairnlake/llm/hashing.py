@@ -8,6 +8,7 @@ import numpy as np
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
 START = 1 << 16
 
 SPACES = np.zeros(256, dtype=bool)
@@ -19,9 +20,12 @@ LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit numbers."""
-    x = (x ^ (x >> U(32))) * U(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> U(32))) * U(0xD6E8FEB86659FD93)
-    return x ^ (x >> U(32))
+    x = x ^ (x >> U(32))
+    x *= U(0xD6E8FEB86659FD93)
+    x ^= x >> U(32)
+    x *= U(0xD6E8FEB86659FD93)
+    x ^= x >> U(32)
+    return x
 
 
 @lru_cache(maxsize=8)
@@ -56,30 +60,61 @@ def prefix_hashes(data: np.ndarray, seed: int = 1) -> np.ndarray:
 
 def range_hashes(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """Hashes of the substrings ``[start, stop)``: equal strings have equal hashes wherever they stand."""
-    inverse = powers(pow(BASE, -1, 1 << 64), len(prefix))
+    inverse = powers(INVERSE, len(prefix))
     return mix((prefix[stop] - prefix[start]) * inverse[start] + (stop - start).astype(U) * U(0xC2B2AE3D27D4EB4F))
 
 
+def words_of(texts: list[str | None], parting: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of all texts, in order, and the number of words of each text."""
+    parts = [(text or "").lower().encode("utf-8", "surrogatepass") for text in texts]
+    data = np.frombuffer(b" ".join(parts), np.uint8)
+    inside = np.zeros(len(data) + 2, dtype=bool)
+    np.logical_not(parting[data], out=inside[1:-1])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    counts = np.diff(np.searchsorted(edges[::2], np.cumsum([len(part) + 1 for part in parts])), prepend=0)
+    if not len(edges):
+        return np.zeros(0, dtype=U), counts
+    return range_hashes(prefix_hashes(data), edges[::2], edges[1::2]), counts
+
+
 def word_hashes(text: str | None, parting: np.ndarray = SPACES) -> np.ndarray:
     """Hashes of the lower-cased words of a text, in order."""
-    data = np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8)
-    inside = ~parting[data]
-    edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
-    if not len(edges):
-        return np.zeros(0, dtype=U)
-    return range_hashes(prefix_hashes(data), edges[::2], edges[1::2])
+    return words_of([text], parting)[0]
+
+
+def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words."""
+    total = np.full(len(words) - size + 1, U(size), dtype=U)
+    for column in range(size):
+        total *= U(0x9FB21C651E98DF25)
+        total += words[column : column + len(total)]
+        total = mix(total)
+    return total
+
+
+def shingles_of(words: np.ndarray, counts: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of every text, sorted, with their counts and the number of their text.
+
+    ``words`` has the words of all texts, ``counts`` how many each text has, at least one.
+    Fewer words than ``size`` make one shingle.
+    """
+    if not len(words):
+        return np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    held = np.maximum(counts - size + 1, 1)
+    heads, starts = np.cumsum(held) - held, np.cumsum(counts) - counts
+    runs = shingle_hashes(words, size) if len(words) >= size else None
+    values = np.empty(int(held.sum()), dtype=U)
+    for head, n, start, count in zip(heads.tolist(), held.tolist(), starts.tolist(), counts.tolist(), strict=True):
+        own = runs[start : start + n] if count >= size else shingle_hashes(words[start : start + count], count)
+        values[head : head + n] = own
+        values[head : head + n].sort()
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = values[1:] != values[:-1]
+    new[heads] = True
+    first = np.flatnonzero(new)
+    return values[first], np.diff(first, append=len(values)), np.searchsorted(heads, first, side="right") - 1
 
 
 def shingles(words: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of ``size`` words, sorted, with their counts; fewer words make one shingle."""
-    n = len(words)
-    if not n:
-        return np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64)
-    if n < size:
-        rows = words[None, :]
-    else:
-        rows = np.lib.stride_tricks.sliding_window_view(words, size)
-    total = np.full(len(rows), U(n if n < size else size), dtype=U)
-    for column in range(rows.shape[1]):
-        total = mix(total * U(0x9FB21C651E98DF25) + rows[:, column])
-    return np.unique(total, return_counts=True)
+    return shingles_of(words, np.array([len(words)]), size)[:2]

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from cairnlake.llm.components import components
 from cairnlake.llm.frames import plain
-from cairnlake.llm.hashing import U, mix, shingles, word_hashes
+from cairnlake.llm.hashing import U, mix, shingles, shingles_of, word_hashes, words_of
 from cairnlake.session import cut_lineage
 
 SHINGLE = 5
@@ -53,7 +53,11 @@ BLOCK_ROWS = 1 << 10
 BLOCK_SHINGLES = 1 << 19
 BITS = 512
 WORDS = [f"_b{n}" for n in range(BITS // 64)]
-ROWS_AT_ONCE = 1 << 14
+CELLS = 1 << 14
+FINE = 2
+TEXTS_AT_ONCE = 512
+CHARS_AT_ONCE = 2 << 20
+STEP = 0x9E3779B97F4A7C15
 
 
 def intervals(counts: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
@@ -64,70 +68,110 @@ def intervals(counts: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
         level, low, high = level + 1, high, high * 2
 
 
+def draw(keys: np.ndarray, last: np.ndarray, rate: np.ndarray | float, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Marks and times of the next ``width`` points of processes that stand at ``last``; a row per point."""
+    marks = mix((np.arange(1, width + 1, dtype=U) * U(STEP))[:, None] + keys)
+    times = (marks >> U(11)).astype(np.float64)
+    times += 1
+    times /= float(1 << 53)
+    np.log(times, out=times)
+    times /= -rate
+    times[0] += last
+    # Times grow by sequential sums, so they do not depend on how many points are drawn at once.
+    return marks, np.cumsum(times, axis=0, out=times)
+
+
+def under(marks: np.ndarray, low: np.ndarray | float, rate: np.ndarray | float, counts: np.ndarray) -> np.ndarray:
+    """Whether points lie below the counts."""
+    return low + rate * (mix(marks ^ U(0xA24BAED4963EE407)) >> U(11)).astype(np.float64) / float(1 << 53) < counts
+
+
+def place_of(marks: np.ndarray, places: int) -> np.ndarray:
+    return (((marks & U(0xFFFFFFFF)) * U(places)) >> U(32)).astype(np.int64)
+
+
 def points(
     keys: np.ndarray, counts: np.ndarray, low: int, high: int, until: float, places: int
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """``(place, time, mark)`` of the points up to ``until`` below the counts; times grow by sequential sums."""
-    rate = float(high - low)
-    width = max(1, int(rate * until * 1.2))
-    last, drawn = np.zeros(len(keys)), 0
+    """``(place, time, mark)`` of the points up to ``until`` below the counts."""
+    rate, last = float(high - low), np.zeros(len(keys))
     while len(keys):
-        width = min(width, max(1, (1 << 20) // len(keys)))
-        step = np.arange(drawn + 1, drawn + width + 1, dtype=U) * U(0x9E3779B97F4A7C15)
-        marks = mix(keys[:, None] + step[None, :])
-        gaps = -np.log(((marks >> U(11)).astype(np.float64) + 1) / float(1 << 53)) / rate
-        gaps[:, 0] += last
-        times = np.cumsum(gaps, axis=1)
-        height = low + rate * (mix(marks ^ U(0xA24BAED4963EE407)) >> U(11)).astype(np.float64) / float(1 << 53)
-        rows, columns = np.nonzero((times <= until) & (height < counts[:, None]))
-        chosen = marks[rows, columns]
-        yield (mix(chosen ^ U(0x9FB21C651E98DF25)) % U(places)).astype(np.int64), times[rows, columns], chosen
-        on = times[:, -1] <= until
-        keys, counts, last, drawn = keys[on], counts[on], times[on, -1], drawn + width
+        width = max(1, min(int(rate * until), (1 << 20) // len(keys)))
+        marks, times = draw(keys, last, rate, width)
+        chosen = (times <= until) & under(marks, low, rate, counts)
+        yield place_of(marks[chosen], places), times[chosen], marks[chosen]
+        on = times[-1] <= until
+        keys, counts, last = keys[on] + U(width * STEP % (1 << 64)), counts[on], times[-1][on]
+
+
+def signatures(values: np.ndarray, counts: np.ndarray, owner: np.ndarray, places: int = BANDS * PLACES) -> np.ndarray:
+    """Mark of the earliest point per place, a row per multiset; ``owner`` numbers the multisets from 0, none is empty.
+
+    The processes of a multiset are drawn up to a common time, which grows until every
+    place has a point up to it: no later point can come first anywhere. Processes of all
+    multisets that have about as many points to go are drawn at once.
+    """
+    totals = np.bincount(owner, counts)
+    found = [
+        (mix(values[rows] + U(level * 0x632BE59BD9B4E019 % (1 << 64))), owner[rows], counts[rows], np.full(len(rows), low), np.full(len(rows), high))
+        for level, low, high, rows in intervals(counts)
+    ]
+    until = places * np.log(places + 1) / totals
+    keys, owner, counts, low, high = (np.concatenate(column) for column in zip(*found, strict=True))
+    rate, partial, last = (high - low).astype(np.float64), counts < high, np.zeros(len(keys))
+    first, signed = np.full(len(totals) * places, np.inf), np.zeros(len(totals) * places, dtype=U)
+    on = np.arange(len(keys))
+    while len(on):
+        ahead = rate[on] * (until[owner[on]] - last[on])
+        width = ahead + np.sqrt(ahead) / 2 + 1
+        # Classes of like width, those with points to judge by their height apart.
+        kind = (np.ceil(np.log2(width) * FINE) * 2 + partial[on]).astype(np.int64)
+        order = np.argsort(kind, kind="stable")
+        on, kind = on[order], kind[order]
+        heads = np.flatnonzero(np.diff(kind, prepend=-1))
+        for head, stop in zip(heads, np.append(heads[1:], len(on)), strict=True):
+            wide = min(int(2 ** (kind[head] // 2 / FINE)), CELLS)
+            step = max(1, CELLS // wide)
+            for at in range(head, stop, step):
+                rows = on[at : min(at + step, stop)]
+                marks, times = draw(keys[rows], last[rows], rate[rows], wide)
+                spots = place_of(marks, places) + owner[rows] * places
+                keys[rows] += U(wide * STEP % (1 << 64))
+                last[rows] = times[-1]
+                if kind[head] % 2:
+                    chosen = under(marks, low[rows], rate[rows], counts[rows])
+                    marks, times, spots = marks[chosen], times[chosen], spots[chosen]
+                marks, times, spots = marks.ravel(), times.ravel(), spots.ravel()
+                np.minimum.at(first, spots, times)
+                best = np.flatnonzero(times == first[spots])
+                signed[spots[best]] = marks[best]
+        on = on[last[on] <= until[owner[on]]]
+        if not len(on):
+            latest = first.reshape(-1, places).max(axis=1)
+            until = np.where(latest > until, np.minimum(latest, until * 1.25), -1.0)
+            on = np.flatnonzero(last <= until[owner])
+            until = np.maximum(until, 0)
+    return signed.reshape(-1, places)
 
 
 def signature(values: np.ndarray, counts: np.ndarray, places: int = BANDS * PLACES) -> np.ndarray:
-    """Mark of the earliest point per place."""
-    until = places * (np.log(places) + 4) / float(counts.sum())
-    while True:
-        found = [
-            part
-            for level, low, high, rows in intervals(counts)
-            for at in range(0, len(rows), ROWS_AT_ONCE)
-            for part in points(
-                mix(values[rows[at : at + ROWS_AT_ONCE]] + U(level * 0x632BE59BD9B4E019 % (1 << 64))),
-                counts[rows[at : at + ROWS_AT_ONCE]],
-                low,
-                high,
-                until,
-                places,
-            )
-        ]
-        place, time, mark = (np.concatenate(column) for column in zip(*found, strict=True))
-        first = np.full(places, np.inf)
-        np.minimum.at(first, place, time)
-        if np.isfinite(first).all():
-            break
-        until *= 2
-    best = time == first[place]
-    signed = np.zeros(places, dtype=U)
-    signed[place[best]] = mark[best]
-    return signed
+    return signatures(values, counts, np.zeros(len(values), dtype=np.int64), places)[0]
 
 
 def band_hashes(signed: np.ndarray, bands: int = BANDS) -> np.ndarray:
-    rows = signed.reshape(bands, -1)
-    total = np.arange(bands, dtype=U)
-    for column in range(rows.shape[1]):
-        total = mix(total * U(0x9E3779B97F4A7C15) + rows[:, column])
+    """One hash per band of every signature, a row each."""
+    rows = np.moveaxis(signed.reshape(len(signed), bands, -1), 2, 0)
+    total = np.tile(np.arange(bands, dtype=U), (len(signed), 1))
+    for column in rows:
+        total = mix(total * U(0x9E3779B97F4A7C15) + column)
     return total.view(np.int64)
 
 
-def sketch(signed: np.ndarray) -> np.ndarray:
-    """One bit of each of the first places, as 64-bit words; missing places are 0."""
-    bits = np.zeros(BITS, dtype=np.uint8)
-    bits[: min(BITS, len(signed))] = (signed[:BITS] & U(1)).astype(np.uint8)
-    return np.packbits(bits).view(">i8").astype(np.int64)
+def sketches(signed: np.ndarray) -> np.ndarray:
+    """One bit of each of the first places, as 64-bit words, a row per signature; missing places are 0."""
+    bits = np.zeros((len(signed), BITS), dtype=np.uint8)
+    bits[:, : min(BITS, signed.shape[1])] = (signed[:, :BITS] & U(1)).astype(np.uint8)
+    return np.packbits(bits, axis=1).view(">i8").astype(np.int64)
 
 
 def fewest_equal(places: int, least: float) -> int:
@@ -136,12 +180,12 @@ def fewest_equal(places: int, least: float) -> int:
     return int(BITS - used + used * equal - 5 * (used * equal * (1 - equal)) ** 0.5)
 
 
-def sequence_key(words: np.ndarray) -> tuple[int, int]:
-    """128 bits of a word sequence."""
-    place = np.arange(len(words), dtype=U)
-    return tuple(
-        int(mix(words + mix(place + U(seed))).sum(dtype=U).astype(np.int64)) for seed in (0x243F6A88, 0x85A308D3)
-    )
+def sequence_keys(words: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Two times 64 bits of the word sequence of every text; none is empty."""
+    heads = np.cumsum(counts) - counts
+    place = np.arange(len(words), dtype=U) - np.repeat(heads, counts).astype(U)
+    keys = [mix(words + mix(place + U(seed))) for seed in (0x243F6A88, 0x85A308D3)]
+    return [np.add.reduceat(key, heads).view(np.int64) if len(heads) else key.view(np.int64) for key in keys]
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -160,30 +204,35 @@ def sign(docs: DataFrame, size: int, bands: int, places: int) -> DataFrame:
     """``(_doc, _k1, _k2, _size, _b0 .. _b3, _bands)`` for every document with words."""
     kind = dict(docs.dtypes)["doc_id"]
 
+    def rows(ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
+        words, counts = words_of(texts)
+        present = np.flatnonzero(counts)
+        counts = counts[present]
+        table = np.zeros((0, bands * places), dtype=U)
+        if len(present):
+            table = signatures(*shingles_of(words, counts, size), bands * places)
+        bits = sketches(table)
+        ends = np.arange(len(present) + 1, dtype=np.int32) * bands
+        return pa.RecordBatch.from_arrays(
+            [
+                ids.take(pa.array(present)),
+                *map(pa.array, sequence_keys(words, counts)),
+                pa.array(np.maximum(counts - size + 1, 1)),
+                *[pa.array(bits[:, n]) for n in range(len(WORDS))],
+                pa.ListArray.from_arrays(ends, band_hashes(table, bands).ravel()),
+            ],
+            names=["_doc", "_k1", "_k2", "_size", *WORDS, "_bands"],
+        )
+
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys, hashes, sizes, bits = [], [], [], [], []
+            at, texts, held = 0, [], 0
             for number, text in enumerate(batch.column("text")):
-                words = word_hashes(text.as_py())
-                if len(words):
-                    ids.append(number)
-                    keys.append(sequence_key(words))
-                    marks = signature(*shingles(words, size), bands * places)
-                    hashes.append(band_hashes(marks, bands))
-                    sizes.append(max(1, len(words) - size + 1))
-                    bits.append(sketch(marks))
-            columns = np.array(bits, dtype=np.int64).reshape(-1, len(WORDS))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").take(pa.array(ids, pa.int64())),
-                    pa.array([k[0] for k in keys], pa.int64()),
-                    pa.array([k[1] for k in keys], pa.int64()),
-                    pa.array(sizes, pa.int64()),
-                    *[pa.array(columns[:, n]) for n in range(len(WORDS))],
-                    pa.array(hashes, pa.list_(pa.int64())),
-                ],
-                names=["_doc", "_k1", "_k2", "_size", *WORDS, "_bands"],
-            )
+                texts.append(text.as_py())
+                held += len(texts[-1])
+                if len(texts) == TEXTS_AT_ONCE or held >= CHARS_AT_ONCE or number + 1 == batch.num_rows:
+                    yield rows(batch.column("doc_id").slice(at, len(texts)), texts)
+                    at, texts, held = number + 1, [], 0
 
     present = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
     words = ", ".join(f"{w} bigint" for w in WORDS)
@@ -401,7 +450,7 @@ def near_groups(
     shared = postings.groupBy("_bucket").agg(F.count("*").alias("_n")).where("_n > 1")
     buckets = cut_lineage(postings.join(shared, "_bucket"))
     degree = buckets.groupBy("_rep").agg(F.sum("_n").alias("_degree"))
-    centers = (
+    centers = cut_lineage(
         buckets.join(degree, "_rep")
         .groupBy("_bucket")
         .agg(F.max(F.struct("_degree", "_rep")).alias("_top"))
@@ -411,10 +460,8 @@ def near_groups(
     texts = cut_lineage(docs.join(wanted, F.col("doc_id") == F.col("_rep"), "left_semi"))
 
     known = cut_lineage(nodes.join(wanted, "_rep", "left_semi").select("_rep", "_facts"))
-    starred = cut_lineage(
-        buckets.join(centers, "_bucket").where("_rep <> _center").select(F.col("_rep").alias("_member"), "_center").distinct()
-    )
-    first = (
+    starred = buckets.join(centers, "_bucket").where("_rep <> _center").select(F.col("_rep").alias("_member"), "_center").distinct()
+    first = cut_lineage(
         starred.join(known.select(F.col("_rep").alias("_member"), F.col("_facts").alias("_left")), "_member")
         .join(known.select(F.col("_rep").alias("_center"), F.col("_facts").alias("_right")), "_center")
         .where(likely("_left", "_right", fewest, least))

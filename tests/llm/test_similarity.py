@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from cairnlake.llm import near_texts, near_vectors, quality, suffixes
 from cairnlake.llm.components import components
-from cairnlake.llm.hashing import shingles, word_hashes
+from cairnlake.llm.hashing import shingles, shingles_of, word_hashes, words_of
+from cairnlake.session import cut_lineage
 
 
 def union_find(nodes, links):
@@ -28,6 +29,15 @@ def union_find(nodes, links):
 
 
 class TestComponents:
+    def test_stars_take_no_round(self, spark, monkeypatch):
+        cuts = []
+        monkeypatch.setattr("cairnlake.llm.components.cut_lineage", lambda df: cuts.append(1) or cut_lineage(df))
+        edges = spark.createDataFrame([(2, 1), (3, 1), (5, 4), (4, 4)], "a int, b int")
+        got = components(edges, "a", "b", rounds=1)
+        assert len(cuts) == 1
+        assert {r["_node"]: r["_component"] for r in got.collect()} == {1: 1, 2: 1, 3: 1, 5: 4, 4: 4}
+        assert components(edges.where("a > 9"), "a", "b", rounds=1).count() == 0
+
     @pytest.mark.parametrize("kind", ["random", "path", "star", "none"])
     def test_equal_union_find(self, spark, kind):
         pick = random.Random(4)
@@ -163,6 +173,29 @@ class TestNearTexts:
             best[p] = min(best.get(p, (np.inf, 0)), (t, m))
         assert all(wide[p] == m for p, (_, m) in best.items())
 
+    def test_signatures_of_many_texts_are_those_of_each(self, monkeypatch):
+        pick = random.Random(9)
+        texts = [" ".join(f"w{pick.randint(0, 60)}" for _ in range(n)) for n in (1, 4, 5, 6, 40, 300, 700)] + ["", None, "la " * 900]
+        words, counts = words_of(texts)
+        assert words.tolist() == [w for t in texts for w in word_hashes(t).tolist()]
+        values, times, owner = shingles_of(words, counts[counts > 0])
+        alone = [shingles(word_hashes(t)) for t in texts if t]
+        assert values.tolist() == [v for bag in alone for v in bag[0].tolist()]
+        assert times.tolist() == [n for bag in alone for n in bag[1].tolist()]
+        signed = near_texts.signatures(values, times, owner)
+        monkeypatch.setattr(near_texts, "CELLS", 50)
+        assert [s.tolist() for s in signed] == [near_texts.signature(*bag).tolist() for bag in alone]
+
+    def test_few_more_points_are_drawn_than_fill_the_places(self, monkeypatch):
+        drawn, draw = [], near_texts.draw
+        monkeypatch.setattr(near_texts, "draw", lambda keys, last, rate, width: drawn.append(len(keys) * width) or draw(keys, last, rate, width))
+        pick = np.random.default_rng(4)
+        for n in (20, 100, 500):
+            bags = [np.sort(pick.integers(0, 1 << 62, n).astype(np.uint64)) for _ in range(20)]
+            near_texts.signatures(np.concatenate(bags), np.ones(20 * n, dtype=np.int64), np.repeat(np.arange(20), n))
+        # 512 places are filled by 3,500 points in the mean.
+        assert sum(drawn) < 60 * 6000
+
     def brute(self, rows, least=0.8):
         bags = {i: shingles(word_hashes(t)) for i, t in rows if i is not None and (t or "").split()}
         ids = sorted(bags)
