@@ -64,6 +64,14 @@ def range_hashes(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.
     return mix((prefix[stop] - prefix[start]) * inverse[start] + (stop - start).astype(U) * U(0xC2B2AE3D27D4EB4F))
 
 
+def gram_hashes(prefix: np.ndarray, size: int) -> np.ndarray:
+    """``range_hashes`` of all substrings of ``size`` bytes, in order."""
+    total = prefix[size:] - prefix[:-size]
+    total *= powers(INVERSE, len(prefix))[: len(total)]
+    total += U(size * 0xC2B2AE3D27D4EB4F % (1 << 64))
+    return mix(total)
+
+
 def words_of(texts: list[str | None], parting: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words of all texts, in order, and the number of words of each text."""
     parts = [(text or "").lower().encode("utf-8", "surrogatepass") for text in texts]

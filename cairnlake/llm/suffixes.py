@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnlake.llm.frames import plain
-from cairnlake.llm.hashing import U, prefix_hashes, range_hashes
+from cairnlake.llm.hashing import U, gram_hashes, mix, prefix_hashes, range_hashes
 from cairnlake.session import cut_lineage, free_shuffles
 
 LENGTH = 100
@@ -44,6 +44,7 @@ GRAM = 32
 SYMBOL = 16
 SLICE = 1 << 20
 FLUSH = 4 << 20
+JOINED = 1 << 16
 RUN_ROWS = 1 << 16
 LAST = (1 << 63) - 1
 TEXT = ["_doc", "_hash", "_tag"]
@@ -60,40 +61,71 @@ def unpacked(pack: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return pack >> 45, pack >> 14 & 0x7FFFFFFF, pack >> 7 & 127, pack & 127
 
 
+def anchors(prefix: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all grams, and for every window the place of its least-hashed one."""
+    reach = length - GRAM + 1
+    grams = gram_hashes(prefix, GRAM)
+    # The last grams of a full slice lie beyond 2**20: places then take one bit more of the hash.
+    mask = PLACE_BITS if len(grams) <= 1 << 20 else (PLACE_BITS << U(1)) | U(1)
+    least = grams & ~mask
+    least |= np.arange(len(grams), dtype=U)
+    width = 1
+    while 2 * width <= reach:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    if reach > width:
+        least = np.minimum(least[: len(least) - (reach - width)], least[reach - width :])
+    return grams, (least & mask).astype(np.int64)
+
+
 def blocks_of(data: np.ndarray, length: int = LENGTH) -> Iterator[tuple[np.ndarray, ...]]:
     """``(gram hash, block hash, first window, lead, windows)`` of all blocks, slice by slice."""
-    reach = length - GRAM + 1
     for base in range(0, max(0, len(data) - length + 1), SLICE):
-        part = data[base : base + SLICE + length - 1]
-        count = len(part) - length + 1
-        prefix = prefix_hashes(part, 1)
-        at = np.arange(len(part) - GRAM + 1)
-        grams = range_hashes(prefix, at, at + GRAM)
-        least = (grams & ~PLACE_BITS) | (at.astype(U) & PLACE_BITS) if len(at) <= 1 << 20 else None
-        if least is None:
-            # The last grams of a full slice lie beyond 2**20: order them by the same hash bits, then by place.
-            least = (grams & ~((PLACE_BITS << U(1)) | U(1))) | at.astype(U)
-            mask = (PLACE_BITS << U(1)) | U(1)
-        else:
-            mask = PLACE_BITS
-        width = 1
-        while 2 * width <= reach:
-            least = np.minimum(least[:-width], least[width:])
-            width *= 2
-        if reach > width:
-            least = np.minimum(least[: len(least) - (reach - width)], least[reach - width :])
-        anchor = (least & mask).astype(np.int64)
-        first = np.flatnonzero(np.diff(anchor, prepend=-1))
-        windows = np.diff(first, append=count)
-        hashes = range_hashes(prefix_hashes(part, 2), first, first + windows + length - 1)
-        lead = anchor[first] - first
-        yield grams[anchor[first]], hashes ^ (lead.astype(U) * U(0x9E3779B97F4A7C15)), first + base, lead, windows
+        yield blocks_of_texts([data[base : base + SLICE + length - 1]], length, base)[:-1]
+
+
+def blocks_of_texts(texts: list[np.ndarray], length: int = LENGTH, base: int = 0) -> tuple[np.ndarray, ...]:
+    """``(gram hash, block hash, first window, lead, windows, text number)`` of all blocks of some texts at once.
+
+    They are laid end to end; windows that reach from one into the next are left out.
+    """
+    data = texts[0] if len(texts) == 1 else np.concatenate(texts)
+    ends = np.cumsum([len(text) for text in texts])
+    if len(data) < length:
+        return (*(np.zeros(0, U),) * 2, *(np.zeros(0, np.int64),) * 4)
+    grams, anchor = anchors(prefix_hashes(data, 1), length)
+    inside = np.ones(len(anchor), dtype=bool)
+    for begin, stop in zip((ends - length + 1).tolist(), ends.tolist(), strict=True):
+        inside[max(0, begin) : stop] = False
+    start = np.flatnonzero(inside)
+    anchor = anchor[start]
+    new = np.ones(len(start), dtype=bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)
+    head = np.flatnonzero(new)
+    first, anchor, windows = start[head], anchor[head], np.diff(head, append=len(start))
+    hashes = range_hashes(prefix_hashes(data, 2), first, first + windows + length - 1)
+    lead, number = anchor - first, np.searchsorted(ends, first, side="right")
+    begins = np.append(0, ends[:-1])
+    return grams[anchor], hashes ^ (lead.astype(U) * U(0x9E3779B97F4A7C15)), first - begins[number] + base, lead, windows, number
 
 
 def _runs(flags: np.ndarray) -> np.ndarray:
     return np.cumsum(flags) - 1
 
 
+def joined(sizes: np.ndarray) -> Iterator[list[int]]:
+    """Numbers of neighbouring texts that together have few bytes; a long text stays alone."""
+    rows, held = [], 0
+    for row, size in enumerate(sizes.tolist()):
+        if rows and held + size > JOINED:
+            yield rows
+            rows, held = [], 0
+        rows.append(row)
+        held += size
+    if rows:
+        yield rows
+
+
 def find_blocks(docs: DataFrame, length: int) -> DataFrame:
     """``(_gram, _block, _doc, _hash, _pack, _until)`` of all blocks.
 
@@ -104,18 +136,25 @@ def find_blocks(docs: DataFrame, length: int) -> DataFrame:
 
     def batch_rows(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         gram, block, doc, text, pack = (np.concatenate(column) for column in zip(*parts, strict=True))
-        order = np.lexsort((pack, text, doc, block, gram))
+        # Only blocks that share a hash with another one are sorted in full.
+        both = gram ^ mix(block)
+        order = np.argsort(both)
+        equal = both[order[1:]] == both[order[:-1]]
+        shared = np.append(False, equal)
+        shared[:-1] |= equal
+        order = order[shared]
+        order = order[np.lexsort(tuple(x[order] for x in (pack, text, doc, block, gram)))]
         same = np.zeros(len(order), dtype=bool)
         a, b = order[1:], order[:-1]
         same[1:] = (gram[a] == gram[b]) & (block[a] == block[b])
         # Repeated rows give the same block of the same document once more; that is no copy.
         again = np.zeros(len(order), dtype=bool)
         again[1:] = same[1:] & (doc[a] == doc[b]) & (text[a] == text[b]) & (pack[a] == pack[b])
-        copy = np.zeros(len(order), dtype=bool)
+        copy = np.zeros(len(gram), dtype=bool)
         head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
         first = order[head]
         copy[order] = same & ~((doc[order] == doc[first]) & (text[order] == text[first]) & (pack[order] == pack[first]))
-        drop = np.zeros(len(order), dtype=bool)
+        drop = np.zeros(len(gram), dtype=bool)
         drop[order] = again
         keep = ~copy & ~drop
         gone = np.flatnonzero(copy & ~drop)
@@ -142,12 +181,20 @@ def find_blocks(docs: DataFrame, length: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
-            for doc, text, tag, content in zip(*(batch.column(n) for n in (*TEXT, "_data")), strict=True):
-                data = np.frombuffer(content.as_buffer() or b"", np.uint8) if content.is_valid else np.zeros(0, np.uint8)
-                for gram, block, start, lead, windows in blocks_of(data, length):
-                    docs_of, texts_of, tags = (np.full(len(start), x.as_py(), dtype=np.int64) for x in (doc, text, tag))
-                    parts.append((gram, block, docs_of, texts_of, packed(tags, start, lead, windows)))
-                held += len(data)
+            docs_of, texts_of, tags = (batch.column(n).to_numpy().astype(np.int64) for n in TEXT)
+            contents = [np.frombuffer(x.as_buffer() or b"", np.uint8) if x.is_valid else np.zeros(0, np.uint8) for x in batch.column("_data")]
+            sizes = np.array([len(content) for content in contents])
+            for rows in joined(sizes):
+                if len(rows) == 1:
+                    found = [(*blocks, np.zeros(len(blocks[0]), np.int64)) for blocks in blocks_of(contents[rows[0]], length)]
+                else:
+                    found = [blocks_of_texts([contents[row] for row in rows], length)]
+                for gram, block, start, lead, windows, number in found:
+                    if not len(gram):
+                        continue
+                    row = np.array(rows)[number]
+                    parts.append((gram, block, docs_of[row], texts_of[row], packed(tags[row], start, lead, windows)))
+                held += int(sizes[rows].sum())
                 if held >= FLUSH and parts:
                     yield batch_rows(parts)
                     parts, held = [], 0
@@ -161,7 +208,8 @@ def sort_blocks(blocks: DataFrame, length: int) -> DataFrame:
     """``(_doc, _hash, _pack, _until)``: removed spans (``_until`` set), and blocks with a variant (``_until`` 0).
 
     Blocks meet by gram in sorted partitions and are read as a stream: the first row of a
-    class is its earliest document. Spans that are settled already are dealt by document.
+    class is its earliest document. Spans that are settled already are dealt by document and
+    lie between them; they pass through.
     """
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +265,7 @@ def sort_blocks(blocks: DataFrame, length: int) -> DataFrame:
     key = F.when(settled, F.xxhash64(*WHERE)).otherwise(F.col("_gram"))
     return (
         blocks.repartition(key)
-        .sortWithinPartitions(settled, "_gram", "_block", *WHERE)
+        .sortWithinPartitions("_gram", "_block", *WHERE)
         .mapInArrow(stream, "_doc bigint, _hash bigint, _pack bigint, _until int")
     )
 

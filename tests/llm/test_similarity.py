@@ -119,6 +119,16 @@ class TestRepeats:
         assert windows() == whole
         assert {p for p, _ in whole} == set(range(5000 - 99))
 
+    def test_blocks_of_many_texts_are_those_of_each(self):
+        pick = random.Random(11)
+        texts = ["".join(pick.choice("abcd") for _ in range(n)).encode() for n in (0, 1, 99, 100, 101, 0, 700, 50, 2000, 3)]
+        data = [np.frombuffer(t, np.uint8) for t in texts]
+        *together, number = suffixes.blocks_of_texts(data)
+        alone = [(n, *row) for n, d in enumerate(data) for blocks in suffixes.blocks_of(d) for row in zip(*(c.tolist() for c in blocks), strict=True)]
+        assert list(zip(number.tolist(), *(c.tolist() for c in together), strict=True)) == alone
+        assert not len(suffixes.blocks_of_texts(data[:2])[0])
+        assert list(suffixes.joined(np.array([1 << 15, 1 << 15, 5, 1 << 20, 7]))) == [[0, 1], [2], [3], [4]]
+
     def test_texts_without_an_id_are_told_apart(self, spark):
         pick = random.Random(3)
         shared = "".join(pick.choice("abcdefghij") for _ in range(130))
