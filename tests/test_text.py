@@ -290,6 +290,16 @@ def test_corpus_names_sum_over_texts(spark):
     assert [r["name"] for r in one] == ["Voxtar"]
 
 
+def test_long_runs_of_capitalised_words_are_one_name(spark):
+    # A pattern that takes a stack frame per word ends the executor here.
+    run = " ".join(f"Zor{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(20_000))
+    rows = [(run + ".",), ("Ada Lovelace BarBaz. Foo BarBaz Qux",), ("Foo Bar\tBaz\u00e9 Qux_ FooBar\u00e9",)]
+    texts = spark.createDataFrame(rows, "text string")
+    found = {r["name"]: r["frequency"] for r in entities.detect_corpus_names(texts, minimum=1).collect()}
+    assert found[run] == 1 and found["Zoraa"] == 30
+    assert {name for name in found if "Zor" not in name} == {"Ada Lovelace", "Ada", "Lovelace", "BarBaz", "Foo", "Qux", "Foo Bar", "Bar"}
+
+
 def test_names_are_not_capped_by_default(spark):
     text = " ".join(f"Name{chr(97 + a)}{chr(97 + b)} " * 3 for a in range(4) for b in range(10))
     text = text.replace("Name", "Zor")
