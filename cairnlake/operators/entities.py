@@ -136,15 +136,24 @@ def signal_words(text: Column) -> Column:
     return F.array(*found)
 
 
-def _phrase_hits(text: Column, name: Column) -> Column:
-    """Signal counts of a name of several words, with the name put into each template."""
+def _held_templates(text: Column, lowered: Column) -> Column:
+    """For every signal, whether a text holds the literals of its template.
+
+    Beyond the letters that lower case to them, a pattern without case takes these three for i and s.
+    """
+    odd = reduce(lambda a, b: a | b, [F.contains(text, F.lit(letter)) for letter in "İıſ"])
+    folded = F.when(odd, F.lower(F.translate(text, "İıſ", "iis"))).otherwise(lowered)
+    return let(folded, lambda low: F.array(*[may_match(low, template.replace("{name}", r"\w+")) for _, template, _ in SIGNALS]))
+
+
+def _phrase_hits(text: Column, name: Column, held: Column) -> Column:
+    """Signal counts of a name of several words, with the name put into each template that is ``held``."""
     quoted = F.concat(F.lit(r"\Q"), name, F.lit(r"\E"))
-    return F.array(
-        *[
-            F.regexp_count(text, F.concat(F.lit("(?iUmd)"), F.replace(F.lit(template), F.lit("{name}"), quoted)))
-            for _, template, _ in SIGNALS
-        ]
-    )
+    counts = [
+        F.regexp_count(text, F.concat(F.lit("(?iUmd)"), F.replace(F.lit(template), F.lit("{name}"), quoted)))
+        for _, template, _ in SIGNALS
+    ]
+    return F.array(*[F.when(F.get(held, F.lit(i)), count).otherwise(0) for i, count in enumerate(counts)])
 
 
 def _name_hits(
@@ -166,17 +175,24 @@ def _name_hits(
         key, F.col(text).alias("_text"), F.filter(counts, lambda e: e["value"] >= minimum).alias("_names")
     )
 
+    def is_phrase(name: Column) -> Column:
+        return name["key"].rlike(r"\s")
+
     def judged(text: Column, scanned: Column) -> Column:
         def hits(name: Column) -> Column:
             lowered = F.lower(name["key"])
             single = F.transform(scanned["slots"], lambda counts: F.coalesce(F.try_element_at(counts, lowered), F.lit(0)).cast("int"))
-            found = F.when(name["key"].rlike(r"\s"), _phrase_hits(text, name["key"])).otherwise(single)
+            found = F.when(is_phrase(name), _phrase_hits(text, name["key"], scanned["held"])).otherwise(single)
             pronouns = F.size(F.filter(scanned["framed"], lambda line: F.contains(line, lowered)))
             return F.struct(name["key"].alias("name"), name["value"].alias("frequency"), found.alias("hits"), pronouns.alias("pronouns"))
 
         return F.transform("_names", hits)
 
-    scanned = let(F.lower("_text"), lambda low: F.struct(F.transform(signal_words(low), bag).alias("slots"), near_pronoun(lines_of(F.col("_text"))).alias("framed")))
+    def scan(low: Column) -> Column:
+        held = F.when(F.exists("_names", is_phrase), _held_templates(F.col("_text"), low))
+        return F.struct(F.transform(signal_words(low), bag).alias("slots"), near_pronoun(lines_of(F.col("_text"))).alias("framed"), held.alias("held"))
+
+    scanned = let(F.lower("_text"), scan)
     # Names are judged inside the row, so that a text is not copied for each of its names.
     found = F.when(F.size("_names") > 0, let(scanned, lambda kept: judged(F.col("_text"), kept)))
     return explode_rows(named, found, "_hit", key).select(key, "_hit.*")

@@ -300,6 +300,14 @@ def test_long_runs_of_capitalised_words_are_one_name(spark):
     assert {name for name in found if "Zor" not in name} == {"Ada Lovelace", "Ada", "Lovelace", "BarBaz", "Foo", "Qux", "Foo Bar", "Bar"}
 
 
+def test_letters_that_fold_to_plain_ones_count_for_phrases(spark):
+    text = "Ada Lovelace ſaid. hİ Ada Lovelace. BUıLDING Ada Lovelace, WROTE"
+    texts = spark.createDataFrame([("odd", text), ("none", "Ada Lovelace and Ada Lovelace")], "id string, text string")
+    found = {(r["id"], r["name"]): r for r in entities.score_names(texts, minimum=2).collect()}
+    assert (found["odd", "Ada Lovelace"]["person_score"], found["odd", "Ada Lovelace"]["project_score"]) == (8, 2)
+    assert found["none", "Ada Lovelace"]["person_score"] == 0
+
+
 def test_names_are_not_capped_by_default(spark):
     text = " ".join(f"Name{chr(97 + a)}{chr(97 + b)} " * 3 for a in range(4) for b in range(10))
     text = text.replace("Name", "Zor")
